@@ -1,0 +1,45 @@
+"""Window queries over ``events``: the series is the event type."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lumenloom.operators.windowhist import counter_rate, window_stats
+
+
+def windowhist_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily statistics of the per-second increase of a running counter."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type", "value")
+    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    counter = ev.withColumn("counter", F.sum("value").over(w))
+    rates = counter_rate(counter, ["event_type"], value="counter", tie="event_id")
+    out = window_stats(rates, ["event_type"], "rate")
+    return out.select(
+        "event_type",
+        F.date_format("window_start", "yyyy-MM-dd").alias("day"),
+        "n",
+        F.round("sum_value", 4).alias("sum_rate"),
+        F.round("min_value", 4).alias("min_rate"),
+        F.round("max_value", 4).alias("max_rate"),
+    )
+
+
+WINDOWHIST_RATE_SQL = """
+WITH c AS (
+  SELECT event_id, ts, event_type, sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS counter FROM events
+), r AS (
+  SELECT event_type, ts,
+         (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS seconds,
+         counter - lag(counter) OVER w AS step
+  FROM c WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)
+), v AS (
+  SELECT event_type, ts, step / seconds AS rate FROM r WHERE seconds > 0 AND step >= 0
+)
+SELECT event_type, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(rate) AS n,
+       round(sum(rate), 4) AS sum_rate, round(min(rate), 4) AS min_rate, round(max(rate), 4) AS max_rate
+FROM v GROUP BY 1, 2
+"""
+
+QUERIES = {"windowhist_rate": windowhist_rate}
+ORACLES = {"windowhist_rate": WINDOWHIST_RATE_SQL}
