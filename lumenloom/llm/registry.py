@@ -5,5 +5,11 @@ from __future__ import annotations
 from lumenloom.llm import oracles as o
 from lumenloom.llm import queries as q
 
-QUERIES = {"op1_minhash": q.op1_minhash}
-ORACLES: dict[str, str] = {"op1_minhash": o.OP1}
+QUERIES = {
+    "op1_minhash": q.op1_minhash,
+    "op4_token_files": q.op4_token_files,
+    "op8_byte_bpe": q.op8_byte_bpe,
+    "op9_warc": q.op9_warc,
+    "op10_url_filters": q.op10_url_filters,
+}
+ORACLES: dict[str, str] = {"op1_minhash": o.OP1, "op10_url_filters": o.OP10}
