@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenloom.llm import toxicity
 from lumenloom.llm.minhash import near_duplicates
 from lumenloom.llm.tokens import decode, encode, library_tokenizer, ranks_tokenizer, read_token_files, write_token_files
 from lumenloom.llm.urlfilter import judge_urls
@@ -51,3 +52,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    machine = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, machine)
+    return scored.select("doc_id", (toxicity.fold_of() == 2).alias("held_out"), "score", "predicted")

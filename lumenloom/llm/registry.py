@@ -8,6 +8,7 @@ from lumenloom.llm import queries as q
 QUERIES = {
     "op1_minhash": q.op1_minhash,
     "op4_token_files": q.op4_token_files,
+    "op6_toxicity": q.op6_toxicity,
     "op8_byte_bpe": q.op8_byte_bpe,
     "op9_warc": q.op9_warc,
     "op10_url_filters": q.op10_url_filters,
