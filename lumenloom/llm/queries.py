@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.llm import toxicity
+from lumenloom.llm import quality, toxicity
 from lumenloom.llm.minhash import near_duplicates
 from lumenloom.llm.tokens import decode, encode, library_tokenizer, ranks_tokenizer, read_token_files, write_token_files
 from lumenloom.llm.urlfilter import judge_urls
+from lumenloom.llm.vptree import nearest
 from lumenloom.llm.warc import read_archives, write_archives
 
 #: (allow or block, host, path)
@@ -59,3 +60,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     machine = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.score(docs, machine)
     return scored.select("doc_id", (toxicity.fold_of() == 2).alias("held_out"), "score", "predicted")
+
+
+def op2_vp_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=20, every=20)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    judged = quality.judge(docs, model)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -7,6 +7,8 @@ from lumenloom.llm import queries as q
 
 QUERIES = {
     "op1_minhash": q.op1_minhash,
+    "op2_vp_trees": q.op2_vp_trees,
+    "op3_quality": q.op3_quality,
     "op4_token_files": q.op4_token_files,
     "op6_toxicity": q.op6_toxicity,
     "op8_byte_bpe": q.op8_byte_bpe,
