@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from lumenloom.llm import quality, toxicity
 from lumenloom.llm.minhash import near_duplicates
+from lumenloom.llm.packing import pack_documents
+from lumenloom.llm.pii import pseudonymize
 from lumenloom.llm.tokens import decode, encode, library_tokenizer, ranks_tokenizer, read_token_files, write_token_files
 from lumenloom.llm.urlfilter import judge_urls
 from lumenloom.llm.vptree import nearest
@@ -71,3 +73,17 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     judged = quality.judge(docs, model)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: The production key comes from the caller; this one is for tables of invented text.
+DEMO_KEY = b"invented-text-only"
+
+
+def op5_pii(spark: SparkSession, sf_dir: str, key: bytes = DEMO_KEY) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    kinds = F.array_join(F.array_sort(F.array_distinct("pii.kind")), ",")
+    return pseudonymize(docs, key).select("doc_id", "text", F.coalesce(F.size("pii"), F.lit(0)).cast("long").alias("n_pii"), kinds.alias("kinds"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

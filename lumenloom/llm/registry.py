@@ -10,7 +10,9 @@ QUERIES = {
     "op2_vp_trees": q.op2_vp_trees,
     "op3_quality": q.op3_quality,
     "op4_token_files": q.op4_token_files,
+    "op5_pii": q.op5_pii,
     "op6_toxicity": q.op6_toxicity,
+    "op7_packing": q.op7_packing,
     "op8_byte_bpe": q.op8_byte_bpe,
     "op9_warc": q.op9_warc,
     "op10_url_filters": q.op10_url_filters,
