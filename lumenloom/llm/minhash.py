@@ -27,6 +27,10 @@ COORDINATES = 128
 ROWS_PER_BAND = 4
 #: Members of one block when a large bucket is compared in blocks.
 BLOCK = 256
+#: A pair is looked at if so many coordinates agree: at 75 % fewer do with a chance of about 3e-7.
+LEAST = 72
+#: Coordinates of the longer sketch that near documents get, and how many of them must agree, by the same chance.
+WIDE, WIDE_LEAST = 1024, 699
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -117,17 +121,22 @@ def sketch_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """rep and its full set of shingle hashes, for the reps in ``ids``."""
+    """rep, its full set of shingle hashes and a byte per coordinate of a longer sketch, for the reps in ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                sets = [shingle_hashes(x.as_py()).view(np.int64) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "shingles"])
+                sets = [shingle_hashes(x.as_py()) for x in part.column(1)]
+                wide = [mix(sketch(a, WIDE)).astype(np.uint8).tobytes() if len(a) else None for a in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([a.view(np.int64) for a in sets], pa.list_(pa.int64())), pa.array(wide, pa.binary())],
+                    names=["rep", "shingles", "wide"],
+                )
 
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    return texts.join(ids, "rep", "left_semi").mapInArrow(run, "rep long, shingles array<long>")
+    # The ids grow with the corpus, so both sides are shuffled at any size.
+    return texts.join(ids.hint("merge"), "rep", "left_semi").mapInArrow(run, "rep long, shingles array<long>, wide binary")
 
 
 def _agree(pairs: DataFrame, least: int) -> DataFrame:
@@ -143,11 +152,8 @@ def _agree(pairs: DataFrame, least: int) -> DataFrame:
     return pairs.select("a", "b", "a_bytes", "b_bytes").mapInPandas(run, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union, as edges u, v."""
-    pairs = materialize(pairs)
-    ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    sets = materialize(_shingle_sets(docs, ids, id_col, text_col))
     # b is the centre of many pairs: its set joins first, to the two ids alone.
     far = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("b_set")), "b")
     both = far.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("a_set")), "a")
@@ -160,46 +166,54 @@ def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, perc
     )
 
 
-def _compare_blocks(members: DataFrame, least: int) -> DataFrame:
-    """Pairs within a bucket that have different labels and sketches that agree.
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
 
-    members: key, rep, label, bytes and m, the bucket's size. A bucket of up to
-    BLOCK members is one cell; a larger one is dealt into blocks, and each pair
-    of blocks is a cell, so no task holds a whole bucket. Only pairs whose
-    sketches agree leave a cell.
+
+def _compare_blocks(members: DataFrame, percent: int, pairs: bool) -> DataFrame:
+    """What agrees within a bucket under different labels: pairs a, b, or only rep of either end.
+
+    members: key, rep, label, bytes, m (the bucket's size), n (the set's size)
+    and, for pairs, wide and c, a bound on how many of the set's shingles any
+    other member has. A bucket of up to BLOCK members is one cell; a larger one
+    is dealt into blocks, and each pair of blocks is a cell, so no task holds a
+    whole bucket. A pair is left out if too few coordinates agree, or if c of
+    either end is below the intersection that sets of these sizes need.
     """
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
+    more = ["wide", "c"] if pairs else []
     cells = (
-        members.withColumn("nb", blocks)
-        .withColumn("mine", mine)
+        members.withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
+        .withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select(
-            "key",
-            F.least("mine", "other").alias("i"),
-            F.greatest("mine", "other").alias("j"),
-            "mine",
-            "rep",
-            "label",
-            "bytes",
-        )
+        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "label", "bytes", "n", *more)
     )
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.frombuffer(b"".join(pdf.bytes), np.uint8).reshape(len(pdf), -1)
-        rep, label, mine = pdf.rep.to_numpy(), pdf.label.to_numpy(), pdf.mine.to_numpy()
+        rep, label, mine, n = (pdf[k].to_numpy() for k in ("rep", "label", "mine", "n"))
+        c = pdf.c.to_numpy() if pairs else n
+        y = np.frombuffer(b"".join(pdf.wide), np.uint8).reshape(len(pdf), -1) if pairs else None
         _, i, j = key
-        found = []
-        left = np.flatnonzero(mine == i)
-        right = np.flatnonzero(mine == j)
-        for k in left:
-            ok = right[(label[right] != label[k]) & ((rep[right] > rep[k]) if i == j else True)]
-            if len(ok):
-                ok = ok[(x[ok] == x[k]).sum(1) >= least]
-                found += [(max(rep[k], rep[o]), min(rep[k], rep[o])) for o in ok]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        found, right = [], np.flatnonzero(mine == j)
+        for k in np.flatnonzero(mine == i):
+            ok = right[(label[right] != label[k]) & ((rep[right] > rep[k]) | (i != j))]
+            ok = ok[(100 + percent) * np.minimum(c[ok], c[k]) >= percent * (n[ok] + n[k])]
+            ok = ok[(x[ok] == x[k]).sum(1) >= LEAST]
+            if pairs:
+                ok = ok[(y[ok] == y[k]).sum(1) >= WIDE_LEAST]
+            found += [(max(rep[k], rep[o]), min(rep[k], rep[o])) for o in ok]
+        if pairs:
+            return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        return pd.DataFrame({"rep": np.unique(np.array(found, np.int64).ravel())})
+
+    return cells.groupBy("key", "i", "j").applyInPandas(run, "a long, b long" if pairs else "rep long")
+
 
-    return cells.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+def _shared_shingles(sets: DataFrame) -> DataFrame:
+    """rep and c, how many of its shingles another of these sets has too."""
+    each = sets.select("rep", F.explode("shingles").alias("s"))
+    often = materialize(each.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s"))
+    return each.join(often, "s").groupBy("rep").agg(F.count(F.lit(1)).alias("c"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -211,8 +225,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies cost one row each. In each bucket of a band the member that shares
     most buckets over all is the centre; the others are checked against it on
     full sets. Buckets whose members are then still in several components are
-    compared in blocks by their sketches, and what agrees is checked on full
-    sets too. No bucket is capped.
+    compared in blocks by their sketches. Of what agrees there, the shingles
+    that no other such document has are counted, since they bound how much a
+    document can share with any other; the pairs that remain possible are
+    checked on full sets too. No bucket is capped.
 
     Null or blank texts have an empty set and are their own component. Rows
     with a null id keep n_shingles, with component_id null and kept false. Rows
@@ -225,7 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = materialize(
         some.withColumnRenamed("doc_id", "rep")
         .join(classes, ["rep", "digest"], "left_semi")
-        .select("rep", "bands", "bytes")
+        .select("rep", "n_shingles", "bands", "bytes")
         .dropDuplicates(["rep"])
     )
     keyed = reps.select("rep", F.explode("bands").alias("key"))
@@ -237,7 +253,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         weighed.groupBy("key").agg(F.max(F.struct("w", (-F.col("rep")).alias("less"))).alias("c")).select("key", (-F.col("c.less")).alias("centre"))
     )
     star = weighed.select("key", "rep").join(centre, "key").where("rep <> centre").select("rep", "centre").distinct()
-    least = COORDINATES // 2  # a pair at 75 % agrees less often than this with a chance under 1e-10
     low = reps.select("rep", "bytes")
 
     def with_bytes(pairs: DataFrame) -> DataFrame:
@@ -246,17 +261,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             low.select(F.col("rep").alias("a"), F.col("bytes").alias("a_bytes")), "a"
         )
 
-    star = materialize(star.select(F.col("rep").alias("a"), F.col("centre").alias("b")))
-    edges = _confirm(_agree(with_bytes(star), least), docs, id_col, text_col, percent)
-    first = materialize(connected_components(edges))
+    star = star.select(F.col("rep").alias("a"), F.col("centre").alias("b"))
+    star = materialize(_agree(with_bytes(star), LEAST))
+    sets = materialize(_shingle_sets(docs, _ends(star), id_col, text_col))
+    first = materialize(connected_components(_confirm(star, sets, percent)))
     label = F.coalesce(F.col("component"), F.col("rep"))
     labelled = materialize(
         shared.where("m > 2").join(first.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "m", label.alias("label"))
     )
     mixed = materialize(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"))
-    members = labelled.join(mixed, "key").join(low, "rep")
-    cross = _compare_blocks(members, least).distinct().join(star, ["a", "b"], "left_anti")
-    more = _confirm(cross, docs, id_col, text_col, percent)
+    members = labelled.join(mixed, "key").join(reps.select("rep", "bytes", F.col("n_shingles").alias("n")), "rep")
+    members = materialize(members)
+    near = materialize(_compare_blocks(members, percent, pairs=False).distinct())
+    missing = near.join(sets.select("rep"), "rep", "left_anti")
+    sets = materialize(sets.join(near, "rep", "left_semi").unionByName(_shingle_sets(docs, missing, id_col, text_col)))
+    again = members.join(_shared_shingles(sets), "rep").join(sets.select("rep", "wide"), "rep")
+    cross = materialize(_compare_blocks(again, percent, pairs=True).distinct())
+    more = _confirm(cross, sets, percent)
     final = connected_components(
         first.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more)
     ).withColumnRenamed("id", "rep")
