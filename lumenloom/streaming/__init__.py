@@ -1 +1 @@
-
+"""Streaming forms of the windowed and stateful operators."""
