@@ -31,7 +31,7 @@ def worst_state(df: DataFrame, group: list[str], state: str, ranks: Sequence[str
 def one_hot(df: DataFrame, state: str, states: Sequence[str], name: str = "hw.state", value: str = "value") -> DataFrame:
     """A row per known state for each row: 1 for its own, 0 for others."""
     rows = df.withColumn(name, F.explode(F.array(*map(F.lit, states))))
-    return rows.withColumn(value, F.coalesce(F.col(state) == F.col(name), F.lit(False)).cast("long"))
+    return rows.withColumn(value, F.coalesce(F.col(state) == F.col(f"`{name}`"), F.lit(False)).cast("long"))
 
 
 def rendered(template: str, attributes: Column) -> Column:

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenloom.plans import window_queries
+from lumenloom.plans import analytics, files, lines, metrics, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _module in (window_queries,):
+for _module in (metrics, records, lines, files, analytics):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -75,7 +75,7 @@ def flow_rows(flows: DataFrame, routers: DataFrame | None = None, loader: str =
     else:
         flows = flows.withColumn("_route", F.lit(None).cast("struct<account_id:string,region:string,sampling_rate:int,direction:string>"))
     valid = lambda ns: F.coalesce(ns.between(FIRST_NS, LAST_NS - 1), F.lit(False))
-    seconds = lambda ns: F.floor(ns / SECOND_NS)
+    seconds = lambda ns: F.call_function("div", ns, F.lit(SECOND_NS))
     fallback = F.col(received_ns).cast("long") if received_ns else F.lit(None).cast("long")
     received = F.when(valid(zero("flow.time_received")), n("flow.time_received")).otherwise(fallback)
     good = valid(zero("flow.start")) & valid(zero("flow.end"))

@@ -234,7 +234,7 @@ def route_streams(df: DataFrame, patterns: DataFrame, group_col: str = "log_grou
     weigh = lambda c: F.length(F.replace(c, F.lit("*"), F.lit("")))
     p = patterns.select(as_regex(F.col("group_pattern")).alias("_g"), as_regex(F.col("stream_pattern")).alias("_s"), "target", weigh(F.col("group_pattern")).alias("_wg"), weigh(F.col("stream_pattern")).alias("_ws"))
     pairs = df.select(group_col, stream_col).distinct()
-    fits = pairs.join(small(p), F.col(group_col).rlike(F.col("_g")) & F.col(stream_col).rlike(F.col("_s")))
+    fits = pairs.join(small(p), F.rlike(F.col(group_col), F.col("_g")) & F.rlike(F.col(stream_col), F.col("_s")))
     best = fits.groupBy(group_col, stream_col).agg(F.min(F.struct((-F.col("_wg")).alias("a"), (-F.col("_ws")).alias("b"), "target")).alias("_b"))
     best = best.select(F.col(group_col).alias("_gc"), F.col(stream_col).alias("_sc"), F.col("_b.target").alias("target"))
     return df.join(best, df[group_col].eqNullSafe(F.col("_gc")) & df[stream_col].eqNullSafe(F.col("_sc")), "left").drop("_gc", "_sc")

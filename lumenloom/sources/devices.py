@@ -166,7 +166,7 @@ def named(c: Column, names: dict[int, str]) -> Column:
 
 def folded(flows: DataFrame) -> DataFrame:
     """Version 9 flows count both directions: in and out bytes and packets are summed, up to 2^64 - 1; others keep their own."""
-    top = F.lit(U64).cast("decimal(20,0)")
+    top = F.lit(str(U64)).cast("decimal(20,0)")
 
     def total(name: str) -> Column:
         both = F.coalesce(F.col(f"in_{name}"), F.lit(0)).cast("decimal(21,0)") + F.coalesce(F.col(f"out_{name}"), F.lit(0)).cast("decimal(21,0)")
