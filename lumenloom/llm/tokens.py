@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,12 +25,17 @@ from pyspark.sql import types as T
 from lumenloom.llm.bitpack import PackedReader, PackedWriter
 from lumenloom.llm.common import materialize, shared_dir
 
-#: Pieces that a worker remembers before it starts afresh, and the longest that it remembers.
-MEMORY, LONGEST = 500_000, 48
-#: Characters of text that are encoded at a time.
-_AT_ONCE = 4_000_000
+#: Pieces of a generation that a worker remembers, and the longest that it remembers.
+MEMORY, LONGEST = 300_000, 48
+#: New pieces that are encoded as one run.
+_RUN = 2000
+#: Bytes of text that are encoded at a time.
+_AT_ONCE = 12_000_000
 _UNSAFE = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Texts that are not simply cut at each space.
+_ODD = rf" {_BLANK}|{_BLANK} |^ | $"
 
 
 def cut(text: str) -> list[str]:
@@ -86,34 +92,91 @@ def ranks_tokenizer(path: str, pattern: str):
 
 
 class PieceEncoder:
-    """Encodes texts to little-endian 32-bit ids, remembering the pieces seen before."""
+    """Encodes texts to little-endian 32-bit ids, remembering the pieces seen before.
+
+    New pieces are encoded together, one space before each: of the ids of such a
+    run those whose bytes begin with a space are where the pieces begin. Pieces
+    are held in two generations of MEMORY each; what is read again moves on.
+    """
 
     def __init__(self, tokenizer) -> None:
         self.tokenizer = tokenizer
-        self.after_space: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
+        self.begins[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        known = self.after_space
-        pieces = [cut(t) for t in texts]
-        new = set().union(*(p[1:] for p in pieces)).difference(known)
-        firsts = {p[0] for p in pieces}
-        new_list, first_list = list(new), list(firsts)
-        ids = self._encode([" " + p for p in new_list] + first_list)
-        known.update(zip(new_list, ids))
-        first = dict(zip(first_list, ids[len(new_list) :]))
-        out = [first[p[0]] + b"".join(map(known.__getitem__, p[1:])) for p in pieces]
+    def _encode_after_space(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece with a space before it."""
+        out: list[bytes] = []
+        runs = [pieces[i : i + _RUN] for i in range(0, len(pieces), _RUN)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" " + " ".join(r) for r in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            at = np.flatnonzero(self.begins[ids]) * 4
+            if len(at) == len(run) and not at[0]:
+                raw = ids.tobytes()
+                ends = [*at[1:].tolist(), len(raw)]
+                out += [raw[x:y] for x, y in zip(at.tolist(), ends)]
+            else:  # a piece with a space of its own
+                out += self._encode([" " + p for p in run])
+        return out
+
+    def _after_space(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, each with a space before it, from memory where they are known."""
+        known, old = self.young, self.old
+        new = set(pieces).difference(known)
+        for p in new & old.keys():
+            known[p] = old[p]
+        new_list = list(new - old.keys())
+        known.update(zip(new_list, self._encode_after_space(new_list)))
+        out = list(map(known.__getitem__, pieces))
+        for p in new_list:
+            if len(p) > LONGEST:
+                del known[p]
         if len(known) > MEMORY:
-            known.clear()
-        else:
-            for p in new_list:
-                if len(p) > LONGEST:
-                    del known[p]
+            self.old, self.young = known, {}
         return out
 
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        ids, ends = self.column(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends)]
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (null as empty) one after the other, and where each text's ids end.
+
+        Cutting and finding the distinct pieces are Arrow's work, so Python
+        handles each distinct piece of a batch once.
+        """
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        by_hand = [cut(t.as_py()) for t in texts.filter(pa.array(odd))]
+        values = pa.concat_arrays([split.flatten(), pa.array([p for c in by_hand for p in c], texts.type)])
+        counts = np.concatenate([np.diff(split.offsets.to_numpy()), np.array([len(c) for c in by_hand], np.int64)]).astype(np.int64)
+        coded = values.dictionary_encode()
+        at = coded.indices.to_numpy().astype(np.int64)
+        firsts = np.cumsum(counts) - counts
+        raw = self._after_space(coded.dictionary.to_pylist()) + self._encode(values.take(pa.array(firsts)).to_pylist())
+        at[firsts] = len(coded.dictionary) + np.arange(len(firsts))
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        table = np.frombuffer(b"".join(raw), "<u4")
+        n = lengths[at]
+        ends = np.cumsum(n)
+        ids = table[np.repeat((np.cumsum(lengths) - lengths)[at] - (ends - n), n) + np.arange(int(n.sum()))]
+        # Rows that were cut by hand come last so far.
+        stops = np.append(0, ends)[np.cumsum(counts)]
+        starts = np.append(0, stops[:-1])
+        order = np.empty(len(odd), np.int64)
+        order[np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])] = np.arange(len(odd))
+        if odd.any():
+            ids = np.concatenate([ids[starts[i] : stops[i]] for i in order])
+        return ids, np.cumsum((stops - starts)[order])
+
 
 @functools.cache
 def _encoder(make: Callable, *args: str) -> PieceEncoder:
@@ -126,17 +189,16 @@ def _table(make: Callable, *args: str) -> list[bytes]:
     return token_bytes(make(*args).get_vocab(with_added_tokens=True))
 
 
-def _few(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """Texts of a column, null as empty, a bounded number of characters at a time."""
-    first, some, size = 0, [], 0
-    for i, x in enumerate(column):
-        some.append(x.as_py() or "")
-        size += len(some[-1])
-        if size >= _AT_ONCE or len(some) == 1000:
-            yield first, some
-            first, some, size = i + 1, [], 0
-    if some:
-        yield first, some
+def _few(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of a column of texts and their first rows, a bounded number of bytes at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(column):
+        base = ends[first - 1] if first else 0
+        stop = max(first + 1, int(np.searchsorted(ends, base + _AT_ONCE, "right")))
+        stop = min(stop, first + 20_000)
+        yield first, column.slice(first, stop - first)
+        first = stop
 
 
 def encode(docs: DataFrame, make: Callable, *args: str, text_col: str = "text", offsets: bool = False) -> DataFrame:
@@ -159,13 +221,12 @@ def encode(docs: DataFrame, make: Callable, *args: str, text_col: str = "text",
         lengths = np.array([len(b) for b in _table(make, *args)], np.int64) if offsets else None
         for batch in batches:
             for first, texts in _few(batch.column(len(keep))):
-                raw = encoder(texts)
-                ends = np.cumsum([0] + [len(r) // 4 for r in raw]).astype(np.int32)
-                flat = np.frombuffer(b"".join(raw), "<i4")
+                flat, stops = encoder.column(texts)
+                ends = np.append(0, stops).astype(np.int32)
                 part = batch.slice(first, len(texts))
-                columns = [*part.columns[: len(keep)], pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32()))]
+                columns = [*part.columns[: len(keep)], pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int32), pa.int32()))]
                 if offsets:
-                    starts = [char_starts(t, flat[a:b], lengths) for t, a, b in zip(texts, ends[:-1], ends[1:])]
+                    starts = [char_starts(t.as_py() or "", flat[a:b], lengths) for t, a, b in zip(texts, ends[:-1], ends[1:])]
                     columns.append(pa.array(starts, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=fields.names)
 
@@ -238,14 +299,15 @@ def write_token_files(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, number, out = _encoder(make, *args), TaskContext.get().partitionId(), None
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         for batch in batches:
             for first, texts in _few(batch.column(1)):
                 if out is None:
                     out = PackedWriter(folder, f"tokens-{number:06d}", vocabulary)
                 ids = batch.column(0).slice(first, len(texts)).to_pylist()
-                for doc_id, raw in zip(ids, encoder(texts)):
-                    out.add(doc_id, np.frombuffer(raw + end, "<u4"))
+                flat, stops = encoder.column(texts)
+                for doc_id, a, b in zip(ids, [0, *stops[:-1].tolist()], stops.tolist()):
+                    out.add(doc_id, np.concatenate([flat[a:b], end]))
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict(
