@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lumenloom.llm.common import materialize
 
 #: Rows of a shard and of a leaf, regions at most, rows of the sample, queries of a block.
-SHARD, LEAF, REGIONS, SAMPLE, BLOCK = 8192, 96, 1024, 20_000, 1024
+SHARD, LEAF, REGIONS, SAMPLE, BLOCK = 8192, 512, 1024, 20_000, 1024
 RELAX = 5.0
 _SLACK = 1e-6
 
@@ -145,10 +145,13 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k:
         if n.vantage is None:
             score = q[rows] @ x[n.rows].T
             score[q_ids[rows][:, None] == ids[n.rows][None, :]] = -np.inf
-            some = np.flatnonzero(score.max(1) >= np.maximum(best[rows, -1], floor[rows] - 1e-9 * np.abs(floor[rows])))
-            rows, score = rows[some], score[some]
+            enough = score >= np.maximum(best[rows, -1], floor[rows] - 1e-9 * np.abs(floor[rows]))[:, None]
+            some, cols = np.flatnonzero(enough.any(1)), np.flatnonzero(enough.any(0))
+            if not len(some):
+                return
+            rows, score = rows[some], score[np.ix_(some, cols)]
             both = np.hstack([best[rows], score])
-            both_ids = np.hstack([best_ids[rows], np.broadcast_to(ids[n.rows], score.shape)])
+            both_ids = np.hstack([best_ids[rows], np.broadcast_to(ids[n.rows[cols]], score.shape)])
             order = np.lexsort((both_ids, -both), axis=1)[:, :k]
             best[rows], best_ids[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(both_ids, order, 1)
             return
