@@ -76,9 +76,10 @@ def _hinted(b: Branch, options: dict) -> Branch:
 
 def _again(df: DataFrame, branches: Sequence[Branch], options: dict) -> DataFrame:
     """The records that syslog has claimed, shaped by their inner text."""
-    held = df.withColumnRenamed("branch", "_outer").withColumn("_body", F.when(F.col("_outer") == "syslog", F.col("body")).otherwise(""))
+    hidden = ["message", "priority"]
+    held = df.withColumn("_hidden", maps.only(F.col("attributes"), hidden)).withColumnRenamed("branch", "_outer").withColumn("_body", F.when(F.col("_outer") == "syslog", F.col("body")).otherwise(""))
     # the attributes that only outer branches may claim by are hidden from the second pass
-    again = shaped(held.withColumn("attributes", F.when(F.col("_outer") == "syslog", maps.without(F.col("attributes"), ["message", "priority"])).otherwise(F.col("attributes"))), branches, {**options, "cisco_source": "_none"}, body="_body").drop("_branch")
+    again = shaped(held.withColumn("attributes", F.when(F.col("_outer") == "syslog", maps.without(F.col("attributes"), hidden)).otherwise(F.col("attributes"))), branches, {**options, "cisco_source": "_none"}, body="_body").drop("_branch")
     took = (F.col("_outer") == "syslog") & F.col("_shaped").isNotNull()
     s = lambda k: F.col(f"_shaped.{k}")
     rest = [c for c in df.columns if c not in ("branch", "body", "severity_number", "severity_text", "ts_us", "attributes", "resource", "scope_name")]
@@ -90,7 +91,7 @@ def _again(df: DataFrame, branches: Sequence[Branch], options: dict) -> DataFram
         number.alias("severity_number"),
         F.coalesce(levels.text(number), F.col("severity_text")).alias("severity_text"),
         F.when(took, s("ts_us")).otherwise(F.col("ts_us")).alias("ts_us"),
-        F.when(took, maps.merge(s("attributes"), F.col("attributes"))).otherwise(F.col("attributes")).alias("attributes"),
+        maps.merge(F.when(took, s("attributes")).otherwise(F.col("attributes")), F.col("_hidden")).alias("attributes"),
         F.when(took, s("resource")).otherwise(F.col("resource")).alias("resource"),
         F.when(took, s("scope_name")).otherwise(F.col("scope_name")).alias("scope_name"),
     )
