@@ -107,9 +107,10 @@ def reset_proof(df: DataFrame, series: list[str], at_us: str, tie: str, value: s
 def volume(df: DataFrame, series: list[str], at_us: str, tie: str, rate_kb: str, max_gap_us: int, name: str = "bytes", chunk_us: int = DAY_US) -> DataFrame:
     """Adds bytes carried so far at ``rate_kb`` KiB a second over the time since the point before; longer gaps than max_gap_us add nothing."""
     gap = F.col(at_us) - F.col("_t")
-    step = F.when((gap > 0) & (gap <= max_gap_us), F.col(rate_kb) * 1024 * gap / 1e6).otherwise(0.0)
+    # Whole rates are summed up as whole numbers, and divided once.
+    step = F.when((gap > 0) & (gap <= max_gap_us), F.col(rate_kb) * 1024 * gap).otherwise(0)
     out = previous(df, series, at_us, tie, {"_t": at_us}, chunk_us).withColumn("_step", step)
-    return running_sum(out, series, at_us, tie, "_step", name, chunk_us).drop("_t", "_step")
+    return running_sum(out, series, at_us, tie, "_step", name, chunk_us).withColumn(name, F.col(name) / 1e6).drop("_t", "_step")
 
 
 def capped(df: DataFrame, group: list[str], order: list[Column | str], most: int) -> DataFrame:

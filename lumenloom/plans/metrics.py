@@ -149,13 +149,13 @@ SELECT event_id, CAST(sum(CASE WHEN b IS NULL THEN 0 WHEN v >= b THEN v - b ELSE
 
 
 def rate_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = timeseries.volume(events(spark, sf_dir), ["event_type"], "at_us", "event_id", "cents", HOUR)
+    out = timeseries.volume(events(spark, sf_dir).withColumn("kb", F.col("cents") % 100), ["event_type"], "at_us", "event_id", "kb", HOUR)
     return out.select("event_id", F.round("bytes", 0).cast("long").alias("bytes"))
 
 
 RATE_VOLUME = f"""
 WITH l AS (SELECT event_id, event_type, at_us, cents, at_us - lag(at_us) OVER (PARTITION BY event_type ORDER BY at_us, event_id) AS gap FROM {EVENTS})
-SELECT event_id, CAST(round(sum(CASE WHEN gap > 0 AND gap <= {HOUR} THEN cents * 1024 * gap / 1e6 ELSE 0.0 END) OVER (PARTITION BY event_type ORDER BY at_us, event_id ROWS UNBOUNDED PRECEDING), 0) AS BIGINT) AS bytes FROM l
+SELECT event_id, CAST(round(CAST(sum(CASE WHEN gap > 0 AND gap <= {HOUR} THEN cents % 100 * 1024 * gap ELSE 0 END) OVER (PARTITION BY event_type ORDER BY at_us, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) / 1e6, 0) AS BIGINT) AS bytes FROM l
 """
 
 
