@@ -174,13 +174,15 @@ def _compare_blocks(members: DataFrame, percent: int, pairs: bool) -> DataFrame:
     """What agrees within a bucket under different labels: pairs a, b, or only rep of either end.
 
     members: key, rep, label, bytes, m (the bucket's size), n (the set's size)
-    and, for pairs, wide and c, a bound on how many of the set's shingles any
-    other member has. A bucket of up to BLOCK members is one cell; a larger one
+    and, for pairs, wide, bands and c, a bound on how many of the set's shingles
+    any other member has. A pair that shares several buckets is given by that of
+    its first common band alone: either the pair is compared there too, or that
+    bucket holds just the two, and the check against the centre has settled it. A bucket of up to BLOCK members is one cell; a larger one
     is dealt into blocks, and each pair of blocks is a cell, so no task holds a
     whole bucket. A pair is left out if too few coordinates agree, or if c of
     either end is below the intersection that sets of these sizes need.
     """
-    more = ["wide", "c"] if pairs else []
+    more = ["wide", "bands", "c"] if pairs else []
     cells = (
         members.withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
         .withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
@@ -193,7 +195,8 @@ def _compare_blocks(members: DataFrame, percent: int, pairs: bool) -> DataFrame:
         rep, label, mine, n = (pdf[k].to_numpy() for k in ("rep", "label", "mine", "n"))
         c = pdf.c.to_numpy() if pairs else n
         y = np.frombuffer(b"".join(pdf.wide), np.uint8).reshape(len(pdf), -1) if pairs else None
-        _, i, j = key
+        bands = np.frombuffer(b"".join(pdf.bands), ">i8").reshape(len(pdf), -1) if pairs else None
+        bucket, i, j = key
         found, right = [], np.flatnonzero(mine == j)
         for k in np.flatnonzero(mine == i):
             ok = right[(label[right] != label[k]) & ((rep[right] > rep[k]) | (i != j))]
@@ -201,6 +204,7 @@ def _compare_blocks(members: DataFrame, percent: int, pairs: bool) -> DataFrame:
             ok = ok[(x[ok] == x[k]).sum(1) >= LEAST]
             if pairs:
                 ok = ok[(y[ok] == y[k]).sum(1) >= WIDE_LEAST]
+                ok = ok[bands[k][(bands[ok] == bands[k]).argmax(1)] == bucket]
             found += [(max(rep[k], rep[o]), min(rep[k], rep[o])) for o in ok]
         if pairs:
             return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
@@ -270,8 +274,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         shared.where("m > 2").join(first.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "m", label.alias("label"))
     )
     mixed = materialize(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"))
-    members = labelled.join(mixed, "key").join(reps.select("rep", "bytes", F.col("n_shingles").alias("n")), "rep")
-    members = materialize(members)
+    members = labelled.join(mixed, "key").join(reps.select("rep", "bytes", "bands", F.col("n_shingles").alias("n")), "rep")
+    each = [F.unhex(F.lpad(F.hex(F.get("bands", F.lit(i))), 16, "0")) for i in range(COORDINATES // ROWS_PER_BAND)]
+    members = materialize(members.withColumn("bands", F.concat(*each)))
     near = materialize(_compare_blocks(members, percent, pairs=False).distinct())
     missing = near.join(sets.select("rep"), "rep", "left_anti")
     sets = materialize(sets.join(near, "rep", "left_semi").unionByName(_shingle_sets(docs, missing, id_col, text_col)))
