@@ -48,3 +48,10 @@ def one_line(text: Column, most: int | None = None) -> Column:
     """White space runs as one blank, cut at ``most`` characters."""
     out = F.trim(F.regexp_replace(text, r"\s+", " "))
     return out if most is None else F.left(out, F.lit(most))
+
+
+def array_text(values: Column, sep: str = "", as_bytes: bool = False) -> Column:
+    """The elements joined by ``sep``, or numbers of 0 to 255 as the text of these bytes; '' for an empty array."""
+    if as_bytes:
+        return F.decode(F.unhex(F.array_join(F.transform(values, lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")), "")), "UTF-8")
+    return F.array_join(F.transform(values, lambda x: x.cast("string")), sep)
