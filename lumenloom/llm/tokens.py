@@ -26,11 +26,11 @@ from lumenloom.llm.bitpack import PackedReader, PackedWriter
 from lumenloom.llm.common import materialize, shared_dir
 
 #: Pieces of a generation that a worker remembers, and the longest that it remembers.
-MEMORY, LONGEST = 300_000, 48
+MEMORY, LONGEST = 200_000, 48
 #: New pieces that are encoded as one run.
 _RUN = 2000
 #: Bytes of text that are encoded at a time.
-_AT_ONCE = 12_000_000
+_AT_ONCE = 4_000_000
 _UNSAFE = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -252,14 +252,24 @@ def decode(encoded: DataFrame, make: Callable, *args: str, ids_col: str = "token
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(make, *args)
+        flat = np.frombuffer(b"".join(table), np.uint8)
+        lengths = np.array([len(t) for t in table], np.int64)
+        starts = np.cumsum(lengths) - lengths
         for batch in batches:
-            ids = batch.column(keep.index(ids_col))
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
                 values = part.column(keep.index(ids_col))
-                out = [None if not x.is_valid else b"".join(map(table.__getitem__, x.values.to_pylist())) for x in values]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=fields.names)
-            del ids
+                counts = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False)
+                ids = values.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                if len(ids) and ids.min() < 0:
+                    raise IndexError(f"no such id: {ids.min()}")
+                n = lengths[ids]
+                ends = np.cumsum(n)
+                raw = flat[np.repeat(starts[ids] - (ends - n), n) + np.arange(int(n.sum()))]
+                offsets = np.append(0, np.append(0, ends)[np.cumsum(counts)]).astype(np.int32)
+                valid = values.is_valid().to_numpy(zero_copy_only=False)
+                out = pa.Array.from_buffers(pa.binary(), len(part), [pa.py_buffer(np.packbits(valid, bitorder="little").tobytes()), pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
+                yield pa.RecordBatch.from_arrays([*part.columns, out], names=fields.names)
 
     return encoded.select(*keep).mapInArrow(run, fields)
 
