@@ -209,8 +209,12 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.slope * value + self.shift, -500, 500)))
 
 
-def train(bags: list[set[str]], toxic: np.ndarray, fold: np.ndarray, rounds: int = 3) -> Machine:
-    """A machine from bags of units with document labels; bags with fold true set the curve alone."""
+def train(bags: list[set[str]], toxic: np.ndarray, fold: np.ndarray, rounds: int = 3, counts: dict[int, int] | None = None) -> Machine:
+    """A machine from bags of units with document labels; bags with fold true set the curve alone.
+
+    counts: documents of either label that the sample stands for, so that the
+    curve's probabilities are those of all documents and not of the sample.
+    """
     use = [(b, t) for b, t, f in zip(bags, toxic, fold) if not f]
     clean = Counter(w for b, t in use if not t for w in b)
     bad = Counter(w for b, t in use if t for w in b)
@@ -251,7 +255,10 @@ def train(bags: list[set[str]], toxic: np.ndarray, fold: np.ndarray, rounds: int
         labels = np.array([t for _, t in rows], float)
         if 0 < labels.sum() < len(labels):
             break
-    machine.slope, machine.shift = fit_curve(np.array([v for v, _ in rows]), labels)
+    share = np.ones(len(labels))
+    for t, n in (counts or {}).items():
+        share[labels == t] = n / max(1, int((toxic == t).sum()))
+    machine.slope, machine.shift = fit_curve(np.array([v for v, _ in rows]), labels, share / share.mean())
     return machine
 
 
@@ -283,7 +290,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, sample_doc
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
     rows = texts.mapInArrow(run, "doc_id long, words string").join(F.broadcast(chosen), "doc_id").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
     bags = [set(w.split()) for w in rows.words]
-    return train(bags, rows.toxic.to_numpy(), rows.fold.to_numpy())
+    counts = {int(r.toxic): r["count"] for r in marked.groupBy("toxic").count().collect()}  # two rows
+    return train(bags, rows.toxic.to_numpy(), rows.fold.to_numpy(), counts=counts)
 
 
 class _Scorer:
