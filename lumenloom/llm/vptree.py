@@ -24,7 +24,7 @@ from lumenloom.llm.common import materialize
 
 #: Rows of a shard and of a leaf, regions at most, rows of the sample, queries of a block.
 SHARD, LEAF, REGIONS, SAMPLE, BLOCK = 8192, 512, 1024, 20_000, 1024
-RELAX = 5.0
+RELAX = 2.0
 _SLACK = 1e-6
 
 
