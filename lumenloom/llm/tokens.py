@@ -31,6 +31,8 @@ MEMORY, LONGEST = 200_000, 48
 _RUN = 2000
 #: Bytes of text that are encoded at a time.
 _AT_ONCE = 4_000_000
+#: The same where files are written: a task has one Python worker there, and room for more.
+_FILE_MEMORY, _FILE_AT_ONCE = 300_000, 12_000_000
 _UNSAFE = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -99,8 +101,8 @@ class PieceEncoder:
     are held in two generations of MEMORY each; what is read again moves on.
     """
 
-    def __init__(self, tokenizer) -> None:
-        self.tokenizer = tokenizer
+    def __init__(self, tokenizer, memory: int = MEMORY) -> None:
+        self.tokenizer, self.memory = tokenizer, memory
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         vocabulary = tokenizer.get_vocab(with_added_tokens=True)
@@ -138,7 +140,7 @@ class PieceEncoder:
         for p in new_list:
             if len(p) > LONGEST:
                 del known[p]
-        if len(known) > MEMORY:
+        if len(known) > self.memory:
             self.old, self.young = known, {}
         return out
 
@@ -179,9 +181,9 @@ class PieceEncoder:
 
 
 @functools.cache
-def _encoder(make: Callable, *args: str) -> PieceEncoder:
+def _encoder(make: Callable, *args: str, memory: int = MEMORY) -> PieceEncoder:
     """One encoder per worker process and vocabulary."""
-    return PieceEncoder(make(*args))
+    return PieceEncoder(make(*args), memory)
 
 
 @functools.cache
@@ -189,13 +191,13 @@ def _table(make: Callable, *args: str) -> list[bytes]:
     return token_bytes(make(*args).get_vocab(with_added_tokens=True))
 
 
-def _few(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+def _few(column: pa.Array, at_once: int = _AT_ONCE) -> Iterator[tuple[int, pa.Array]]:
     """Slices of a column of texts and their first rows, a bounded number of bytes at a time."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
     first = 0
     while first < len(column):
         base = ends[first - 1] if first else 0
-        stop = max(first + 1, int(np.searchsorted(ends, base + _AT_ONCE, "right")))
+        stop = max(first + 1, int(np.searchsorted(ends, base + at_once, "right")))
         stop = min(stop, first + 20_000)
         yield first, column.slice(first, stop - first)
         first = stop
@@ -308,10 +310,10 @@ def write_token_files(
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, number, out = _encoder(make, *args), TaskContext.get().partitionId(), None
+        encoder, number, out = _encoder(make, *args, memory=_FILE_MEMORY), TaskContext.get().partitionId(), None
         end = np.array([end_id], "<u4")
         for batch in batches:
-            for first, texts in _few(batch.column(1)):
+            for first, texts in _few(batch.column(1), _FILE_AT_ONCE):
                 if out is None:
                     out = PackedWriter(folder, f"tokens-{number:06d}", vocabulary)
                 ids = batch.column(0).slice(first, len(texts)).to_pylist()
