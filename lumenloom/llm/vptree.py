@@ -7,7 +7,8 @@ shards of a bounded size, and each shard has a tree of its own. A query first
 searches one shard of its region, which bounds its k-th distance, and then every
 shard of every region that the triangle inequality cannot exclude. The bound is
 divided by ``relax``: 1 excludes only what is proved to be farther, so the search
-is exact; larger values exclude more.
+is exact, as registered; larger values exclude more, and lose true neighbours where
+lengths spread, as most lifted vectors then lie close to the pole.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from lumenloom.llm.common import materialize
 
 #: Rows of a shard and of a leaf, regions at most, rows of the sample, queries of a block.
 SHARD, LEAF, REGIONS, SAMPLE, BLOCK = 8192, 512, 1024, 20_000, 1024
-RELAX = 2.0
+RELAX = 1.0
 _SLACK = 1e-6
 
 
