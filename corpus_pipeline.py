@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.llm import minhash, packing, pii, quality, toxicity
+from lumenloom.llm import minhash, pii, quality, toxicity
 from lumenloom.llm.common import materialize
-from lumenloom.llm.queries import DEMO_KEY
+from lumenloom.llm.queries import DEMO_KEY, pack_tokens
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,8 +46,8 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of each document: where it stands in which training sequence."""
-    return packing.pack_documents(docs)
+    """A row for each piece of each document: where its token ids stand in which training sequence."""
+    return pack_tokens(docs)
 
 
 STAGES = [

@@ -1,7 +1,7 @@
 """Sequences of several permitted lengths, packed by best fit.
 
-A document becomes one item of as many positions as it has words plus one for
-its end; one that is longer than the longest sequence is cut into pieces. A
+A document becomes one item of as many positions as it has token ids plus one for
+its end id; one that is longer than the longest sequence is cut into pieces. A
 piece goes into the open sequence that it leaves the least room in. If there is
 none, a new one is opened of the length that costs least for what is still to
 come; at last each sequence shrinks to the shortest permitted length that holds
@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenloom.llm import tokens
 from lumenloom.llm.common import materialize
 
 #: Permitted lengths, overhead of a sequence, pieces that are packed together.
@@ -102,6 +103,14 @@ def best_fit(items: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhea
     )
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """best_fit() of whole documents, each with its words and an end mark."""
-    return best_fit(word_counts(docs, id_col, text_col).select("doc_id", (F.col("n_words") + 1).alias("length")), **how)
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: tuple | None = None, **how) -> DataFrame:
+    """best_fit() of whole documents, each with its token ids and an end id.
+
+    tokenizer: what tokens.encode() takes to make one, as a tuple. Without it
+    positions are words and an end mark, which only estimates token sequences.
+    """
+    if tokenizer is None:
+        items = word_counts(docs, id_col, text_col).select("doc_id", (F.col("n_words") + 1).alias("length"))
+    else:
+        items = tokens.count(docs, *tokenizer, id_col=id_col, text_col=text_col).select("doc_id", (F.col("n_tokens") + 1).alias("length"))
+    return best_fit(items, **how)

@@ -85,5 +85,10 @@ def op5_pii(spark: SparkSession, sf_dir: str, key: bytes = DEMO_KEY) -> DataFram
     return pseudonymize(docs, key).select("doc_id", "text", F.coalesce(F.size("pii"), F.lit(0)).cast("long").alias("n_pii"), kinds.alias("kinds"))
 
 
+def pack_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
+    """Documents packed by the ids that op4_token_files writes for them, their end ids among them."""
+    return pack_documents(docs, tokenizer=(library_tokenizer, public_tokenizers.path(vocabulary)))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))

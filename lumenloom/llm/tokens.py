@@ -148,11 +148,11 @@ class PieceEncoder:
         ids, ends = self.column(pa.array(texts, pa.string()))
         return [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends)]
 
-    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts (null as empty) one after the other, and where each text's ids end.
+    def _coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list, list[bytes]]:
+        """Which texts are cut by hand; of those that are not and then those that are, the number of pieces of each.
 
-        Cutting and finding the distinct pieces are Arrow's work, so Python
-        handles each distinct piece of a batch once.
+        Then the place of each piece in what follows: what is known of the
+        distinct pieces after a space, and the ids of each text's first piece.
         """
         texts = pc.fill_null(texts, "")
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
@@ -163,8 +163,18 @@ class PieceEncoder:
         coded = values.dictionary_encode()
         at = coded.indices.to_numpy().astype(np.int64)
         firsts = np.cumsum(counts) - counts
-        raw = self._after_space(coded.dictionary.to_pylist()) + self._encode(values.take(pa.array(firsts)).to_pylist())
+        first_ids = self._encode(values.take(pa.array(firsts)).to_pylist())
         at[firsts] = len(coded.dictionary) + np.arange(len(firsts))
+        return odd, counts, at, self._after_space(coded.dictionary.to_pylist()), first_ids
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (null as empty) one after the other, and where each text's ids end.
+
+        Cutting and finding the distinct pieces are Arrow's work, so Python
+        handles each distinct piece of a batch once.
+        """
+        odd, counts, at, spaced, firsts = self._coded(texts)
+        raw = spaced + firsts
         lengths = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
         table = np.frombuffer(b"".join(raw), "<u4")
         n = lengths[at]
@@ -180,12 +190,32 @@ class PieceEncoder:
         return ids, np.cumsum((stops - starts)[order])
 
 
+class PieceCounter(PieceEncoder):
+    """Counts the ids of texts; of each piece it remembers only how many it has."""
+
+    def _encode_after_space(self, pieces: list[str]) -> list[int]:
+        return [len(b) // 4 for b in super()._encode_after_space(pieces)]
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """How many ids each text has, null as empty."""
+        odd, pieces, at, spaced, firsts = self._coded(texts)
+        ends = np.append(0, np.cumsum(np.array(spaced + [len(b) // 4 for b in firsts], np.int64)[at]))[np.cumsum(pieces)]
+        out = np.empty(len(odd), np.int64)
+        out[np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])] = np.diff(ends, prepend=0)
+        return out
+
+
 @functools.cache
 def _encoder(make: Callable, *args: str, memory: int = MEMORY) -> PieceEncoder:
     """One encoder per worker process and vocabulary."""
     return PieceEncoder(make(*args), memory)
 
 
+@functools.cache
+def _counter(make: Callable, *args: str) -> PieceCounter:
+    return PieceCounter(make(*args))
+
+
 @functools.cache
 def _table(make: Callable, *args: str) -> list[bytes]:
     return token_bytes(make(*args).get_vocab(with_added_tokens=True))
@@ -235,6 +265,19 @@ def encode(docs: DataFrame, make: Callable, *args: str, text_col: str = "text",
     return source.mapInArrow(run, fields)
 
 
+def count(docs: DataFrame, make: Callable, *args: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and n_tokens, the number of ids that encode() gives for the whole text, of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _counter(make, *args)
+        for batch in batches:
+            for first, texts in _few(batch.column(1)):
+                n = pa.array(counter.counts(texts), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), n], names=["doc_id", "n_tokens"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
+
+
 def char_starts(text: str, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The place of the character that holds each token's first byte."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)

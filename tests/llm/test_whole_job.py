@@ -5,7 +5,10 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+import corpus_pipeline
+from lumenloom.llm import queries as Q
 from lumenloom.llm import vptree as V
+from tests.llm.helpers import awkward, documents
 
 
 @pytest.mark.parametrize("sigma", [0.0, 0.2, 0.4])
@@ -26,3 +29,25 @@ def test_all_true_neighbours_over_a_spread_of_norms(spark, tmp_path, sigma):
     mine = got.groupby("query_id").vec_id.agg(set)
     recall = np.mean([len(mine.get(q * every, set()) & set(t.tolist())) / k for q, t in enumerate(true)])
     assert recall == 1.0
+
+
+def packed(rows) -> dict:
+    total, used = {}, {}
+    for r in rows:
+        total[r.doc_id] = total.get(r.doc_id, 0) + r.length
+        used[r.sequence] = used.get(r.sequence, 0) + r.length
+    assert all(used[r.sequence] <= r.capacity for r in rows)
+    return total
+
+
+def test_packing_counts_the_ids_of_token_files(spark, tmp_path):
+    """Positions are token ids and an end id, also of texts without spaces."""
+    texts = [*awkward(), (20, "\u4e2d\u6587" * 9000), (21, " two  blanks "), (22, "na\u00efve \u4e2d\u6587 don't 12345")]
+    docs = documents(spark, texts)
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    true = {}
+    for r in Q.op4_token_files(spark, str(tmp_path)).collect():
+        true[r.doc_id] = true.get(r.doc_id, 0) + r.n_tokens
+    assert true[11] > 100 and true[20] > 8192
+    assert packed(Q.op7_packing(spark, str(tmp_path)).collect()) == true
+    assert packed(corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()) == true
