@@ -32,8 +32,8 @@ DECAY = 0.6
 #: Longest string that is one unit; longer words give overlapping windows.
 UNIT = 24
 _CODES = 32
-#: Bounds of the training sample: documents of either label, their letters, and landmarks of either kind.
-SAMPLE_DOCS, SAMPLE_CHARS, LANDMARKS = 1200, 20_000, 64
+#: Bounds of the training sample: documents of either label, and landmarks of either kind.
+SAMPLE_DOCS, LANDMARKS = 1200, 64
 _NEGATIVES = 12_000
 _MEMORY = 1_000_000
 _EDGE = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum())
@@ -272,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, sample_doc
 
     Rows whose crc32(id) mod 4 is ``held_out`` are never used. Repeated label
     rows of one id count as toxic if one of them does. Of a sampled document
-    the distinct words are used, up to SAMPLE_CHARS characters of them.
+    all distinct words are used.
     """
     marked = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if held_out is not None:
@@ -283,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, sample_doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [" ".join(sorted(units(x.as_py())))[:SAMPLE_CHARS] for x in batch.column(1)]
+            found = [" ".join(sorted(units(x.as_py()))) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["doc_id", "words"])
 
     # The sample has a fixed bound, so the table of chosen ids may be broadcast.

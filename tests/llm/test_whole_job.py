@@ -1,5 +1,7 @@
 """The corpus operators on what small and tidy tables do not show."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -7,8 +9,9 @@ import pytest
 
 import corpus_pipeline
 from lumenloom.llm import queries as Q
+from lumenloom.llm import toxicity as T
 from lumenloom.llm import vptree as V
-from tests.llm.helpers import awkward, documents
+from tests.llm.helpers import awkward, documents, words
 
 
 @pytest.mark.parametrize("sigma", [0.0, 0.2, 0.4])
@@ -51,3 +54,15 @@ def test_packing_counts_the_ids_of_token_files(spark, tmp_path):
     assert true[11] > 100 and true[20] > 8192
     assert packed(Q.op7_packing(spark, str(tmp_path)).collect()) == true
     assert packed(corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()) == true
+
+
+def test_long_toxic_documents_are_learned_whole(spark):
+    """Insults late in the alphabet, in documents with over 20,000 characters of other distinct words."""
+    rng = random.Random(5)
+    common = sorted(set(words(rng, 9000)))
+    assert len(" ".join(common)) > 40_000
+    texts = {i: " ".join(rng.sample(common, 6000) + ["worthless"] * (i % 2)) for i in range(80)}
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, toxic int")
+    machine = T.fit(documents(spark, texts), labels, held_out=None)
+    new = documents(spark, {1: "abc worthless dig", 2: "abc wor-thless dig", 3: " ".join(common[:50])})
+    assert {r.doc_id: r.predicted for r in T.score(new, machine).collect()} == {1: 1, 2: 1, 3: 0}
