@@ -225,8 +225,8 @@ def normalized_load(points: DataFrame, cpus: int | str) -> DataFrame:
 def process_lifetime(points: DataFrame, resource: list[str], at_us: str = "at_us") -> DataFrame:
     """Adds points per process: processor time over its age, and bytes of each direction over its age.
 
-    One aggregate per resource and direction; processes without an age above 0,
-    or which have such points already, get none.
+    One aggregate per resource, joined to its points of disk.io; processes
+    without an age above 0, or which have such points already, get none.
     """
     m = F.col("metric")
     cumulative = (F.col("kind") == "sum") & (F.col("temporality") == "cumulative")
@@ -236,10 +236,14 @@ def process_lifetime(points: DataFrame, resource: list[str], at_us: str = "at_us
         F.max(F.when((m == "process.cpu.time") & cumulative, F.col(at_us))).alias("_at"),
         F.max(m == "process.cpu.lifetime.ratio").alias("_has_cpu"),
         F.max(m == "process.disk.lifetime.rate").alias("_has_io"),
-        F.collect_list(F.when((m == "process.disk.io") & cumulative, F.struct(F.col("direction"), F.col("value"), F.col(at_us).alias("at")))).alias("_io"),
     ).where("_age > 0")
     null = F.lit(None).cast("string")
     cpu = per.where("_cpu IS NOT NULL AND NOT _has_cpu").select(*resource, F.lit("process.cpu.lifetime.ratio").alias("metric"), null.alias("direction"), (F.col("_cpu") / F.col("_age")).alias("value"), F.col("_at").alias(at_us))
-    io = per.where("NOT _has_io").withColumn("_x", F.explode("_io")).select(*resource, F.lit("process.disk.lifetime.rate").alias("metric"), F.col("_x.direction").alias("direction"), (F.col("_x.value") / F.col("_age")).alias("value"), F.col("_x.at").alias(at_us))
+    cond = F.lit(True)
+    for c in resource:
+        cond = cond & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    ages = per.where("NOT _has_io").select(*resource, "_age")
+    joined = points.where((m == "process.disk.io") & cumulative).alias("l").join(ages.alias("r"), cond).select("l.*", "r._age")
+    io = joined.select(*resource, F.lit("process.disk.lifetime.rate").alias("metric"), "direction", (F.col("value") / F.col("_age")).alias("value"), at_us)
     more = cpu.unionByName(io).withColumns({"kind": F.lit("gauge"), "temporality": null})
     return points.unionByName(more, allowMissingColumns=True)

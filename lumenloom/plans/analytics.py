@@ -35,9 +35,12 @@ INVENTORY = f"SELECT user_id::VARCHAR AS host, count(*) AS modules, CAST(sum(CAS
 
 
 def steady(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points at which the value has stayed at or above 500 for the 12 hours before, per user; by a range window."""
-    w = Window.partitionBy("user_id").orderBy("at_us").rangeBetween(-12 * 3_600_000_000, 0)
-    e = events(spark, sf_dir).withColumn("least", F.min("cents").over(w))
+    """Points at which the value has stayed at or above 500 for the 12 hours before, per user; by a range window over each day and the 12 hours before it."""
+    back = DAY // 2
+    w = Window.partitionBy("user_id", "day").orderBy("at_us").rangeBetween(-back, 0)
+    later = F.when(F.pmod("at_us", F.lit(DAY)) >= DAY - back, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    e = events(spark, sf_dir).withColumn("later", F.explode(later)).withColumn("day", F.floor(F.col("at_us") / DAY) + F.col("later"))
+    e = e.withColumn("least", F.min("cents").over(w)).where("later = 0")
     return e.where("least >= 500").select("event_id", "user_id", "least")
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenloom.plans.common import DAY, EVENTS, events, table
 from lumenloom.sources import aws, cloud, devices
 
 HOUR = DAY // 24
+#: Rows of one file at most, also of a user or nation that has most of them.
+_FILE = 1000
 _S = "at_us // 1000000 * 1000000"
 _MS = "at_us // 1000 * 1000"
 _ISO = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\")"
@@ -18,6 +20,11 @@ def _lines(spark: SparkSession, sf_dir: str, expr: str, *keep: str) -> DataFrame
     return events(spark, sf_dir).select(*keep, F.expr(expr).alias("value"))
 
 
+def _file_of(key: str) -> Column:
+    """A bounded number of rows with one ``key``, a whole number, belong to one file."""
+    return F.floor(F.col(key) / _FILE).alias("file")
+
+
 def vpc_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["version", "account-id", "interface-id", "srcaddr", "dstaddr", "pkt-srcaddr", "srcport", "dstport", "protocol", "packets", "bytes", "start", "end", "action", "log-status", "flow-direction"]
     line = "concat_ws(' ', '5', user_id, concat('eni-', event_id), '10.0.0.1', '10.0.0.2', if(event_id % 2 = 0, '-', '10.0.0.9'), '443', event_id, if(event_id % 3 = 0, '6', '99'), '-', cast(value * 100 as bigint), at_us div 1000000, at_us div 1000000 + 60, 'ACCEPT', 'OK', if(event_id % 5 = 0, 'ingress', 'egress'))"
@@ -81,9 +88,9 @@ UNION ALL SELECT 'f' || event_id, 'tcp', NULL, NULL, event_id, user_id, {_S} FRO
 
 
 def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subscription documents of one user and day each, exploded and routed by group and stream."""
+    """Subscription documents of one user and day each, several if there are many events, exploded and routed by group and stream."""
     one = "concat('{\"id\":\"', event_id, '\",\"timestamp\":', at_us div 1000, ',\"message\":\"m ', event_type, '\"', if(event_id % 2 = 0, ',\"extractedFields\":{\"@aws.account\":\"42\"}', ''), '}')"
-    docs = events(spark, sf_dir).groupBy("user_id", F.floor(F.col("at_us") / DAY).alias("d")).agg(F.array_join(F.collect_list(F.expr(one)), ",").alias("x"))
+    docs = events(spark, sf_dir).groupBy("user_id", F.floor(F.col("at_us") / DAY).alias("d"), _file_of("event_id")).agg(F.array_join(F.collect_list(F.expr(one)), ",").alias("x"))
     head = F.when(F.col("user_id") % 9 == 0, "CONTROL_MESSAGE").otherwise("DATA_MESSAGE")
     docs = docs.select(F.concat(F.lit('{"messageType":"'), head, F.lit('","owner":"o'), F.col("user_id"), F.lit('","logGroup":"/aws/g'), F.col("user_id") % 4, F.lit('","logStream":"s'), F.col("user_id"), F.lit('","logEvents":['), F.col("x"), F.lit("]}")).alias("value"))
     patterns = spark.createDataFrame([("*", "*", "any"), ("/aws/g1", "*", "one"), ("/aws/*", "s2*", "two"), ("/aws/g*", "*", "g")], "group_pattern string, stream_pattern string, target string").where("target <> 'any' OR group_pattern = '*'")
@@ -103,9 +110,9 @@ def openvpn(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = F.col("f") % 2 == 0
     row = F.when(new, F.concat_ws(",", F.lit("CLIENT_LIST"), "name", "addr", F.lit("v"), F.col("c_custkey").cast("string"), F.lit("7"), F.lit("2026-01-01"), F.lit("1"), F.lit("UNDEF"))).otherwise(F.concat_ws(",", "name", "addr", F.col("c_custkey").cast("string"), F.lit("7"), F.lit("2026-01-01")))
     route = F.when(new, F.concat_ws(",", F.lit("ROUTING_TABLE"), F.concat(F.lit("r"), "c_custkey"), "name", "addr", F.lit("t"))).otherwise(F.concat_ws(",", F.concat(F.lit("r"), "c_custkey"), "name", "addr", F.lit("t")))
-    g = c.groupBy("f").agg(F.array_join(F.collect_list(row), "\n").alias("rows"), F.array_join(F.collect_list(route), "\n").alias("routes"))
+    g = c.groupBy("f", _file_of("c_custkey")).agg(F.array_join(F.collect_list(row), "\n").alias("rows"), F.array_join(F.collect_list(route), "\n").alias("routes"))
     text = F.when(new, F.concat(F.lit("TITLE,V\nTIME,2026,1\nHEADER,CLIENT_LIST,x\n"), "rows", F.lit("\n"), "routes", F.lit("\nEND"))).otherwise(F.concat(F.lit("OpenVPN CLIENT LIST\nUpdated,2026\nCommon Name,x\n"), "rows", F.lit("\nROUTING TABLE\nVirtual Address,x\n"), "routes", F.lit("\nGLOBAL STATS\nq,0\n"), F.when(F.col("f") % 5 == 0, "cut").otherwise("END")))
-    rows = devices.openvpn_rows(g.select(F.col("f").cast("string").alias("path"), text.alias("value")))
+    rows = devices.openvpn_rows(g.select(F.concat_ws("-", "f", "file").alias("path"), text.alias("value")))
     clients = rows.where("kind = 'client'").drop("virtual_address").withColumn("virtual_address", F.lit(None).cast("string"))
     joined = devices.openvpn_routes(clients, rows.where("kind = 'route'"))
     totals = devices.openvpn_totals(joined).select("name", "address", "bytes_received", "bytes_sent", "sessions")
@@ -131,10 +138,10 @@ FROM {EVENTS}, (VALUES ('avg10'), ('avg60'), ('avg300'), ('total')) s(stat) WHER
 
 
 def pool_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Newest closed group of tables with a row per event of a user, and sums of named figures."""
+    """Newest closed group of a user's tables with a row per event, and sums of named figures."""
     row = "concat(event_id, ' 1 ', if(event_id % 3 = 0, 'O', 'C'), '  ', event_id * 2, ' ', event_id * 3, ' ', event_id * 4)"
-    t = events(spark, sf_dir).groupBy("user_id").agg(F.concat(F.lit("12 1 0x01\ntxg  birth state ndirty nwritten stime\n"), F.array_join(F.collect_list(F.expr(row)), "\n")).alias("value"))
-    k = events(spark, sf_dir).groupBy("user_id").agg(F.concat(F.lit("head\nname type data\n"), F.array_join(F.collect_list(F.concat(F.lit("hits  4 "), "event_id")), "\n"), F.lit("\nbad line")).alias("value"))
+    t = events(spark, sf_dir).groupBy("user_id", _file_of("event_id")).agg(F.concat(F.lit("12 1 0x01\ntxg  birth state ndirty nwritten stime\n"), F.array_join(F.collect_list(F.expr(row)), "\n")).alias("value"))
+    k = events(spark, sf_dir).groupBy("user_id", _file_of("event_id")).agg(F.concat(F.lit("head\nname type data\n"), F.array_join(F.collect_list(F.concat(F.lit("hits  4 "), "event_id")), "\n"), F.lit("\nbad line")).alias("value"))
     sums = devices.kstat_table(k, ["user_id"]).groupBy("user_id", "name").agg(F.sum("value").cast("long").alias("total")).select("user_id", "total")
     return devices.newest_txg(t, ["user_id"]).join(sums, "user_id", "left")
 
@@ -146,7 +153,7 @@ FROM {EVENTS} GROUP BY 1 HAVING txg IS NOT NULL
 
 
 def picked_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("event_type", F.lit("_"), "event_id"), "cents"))).alias("counters"))
+    e = events(spark, sf_dir).groupBy("user_id", _file_of("event_id")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat("event_type", F.lit("_"), "event_id"), "cents"))).alias("counters"))
     return devices.picked_statistics(e, ["user_id"], [("^view_", "v"), ("_[0-9]*1$", "one")], 5)
 
 
