@@ -8,11 +8,16 @@ from pyarrow import fs
 
 
 def _at(path: str) -> tuple[fs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
-        if path.startswith("file:/") and not path.startswith("file://"):
-            path = "file://" + path[len("file:") :]
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path
+    """The file system of a path and the path there; paths come from common.qualified() and have a scheme.
+
+    Hadoop's names for stores that Arrow calls otherwise are turned into those.
+    """
+    scheme, _, rest = path.partition(":")
+    if not rest:
+        raise ValueError(f"a path without a scheme lies elsewhere for Spark than for a task: {path}")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{rest}")
 
 
 def create(folder: str, stem: str, suffix: str) -> tuple[str, object]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from lumenloom.llm.common import materialize
+from lumenloom.llm.common import Scratch, materialize
 from lumenloom.llm.graph import connected_components
 
 SHINGLE = 5
@@ -87,16 +87,16 @@ def band_keys(s: np.ndarray, rows: int = ROWS_PER_BAND) -> np.ndarray:
     return key.view(np.int64)
 
 
-_SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>, bytes binary"
+_SKETCH = "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, bytes binary"
 
 
 def sketch_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, digest of the set, band keys and one byte per coordinate; nulls for empty sets."""
+    """doc_id, text_hash, n_shingles, digest of the set, band keys and one byte per coordinate; nulls for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, digest, bands, low = [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 a = shingle_hashes(text.as_py())
                 n.append(len(a))
                 if len(a):
@@ -109,19 +109,28 @@ def sketch_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array(n, pa.int64()),
                     pa.array(digest, pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())),
                     pa.array(low, pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "digest", "bands", "bytes"],
+                names=["doc_id", "text_hash", "n_shingles", "digest", "bands", "bytes"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _SKETCH)
+    return _texts(docs, id_col, text_col).mapInArrow(run, _SKETCH)
 
 
-def _shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """rep, its full set of shingle hashes and a byte per coordinate of a longer sketch, for the reps in ``ids``."""
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_hash and text: an id may have several texts, which the hash tells apart."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+
+
+def _shingle_sets(docs: DataFrame, reps: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """rep, its full set of shingle hashes and a byte per coordinate of a longer sketch, for the reps in ``ids``.
+
+    Rows that repeat a rep's id and text give its set again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,9 +143,10 @@ def _shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -
                     names=["rep", "shingles", "wide"],
                 )
 
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+    wanted = reps.join(ids, "rep", "left_semi").select("doc_id", "text_hash", "rep")
     # The ids grow with the corpus, so both sides are shuffled at any size.
-    return texts.join(ids.hint("merge"), "rep", "left_semi").mapInArrow(run, "rep long, shingles array<long>, wide binary")
+    found = _texts(docs, id_col, text_col).join(wanted.hint("merge"), ["doc_id", "text_hash"])
+    return found.select("rep", "text").mapInArrow(run, "rep long, shingles array<long>, wide binary")
 
 
 def _agree(pairs: DataFrame, least: int) -> DataFrame:
@@ -213,13 +223,22 @@ def _compare_blocks(members: DataFrame, percent: int, pairs: bool) -> DataFrame:
     return cells.groupBy("key", "i", "j").applyInPandas(run, "a long, b long" if pairs else "rep long")
 
 
-def _shared_shingles(sets: DataFrame) -> DataFrame:
+def _shared_shingles(sets: DataFrame, tables: Scratch) -> DataFrame:
     """rep and c, how many of its shingles another of these sets has too."""
     each = sets.select("rep", F.explode("shingles").alias("s"))
-    often = materialize(each.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s"))
+    often = tables.write(each.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s"))
     return each.join(often, "s").groupBy("rep").agg(F.count(F.lit(1)).alias("c"))
 
 
+def _same_id(some: DataFrame, classes: DataFrame, tables: Scratch) -> DataFrame:
+    """Edges u, v between the classes of each id that has several; few, unless ids repeat."""
+    h = F.xxhash64("digest")
+    several = tables.write(some.groupBy("doc_id").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo < hi").select("doc_id"))
+    held = some.join(several, "doc_id").select("doc_id", "digest").distinct().join(classes.select("digest", "rep"), "digest")
+    held = tables.write(held.select("doc_id", "rep"))
+    return held.join(held.groupBy("doc_id").agg(F.min("rep").alias("v")), "doc_id").select(F.col("rep").alias("u"), "v")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
@@ -234,26 +253,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document can share with any other; the pairs that remain possible are
     checked on full sets too. No bucket is capped.
 
-    Null or blank texts have an empty set and are their own component. Rows
-    with a null id keep n_shingles, with component_id null and kept false. Rows
-    that repeat an id count as one vertex: they share a component. Other columns
-    of ``docs`` are ignored. An empty table gives an empty result.
+    Null or blank texts have an empty set and are linked with nothing. Rows with
+    a null id keep n_shingles, with component_id null and kept false. Rows that
+    repeat an id are one vertex, whatever their texts: a link of any of these is
+    one of the id. Other columns of ``docs`` are ignored. An empty table gives an
+    empty result.
     """
-    table = materialize(sketch_table(docs, id_col, text_col))
+    with Scratch(docs.sparkSession) as tables:
+        return materialize(_grouped(docs, id_col, text_col, percent, tables))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, tables: Scratch) -> DataFrame:
+    write = tables.write
+    table = write(sketch_table(docs, id_col, text_col))
     some = table.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = materialize(some.groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    reps = materialize(
-        some.withColumnRenamed("doc_id", "rep")
-        .join(classes, ["rep", "digest"], "left_semi")
-        .select("rep", "n_shingles", "bands", "bytes")
-        .dropDuplicates(["rep"])
-    )
+    # A class is a set of shingles. Its number is given as it is written, and is its vertex from there on.
+    classes = write(some.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("rep", F.monotonically_increasing_id()))
+    one = [F.first(c).alias(c) for c in ("doc_id", "text_hash", "n_shingles", "bands", "bytes")]
+    reps = write(some.join(classes, ["digest", "doc_id"]).groupBy("rep").agg(*one, F.count(F.lit(1)).alias("rows")))
+    repeated = reps.where("rows > 1").limit(1).count() > 0
+
+    def full_sets(ids: DataFrame) -> DataFrame:
+        found = _shingle_sets(docs, reps, ids, id_col, text_col)
+        return found.dropDuplicates(["rep"]) if repeated else found
+
     keyed = reps.select("rep", F.explode("bands").alias("key"))
-    sizes = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
-    shared = materialize(keyed.join(sizes, "key"))
+    sizes = write(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    shared = write(keyed.join(sizes, "key"))
     weight = shared.groupBy("rep").agg(F.sum("m").alias("w"))
-    weighed = materialize(shared.join(weight, "rep"))
-    centre = materialize(
+    weighed = write(shared.join(weight, "rep"))
+    centre = write(
         weighed.groupBy("key").agg(F.max(F.struct("w", (-F.col("rep")).alias("less"))).alias("c")).select("key", (-F.col("c.less")).alias("centre"))
     )
     star = weighed.select("key", "rep").join(centre, "key").where("rep <> centre").select("rep", "centre").distinct()
@@ -266,30 +295,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         )
 
     star = star.select(F.col("rep").alias("a"), F.col("centre").alias("b"))
-    star = materialize(_agree(with_bytes(star), LEAST))
-    sets = materialize(_shingle_sets(docs, _ends(star), id_col, text_col))
-    first = materialize(connected_components(_confirm(star, sets, percent)))
+    star = write(_agree(with_bytes(star), LEAST))
+    tables.drop(weighed, centre, sizes)
+    sets = write(full_sets(_ends(star)))
+    first = connected_components(_confirm(star, sets, percent), write)
     label = F.coalesce(F.col("component"), F.col("rep"))
-    labelled = materialize(
+    labelled = write(
         shared.where("m > 2").join(first.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "m", label.alias("label"))
     )
-    mixed = materialize(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"))
+    tables.drop(shared, star)
+    mixed = write(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"))
     members = labelled.join(mixed, "key").join(reps.select("rep", "bytes", "bands", F.col("n_shingles").alias("n")), "rep")
     each = [F.unhex(F.lpad(F.hex(F.get("bands", F.lit(i))), 16, "0")) for i in range(COORDINATES // ROWS_PER_BAND)]
-    members = materialize(members.withColumn("bands", F.concat(*each)))
-    near = materialize(_compare_blocks(members, percent, pairs=False).distinct())
+    members = write(members.withColumn("bands", F.concat(*each)))
+    tables.drop(labelled, mixed)
+    near = write(_compare_blocks(members, percent, pairs=False).distinct())
     missing = near.join(sets.select("rep"), "rep", "left_anti")
-    sets = materialize(sets.join(near, "rep", "left_semi").unionByName(_shingle_sets(docs, missing, id_col, text_col)))
-    again = members.join(_shared_shingles(sets), "rep").join(sets.select("rep", "wide"), "rep")
-    cross = materialize(_compare_blocks(again, percent, pairs=True).distinct())
+    less, sets = sets, write(sets.join(near, "rep", "left_semi").unionByName(full_sets(missing)))
+    tables.drop(less, near)
+    again = members.join(_shared_shingles(sets, tables), "rep").join(sets.select("rep", "wide"), "rep")
+    cross = write(_compare_blocks(again, percent, pairs=True).distinct())
     more = _confirm(cross, sets, percent)
-    final = connected_components(
-        first.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more)
-    ).withColumnRenamed("id", "rep")
-    named = materialize(
-        classes.join(final, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    )
+    edges = first.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more).unionByName(_same_id(some, classes, tables))
+    final = connected_components(edges, write).withColumnRenamed("id", "rep")
+    tables.drop(members, sets, cross, first)
+    # Classes of a component have the least id of any of them; a class without a link has its own.
+    linked = write(final.join(classes.select("rep", "doc_id"), "rep"))
+    least = write(linked.groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    linked = linked.join(least, "component").select("rep", "component_id")
+    named = write(classes.join(linked, "rep", "left").select("digest", F.coalesce("component_id", "doc_id").alias("component_id")))
     rows = table.select("doc_id", "n_shingles", "digest")
-    known = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").join(named, "digest").select("doc_id", "n_shingles", "component_id")
-    alone = rows.where("digest IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).alias("component_id"))
+    known = write(rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").join(named, "digest").select("doc_id", "n_shingles", "component_id"))
+    alone = rows.where("digest IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles")
+    # An empty row of an id that has other rows goes by theirs.
+    blank = alone.where("n_shingles = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    theirs = write(known.join(blank, "doc_id", "left_semi").select("doc_id", "component_id").distinct())
+    alone = alone.join(theirs, "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.coalesce("component_id", "doc_id")).alias("component_id"))
     return known.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

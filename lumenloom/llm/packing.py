@@ -11,19 +11,18 @@ what is in it. A sequence costs its length and a fixed overhead.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenloom.llm import tokens
-from lumenloom.llm.common import materialize
 
-#: Permitted lengths, overhead of a sequence, pieces that are packed together.
-CAPACITIES, OVERHEAD, GROUP = (512, 1024, 2048, 4096, 8192), 64, 10_000
+#: Permitted lengths, overhead of a sequence; pieces that are packed together, and ids of these, at most.
+CAPACITIES, OVERHEAD, GROUP, GROUP_IDS = (512, 1024, 2048, 4096, 8192), 64, 10_000, 4_000_000
 
 
 def opened(size: int, left: int, capacities: tuple[int, ...], overhead: int) -> int:
@@ -58,59 +57,82 @@ def pack(sizes: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead:
     return bins, places, np.array([final[b] for b in bins], np.int64)
 
 
-def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and n_words of each row; null texts have none."""
+#: What pack_documents() gives: a row for each sequence.
+SEQUENCES = "sequence long, capacity int, length int, ids binary, pieces array<struct<doc_id:long,piece:int,start:long,length:int,place:int>>"
+_PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("place", pa.int32())])
+
+
+class _Group:
+    """Pieces that are packed together, each with its ids."""
+
+    def __init__(self, top: int) -> None:
+        self.top, self.rows, self.ids, self.n_ids = top, [], [], 0
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        for piece, start in enumerate(range(0, len(ids), self.top)):
+            part = ids[start : start + self.top]
+            self.rows.append((doc_id, piece, start, len(part)))
+            self.ids.append(part)
+        self.n_ids += len(ids)
+
+    def sequences(self, first: int, capacities: tuple[int, ...], overhead: int) -> pa.RecordBatch:
+        """The group's sequences, numbered from ``first``."""
+        bins, places, final = pack(np.array([r[3] for r in self.rows], np.int64), capacities, overhead)
+        order = np.lexsort((places, bins))
+        edge = np.flatnonzero(np.diff(bins[order], prepend=-1))
+        whole = [b"".join(self.ids[i].astype("<u4").tobytes() for i in part) for part in np.split(order, edge[1:])]
+        held = [{"doc_id": d, "piece": p, "start": s, "length": n, "place": int(places[i])} for i in order for d, p, s, n in [self.rows[i]]]
+        pieces = pa.ListArray.from_arrays(pa.array([*edge, len(order)], pa.int32()), pa.array(held, _PIECE))
+        columns = [pa.array(first + np.arange(len(edge))), pa.array(final[order[edge]], pa.int32()), pa.array([len(w) // 4 for w in whole], pa.int32()), pa.array(whole, pa.binary()), pieces]
+        return pa.RecordBatch.from_arrays(columns, names=["sequence", "capacity", "length", "ids", "pieces"])
+
+
+def pack_documents(
+    docs: DataFrame,
+    make: Callable,
+    *args: str,
+    end_id: int = 0,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    capacities: tuple[int, ...] = CAPACITIES,
+    overhead: int = OVERHEAD,
+    group: int = GROUP,
+    group_ids: int = GROUP_IDS,
+) -> DataFrame:
+    """Training sequences of whole documents' token ids, each document with ``end_id`` behind it: see SEQUENCES.
+
+    make(*args) gives the tokenizer in each worker, as in tokens.encode(). One
+    pass without a shuffle: a task encodes its rows, packs them by groups of
+    about ``group`` pieces or ``group_ids`` ids, whichever is reached first, and
+    gives whole sequences. A group costs at most one partly filled sequence.
+    ``ids`` are little-endian unsigned 32-bit; in ``pieces``, by place, start
+    counts ids of the document and place those of the sequence. Null and empty
+    texts are an end id alone. Rows that repeat an id are packed each for itself;
+    other columns are ignored; an empty table gives no sequences.
+    """
+    capacities = tuple(sorted(capacities))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, end = tokens.worker_encoder(make, *args), np.array([end_id], "<u4")
+        number, held = TaskContext.get().partitionId() << 33, _Group(capacities[-1])
         for batch in batches:
-            n = [len((x.as_py() or "").encode("utf-8", "surrogatepass").split()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_words"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_words long")
-
-
-def best_fit(items: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, group: int = GROUP) -> DataFrame:
-    """doc_id, piece, start, length, sequence, place, capacity: a row for each piece of each row of ``items``.
-
-    items: doc_id and length (positions; rows with null or less than 1 are left
-    out). Pieces are dealt evenly over groups of about ``group`` of them, by
-    their place in a written table and not by a column, so that neither a
-    frequent id nor a frequent length gathers in one group; a group is packed by
-    one task, and costs at most one partly filled sequence. ``start`` counts
-    positions of the document, ``place`` those of the sequence. Rows that repeat
-    an id are packed each for itself.
-    """
-    capacities = tuple(sorted(capacities))
-    top = capacities[-1]
-    long = F.col("length").cast("long")
-    pieces = (
-        items.where(long >= 1)
-        .select("doc_id", long.alias("all"))
-        .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(all - 1) div {top}"))))
-        .select("doc_id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * top).alias("start"), F.least(F.lit(top), F.col("all") - F.col("piece") * top).alias("length"))
-    )
-    pieces = materialize(pieces)
-    groups = max(1, -(-pieces.count() // group))
-    dealt = pieces.withColumn("row", F.monotonically_increasing_id()).withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row")
-        bins, places, final = pack(pdf.length.to_numpy(np.int64), capacities, overhead)
-        return pdf[["doc_id", "piece", "start", "length"]].assign(sequence=(int(key[0]) << 32) + bins, place=places, capacity=final)
-
-    return dealt.groupBy("group").applyInPandas(
-        run, "doc_id long, piece int, start long, length long, sequence long, place long, capacity long"
-    )
-
-
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: tuple | None = None, **how) -> DataFrame:
-    """best_fit() of whole documents, each with its token ids and an end id.
-
-    tokenizer: what tokens.encode() takes to make one, as a tuple. Without it
-    positions are words and an end mark, which only estimates token sequences.
-    """
-    if tokenizer is None:
-        items = word_counts(docs, id_col, text_col).select("doc_id", (F.col("n_words") + 1).alias("length"))
-    else:
-        items = tokens.count(docs, *tokenizer, id_col=id_col, text_col=text_col).select("doc_id", (F.col("n_tokens") + 1).alias("length"))
-    return best_fit(items, **how)
+            for first, texts in tokens.slices(batch.column(1)):
+                flat, stops = encoder.column(texts)
+                ids = batch.column(0).slice(first, len(texts)).to_pylist()
+                for doc_id, a, b in zip(ids, [0, *stops[:-1].tolist()], stops.tolist()):
+                    held.add(doc_id, np.concatenate([flat[a:b], end]))
+                    if len(held.rows) >= group or held.n_ids >= group_ids:
+                        made = held.sequences(number, capacities, overhead)
+                        number, held = number + made.num_rows, _Group(capacities[-1])
+                        yield made
+        if held.rows:
+            yield held.sequences(number, capacities, overhead)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SEQUENCES)
+
+
+def pieces_of(packed: DataFrame) -> DataFrame:
+    """doc_id, piece, start, length, sequence, place, capacity and the crc32 of its ids, for each piece of each document."""
+    rows = packed.select("sequence", "capacity", "ids", F.explode("pieces").alias("p"))
+    ids = F.substr("ids", F.col("p.place") * 4 + 1, F.col("p.length") * 4)
+    return rows.select("p.doc_id", "p.piece", "p.start", F.col("p.length").cast("long").alias("length"), "sequence", F.col("p.place").cast("long").alias("place"), F.col("capacity").cast("long").alias("capacity"), F.crc32(ids).alias("ids_crc32"))

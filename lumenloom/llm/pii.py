@@ -2,14 +2,19 @@
 
 Numbers are validated where their kind allows it (check digits, ranges, a real
 calendar day) and then permuted by a keyed Feistel network within the values of
-that format, so the pseudonym is as valid as the original, equal values have
-equal pseudonyms in all documents, and the holder of the key can undo it.
+that format, so the pseudonym passes the same tests as the original, equal values
+have equal pseudonyms in all documents, and the holder of the key can undo it.
+An address stays in its special block (private, loopback, multicast, ...) or
+outside of all; a North American telephone number keeps valid area and exchange
+codes. Of other telephone numbers only the country code and the form stay.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import functools
+import ipaddress
+import math
 import re
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
@@ -28,7 +33,7 @@ class Feistel:
         self.key = key
 
     def _value(self, kind: str, r: int, x: int) -> int:
-        return int.from_bytes(blake2b(f"{kind}|{r}|{x}".encode(), key=self.key, digest_size=16).digest(), "big")
+        return int.from_bytes(blake2b(f"{kind}|{r}|{x}".encode(), key=self.key, digest_size=64).digest(), "big")
 
     def permute(self, kind: str, x: int, size: int, back: bool = False) -> int:
         """x's pseudonym, or with ``back`` the number whose pseudonym x is.
@@ -38,9 +43,7 @@ class Feistel:
         """
         if size < 2:
             return x
-        b = int(size**0.5)
-        while b * b < size:
-            b += 1
+        b = math.isqrt(size - 1) + 1
         a = -(-size // b)
         kind = f"{kind}|{size}"
         while True:
@@ -103,8 +106,14 @@ def _in_alphabet(f: Feistel, kind: str, text: str, alphabet: str, back: bool) ->
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 
+#: Characters that are permuted together; a longer value is cut into such parts.
+_PART = 64
+
+
 def _classes(f: Feistel, kind: str, text: str, back: bool) -> str:
     """Letters and digits permuted together, each place within its own class."""
+    if len(text) > _PART:
+        return "".join(_classes(f, f"{kind}{i}", text[i : i + _PART], back) for i in range(0, len(text), _PART))
     places = [next((a for a in (_LOWER, _UPPER, _DIGIT) if c in a), "") for c in text]
     x, size = 0, 1
     for c, a in zip(text, places):
@@ -130,10 +139,19 @@ def email(f: Feistel, s: str, back: bool = False) -> str | None:
 
 
 def secret(f: Feistel, s: str, back: bool = False) -> str | None:
+    """Keys that their first characters tell; these stay."""
     n = 4 if s[:4] in ("AKIA", "ASIA", "ghp_", "gho_", "ghs_") else 3 if s[:3] == "sk-" else 5
     return s[:n] + (_in_alphabet(f, "aws", s[n:], _UPPER + _DIGIT, back) if s[:4] in ("AKIA", "ASIA") else _classes(f, "secret", s[n:], back))
 
 
+def assigned(f: Feistel, s: str, back: bool = False) -> str | None:
+    """A quoted value that a name like token or password is set to; one of another kind has that kind's pseudonym."""
+    for kind, pattern in _ALONE.items():
+        if kind != "assigned" and pattern.fullmatch(s) and (new := _MAKE[kind](f, s, back)) is not None:
+            return new
+    return _classes(f, "assigned", s, back)
+
+
 def iban(f: Feistel, s: str, back: bool = False) -> str | None:
     compact = s.replace(" ", "")
     if not 15 <= len(compact) <= 34 or iban_rest(compact) != 1:
@@ -165,21 +183,57 @@ def ssn(f: Feistel, s: str, back: bool = False) -> str | None:
     return f"{area + (area >= 666):03d}{s[3]}{group + 1:02d}{s[6]}{serial + 1:04d}"
 
 
+def _american(f: Feistel, d: str, back: bool) -> str:
+    """Ten digits; neither area nor exchange begins with 0 or 1 in those that can be dialled, and both kinds keep to themselves."""
+    if d[0] > "1" and d[3] > "1":
+        x = ((int(d[0]) - 2) * 8 + int(d[3]) - 2) * 10**8 + int(d[1:3] + d[4:])
+        head, rest = divmod(f.permute("phone+1", x, 64 * 10**8, back), 10**8)
+        rest = f"{rest:08d}"
+        return f"{head // 8 + 2}{rest[:2]}{head % 8 + 2}{rest[2:]}"
+    while True:  # the numbers between are those of the other kind
+        d = _number(f, "phone-", d, back)
+        if not (d[0] > "1" and d[3] > "1"):
+            return d
+
+
 def phone(f: Feistel, s: str, back: bool = False) -> str | None:
     """The country code stays; the rest is permuted."""
     d = _digits(s)
     if not 10 <= len(d) <= 15:
         return None
-    head = re.match(r"\+[0-9]{1,3}(?=[ .(-])|\+1|", s)[0]
-    rest = s[len(head) :]
-    return head + _fill(rest, _number(f, f"phone{head}", _digits(rest), back), _is_digit)
+    head = re.match(r"\+[0-9]{1,3}(?=[ .(-])|\+1|1(?=[ .-])|", s)[0]
+    rest = _digits(s[len(head) :])
+    new = _american(f, rest, back) if head in ("", "1", "+1") and len(rest) == 10 else _number(f, f"phone{head}", rest, back)
+    return head + _fill(s[len(head) :], new, _is_digit)
+
+
+#: Blocks of addresses with a meaning of their own.
+BLOCKS = [
+    ipaddress.ip_network(b)
+    for b in (
+        "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24",
+        "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
+    )
+]
+
+
+def _block(x: int) -> tuple[int, int] | None:
+    """First address and size of the special block that x is in."""
+    return next(((int(b.network_address), b.num_addresses) for b in BLOCKS if ipaddress.IPv4Address(x) in b), None)
 
 
 def ip(f: Feistel, s: str, back: bool = False) -> str | None:
     parts = s.split(".")
     if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
         return None
-    x = f.permute("ip", int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32, back)
+    x = int.from_bytes(bytes(map(int, parts)), "big")
+    block = _block(x)
+    if block:
+        x = block[0] + f.permute(f"ip{block[0]}", x - block[0], block[1], back)
+    else:
+        x = f.permute("ip", x, 1 << 32, back)
+        while _block(x):
+            x = f.permute("ip", x, 1 << 32, back)
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
@@ -220,7 +274,8 @@ _N, _E = r"(?<![0-9A-Za-z_.+-])", r"(?![0-9A-Za-z_])"
 #: A named group per kind; earlier ones win at the same place.
 PARTS = {
     "email": r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-]))",
-    "secret": r"(?P<secret>(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pos]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|xox[bp]-[A-Za-z0-9-]{10,72})(?![0-9A-Za-z]))",
+    "secret": r"(?P<secret>(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pos]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[bp]-[A-Za-z0-9-]{10,})(?![0-9A-Za-z]))",
+    "assigned": r"(?i:(?<![A-Za-z])(?:token|secret|passwd|password|api[ _-]?key|access[ _-]?key)[\"']?[ \t]*[:=][ \t]*)(?P<q>[\"'])(?P<assigned>[^\"'\s]{8,})(?P=q)",
     "iban": r"(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z]))",
     "card": _N + r"(?P<card>[0-9]{13,19}|[0-9]{4}(?P<s0>[ -])[0-9]{4}(?P=s0)[0-9]{4}(?P=s0)[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?!\.?[0-9])" + _E,
     "ssn": _N + r"(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?!-?[0-9])" + _E,
@@ -236,8 +291,9 @@ KINDS = list(PARTS)
 PATTERN = re.compile("|".join(PARTS.values()))
 _ALONE = {k: re.compile(p) for k, p in PARTS.items()}
 _STEP = re.compile(r"[0-9A-Za-z]+|.", re.S)
-_MAKE = {"email": email, "secret": secret, "iban": iban, "card": card, "ssn": ssn, "phone": phone, "ip": ip, "date": date}
-_ANY = re.compile(r"[0-9@]")
+_MAKE = {"email": email, "secret": secret, "assigned": assigned, "iban": iban, "card": card, "ssn": ssn, "phone": phone, "ip": ip, "date": date}
+#: Every finding has one of these: a digit, an @, or the beginning of a key or of an assignment.
+_ANY = re.compile(r"[0-9@]|AKIA|ASIA|gh[pos]_|sk-|xox[bp]-|(?i:token|secret|passwd|password|key)[\"']?[ \t]*[:=]")
 
 
 def replace(text: str, feistel: Feistel, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
@@ -268,8 +324,6 @@ def replace(text: str, feistel: Feistel, back: bool = False) -> tuple[str, list[
     return "".join([*out, text[done:]]) if spans else text, spans
 
 
-
-
 def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", back: bool = False) -> DataFrame:
     """``docs`` with pseudonyms in ``text_col``, and ``pii``: kind, start and end of each value found.
 

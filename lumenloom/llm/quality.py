@@ -123,8 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
 
     Whole texts are read. Each label has the same weight in total: how rare
     poor texts are among the labelled says little about other corpora. Repeated
-    label rows of an id count as poor if one does. Without both labels there is
-    no model.
+    label rows of an id count as poor if one does; of several texts of an id the
+    least one is used. Without both labels there is no model.
     """
     marked = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     order = [F.xxhash64("doc_id", F.lit(3)), F.col("doc_id")]
@@ -143,8 +143,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
 
     # The sample has a fixed bound, so the table of chosen ids may be broadcast.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
     found = texts.mapInArrow(run, "doc_id long, at binary, value binary").join(F.broadcast(chosen), "doc_id")
-    rows = found.toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    rows = found.toPandas().sort_values("doc_id")
     y = rows.quality.to_numpy(float)
     if not 0 < y.sum() < len(y):
         return None
@@ -158,7 +159,7 @@ def judge(docs: DataFrame, model: Model | None, text_col: str = "text", keep_fro
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, quality_score and kept.
 
     A text is kept if the counts do not fail it and the model's probability of
-    good quality is at least ``keep_from``; without a model the counts decide.
+    good quality is at least ``keep_from``, so a tie is kept; without a model the counts decide.
     Null and empty texts have no words and fail. Whole texts are read. Columns
     named like a result are replaced.
     """

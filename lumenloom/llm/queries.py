@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenloom.llm import quality, toxicity
 from lumenloom.llm.minhash import near_duplicates
-from lumenloom.llm.packing import pack_documents
+from lumenloom.llm.packing import pack_documents, pieces_of
 from lumenloom.llm.pii import pseudonymize
 from lumenloom.llm.tokens import decode, encode, library_tokenizer, ranks_tokenizer, read_token_files, write_token_files
 from lumenloom.llm.urlfilter import judge_urls
@@ -86,8 +86,8 @@ def op5_pii(spark: SparkSession, sf_dir: str, key: bytes = DEMO_KEY) -> DataFram
 
 
 def pack_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
-    """Documents packed by the ids that op4_token_files writes for them, their end ids among them."""
-    return pack_documents(docs, tokenizer=(library_tokenizer, public_tokenizers.path(vocabulary)))
+    """Where the pieces of each document stand in training sequences of the ids that op4_token_files writes."""
+    return pieces_of(pack_documents(docs, library_tokenizer, public_tokenizers.path(vocabulary)))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

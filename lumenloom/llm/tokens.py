@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenloom.llm.bitpack import PackedReader, PackedWriter
-from lumenloom.llm.common import materialize, shared_dir
+from lumenloom.llm.common import materialize, qualified, shared_dir
 
 #: Pieces of a generation that a worker remembers, and the longest that it remembers.
 MEMORY, LONGEST = 200_000, 48
@@ -32,7 +32,9 @@ _RUN = 2000
 #: Bytes of text that are encoded at a time.
 _AT_ONCE = 4_000_000
 #: The same where files are written: a task has one Python worker there, and room for more.
-_FILE_MEMORY, _FILE_AT_ONCE = 300_000, 12_000_000
+_FILE_MEMORY, _FILE_AT_ONCE = 250_000, 8_000_000
+#: Bytes of a source (as its files hold it) that make one token file.
+FILE_BYTES = 128 << 20
 _UNSAFE = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -190,38 +192,18 @@ class PieceEncoder:
         return ids, np.cumsum((stops - starts)[order])
 
 
-class PieceCounter(PieceEncoder):
-    """Counts the ids of texts; of each piece it remembers only how many it has."""
-
-    def _encode_after_space(self, pieces: list[str]) -> list[int]:
-        return [len(b) // 4 for b in super()._encode_after_space(pieces)]
-
-    def counts(self, texts: pa.Array) -> np.ndarray:
-        """How many ids each text has, null as empty."""
-        odd, pieces, at, spaced, firsts = self._coded(texts)
-        ends = np.append(0, np.cumsum(np.array(spaced + [len(b) // 4 for b in firsts], np.int64)[at]))[np.cumsum(pieces)]
-        out = np.empty(len(odd), np.int64)
-        out[np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])] = np.diff(ends, prepend=0)
-        return out
-
-
 @functools.cache
-def _encoder(make: Callable, *args: str, memory: int = MEMORY) -> PieceEncoder:
+def worker_encoder(make: Callable, *args: str, memory: int = MEMORY) -> PieceEncoder:
     """One encoder per worker process and vocabulary."""
     return PieceEncoder(make(*args), memory)
 
 
-@functools.cache
-def _counter(make: Callable, *args: str) -> PieceCounter:
-    return PieceCounter(make(*args))
-
-
 @functools.cache
 def _table(make: Callable, *args: str) -> list[bytes]:
     return token_bytes(make(*args).get_vocab(with_added_tokens=True))
 
 
-def _few(column: pa.Array, at_once: int = _AT_ONCE) -> Iterator[tuple[int, pa.Array]]:
+def slices(column: pa.Array, at_once: int = _AT_ONCE) -> Iterator[tuple[int, pa.Array]]:
     """Slices of a column of texts and their first rows, a bounded number of bytes at a time."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
     first = 0
@@ -249,10 +231,10 @@ def encode(docs: DataFrame, make: Callable, *args: str, text_col: str = "text",
         fields = fields.add("token_starts", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(make, *args)
+        encoder = worker_encoder(make, *args)
         lengths = np.array([len(b) for b in _table(make, *args)], np.int64) if offsets else None
         for batch in batches:
-            for first, texts in _few(batch.column(len(keep))):
+            for first, texts in slices(batch.column(len(keep))):
                 flat, stops = encoder.column(texts)
                 ends = np.append(0, stops).astype(np.int32)
                 part = batch.slice(first, len(texts))
@@ -265,19 +247,6 @@ def encode(docs: DataFrame, make: Callable, *args: str, text_col: str = "text",
     return source.mapInArrow(run, fields)
 
 
-def count(docs: DataFrame, make: Callable, *args: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and n_tokens, the number of ids that encode() gives for the whole text, of each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(make, *args)
-        for batch in batches:
-            for first, texts in _few(batch.column(1)):
-                n = pa.array(counter.counts(texts), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), n], names=["doc_id", "n_tokens"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
-
-
 def char_starts(text: str, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The place of the character that holds each token's first byte."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
@@ -329,6 +298,14 @@ def decode_text(parts: Iterator[bytes]) -> Iterator[str]:
     yield d.decode(b"", True)
 
 
+def source_bytes(texts: DataFrame) -> int:
+    """The optimizer's estimate of the size of one column of text, or, where it knows none, the counted bytes."""
+    guess = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if guess < 1 << 60:
+        return guess
+    return texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0
+
+
 def write_token_files(
     docs: DataFrame,
     make: Callable,
@@ -346,17 +323,19 @@ def write_token_files(
     n_docs, n_tokens and start, the number of ids in all files before it.
     Documents are dealt by ranges of (id, hash of the text), so that one id can
     fill several files; rows without an id come first, rows of one id are in
-    order of the hash. Each id takes the bits that ``vocabulary`` needs.
+    order of the hash. Each id takes the bits that ``vocabulary`` needs. Without
+    ``files`` there is one for each FILE_BYTES of the source, and not fewer than
+    shuffle partitions.
     """
     spark = docs.sparkSession
-    folder = folder or shared_dir(spark)
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = qualified(spark, folder) if folder else shared_dir(spark)
+    files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-source_bytes(docs.select(text_col)) // FILE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, number, out = _encoder(make, *args, memory=_FILE_MEMORY), TaskContext.get().partitionId(), None
+        encoder, number, out = worker_encoder(make, *args, memory=_FILE_MEMORY), TaskContext.get().partitionId(), None
         end = np.array([end_id], "<u4")
         for batch in batches:
-            for first, texts in _few(batch.column(1), _FILE_AT_ONCE):
+            for first, texts in slices(batch.column(1), _FILE_AT_ONCE):
                 if out is None:
                     out = PackedWriter(folder, f"tokens-{number:06d}", vocabulary)
                 ids = batch.column(0).slice(first, len(texts)).to_pylist()

@@ -1,6 +1,9 @@
 """Toxic documents by a subsequence string kernel and a support vector machine.
 
-Two words are alike as far as they share subsequences of three characters, each
+What is compared are the words of a text, and windows over its sentences: two or
+three short words in a row, and any run of single characters, count joined as
+well, so that an insult that is split over several words is one string again.
+Two strings are alike as far as they share subsequences of three characters, each
 weighted by DECAY to the power of its span in either word, so that a word with
 characters put in between stays near the word it came from. Landmark words and
 the Nyström map turn the kernel into a few features, on which a linear machine
@@ -31,7 +34,10 @@ from pyspark.sql import functions as F
 DECAY = 0.6
 #: Longest string that is one unit; longer words give overlapping windows.
 UNIT = 24
-_CODES = 32
+#: Characters of each of two or three neighbouring words that count joined, at most.
+SHORT = 4
+#: 0 for marks and digits, 1 to 26 for a to z, the rest for all other letters by their code point: an alphabet's letters differ.
+_CODES = 64
 #: Bounds of the training sample: documents of either label, and landmarks of either kind.
 SAMPLE_DOCS, LANDMARKS = 1200, 64
 _NEGATIVES = 12_000
@@ -42,11 +48,23 @@ FLOOR = -0.6
 
 
 def pieces(text: str | None) -> set[str]:
-    """The distinct words of a whole text in lower case; three or more single characters in a row also count joined."""
+    """The distinct words of a whole text in lower case, and joined what may be an insult in parts.
+
+    Joined are three or more single characters in a row, and every two and three
+    neighbours of SHORT characters or fewer.
+    """
     words = (text or "").lower().split()
     found = set(words)
-    if len(words) > 2:
-        single = np.fromiter(map(len, words), np.int64, len(words)) == 1
+    if len(words) < 2:
+        return found
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    short = length <= SHORT
+    two = short[1:] & short[:-1]
+    if two.any():
+        pairs = list(map(str.__add__, words, words[1:]))
+        found.update(map(pairs.__getitem__, np.flatnonzero(two).tolist()))
+        found.update(pairs[i] + words[i + 2] for i in np.flatnonzero(two[1:] & two[:-1]).tolist())
+        single = length == 1
         if (single[2:] & single[1:-1] & single[:-2]).any():
             edge = np.flatnonzero(np.diff(np.r_[False, single, False].astype(np.int8)))
             found.update("".join(words[a:b]) for a, b in zip(edge[::2], edge[1::2]) if b - a > 2)
@@ -67,10 +85,10 @@ def units(text: str | None) -> set[str]:
 
 
 def codes(words: list[str], n: int) -> np.ndarray:
-    """A column of codes for each word of n characters: letters 1 to 26, other letters 27 to 31, marks and digits 0."""
+    """A column of codes for each word of n characters, see _CODES."""
     flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).T
     out = np.where((flat >= 97) & (flat <= 122), flat - 96, 0)
-    return np.ascontiguousarray(np.where(flat >= 170, 27 + flat % 5, out).astype(np.int32))
+    return np.ascontiguousarray(np.where(flat >= 170, 27 + flat % (_CODES - 27), out).astype(np.int32))
 
 
 @functools.cache
@@ -113,24 +131,55 @@ def _by_length(words: list[str], at_once: int) -> Iterator[tuple[int, list[int]]
         yield from ((n, where[i : i + step]) for i in range(0, len(where), step) if n > 2)
 
 
-def kernel(words: list[str], table: np.ndarray) -> np.ndarray:
-    """The normalised kernel of each word with each column of ``table``; words without a subsequence have 0.
-
-    table: one row per subsequence of three codes; row 0 is empty.
-    """
-    out = np.zeros((len(words), table.shape[1]))
+@dataclass
+class Columns:
+    """Weights of subsequences in columns; only those subsequences have rows that some column has."""
+
+    place: np.ndarray
+    rows: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[str]) -> Columns:
+        """The normalised subsequence weights of each word in a column."""
+        number, at, weight = [], [], []
+        for i, w in enumerate(words):
+            c = codes([w], len(w))
+            n, v = features(c)
+            number.append(n[:, 0])
+            weight.append(v / max(norms(c)[0], 1e-30))
+            at.append(np.full(len(v), i))
+        number = np.concatenate(number)
+        known, row = np.unique(number, return_inverse=True)
+        place = np.zeros(_CODES**3, np.int32)
+        place[known] = np.arange(1, len(known) + 1)
+        rows = np.zeros((len(known) + 1, len(words)), np.float32)
+        np.add.at(rows, (row + 1, np.concatenate(at)), np.concatenate(weight))
+        if place[0]:
+            rows[place[0]] = 0
+        return cls(place, rows)
+
+    def fold(self, by: np.ndarray) -> np.ndarray:
+        """One weight for every subsequence: the columns' weights times ``by``."""
+        table = np.zeros((_CODES**3, 1), np.float32)
+        table[self.place > 0, 0] = (self.rows @ by.astype(np.float32))[self.place[self.place > 0]]
+        return table
+
+
+def kernel(words: list[str], columns: Columns) -> np.ndarray:
+    """The normalised kernel of each word with each column; words without a subsequence have 0."""
+    out = np.zeros((len(words), columns.rows.shape[1]))
     for n, some in _by_length(words, 500_000):
         c = codes([words[x] for x in some], n)
         number, weight = features(c)
         norm = norms(c)
-        for x, r, size in zip(some, number.T, norm):
+        for x, r, size in zip(some, columns.place[number].T, norm):
             if size > 0:
-                out[x] = weight @ table[r] / size
+                out[x] = weight @ columns.rows[r] / size
     return out
 
 
 def sums(words: list[str], table: np.ndarray, bias: float) -> np.ndarray:
-    """kernel(words, table) + bias for a table of one column, FLOOR where it is less.
+    """The normalised kernel with a table of one weight for every subsequence, plus bias; FLOOR where it is less.
 
     A norm is at least that of the subsequences each for itself, which is quick
     to tell; the exact one is needed only for words that may be over FLOOR.
@@ -151,17 +200,6 @@ def sums(words: list[str], table: np.ndarray, bias: float) -> np.ndarray:
     return out
 
 
-def _columns(words: list[str]) -> np.ndarray:
-    """A table with the normalised subsequence weights of each word in a column."""
-    table = np.zeros((_CODES**3, len(words)), np.float32)
-    for at, w in enumerate(words):
-        c = codes([w], len(w))
-        number, weight = features(c)
-        np.add.at(table[:, at], number[:, 0], weight / max(norms(c)[0], 1e-30))
-    table[0] = 0
-    return table
-
-
 def fit_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, rounds: int = 30) -> np.ndarray:
     """A linear support vector machine with squared hinge loss, by Newton steps; the last entry is the bias."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -235,7 +273,7 @@ def train(bags: list[set[str]], toxic: np.ndarray, fold: np.ndarray, rounds: int
         marks = [*top, *[few[i] for i in pick.choice(len(few), min(len(few), LANDMARKS), replace=False) if len(few[i]) > 2]]
         if not marks:
             return Machine(np.zeros((_CODES**3, 1), np.float32), 0.0, 0.0, -20.0)
-        columns = _columns(marks)
+        columns = Columns.of(marks)
         size, turn = np.linalg.eigh(kernel(marks, columns))
         ok = size > 1e-6 * size.max()
         root = turn[:, ok] / np.sqrt(size[ok])  # Nyström: features are kernel values times this
@@ -244,7 +282,7 @@ def train(bags: list[set[str]], toxic: np.ndarray, fold: np.ndarray, rounds: int
         y = np.r_[np.ones(len(positives)), -np.ones(len(few))]
         weight = np.r_[np.full(len(positives), 1 / len(positives)), np.full(len(few), 1 / max(len(few), 1))]
         b = fit_machine(x, y, weight)
-        machine = Machine((columns @ (root @ b[:-1]))[:, None].astype(np.float32), float(b[-1]), 1.0, 0.0)
+        machine = Machine(columns.fold(root @ b[:-1]), float(b[-1]), 1.0, 0.0)
         every = sorted(set(clean) | set(bad))
         value = dict(zip(every, machine.values(every)))
         liked = {w: v + 10 - 5 * (clean[w] > 0) for w, v in value.items()}
@@ -272,7 +310,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, sample_doc
 
     Rows whose crc32(id) mod 4 is ``held_out`` are never used. Repeated label
     rows of one id count as toxic if one of them does. Of a sampled document
-    all distinct words are used.
+    all distinct words are used; of several texts of one id the least one is.
     """
     marked = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if held_out is not None:
@@ -288,7 +326,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, sample_doc
 
     # The sample has a fixed bound, so the table of chosen ids may be broadcast.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
-    rows = texts.mapInArrow(run, "doc_id long, words string").join(F.broadcast(chosen), "doc_id").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = texts.mapInArrow(run, "doc_id long, words string").join(F.broadcast(chosen), "doc_id").toPandas().sort_values("doc_id")
     bags = [set(w.split()) for w in rows.words]
     counts = {int(r.toxic): r["count"] for r in marked.groupBy("toxic").count().collect()}  # two rows
     return train(bags, rows.toxic.to_numpy(), rows.fold.to_numpy(), counts=counts)
@@ -322,7 +361,7 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", threshold:
     """
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     fields = docs.select(*keep).schema.add("score", "double")
-    shared = docs.sparkSession.sparkContext.broadcast(machine)  # 128 KB
+    shared = docs.sparkSession.sparkContext.broadcast(machine)  # 1 MB
     source = docs.select(*keep)
     at = keep.index(text_col)
 

@@ -4,6 +4,10 @@ Level 0 of a cascade encodes the listed keys. Level 1 encodes those keys of the
 corpus that level 0 passes although they are not listed, level 2 the listed ones
 that level 1 passes, and so on until nothing passes wrongly. As the levels are
 built against every key that the corpus can ask for, an answer is always right.
+
+Level 0 errs the less the more keys the corpus has, so that level 1 encodes about
+as many keys as level 0 does: a cascade's size goes with the list, and only with
+the logarithm of the corpus.
 """
 
 from __future__ import annotations
@@ -17,11 +21,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.llm.common import materialize
+from lumenloom.llm.common import Scratch
 
-#: Wrongly passed keys at level 0 and at the others, and the most bytes that a cascade may take.
-FIRST_RATE, OTHER_RATE, MOST_BYTES = 0.01, 0.5, 64 << 20
-_WORD_BITS = 64
+#: Share of wrongly passed keys at the levels after level 0, and at level 0 at most.
+OTHER_RATE, FIRST_RATE = 0.5, 0.01
+#: Words of a filter that come to the driver at a time.
+PART_WORDS = 1 << 20
 
 
 @dataclass
@@ -72,13 +77,11 @@ class Cascade:
         return sum(x.words.nbytes for x in self.levels)
 
 
-def _build_level(keys: DataFrame, n: int, level: int, rate: float) -> Level:
-    """One Bloom filter of the n keys: bits are gathered by words, so the driver sees no keys."""
+def _build_level(keys: DataFrame, n: int, level: int, rate: float, tables: Scratch) -> Level:
+    """One Bloom filter of the n keys: bits are gathered by words, PART_WORDS at a time, so the driver sees no keys."""
     bits = max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2))
     bits = (bits + 63) // 64 * 64
-    hashes = max(1, round(bits / n * math.log(2)))
-    if bits // 8 > MOST_BYTES:
-        raise ValueError(f"level {level} needs {bits // 8} bytes for {n} keys; the limit is {MOST_BYTES}")
+    hashes = max(1, round(-math.log2(rate)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -88,9 +91,12 @@ def _build_level(keys: DataFrame, n: int, level: int, rate: float) -> Level:
             word, one = (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
             yield pd.DataFrame({"word": word, "mask": one.view(np.int64)}).groupby("word", as_index=False).agg({"mask": np.bitwise_or.reduce})
 
-    filled = keys.mapInPandas(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    filled = tables.write(keys.mapInPandas(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")))
     words = np.zeros(bits // 64, np.uint64)
-    words[filled.word.to_numpy(np.int64)] = filled["mask"].to_numpy(np.int64).view(np.uint64)
+    for first in range(0, len(words), PART_WORDS):
+        part = filled.where(F.col("word").between(first, first + PART_WORDS - 1)).toPandas()
+        words[part.word.to_numpy(np.int64)] = part["mask"].to_numpy(np.int64).view(np.uint64)
+    tables.drop(filled)
     return Level(words, bits, hashes)
 
 
@@ -98,25 +104,29 @@ def build_cascade(listed: DataFrame, universe: DataFrame, most_levels: int = 60)
     """A cascade over ``universe`` (h1, h2 of each key), of the keys that are in ``listed`` too.
 
     Both are tables of distinct hash pairs and stay distributed; only filter
-    words reach the driver. If nothing is listed, nothing is a member.
+    words reach the driver. If nothing is listed, nothing is a member. Level 0
+    passes a share of listed over other keys, divided by the square root of 2,
+    but FIRST_RATE at most, so that neither level outgrows the other.
     """
-    inside = materialize(listed.join(universe, ["h1", "h2"], "left_semi"))
-    outside = universe.join(inside, ["h1", "h2"], "left_anti")
-    levels: list[Level] = []
-    encode, other = inside, outside
-    for n in range(most_levels):
-        count = encode.count()
-        if not count:
-            return Cascade(levels)
-        levels.append(_build_level(encode, count, n, OTHER_RATE if n else FIRST_RATE))
-        so_far = Cascade(list(levels))
-
-        def passing(batches: Iterator[pd.DataFrame], cascade: Cascade = so_far, n: int = n) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield pdf[cascade.depth(pdf.h1.to_numpy(np.int64), pdf.h2.to_numpy(np.int64)) == n + 1]
-
-        encode, other = materialize(other.mapInPandas(passing, "h1 long, h2 long")), encode
-    raise RuntimeError(f"the cascade did not end in {most_levels} levels")
+    with Scratch(universe.sparkSession) as tables:
+        inside = tables.write(listed.join(universe, ["h1", "h2"], "left_semi"))
+        encode, other = inside, universe.join(inside, ["h1", "h2"], "left_anti")
+        n_other = universe.count() - inside.count()
+        levels: list[Level] = []
+        for n in range(most_levels):
+            count = encode.count()
+            if not count:
+                return Cascade(levels)
+            rate = OTHER_RATE if n else min(FIRST_RATE, count / max(n_other, 1) * math.sqrt(0.5))
+            levels.append(_build_level(encode, count, n, rate, tables))
+            so_far = universe.sparkSession.sparkContext.broadcast(Cascade(list(levels)))
+
+            def passing(batches: Iterator[pd.DataFrame], n: int = n, so_far=so_far) -> Iterator[pd.DataFrame]:
+                for pdf in batches:
+                    yield pdf[so_far.value.depth(pdf.h1.to_numpy(np.int64), pdf.h2.to_numpy(np.int64)) == n + 1]
+
+            encode, other = tables.write(other.mapInPandas(passing, "h1 long, h2 long")), encode
+        raise RuntimeError(f"the cascade did not end in {most_levels} levels")
 
 
 def host_of(url: Column) -> Column:
@@ -157,16 +167,22 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str
     labels = sorted({len(h.split(".")) for _, h, _ in rules})
     lengths = sorted({len(p) for _, _, p in rules})
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    split = pages.select(*keep, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    # Columns of a made-up name stand apart from those of ``pages``, which are held in one struct meanwhile.
+    own = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None)
+    split = pages.select(own.alias("row"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    fields = [F.col("row")[c].alias(c) for c in keep]
     if not rules:
-        return split.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return split.select(*fields, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     candidates = _candidates(F.col("host"), F.col("path"), labels, lengths)
-    parts = split.select(F.explode(candidates).alias("key"))
-    universe = materialize(parts.select(*_hashes(F.col("key"))).distinct())
-    cascades = {}
-    for action in ("allow", "block"):
-        keys = pages.sparkSession.createDataFrame([(h + p,) for a, h, p in rules if a == action], "key string")
-        cascades[action] = build_cascade(keys.select(*_hashes(F.col("key"))), universe)
+    spark = pages.sparkSession
+    with Scratch(spark) as tables:
+        parts = split.select(F.explode(candidates).alias("key"))
+        universe = tables.write(parts.select(*_hashes(F.col("key"))).distinct())
+        cascades = {}
+        for action in ("allow", "block"):
+            keys = spark.createDataFrame([(h + p,) for a, h, p in rules if a == action], "key string")
+            cascades[action] = build_cascade(keys.select(*_hashes(F.col("key"))), universe)
+    shared = spark.sparkContext.broadcast(cascades)  # some 20 to 50 bits for each rule
 
     @F.pandas_udf("array<int>")
     def listed(h1: pd.Series, h2: pd.Series) -> pd.Series:
@@ -174,16 +190,13 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str
         n = h1.map(len).to_numpy()
         flat1 = np.concatenate([*h1, np.empty(0, np.int64)]).astype(np.int64)
         flat2 = np.concatenate([*h2, np.empty(0, np.int64)]).astype(np.int64)
-        found = cascades["allow"].has(flat1, flat2).astype(np.int32) - cascades["block"].has(flat1, flat2)
+        found = shared.value["allow"].has(flat1, flat2).astype(np.int32) - shared.value["block"].has(flat1, flat2)
         return pd.Series(np.split(found, np.cumsum(n)[:-1]))
 
-    keyed = split.withColumn("__keys", candidates)
-    marked = keyed.withColumn(
-        "__mark",
-        listed(F.transform("__keys", lambda k: F.xxhash64(k)), F.transform("__keys", lambda k: F.xxhash64(F.lit(1), k))),
-    )
-    hits = F.filter(F.arrays_zip("__keys", "__mark"), lambda x: x["__mark"] != 0)
-    longest = F.array_max(F.transform(hits, lambda x: F.struct(F.length(x["__keys"]).alias("n"), x["__keys"].alias("rule"), x["__mark"].alias("mark"))))
-    best = marked.withColumn("__best", longest)
-    verdict = F.when(F.col("__best.mark") > 0, F.lit("allow")).when(F.col("__best.mark") < 0, F.lit("block")).otherwise(F.lit(default))
-    return best.select(*keep, "host", "path", F.col("__best.rule").alias("rule"), verdict.alias("verdict"))
+    keyed = split.withColumn("keys", candidates)
+    marked = keyed.withColumn("mark", listed(F.transform("keys", lambda k: F.xxhash64(k)), F.transform("keys", lambda k: F.xxhash64(F.lit(1), k))))
+    hits = F.filter(F.arrays_zip("keys", "mark"), lambda x: x["mark"] != 0)
+    longest = F.array_max(F.transform(hits, lambda x: F.struct(F.length(x["keys"]).alias("n"), x["keys"].alias("rule"), x["mark"].alias("mark"))))
+    best = marked.withColumn("best", longest)
+    verdict = F.when(F.col("best.mark") > 0, F.lit("allow")).when(F.col("best.mark") < 0, F.lit("block")).otherwise(F.lit(default))
+    return best.select(*fields, "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))

@@ -2,10 +2,11 @@
 
 Vectors are scaled by the largest norm and lifted to the unit sphere by one more
 coordinate, so that a larger inner product is a smaller distance. A coarse tree,
-fitted on a bounded sample, deals all rows to regions; a region is dealt on to
-shards of a bounded size, and each shard has a tree of its own. A query first
-searches one shard of its region, which bounds its k-th distance, and then every
-shard of every region that the triangle inequality cannot exclude. The bound is
+fitted on a bounded sample, deals all rows to regions; a region of more rows than
+a shard has a tree of its own, fitted on a sample of its rows, whose leaves are
+its shards, and each shard has a tree over all of its rows. A query first
+searches one shard, which bounds its k-th distance, and then every shard that the
+triangle inequality cannot exclude in the trees of either level. The bound is
 divided by ``relax``: 1 excludes only what is proved to be farther, so the search
 is exact, as registered; larger values exclude more, and lose true neighbours where
 lengths spread, as most lifted vectors then lie close to the pole.
@@ -13,18 +14,22 @@ lengths spread, as most lifted vectors then lie close to the pole.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lumenloom.llm.common import materialize
+from lumenloom.llm.common import Scratch, materialize
 
 #: Rows of a shard and of a leaf, regions at most, rows of the sample, queries of a block.
 SHARD, LEAF, REGIONS, SAMPLE, BLOCK = 8192, 512, 1024, 20_000, 1024
+#: Rows of a region that its own tree is fitted on, and those of its rows or queries that one task places.
+PLACE, PLACED = 4096, 50_000
 RELAX = 1.0
 _SLACK = 1e-6
 
@@ -126,10 +131,14 @@ def aim(q: np.ndarray) -> np.ndarray:
     return np.hstack([q / np.linalg.norm(q, axis=1)[:, None], np.zeros((len(q), 1))])
 
 
-def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, floor: np.ndarray, largest: float, relax: float) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the k best rows for each query, ties to smaller ids; -1 where there are fewer.
+def search(
+    x: np.ndarray, ids: np.ndarray, alike: np.ndarray, q: np.ndarray, own: np.ndarray, has_own: np.ndarray, k: int, floor: np.ndarray, largest: float, relax: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the k best rows for each query, ties to smaller ids; the score is -inf where there are fewer.
 
-    floor: a score that the query's k-th neighbour has at least, as known before.
+    alike: a number that equal rows share, whose scores are computed once, so
+    that they tie to the last bit. own: an id that is no candidate, where has_own
+    is set. floor: a score that the query's k-th neighbour has at least, as known before.
     """
     tree = build(lift(x, largest), LEAF)
     aimed, length = aim(q), np.linalg.norm(q, axis=1) * largest
@@ -144,8 +153,9 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k:
         if not len(rows):
             return
         if n.vantage is None:
-            score = q[rows] @ x[n.rows].T
-            score[q_ids[rows][:, None] == ids[n.rows][None, :]] = -np.inf
+            _, one, back = np.unique(alike[n.rows], return_index=True, return_inverse=True)
+            score = (q[rows] @ x[n.rows[one]].T)[:, back]
+            score[has_own[rows][:, None] & (own[rows][:, None] == ids[n.rows][None, :])] = -np.inf
             enough = score >= np.maximum(best[rows, -1], floor[rows] - 1e-9 * np.abs(floor[rows]))[:, None]
             some, cols = np.flatnonzero(enough.any(1)), np.flatnonzero(enough.any(0))
             if not len(some):
@@ -159,13 +169,12 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k:
         d = np.linalg.norm(aimed[rows] - n.vantage, axis=1)
         closer = d <= n.near[1]
         for first in (True, False):
-            for part, span, own in ((n.inside, n.near, closer), (n.outside, n.far, ~closer)):
-                turn = own if first else ~own
+            for part, span, here in ((n.inside, n.near, closer), (n.outside, n.far, ~closer)):
+                turn = here if first else ~here
                 some, at = rows[turn], d[turn]
                 go(part, some[~excluded(at, span, bound(some), relax)])
 
     go(tree, np.arange(len(q)))
-    best_ids[~np.isfinite(best)] = -1
     return best_ids, best
 
 
@@ -179,6 +188,126 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
+def _usual_length(good: DataFrame) -> DataFrame:
+    """The rows whose vectors have the most frequent length, the larger one of equally frequent ones."""
+    sizes = good.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("rows"))
+    best = sizes.orderBy(F.desc("rows"), F.desc("n")).first()
+    return good.where(F.size("v") == best.n) if best else good
+
+
+class _Index:
+    """Rows placed in regions and shards, and the trees that tell which of these a query needs."""
+
+    def __init__(self, good: DataFrame, largest: float, total: int, shard_rows: int, sample_rows: int, regions: int, tables: Scratch) -> None:
+        spark = good.sparkSession
+        few = good.orderBy(F.xxhash64("id"), "id").limit(sample_rows) if total > sample_rows else good
+        sample = lift(_stack(few.toPandas().sort_values("id").v), largest)
+        tree = build(sample, max(len(sample) // regions, int(len(sample) * shard_rows / total), 8))
+        self.n_regions, self.largest, self.tables = number_leaves(tree), largest, tables
+        self.coarse = spark.sparkContext.broadcast(tree)  # ``regions`` vantage points at most
+        coarse = self.coarse
+
+        @F.pandas_udf("long")
+        def region(x: pd.Series) -> pd.Series:
+            return pd.Series(assign(coarse.value, lift(_stack(x), largest)) if len(x) else [], dtype="int64")
+
+        placed = tables.write(good.withColumn("region", region("v")))
+        # Counts per region: one small row for each.
+        self.n = np.zeros(self.n_regions, np.int64)
+        for r in placed.groupBy("region").agg(F.count(F.lit(1)).alias("n")).collect():
+            self.n[r.region] = r.n
+        self.shard_rows, self.large = shard_rows, np.flatnonzero(self.n > shard_rows)
+        self.trees = None
+        if len(self.large):
+            own = placed.where(self._is_large())
+            share = F.pmod(F.xxhash64("id", F.lit(3)), self._rows_of()) < PLACE
+            self.trees = tables.write(own.where(share).groupBy("region").applyInPandas(self._fit(), "region long, tree binary"))
+            split = self._place(own, lambda x: lift(x, largest), None)
+            self.rows = tables.write(placed.where(~self._is_large()).withColumn("sub", F.lit(0).cast("long")).unionByName(split))
+            tables.drop(placed)
+        else:
+            self.rows = placed.withColumn("sub", F.lit(0).cast("long"))
+        self.sizes = self.rows.groupBy("region", "sub").agg(F.count(F.lit(1)).alias("rows"))
+
+    def _is_large(self) -> Column:
+        return F.col("region").isin(self.large.tolist())
+
+    def _rows_of(self) -> Column:
+        """The rows of a row's region, one at least."""
+        return F.element_at(F.array(*[F.lit(max(1, int(x))) for x in self.n]), (F.col("region") + 1).cast("int"))
+
+    def _fit(self):
+        n, shard_rows, largest = self.n, self.shard_rows, self.largest
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            region = int(pdf.region.iloc[0])
+            x = lift(_stack(pdf.sort_values("id").v), largest)
+            tree = build(x, max(8, int(len(x) * shard_rows / n[region])))
+            number_leaves(tree)
+            return pd.DataFrame({"region": [region], "tree": [pickle.dumps(tree)]})
+
+        return run
+
+    def _place(self, df: DataFrame, as_unit, relax: float | None) -> DataFrame:
+        """df with sub, for rows of large regions: the leaf of each, or with ``relax`` a row for each leaf within ``bound``.
+
+        A region's rows are dealt over tasks of some PLACED rows each, every one with the region's tree.
+        """
+        slices = F.ceil(self._rows_of() / PLACED).cast("long")
+        dealt = df.withColumn("slice", F.pmod(F.xxhash64("id", F.lit(7)), slices))
+        copies = self.trees.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)))
+
+        def run(key: tuple, pdf: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+            if not len(pdf) or not len(tree):
+                return pdf.assign(sub=pd.Series([], dtype="int64"))[:0]
+            node, x = pickle.loads(tree.tree.iloc[0]), as_unit(_stack(pdf.v))
+            if relax is None:
+                return pdf.assign(sub=assign(node, x))
+            at, number = regions_of(node, x, pdf.bound.to_numpy(float), relax)
+            return pdf.iloc[at].assign(sub=number)
+
+        fields = T.StructType([*dealt.schema.fields, T.StructField("sub", T.LongType())])
+        return dealt.groupBy("region", "slice").cogroup(copies.groupBy("region", "slice")).applyInPandas(run, fields).drop("slice")
+
+    def _spread(self, df: DataFrame, relax: float | None) -> DataFrame:
+        """df, with region, and sub from its region's own tree, if it has one."""
+        whole = df.withColumn("sub", F.lit(0).cast("long"))
+        if self.trees is None:
+            return whole
+        df = self.tables.write(df)
+        whole = df.where(~self._is_large()).withColumn("sub", F.lit(0).cast("long"))
+        return whole.unionByName(self._place(df.where(self._is_large()), aim, relax))
+
+    def home(self, queries: DataFrame) -> DataFrame:
+        """Queries with the one shard in which they would lie."""
+        coarse = self.coarse
+
+        @F.pandas_udf("long")
+        def region(x: pd.Series) -> pd.Series:
+            return pd.Series(assign(coarse.value, aim(_stack(x))) if len(x) else [], dtype="int64")
+
+        return self._spread(queries.withColumn("region", region("v")), None)
+
+    def near(self, queries: DataFrame, relax: float) -> DataFrame:
+        """A row for each query (id, own, has_own, v, floor) and each shard that its floor does not exclude."""
+        coarse, n, largest = self.coarse, self.n, self.largest
+
+        def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                q, floor = _stack(pdf.v), pdf.floor.to_numpy(float)
+                scale = np.linalg.norm(q, axis=1) * largest
+                bound = np.where(np.isfinite(floor), np.sqrt(np.maximum(0, 2 - 2 * floor / scale)), np.inf)
+                at, number = regions_of(coarse.value, aim(q), bound, relax)
+                some = n[number] > 0
+                at, number = at[some], number[some]
+                yield pdf.iloc[at].assign(region=number, bound=bound[at])
+
+        sent = queries.select("id", "own", "has_own", "v", "floor").mapInPandas(route, "id long, own long, has_own boolean, v array<double>, floor double, region long, bound double")
+        return self._spread(sent, relax).drop("bound")
+
+
 def nearest(
     rows: DataFrame,
     k: int = 20,
@@ -188,95 +317,84 @@ def nearest(
     vector_col: str = "embedding",
     shard_rows: int = SHARD,
     sample_rows: int = SAMPLE,
+    regions: int = REGIONS,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: up to k neighbours of the rows whose id is a multiple of ``every``.
 
     score is the inner product in double precision; candidates are all rows but
     those with the query's own id; ties go to smaller ids. Vectors that are
-    null, empty, zero or hold a null or non-finite component, and rows without
-    an id, take no part. All other vectors must have one length. Rows that
-    repeat an id and vector are one. A query with fewer candidates has them all
-    if relax is 1. Other columns are ignored; an empty table gives no rows.
+    null, empty, zero or hold a null or non-finite component, rows without an
+    id, and vectors of another length than the most frequent one take no part.
+    Rows that repeat an id and vector are one. A query with fewer candidates has
+    them all if relax is 1. Other columns are ignored; an empty table gives no
+    rows.
+
+    How many shards a query is sent to goes by how far the data cluster: where
+    the k-th neighbour is about as far as any row, as in high dimensions without
+    clusters, nothing can be excluded and an exact search compares all pairs.
     """
     spark = rows.sparkSession
     v = F.col(vector_col).cast("array<double>")
     good = rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"))).distinct()
-    good = materialize(good)
-    total, top, width = good.agg(F.count(F.lit(1)), F.max(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e)), F.max(F.size("v"))).first()
-    result = "query_id long, rank int, vec_id long, score double"
-    if not total:
-        return spark.createDataFrame([], result)
-    largest = float(np.sqrt(top)) * (1 + 1e-12)
-    few = good.orderBy(F.xxhash64("id"), "id").limit(sample_rows) if total > sample_rows else good
-    sample = lift(_stack(few.toPandas().sort_values("id").v), largest)
-    tree = build(sample, max(len(sample) // REGIONS, int(len(sample) * shard_rows / total), 8))
-    n_regions = number_leaves(tree)
-    coarse = spark.sparkContext.broadcast(tree)  # REGIONS vantage points at most
-
-    @F.pandas_udf("long")
-    def region(x: pd.Series) -> pd.Series:
-        return pd.Series(assign(coarse.value, lift(_stack(x), largest)) if len(x) else [], dtype="int64")
-
-    @F.pandas_udf("long")
-    def home(x: pd.Series) -> pd.Series:
-        return pd.Series(assign(coarse.value, aim(_stack(x))) if len(x) else [], dtype="int64")
-
-    placed = materialize(good.withColumn("region", region("v")))
-    # Counts per region: REGIONS small rows at most.
-    per_region = {r.region: r.n for r in placed.groupBy("region").agg(F.count(F.lit(1)).alias("n")).collect()}
-    shards = np.zeros(n_regions, np.int64)
-    for r, n in per_region.items():
-        shards[r] = -(-n // shard_rows)
-    queries = placed.where(F.pmod(F.col("id"), F.lit(every)) == 0).select("id", "v")
-
-    def array(x: np.ndarray) -> Column:
-        return F.array(*[F.lit(int(i)) for i in x])
-
-    def look(sent: DataFrame) -> DataFrame:
-        """sent: query id, v, floor, region, sub; the best rows of each shard for each query."""
-        sent = materialize(sent)
-        # Queries per shard: a row for each of a bounded number of regions times their shards.
-        counted = sent.groupBy("region", "sub").agg(F.count(F.lit(1)).alias("q"))
-        sized = counted.select("region", "sub", F.ceil(F.col("q") / BLOCK).cast("long").alias("blocks"))
-        data = placed.withColumn("sub", F.pmod(F.xxhash64("id"), F.element_at(array(np.maximum(1, shards)), (F.col("region") + 1).cast("int"))))
-        data = data.join(materialize(sized), ["region", "sub"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        asked = sent.join(materialize(sized), ["region", "sub"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")))
-
-        def run(key: tuple, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-            if not len(q) or not len(x):
-                return pd.DataFrame({"query_id": [], "floor": [], "vec_id": [], "score": []})
-            ids, score = search(_stack(x.v), x.id.to_numpy(np.int64), _stack(q.v), q.id.to_numpy(np.int64), k, q.floor.to_numpy(float), largest, relax)
-            out = pd.DataFrame({"query_id": np.repeat(q.id.to_numpy(np.int64), k), "vec_id": ids.ravel(), "score": score.ravel()})
-            return out[out.vec_id >= 0] if (ids >= 0).any() else out[:0]
-
-        keys = ["region", "sub", "block"]
-        return asked.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score double")
-
-    n_sub = F.element_at(array(np.maximum(1, shards)), (F.col("region") + 1).cast("int"))
-    first = queries.withColumn("region", home("v")).withColumn("sub", F.pmod(F.xxhash64("id", F.lit(9)), n_sub)).withColumn("floor", F.lit(float("-inf")))
-    begun = look(first).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
-    floors = materialize(begun.where(F.col("n") >= k).select(F.col("query_id").alias("id"), F.col("least").alias("floor")))
-    known = queries.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            q, floor = _stack(pdf.v), pdf.floor.to_numpy(float)
-            scale = np.linalg.norm(q, axis=1) * largest
-            bound = np.where(np.isfinite(floor), np.sqrt(np.maximum(0, 2 - 2 * floor / scale)), np.inf)
-            at, number = regions_of(coarse.value, aim(q), bound, relax)
-            some = shards[number] > 0
-            at, number = at[some], number[some]
-            subs = shards[number]
-            at, number = np.repeat(at, subs), np.repeat(number, subs)
-            sub = np.concatenate([np.arange(n) for n in subs]) if len(subs) else np.empty(0, np.int64)
-            yield pdf.iloc[at].assign(region=number, sub=sub)
-
-    sent = known.select("id", "v", "floor").mapInPandas(route, "id long, v array<double>, floor double, region long, sub long")
-    found = look(sent)
-    # A query has k rows from each of its shards, no more than its regions allow.
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    key = ["h1", "h2"]
+    with Scratch(spark) as tables:
+        good = _usual_length(tables.write(good.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})))
+        # Of equal vectors, which tie with any query, only the k + 1 smallest ids can be in a list.
+        nth = F.row_number().over(Window.partitionBy(*key).orderBy("id"))
+        kept = tables.write(good.withColumn("nth", nth).where(F.col("nth") <= k + 1))
+        total, top = kept.agg(F.count(F.lit(1)), F.max(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e))).first()
+        if not total:
+            return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        largest = float(np.sqrt(top)) * (1 + 1e-12)
+        index = _Index(kept.select("id", "v", F.col("h1").alias("alike")), largest, total, shard_rows, sample_rows, regions, tables)
+        # Equal vectors ask once, for k + 1 rows, of which each query leaves out its own; those of an id with several vectors ask for themselves.
+        several = good.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id", F.lit(True).alias("has_own"))
+        asking = good.where(F.pmod(F.col("id"), F.lit(every)) == 0).join(several, "id", "left").withColumn("has_own", F.coalesce("has_own", F.lit(False)))
+        key.append("own")
+        asking = tables.write(asking.select("id", "h1", "h2", F.when(F.col("has_own"), F.col("id")).otherwise(0).alias("own"), "has_own"))
+        vectors = kept.where("nth = 1").select("h1", "h2", "v")
+        wanted = tables.write(asking.select(*key, "has_own").distinct().join(vectors, ["h1", "h2"]).withColumn("q", F.monotonically_increasing_id()))
+        queries = wanted.select(F.col("q").alias("id"), "own", "has_own", "v")
+        first = index.home(queries).withColumn("floor", F.lit(float("-inf")))
+        begun = _look(index, first, k + 1, relax, False).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
+        floors = tables.write(begun.where(F.col("n") > k).select(F.col("query_id").alias("id"), F.col("least").alias("floor")))
+        known = queries.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        found = _look(index, index.near(known, relax), k + 1, relax, True)
+        # A query vector has k + 1 rows from each of its shards at most.
+        order = [F.desc("score"), "vec_id"]
+        lists = found.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("nth") <= k + 1)
+        lists = tables.write(lists.select(F.col("query_id").alias("q"), "vec_id", "score"))
+        ids = tables.write(asking.join(wanted.drop("v"), [*key, "has_own"]).select(F.col("id").alias("query_id"), "q"))
+        best = ids.join(lists, "q").where("vec_id <> query_id")
+        best = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+        return materialize(best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+
+
+def _look(index: _Index, sent: DataFrame, k: int, relax: float, everywhere: bool) -> DataFrame:
+    """sent: query number (id), own, v, floor, region, sub; the best rows of each shard for each query.
+
+    A shard that is too large, as its rows are all alike to its tree, is dealt
+    into parts; a query goes to one of them, or with ``everywhere`` to all.
+    """
+    sent = index.tables.write(sent.select("id", "own", "has_own", "v", "floor", "region", "sub"))
+    shard = ["region", "sub"]
+    asked = sent.groupBy(*shard).agg(F.count(F.lit(1)).alias("asked"))
+    n_parts, n_blocks = F.ceil(F.col("rows") / (2 * index.shard_rows)).cast("long"), F.ceil(F.col("asked") / BLOCK).cast("long")
+    sized = index.tables.write(asked.join(index.sizes, shard).select(*shard, n_parts.alias("parts"), n_blocks.alias("blocks")))
+    up_to = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    mine = lambda c, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(c))
+    data = index.rows.join(sized, shard).withColumn("part", mine("parts", 4)).withColumn("block", up_to("blocks"))
+    again = sized.select(*[F.col(c).alias(c) for c in sized.columns])  # columns of their own, as both sides meet again
+    asked = sent.join(again, shard).withColumn("block", mine("blocks", 5)).withColumn("part", up_to("parts") if everywhere else mine("parts", 6))
+    largest = index.largest
+
+    def run(key: tuple, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(x):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        rows, asks = (x.id.to_numpy(np.int64), x.alike.to_numpy(np.int64)), (q.own.to_numpy(np.int64), q.has_own.to_numpy(bool))
+        ids, score = search(_stack(x.v), *rows, _stack(q.v), *asks, k, q.floor.to_numpy(float), largest, relax)
+        out = pd.DataFrame({"query_id": np.repeat(q.id.to_numpy(np.int64), k), "vec_id": ids.ravel(), "score": score.ravel()})
+        return out[np.isfinite(out.score)]
+
+    keys = ["region", "sub", "part", "block"]
+    return asked.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score double")

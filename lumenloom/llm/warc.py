@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.llm.common import materialize, shared_dir
+from lumenloom.llm.common import Scratch, materialize, qualified, shared_dir
 from lumenloom.llm.files import create, open_random
 
 #: The skippable frame that holds a dictionary in a .warc.zst file.
@@ -114,7 +114,7 @@ def _payload_hash(html_col: str):
     return F.sha1(F.coalesce(F.col(html_col), F.lit("")).cast("binary"))
 
 
-def revisits(pages: DataFrame, id_col: str, html_col: str, least_bytes: int) -> DataFrame:
+def revisits(pages: DataFrame, id_col: str, html_col: str, least_bytes: int, tables: Scratch) -> DataFrame:
     """page_id, hash (hex SHA-1 of the payload) and refers_to of the pages that are revisits.
 
     Only ids and hashes are shuffled. The newest page of each hash comes from a
@@ -122,8 +122,8 @@ def revisits(pages: DataFrame, id_col: str, html_col: str, least_bytes: int) ->
     """
     length = F.octet_length(F.coalesce(F.col(html_col), F.lit("")))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), _payload_hash(html_col).alias("hash"), length.alias("n"))
-    large = materialize(rows.where(F.col("n") >= least_bytes).select("page_id", "hash"))
-    newest = materialize(
+    large = tables.write(rows.where(F.col("n") >= least_bytes).select("page_id", "hash"))
+    newest = tables.write(
         large.groupBy("hash").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL").select("hash", "refers_to")
     )
     return (
@@ -154,7 +154,7 @@ def write_archives(
     from up to SAMPLE records, which is all that the driver sees. An empty table
     gives no files. Other columns are ignored.
     """
-    folder = folder or shared_dir(pages.sparkSession)
+    folder = qualified(pages.sparkSession, folder) if folder else shared_dir(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     few = rows.where(F.col("page_id").isNotNull() & (F.octet_length("html") <= SAMPLE_BYTES)).select("page_id").distinct()
     chosen = [r.page_id for r in few.orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE).collect()]
@@ -162,7 +162,6 @@ def write_archives(
     texts = [(r.page_id, r.url, r.html.encode("utf-8", "surrogatepass")) for r in sampled]
     texts.sort()
     dictionary = train_dictionary([build_record(i, u, p, payload_digest(p), None, date) for i, u, p in texts])
-    again = revisits(pages, id_col, html_col, least_bytes).toDF("again_id", "again_hash", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, n, path = None, 0, ""
@@ -180,10 +179,12 @@ def write_archives(
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "n_records": [n]}, pa.schema([("path", pa.string()), ("n_records", pa.int64())]))
 
-    typed = rows.withColumn("hash", _payload_hash("html")).join(
-        again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("hash") == F.col("again_hash")), "left"
-    )
-    return materialize(typed.select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, n_records long"))
+    with Scratch(pages.sparkSession) as tables:
+        again = revisits(pages, id_col, html_col, least_bytes, tables).toDF("again_id", "again_hash", "refers_to")
+        typed = rows.withColumn("hash", _payload_hash("html")).join(
+            again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("hash") == F.col("again_hash")), "left"
+        )
+        return materialize(typed.select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, n_records long"))
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:

@@ -99,3 +99,30 @@ def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
             t[0] = "other"
             pairs.append((100 + i, " ".join(t)))
     assert run(spark, pairs)[0] == brute(pairs)
+
+
+def test_an_id_with_several_texts_is_one_vertex(spark):
+    rng = random.Random(5)
+    a, b, c = (" ".join(words(rng, 60)) for _ in range(3))
+    pairs = [(7, a), (5, a), (7, b), (9, b + " tail"), (7, b), (7, None), (11, ""), (11, None), (12, c), (12, " "), (3, c.upper()), (20, b.upper())]
+    by_id = {}
+    for i, t in pairs:
+        by_id.setdefault(i, []).append(shingles(t))
+    comp = {i: i for i in by_id}
+    for _ in by_id:  # labels spread until they settle
+        for i in by_id:
+            for j in by_id:
+                if any(x and y and 100 * len(x & y) >= 75 * len(x | y) for x in by_id[i] for y in by_id[j]):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    assert comp[9] == 5 and comp[20] == 5 and comp[12] == 3 and comp[11] == 11
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in run(spark, pairs)[1])
+    assert got == sorted((i, len(shingles(t)), comp[i], comp[i] == i) for i, t in pairs)
+
+
+def test_nothing_but_the_result_stays_on_disk(spark):
+    import os
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    before = set(os.listdir(base))
+    rows = M.near_duplicates(documents(spark, awkward()))
+    assert len(set(os.listdir(base)) - before) == 1 and rows.count() == len(awkward())

@@ -75,8 +75,8 @@ def brute_kernel(a, b):
 
 def test_kernel_matches_all_subsequences():
     ws = ["idiot", "i-d-i.ot", "aaaa", "banana", "éüß1x", "moronic"]
-    assert np.allclose(T.kernel(ws, T._columns(ws)), [[brute_kernel(a, b) for b in ws] for a in ws], atol=1e-5)
-    assert np.allclose(T.kernel(["ab", "", "1-2"], T._columns(ws)), 0)
+    assert np.allclose(T.kernel(ws, T.Columns.of(ws)), [[brute_kernel(a, b) for b in ws] for a in ws], atol=1e-5)
+    assert np.allclose(T.kernel(["ab", "", "1-2"], T.Columns.of(ws)), 0)
 
 
 def test_toxic_words_are_found_with_gaps_and_in_held_out_rows(spark):
@@ -86,9 +86,35 @@ def test_toxic_words_are_found_with_gaps_and_in_held_out_rows(spark):
     held = [i for i, _, _ in truth if zlib.crc32(str(i).encode()) % 4 == 2]
     right = [got[i].predicted == t for i, _, t in truth if i in set(held)]
     assert len(held) > 60 and np.mean(right) > 0.97
-    gaps = documents(spark, [(1, "so klow-pqst here"), (2, "a k l o w p q s t b"), (3, "muggz*yv"), (4, "fine words here"), (5, None), (6, "")])
+    gaps = documents(spark, [(1, "so klow-pqst here"), (2, "a k l o w p q s t b"), (3, "muggz*yv"), (4, "fine words here"), (5, None), (6, ""), (7, "you klow pqst there"), (8, "you mug gzy v there")])
     flags = {r.doc_id: r.predicted for r in T.score(gaps, machine).collect()}
-    assert flags == {1: 1, 2: 1, 3: 1, 4: 0, 5: 0, 6: 0}
+    assert flags == {1: 1, 2: 1, 3: 1, 4: 0, 5: 0, 6: 0, 7: 1, 8: 1}
+
+
+def test_windows_over_neighbouring_words():
+    assert T.pieces("Stu pid of worth a b c") == {"stu", "pid", "of", "worth", "a", "b", "c", "stupid", "pidof", "stupidof", "ab", "bc", "abc"}
+    assert T.pieces("d i e") == {"d", "i", "e", "di", "ie", "die"} and T.pieces(None) == T.pieces(" ") == set() and T.pieces("one") == {"one"}
+
+
+def test_letters_of_other_alphabets_differ():
+    for word in ("\u0430\u0431\u0432\u0433\u0434\u0435\u0436\u0437\u0438\u0439\u043a\u043b\u043c\u043d\u043e\u043f\u0440\u0441\u0442\u0443\u0444\u0445\u0446\u0447\u0448\u0449\u044a\u044b\u044c\u044d\u044e\u044f", "\u03b1\u03b2\u03b3\u03b4\u03b5\u03b6\u03b7\u03b8\u03b9\u03ba\u03bb\u03bc\u03bd\u03be\u03bf\u03c0\u03c1\u03c3\u03c4\u03c5\u03c6\u03c7\u03c8\u03c9", "abcxyz\u00e9\u00e8\u00fc\u00df"):
+        assert len(set(T.codes([word], len(word))[:, 0])) == len(word)
+
+
+def test_columns_with_names_of_results(spark):
+    rows = spark.createDataFrame([(1, "some text", 0.5, 9, "q", "k")], "doc_id long, text string, score double, predicted int, quality_score string, kept string")
+    scored = T.score(rows, T.Machine(np.zeros((T._CODES**3, 1), np.float32), 0.0, 1.0, 0.0))
+    assert scored.first().asDict() == {"doc_id": 1, "text": "some text", "quality_score": "q", "kept": "k", "score": scored.first().score, "predicted": 1}
+    judged = Q.judge(rows, None).first()
+    assert (judged.score, judged.predicted, judged.quality_score, judged.kept) == (0.5, 9, None, False)
+
+
+def test_models_do_not_depend_on_the_order_of_an_ids_texts(spark):
+    docs, labels, _ = corpus(spark)
+    twice = docs.unionByName(docs.where("doc_id % 3 = 0").withColumn("text", docs.text.substr(1, 50)))
+    one, two = (T.fit(d, labels).table for d in (twice, twice.repartition(7, "text")))
+    assert (one == two).all()
+    assert (Q.fit(twice, labels).weights == Q.fit(twice.repartition(7, "text"), labels).weights).all()
 
 
 def test_labels_of_the_held_out_fold_are_never_used(spark):

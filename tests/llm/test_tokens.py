@@ -54,7 +54,7 @@ def test_encode_decode_and_offsets(spark, reference):
 def test_packed_files_round_trip_and_random_access(tmp_path, vocabulary):
     rng = np.random.default_rng(0)
     docs = [rng.integers(0, vocabulary, n).astype(np.uint32) for n in (0, 5, 2500, 1, 999)]
-    w = B.PackedWriter(str(tmp_path), "x", vocabulary, block_ids=1000)
+    w = B.PackedWriter(f"file:{tmp_path}", "x", vocabulary, block_ids=1000)
     for i, d in enumerate(docs):
         w.add(None if i == 2 else i, d)
     w.close()
@@ -63,7 +63,7 @@ def test_packed_files_round_trip_and_random_access(tmp_path, vocabulary):
         assert [g[0] for g in got] == [0, 1, None, 3, 4] and all((g[2] == d).all() for g, d in zip(got, docs))
         assert (r.ids(700, 2300) == np.concatenate(docs)[700:2300]).all() and len(r.ids(5, 5)) == 0
     with pytest.raises(ValueError):
-        B.PackedWriter(str(tmp_path), "y", vocabulary).add(1, np.array([vocabulary], np.uint32))
+        B.PackedWriter(f"file:{tmp_path}", "y", vocabulary).add(1, np.array([vocabulary], np.uint32))
 
 
 def test_token_files_in_order_of_ids(spark, reference):
@@ -79,3 +79,45 @@ def test_token_files_in_order_of_ids(spark, reference):
         assert r.start == at and np.frombuffer(r.ids, "<u4").tolist() == texts[r.doc_id]
         at += r.n_tokens
     assert K.read_token_files(K.write_token_files(documents(spark, []), *LIB, vocabulary=50_257)).count() == 0
+
+
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_files_lie_where_spark_looks_for_them(spark, tmp_path, scheme):
+    """With and without a scheme, the files of tasks are in the folder as Spark's own file system has it."""
+    from lumenloom.llm import common, files, warc
+
+    docs = documents(spark, [(1, "a b c"), (2, None)])
+    m = K.write_token_files(docs, *LIB, vocabulary=50_257, files=2, folder=f"{scheme}{tmp_path}/t")
+    assert all(r.path.startswith("file:/") for r in m.collect()) and K.read_token_files(m).count() == 2
+    pages = spark.createDataFrame([(1, "http://a", "x")], "page_id long, url string, html string")
+    a = warc.write_archives(pages, folder=f"{scheme}{tmp_path}/w")
+    assert all(r.path.startswith("file:/") for r in a.collect()) and warc.read_archives(a).count() == 1
+    assert common.shared_dir(spark).startswith("file:/")
+    with pytest.raises(ValueError):
+        files.open_random(f"{tmp_path}/t")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from lumenloom.llm import common
+
+    for master in ("spark://h:7077", "yarn", "local-cluster[2,1,1024]"):
+        unset = N(sparkContext=N(master=master, getConf=lambda: N(get=lambda k: None)), conf=N(get=lambda k, d: None))
+        with pytest.raises(ValueError):
+            common.shared_dir(unset)
+
+
+def test_the_number_of_files_goes_by_the_source(spark, monkeypatch):
+    docs = spark.range(40).selectExpr("id AS doc_id", "repeat('some words ', 100) AS text")
+    known, unknown = K.source_bytes(docs.select("text")), K.source_bytes(documents(spark, [(1, "x" * 500), (2, None)]).select("text"))
+    assert known > 0 and unknown in (500, *range(1, 10**6))
+    monkeypatch.setattr(K, "FILE_BYTES", max(1, known // 9))
+    assert K.write_token_files(docs, *LIB, vocabulary=50_257).count() >= 9
+
+
+def test_columns_with_names_of_token_results(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "y", "z")], "doc_id long, text string, token_ids string, token_starts string, decoded string")
+    out = K.decode(K.encode(docs, *HOW, offsets=True), *HOW).first()
+    assert (bytes(out.decoded), out.token_starts, len(out.token_ids)) == (b"a b", [0, 1], 2)
+    assert K.encode(docs, *HOW).first().decoded == "z"

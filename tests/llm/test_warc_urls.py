@@ -84,3 +84,20 @@ def test_cascade_is_exact_over_its_universe(spark):
     table = spark.createDataFrame([tuple(map(int, k)) for k in keys], "h1 long, h2 long")
     c = U.build_cascade(spark.createDataFrame([tuple(map(int, k)) for k in keys[:700]], "h1 long, h2 long"), table)
     assert c.has(keys[:, 0].copy(), keys[:, 1].copy()).tolist() == [True] * 700 + [False] * 19_300 and len(c.levels) > 2
+
+
+def test_a_filter_of_more_words_than_come_at_a_time(spark, monkeypatch):
+    """Gathered in many parts, and no larger than the list asks for."""
+    monkeypatch.setattr(U, "PART_WORDS", 16)
+    rng = np.random.default_rng(2)
+    keys = rng.integers(-(1 << 63), (1 << 63) - 1, (30_000, 2))
+    table = spark.createDataFrame([tuple(map(int, k)) for k in keys], "h1 long, h2 long")
+    c = U.build_cascade(spark.createDataFrame([tuple(map(int, k)) for k in keys[:500]], "h1 long, h2 long"), table)
+    assert c.has(keys[:, 0].copy(), keys[:, 1].copy()).tolist() == [True] * 500 + [False] * 29_500
+    assert len(c.levels[0].words) > 16 and c.n_bytes < 500 * 3 and U.build_cascade(table.limit(0), table).levels == []
+
+
+def test_columns_with_names_of_the_operators_own(spark):
+    rows = [(1, "http://h.net/es/", "k", "m", "b", "r", "h", "v")]
+    got = U.judge_urls(spark.createDataFrame(rows, "page_id long, url string, keys string, mark string, best string, row string, host string, verdict string"), URL_RULES).collect()
+    assert [r.asDict() for r in got] == [{"page_id": 1, "url": "http://h.net/es/", "keys": "k", "mark": "m", "best": "b", "row": "r", "host": "h.net", "path": "/es/", "rule": "net/es/", "verdict": "block"}]

@@ -44,7 +44,7 @@ def packed(rows) -> dict:
 
 
 def test_packing_counts_the_ids_of_token_files(spark, tmp_path):
-    """Positions are token ids and an end id, also of texts without spaces."""
+    """The sequences' ids are those of the files, end ids among them, also of texts without spaces."""
     texts = [*awkward(), (20, "\u4e2d\u6587" * 9000), (21, " two  blanks "), (22, "na\u00efve \u4e2d\u6587 don't 12345")]
     docs = documents(spark, texts)
     docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
