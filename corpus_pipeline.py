@@ -31,10 +31,18 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; documents without an id stay, as no group has them."""
-    found = minhash.near_duplicates(docs)
-    gone = found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies, that with the smallest id; rows without an id stay, as no group has them.
+
+    Of several rows with that id the one with the least hash of its text stays.
+    """
+    found = minhash.near_duplicates(docs).where("doc_id IS NOT NULL")
+    stay = docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    repeated = materialize(found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return stay
+    order = F.struct(F.xxhash64("text").alias("text_hash"), *docs.columns)
+    one = stay.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(order).alias("row"))
+    return stay.join(repeated, "doc_id", "left_anti").unionByName(one.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +54,7 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of each document: where its token ids stand in which training sequence."""
+    """A row for each piece of each document: where its token ids stand in which training sequence, and their checksum."""
     return pack_tokens(docs)
 
 
