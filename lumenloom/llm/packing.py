@@ -113,10 +113,10 @@ def pack_documents(
     capacities = tuple(sorted(capacities))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = tokens.worker_encoder(make, *args), np.array([end_id], "<u4")
+        encoder, end = tokens.worker_encoder(make, *args, memory=tokens.FILE_MEMORY), np.array([end_id], "<u4")
         number, held = TaskContext.get().partitionId() << 33, _Group(capacities[-1])
         for batch in batches:
-            for first, texts in tokens.slices(batch.column(1)):
+            for first, texts in tokens.slices(batch.column(1), tokens.FILE_AT_ONCE):
                 flat, stops = encoder.column(texts)
                 ids = batch.column(0).slice(first, len(texts)).to_pylist()
                 for doc_id, a, b in zip(ids, [0, *stops[:-1].tolist()], stops.tolist()):

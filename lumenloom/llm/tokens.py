@@ -31,8 +31,8 @@ MEMORY, LONGEST = 200_000, 48
 _RUN = 2000
 #: Bytes of text that are encoded at a time.
 _AT_ONCE = 4_000_000
-#: The same where files are written: a task has one Python worker there, and room for more.
-_FILE_MEMORY, _FILE_AT_ONCE = 250_000, 8_000_000
+#: The same where files or sequences are written: a task has one Python worker there, and room for more.
+FILE_MEMORY, FILE_AT_ONCE = 250_000, 8_000_000
 #: Bytes of a source (as its files hold it) that make one token file.
 FILE_BYTES = 128 << 20
 _UNSAFE = re.compile(r" \s|\s ")
@@ -332,10 +332,10 @@ def write_token_files(
     files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-source_bytes(docs.select(text_col)) // FILE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, number, out = worker_encoder(make, *args, memory=_FILE_MEMORY), TaskContext.get().partitionId(), None
+        encoder, number, out = worker_encoder(make, *args, memory=FILE_MEMORY), TaskContext.get().partitionId(), None
         end = np.array([end_id], "<u4")
         for batch in batches:
-            for first, texts in slices(batch.column(1), _FILE_AT_ONCE):
+            for first, texts in slices(batch.column(1), FILE_AT_ONCE):
                 if out is None:
                     out = PackedWriter(folder, f"tokens-{number:06d}", vocabulary)
                 ids = batch.column(0).slice(first, len(texts)).to_pylist()
