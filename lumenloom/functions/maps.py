@@ -4,10 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def once(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """``df`` with these columns, each computed once for a row however often it is read.
+
+    A plain projection may be merged into what reads it, which repeats costly
+    expressions, or puts them under a lambda, where they are not compiled. One
+    below a generator of one row is not merged.
+    """
+    keep = [c for c in df.columns if c not in values]
+    named = {k: f"_once_{i}" for i, k in enumerate(values)}
+    made = df.select(*keep, *[values[k].alias(n) for k, n in named.items()])
+    return made.select(*keep, F.inline(F.array(F.struct(*[F.col(n).alias(k) for k, n in named.items()]))))
+
+
+def named(keys: Column, values: Column) -> Column:
+    """A map of an array of keys and one of values, without the null values."""
+    return F.map_filter(F.map_from_arrays(keys, values), lambda _, v: v.isNotNull())
+
+
+def lookup(key: Column, table: dict[str, object]) -> Column:
+    """What a constant table has for the key, null where it has none."""
+    cells = [F.lit(x) for pair in table.items() for x in pair]
+    return F.try_element_at(F.create_map(*cells), key)
+
+
 def empty() -> Column:
     return F.create_map().cast("map<string,string>")
 

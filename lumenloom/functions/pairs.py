@@ -10,44 +10,70 @@ from pyspark.sql import functions as F
 from lumenloom.functions.bodies import quoted
 from lumenloom.functions.patterns import re2
 
-#: key="quoted" or key=bare
-PAIR = r'(\w+)=(?:"([^"]*)"|(\S+))'
+_KEY = r"[\w]+"
+#: Pairs of a line: values in double quotes or bare; in single quotes; in double quotes with escapes or bare, perhaps empty.
+PAIR = _KEY + r'=(?:"[^"]*"|\S+)'
+SINGLE_QUOTED = _KEY + r"='[^']*'"
+ESCAPED = r'[\w.-]+=(?:"(?:[^"\\]|\\.)*+"|\S*)'
+#: What pairs are held as: keys and values in order, and both from the last to the first.
+KIND = "struct<k:array<string>,v:array<string>,kr:array<string>,vr:array<string>>"
+_ESCAPES = (("\\n", "\n"), ("\\t", "\t"), ('\\"', '"'), ("\\\\", "\\"))
 
 
-def found(text: Column, pattern: str = PAIR, escaped: bool = False) -> Column:
-    """All pairs in order, as an array of structs k and v; group 2 is a quoted value, 3 a bare one.
+def found(line: Column, pattern: str = PAIR) -> Column:
+    """All pairs in order, as a KIND; the line is searched once, and values lose their quotes.
 
-    escaped: quoted values keep their quotes in group 2 and have backslash escapes.
+    With the pattern ESCAPED backslash escapes in quoted values are undone.
     """
-    p = F.lit(re2(pattern))
-    keys, q, bare = (F.regexp_extract_all(text, p, i) for i in (1, 2, 3))
-    if escaped:
-        q = F.transform(q, lambda x: F.replace(F.replace(F.replace(F.replace(F.substr(x, F.lit(2), F.greatest(F.length(x) - 2, F.lit(0))), F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t")), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\")))
-    values = F.zip_with(q, bare, lambda a, b: F.coalesce(F.nullif(a, F.lit("")), b))
-    return F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+
+    def plain(pair: Column) -> Column:
+        value = F.substr(pair, F.length(F.substring_index(pair, "=", 1)) + 2)
+        inner = F.substr(value, F.lit(2), F.length(value) - 2)
+        if pattern == ESCAPED:
+            undone = inner
+            for a, b in _ESCAPES:
+                undone = F.replace(undone, F.lit(a), F.lit(b))
+            inner = F.when(inner.contains("\\"), undone).otherwise(inner)
+        return F.when(F.left(value, F.lit(1)).isin('"', "'") & (F.length(value) > 1) & (F.left(value, F.lit(1)) == F.right(value, F.lit(1))), inner).otherwise(value)
+
+    all_of = F.regexp_extract_all(line, F.lit(re2(pattern)), 0)
+    keys, values = F.transform(all_of, lambda p: F.substring_index(p, "=", 1)), F.transform(all_of, plain)
+    return F.struct(keys.alias("k"), values.alias("v"), F.reverse(keys).alias("kr"), F.reverse(values).alias("vr"))
+
+
+def _nth(values: Column, at: Column) -> Column:
+    return F.get(values, (at - 1).cast("int"))
 
 
 def value(pairs: Column, *keys: str) -> Column:
     """The first non-empty value of the first key that has one."""
 
     def of(key: str) -> Column:
-        return F.get(F.filter(pairs, lambda p: (p.k == key) & (p.v != "")), F.lit(0)).v
+        at = F.array_position(pairs.k, key)
+        later = F.get(F.filter(F.arrays_zip(pairs.k.alias("k"), pairs.v.alias("v")), lambda p: (p.k == key) & (p.v != "")), F.lit(0)).v
+        one = _nth(pairs.v, at)
+        return F.when((at > 0) & (one != ""), one).when(at > 0, later)
 
     return F.coalesce(*map(of, keys))
 
 
 def last_value(pairs: Column, key: str) -> Column:
-    return F.nullif(F.try_element_at(F.filter(pairs, lambda p: p.k == key), F.lit(-1)).v, F.lit(""))
+    at = F.array_position(pairs.kr, key)
+    return F.when(at > 0, F.nullif(_nth(pairs.vr, at), F.lit("")))
 
 
 def line(pairs: Column, but: Iterable[str]) -> Column:
     """``k=v k=v`` of the other keys with a value, in order."""
-    kept = F.filter(pairs, lambda p: (p.v != "") & ~p.k.isin(list(but)))
-    return F.array_join(F.transform(kept, lambda p: F.concat(p.k, F.lit("="), quoted(p.v))), " ")
+    left_out = list(but)
+    text = F.zip_with(pairs.k, pairs.v, lambda k, v: F.when((v != "") & ~k.isin(left_out), F.concat(k, F.lit("="), quoted(v))))
+    return F.array_join(text, " ")
 
 
 def as_map(pairs: Column, prefix: str, but: Iterable[str]) -> Column:
-    """The other keys behind a prefix; of a repeated key the last value."""
-    kept = F.filter(pairs, lambda p: (p.v != "") & ~p.k.isin(list(but)))
-    last = F.filter(kept, lambda p, i: ~F.exists(F.slice(kept, i + 2, F.size(kept)), lambda o: o.k == p.k))
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(F.concat(F.lit(prefix), p.k).alias("key"), p.v.alias("value"))))
+    """The other keys behind a prefix; of a repeated key the last value that is not empty."""
+    left_out = list(but)
+    cells = F.filter(F.zip_with(pairs.kr, pairs.vr, lambda k, v: F.struct(k.alias("k"), v.alias("v"))), lambda p: (p.v != "") & ~p.k.isin(left_out))
+    names = F.array_distinct(F.transform(cells, lambda p: p.k))
+    kept = F.transform(cells, lambda p: p.k)
+    values = F.transform(names, lambda k: F.get(cells, (F.array_position(kept, k) - 1).cast("int")).v)
+    return F.map_from_arrays(F.transform(names, lambda k: F.concat(F.lit(prefix), k)), values)

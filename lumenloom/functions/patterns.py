@@ -67,9 +67,13 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def captures(text: Column, pattern: str) -> Column:
-    """All groups of a pattern anchored at both ends, in one pass; group i at place i, no such place if it doesn't match."""
+    """All groups of a pattern anchored at both ends, in one pass; group i at place i, no such place if it doesn't match.
+
+    Groups stand behind a control character, which is left out of a text that holds it.
+    """
     marks = "".join(f"{_MARK}${i}" for i in range(1, groups(pattern) + 1))
-    return F.split(F.regexp_replace(text, re2(pattern), marks), _MARK)
+    clean = F.when(text.contains(_MARK), F.translate(text, _MARK, "")).otherwise(text)
+    return F.split(F.regexp_replace(clean, re2(pattern), marks), _MARK)
 
 
 def group(caps: Column, i: int) -> Column:

@@ -44,7 +44,3 @@ def without_year(month_day_time: Column, fmt: str, near_us: Column, year: int =
         return this
     last = utc_micros(F.concat((of - 1).cast("string"), F.lit(" "), month_day_time), f"yyyy {fmt}")
     return F.when(this > near_us + 86_400_000_000, last).otherwise(this)
-
-
-def floor_to(us: Column, period_us: int) -> Column:
-    return us - F.pmod(us, F.lit(period_us))

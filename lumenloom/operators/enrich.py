@@ -156,13 +156,21 @@ def asset_lookup(df: DataFrame, assets: DataFrame, mac: str) -> DataFrame:
 
 
 def port_alias(df: DataFrame, aliases: DataFrame, host: str, port: str) -> DataFrame:
-    """Adds alias by exact host and port, else by the short host name; of several short matches the smallest full name's."""
+    """Adds alias by exact host and port, else by the short host name; of several short matches the smallest full name's.
+
+    Case and blanks at the ends of hosts and ports do not matter, on either side.
+    """
+    plain = lambda c: F.lower(F.trim(F.col(c)))
+    aliases = aliases.select(plain("hostname").alias("hostname"), plain("port").alias("port"), "alias")
+    own = df.columns
+    df = df.withColumns({"_host": plain(host), "_port": plain(port)})
+    host, port = "_host", "_port"
     exact = aliases.groupBy("hostname", "port").agg(F.min("alias").alias("_exact"))
-    by_short = aliases.groupBy(network.short_host(F.col("hostname")).alias("_short"), F.col("port").alias("_port")).agg(F.min_by("alias", "hostname").alias("_near"))
+    by_short = aliases.groupBy(network.short_host(F.col("hostname")).alias("_short"), F.col("port").alias("_near_port")).agg(F.min_by("alias", "hostname").alias("_near"))
     one = df.join(small(exact), (df[host] == exact.hostname) & (df[port] == exact.port), "left").select(*[df[c] for c in df.columns], "_exact")
     two = one.withColumn("_s", network.short_host(F.col(host)))
-    both = two.join(small(by_short), (two._s == by_short._short) & (two[port] == by_short._port), "left")
-    return both.select(*df.columns, F.coalesce("_exact", "_near").alias("alias"))
+    both = two.join(small(by_short), (two._s == by_short._short) & (two[port] == by_short._near_port), "left")
+    return both.select(*own, F.coalesce("_exact", "_near").alias("alias"))
 
 
 # -- addresses in text
@@ -222,13 +230,16 @@ def normalized_load(points: DataFrame, cpus: int | str) -> DataFrame:
     return points.unionByName(more)
 
 
-def process_lifetime(points: DataFrame, resource: list[str], at_us: str = "at_us") -> DataFrame:
-    """Adds points per process: processor time over its age, and bytes of each direction over its age.
+def process_lifetime(points: DataFrame, resource: list[str], at_us: str = "at_us", scrape: str | None = None) -> DataFrame:
+    """Adds points per process and scrape: processor time over its age, and bytes of each direction over its age.
 
-    One aggregate per resource, joined to its points of disk.io; processes
+    scrape: a column that a scrape's points share, by default their time, as the
+    counters of one scrape are summed over states, and never over scrapes. One
+    aggregate per resource and scrape, joined to its points of disk.io; processes
     without an age above 0, or which have such points already, get none.
     """
     m = F.col("metric")
+    whole, resource = points.columns, [*resource, scrape or at_us]
     cumulative = (F.col("kind") == "sum") & (F.col("temporality") == "cumulative")
     per = points.groupBy(*resource).agg(
         F.max(F.when((m == "process.uptime") & (F.col("kind") == "gauge"), F.col("value"))).alias("_age"),
@@ -238,12 +249,13 @@ def process_lifetime(points: DataFrame, resource: list[str], at_us: str = "at_us
         F.max(m == "process.disk.lifetime.rate").alias("_has_io"),
     ).where("_age > 0")
     null = F.lit(None).cast("string")
-    cpu = per.where("_cpu IS NOT NULL AND NOT _has_cpu").select(*resource, F.lit("process.cpu.lifetime.ratio").alias("metric"), null.alias("direction"), (F.col("_cpu") / F.col("_age")).alias("value"), F.col("_at").alias(at_us))
+    keys = [c for c in resource if c != at_us]
+    cpu = per.where("_cpu IS NOT NULL AND NOT _has_cpu").select(*keys, F.lit("process.cpu.lifetime.ratio").alias("metric"), null.alias("direction"), (F.col("_cpu") / F.col("_age")).alias("value"), F.col("_at").alias(at_us))
     cond = F.lit(True)
     for c in resource:
         cond = cond & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
     ages = per.where("NOT _has_io").select(*resource, "_age")
     joined = points.where((m == "process.disk.io") & cumulative).alias("l").join(ages.alias("r"), cond).select("l.*", "r._age")
-    io = joined.select(*resource, F.lit("process.disk.lifetime.rate").alias("metric"), "direction", (F.col("value") / F.col("_age")).alias("value"), at_us)
+    io = joined.select(*keys, F.lit("process.disk.lifetime.rate").alias("metric"), "direction", (F.col("value") / F.col("_age")).alias("value"), at_us)
     more = cpu.unionByName(io).withColumns({"kind": F.lit("gauge"), "temporality": null})
-    return points.unionByName(more, allowMissingColumns=True)
+    return points.unionByName(more, allowMissingColumns=True).select(*whole)

@@ -71,52 +71,53 @@ def number_text(v: Column) -> Column:
     return F.when(v == F.floor(v), v.cast("long").cast("string")).otherwise(v.cast("string"))
 
 
+def _points(r: Rule) -> Column:
+    """What the rule makes of a point: an array of metric, unit, value and attributes; empty where it is dropped."""
+    a, value = F.col("attributes"), F.col("value").cast("double")
+    made: dict[str, Column] = {}
+    if r.index_attr:
+        made |= {"hw.id": a[r.index_attr], "hw.name": F.coalesce(maps.lookup(a[r.index_attr], r.index_names), a[r.index_attr]) if r.index_names else a[r.index_attr]}
+    made |= {k: rendered(t, a) for k, t in r.labels.items()}
+    made |= {k: F.lit(v) for k, v in r.constants.items()}
+
+    def point(metric: Column, unit: Column, v: Column, attributes: Column) -> Column:
+        return F.struct(metric.alias("metric"), unit.alias("unit"), v.alias("value"), attributes.alias("attributes")).cast(POINT)
+
+    dropped = F.coalesce(F.col("value") == r.drop_value, F.lit(False)) if r.drop_value is not None else F.lit(False)
+    if r.states:
+        raw = a[r.state_attr] if r.state_attr else number_text(F.col("value"))
+        known = maps.lookup(raw, r.state_map) if r.state_map else F.lit(None).cast("string")
+        state = F.coalesce(known, F.lit(r.default_state).cast("string"))
+        kept = {"hw.state.raw": F.when(known.isNull(), raw)}
+        each = [point(F.lit(r.target), F.lit(r.unit or "1"), (state == s).cast("double"), maps.of({**made, "hw.state": F.lit(s), **kept})) for s in r.states]
+        gone = dropped | F.coalesce(known == "drop", F.lit(False))
+        return F.when(gone, F.array().cast(f"array<{POINT}>")).when(state.isNull(), F.array(unchanged())).otherwise(F.array(*each))
+    one = point(F.lit(r.target), F.lit(r.unit) if r.unit else F.col("unit"), value * r.scale if r.scale is not None else value, maps.of(made))
+    return F.when(dropped, F.array().cast(f"array<{POINT}>")).otherwise(F.array(one))
+
+
+POINT = "struct<metric:string,unit:string,value:double,attributes:map<string,string>>"
+
+
+def unchanged() -> Column:
+    return F.struct("metric", "unit", F.col("value").cast("double").alias("value"), "attributes").cast(POINT)
+
+
 def map_points(points: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Points (metric, unit, value double, attributes, ...) by their first rule; others pass unchanged.
 
     A status rule gives a point per state, 1 for the current one; a raw state
     that is mapped to ``drop`` is dropped, one that is not listed takes the
     default and keeps its raw value in hw.state.raw, and passes unchanged if
-    there is no default. Rules of one call are a CASE, so nothing shuffles.
+    there is no default. Rules of one call are one CASE over arrays of points,
+    which are then exploded: one pass over the input, and nothing shuffles.
     """
-    a = F.col("attributes")
-    which = F.lit(None).cast("int")
-    for i in reversed(range(len(rules))):
-        which = F.when(rules[i].condition(), i).otherwise(which)
-    df = points.withColumn("_rule", which)
-    out = []
-    for i, r in enumerate(rules):
-        own = df.where(F.col("_rule") == i)
-        if r.drop_value is not None:
-            own = own.where(~F.coalesce(F.col("value") == r.drop_value, F.lit(False)))
-        made: dict[str, Column] = {}
-        if r.index_attr:
-            name = a[r.index_attr]
-            for k, v in r.index_names.items():
-                name = F.when(a[r.index_attr] == k, v).otherwise(name)
-            made |= {"hw.id": a[r.index_attr], "hw.name": name}
-        made |= {k: rendered(t, a) for k, t in r.labels.items()}
-        made |= {k: F.lit(v) for k, v in r.constants.items()}
-        if r.states:
-            raw = a[r.state_attr] if r.state_attr else number_text(F.col("value"))
-            known = F.lit(None).cast("string")
-            for k, v in r.state_map.items():
-                known = F.when(raw == k, v).otherwise(known)
-            state = F.coalesce(known, F.lit(r.default_state).cast("string"))
-            own = own.withColumns({"_raw": raw, "_known": known, "_state": state}).where(~F.coalesce(F.col("_known") == "drop", F.lit(False)))
-            out.append(own.where("_state IS NULL").drop("_raw", "_known", "_state"))
-            hot = one_hot(own.where("_state IS NOT NULL"), "_state", r.states, "_s").withColumn("value", F.col("value").cast("double"))
-            made |= {"hw.state": F.col("_s"), "hw.state.raw": F.when(F.col("_known").isNull(), F.col("_raw"))}
-            hot = hot.withColumns({"metric": F.lit(r.target), "unit": F.lit(r.unit or "1"), "attributes": maps.of(made)})
-            out.append(hot.drop("_raw", "_known", "_state", "_s"))
-            continue
-        value = F.col("value") * r.scale if r.scale is not None else F.col("value")
-        unit = F.lit(r.unit) if r.unit else F.col("unit")
-        out.append(own.withColumns({"metric": F.lit(r.target), "unit": unit, "value": value, "attributes": maps.of(made)}))
-    rest = df.where("_rule IS NULL")
-    for o in out:
-        rest = rest.unionByName(o)
-    return rest.drop("_rule")
+    out = F.array(unchanged())
+    for r in reversed(rules):
+        out = F.when(r.condition(), _points(r)).otherwise(out)
+    rest = [c for c in points.columns if c not in ("metric", "unit", "value", "attributes")]
+    rows = points.select(*rest, out.alias("_points"))
+    return rows.select(*rest, F.inline("_points")).select(*points.columns)
 
 
 # -- NVMe health log page (512 bytes, little-endian), by fixed offsets
@@ -140,3 +141,135 @@ def nvme_health(df: DataFrame, page: str = "page") -> DataFrame:
         "power_on_hours": wide(128), "unsafe_shutdowns": wide(144), "media_errors": wide(160), "log_entries": wide(176),
     }
     return df.withColumns({k: F.when(ok, v) for k, v in fields.items()})
+
+
+# -- ATA data and threshold pages (512 bytes): a table of 30 entries of 12 bytes from byte 2 on
+
+
+def _number(page: Column, at: Column | int, size: int) -> Column:
+    """An unsigned little-endian number; ``at`` counts bytes from 0."""
+    at = F.lit(at) if isinstance(at, int) else at
+    parts = [F.hex(F.substr(page, at + 1 + i, F.lit(1))) for i in reversed(range(size))]
+    return F.conv(F.concat(*parts), 16, 10).try_cast("long")
+
+
+def smart_attributes(df: DataFrame, keep: list[str], data: str = "data", thresholds: str = "thresholds") -> DataFrame:
+    """keep, id, flags, value, worst, threshold (null: none) and raw of each used entry; pages of another length give none."""
+    entry = lambda i: F.lit(2) + i * 12
+    d, t = F.col(data), F.col(thresholds)
+    limits = F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.struct(_number(t, entry(i), 1).alias("id"), _number(t, entry(i) + 1, 1).alias("limit")))
+    limits = F.when(F.octet_length(t) >= 512, F.filter(limits, lambda x: x.id > 0))
+    fields = F.transform(
+        F.sequence(F.lit(0), F.lit(29)),
+        lambda i: F.struct(
+            _number(d, entry(i), 1).alias("id"), _number(d, entry(i) + 1, 2).alias("flags"), _number(d, entry(i) + 3, 1).alias("value"), _number(d, entry(i) + 4, 1).alias("worst"), _number(d, entry(i) + 5, 6).alias("raw"),
+        ),
+    )
+    rows = df.where(F.octet_length(d) >= 512).select(*keep, limits.alias("_limits"), F.inline(fields)).where("id > 0")
+    limit = F.get(F.filter("_limits", lambda x: x.id == F.col("id")), F.lit(0)).limit
+    return rows.select(*keep, "id", "flags", "value", "worst", limit.alias("threshold"), "raw")
+
+
+def ata_identity(df: DataFrame, page: str = "page") -> DataFrame:
+    """Adds model, serial, firmware, rotation_rate, size_bytes and wwn of IDENTIFY pages; null for shorter ones. Words are 16 bits, texts have their bytes swapped in pairs."""
+    p = F.col(page)
+    word = lambda n: _number(p, 2 * n, 2)
+    bit = lambda n, b: word(n).bitwiseAND(F.lit(1 << b).cast("long")) != 0
+
+    def text(first: int, last: int) -> Column:
+        pairs = [F.substring(p, 2 * n + 1 + k, 1) for n in range(first, last + 1) for k in (1, 0)]
+        return F.trim(F.decode(F.concat(*pairs), "ISO-8859-1"), F.lit(" \x00"))
+
+    sectors = F.when(bit(83, 10), _number(p, 200, 8)).otherwise(_number(p, 120, 4))
+    own = bit(106, 14) & ~bit(106, 15) & bit(106, 12) & (_number(p, 234, 4) > 0)
+    wwn = F.lower(F.concat(*[F.lpad(F.hex(word(n)), 4, "0") for n in range(108, 112)]))
+    fields = {
+        "model": text(27, 46), "serial": text(10, 19), "firmware": text(23, 26), "rotation_rate": word(217), "size_bytes": sectors * F.when(own, _number(p, 234, 4) * 2).otherwise(512),
+        "wwn": F.when(bit(87, 14) & bit(87, 8) & (wwn != "0" * 16), wwn),
+    }
+    return df.withColumns({k: F.when(F.octet_length(p) >= 512, v) for k, v in fields.items()})
+
+
+# -- power supplies and replaceable units
+
+
+def power_supply_state(offsets: Column) -> Column:
+    """The state by a sensor's asserted offsets: 0 present, 1 failed, 2 failing soon, 3 and 4 no input, 5 input out of range, 6 misconfigured; null if not present."""
+    any_of = lambda *n: F.arrays_overlap(offsets, F.array(*map(F.lit, n)))
+    return F.when(F.array_contains(offsets, 0), F.when(any_of(1, 3, 4), "failed").when(any_of(2), "predicted_failure").when(any_of(5, 6), "degraded").otherwise("ok"))
+
+
+#: The fields of each area of a unit's record in order, and where they begin.
+FRU_AREAS = {
+    "chassis": (2, 3, ("part_number", "serial_number")),
+    "board": (3, 6, ("vendor", "model", "serial_number", "part_number")),
+    "product": (4, 3, ("vendor", "model", "part_number", "version", "serial_number", "asset_tag")),
+}
+_BCD = "0123456789 -.???"
+
+
+def _fru_text(kind: Column, raw: Column) -> Column:
+    """By the field's type: 3 text, 2 six-bit characters, 1 decimal digits, 0 bytes as hex."""
+    h = F.hex(raw)
+    whole = F.array_join(F.transform(F.sequence(F.octet_length(raw) - 1, F.lit(0)), lambda i: F.lpad(F.bin(F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("long")), 8, "0")), "")
+    n = F.floor(F.octet_length(raw) * 8 / 6).cast("int")
+    six = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.chr(F.conv(F.substr(whole, F.length(whole) - i * 6 + 1, F.lit(6)), 2, 10).cast("long") + 32)), "")
+    digits = F.translate(h, "ABCDEF", _BCD[10:])
+    return F.rtrim(F.when(F.octet_length(raw) == 0, "").when(kind == 3, F.decode(raw, "ISO-8859-1")).when(kind == 2, F.when(n > 0, six).otherwise("")).when(kind == 1, digits).otherwise(F.lower(h)), F.lit(" \x00"))
+
+
+def unit_records(df: DataFrame, keep: list[str], image: str = "image") -> DataFrame:
+    """keep, area, key and value of the named fields of units' records (images with a common header).
+
+    An area counts if its format is 1, it lies inside the image and its bytes sum
+    up to 0 modulo 256. Fields follow each other: a byte with type and length,
+    then the text; they end at 0xC1, at 0 or at the area's checksum.
+    """
+    img = F.col(image)
+    at = lambda p: _number(img, p, 1)
+    areas = F.array(*[F.struct(F.lit(name).alias("area"), (at(slot) * 8).cast("int").alias("off"), F.lit(first).alias("first"), F.array(*map(F.lit, names)).alias("names")) for name, (slot, first, names) in FRU_AREAS.items()])
+    rows = df.where((F.octet_length(img) >= 8) & (at(0).bitwiseAND(F.lit(15).cast("long")) == 1)).select(*keep, F.col(image).alias("_image"), F.inline(areas)).where("off >= 8")
+    size = (_number(F.col("_image"), F.col("off") + 1, 1) * 8).cast("int")
+    rows = rows.withColumn("_area", F.substr("_image", F.col("off") + 1, size)).where((F.octet_length("_area") >= 8) & (F.octet_length("_area") == size))
+    total = lambda a: F.aggregate(F.transform(F.sequence(F.lit(0), F.octet_length(a) - 1), lambda i: _number(a, i, 1)), F.lit(0).cast("long"), lambda s, x: s + x)
+    rows = rows.where((_number(F.col("_area"), 0, 1).bitwiseAND(F.lit(15).cast("long")) == 1) & (F.pmod(total(F.col("_area")), F.lit(256)) == 0))
+    a, end = F.col("_area"), F.octet_length("_area") - 1
+    start = F.struct(F.col("first").alias("pos"), F.lit(False).alias("done"), F.array().cast("array<struct<kind:bigint,raw:binary>>").alias("found"))
+
+    def step(s: Column, _: Column) -> Column:
+        """Read the field at s.pos, or be done."""
+        head = F.when(s.pos < end, _number(a, s.pos, 1))
+        n = head.bitwiseAND(F.lit(63).cast("long")).cast("int")
+        over = s.done | head.isNull() | head.isin(0, 193) | (s.pos + 1 + n > end)
+        one = F.struct(F.shiftright(head, 6).alias("kind"), F.substr(a, s.pos + 2, n).alias("raw"))
+        return F.struct(F.when(over, s.pos).otherwise(s.pos + 1 + n).alias("pos"), over.alias("done"), F.when(over, s.found).otherwise(F.array_append(s.found, one)).alias("found"))
+
+    fields = F.aggregate(F.sequence(F.lit(1), F.size("names")), start, step)["found"]
+    cells = F.transform(F.arrays_zip(F.slice("names", F.lit(1), F.size(fields)).alias("key"), fields.alias("f")), lambda z: F.struct(z.key.alias("key"), _fru_text(z.f.kind, z.f.raw).alias("value")))
+    return rows.select(*keep, "area", F.inline(cells)).where("key IS NOT NULL AND value <> ''")
+
+
+# -- firmware texts
+
+#: What firmware writes where it has no value.
+PLACEHOLDERS = (
+    "to be filled by o.e.m.", "to be filled by oem", "default string", "not specified", "not applicable", "not available", "n/a", "na", "none", "unknown", "undefined", "unspecified", "o.e.m.", "oem", "empty", "default",
+    "system product name", "system manufacturer", "system version", "system serial number", "base board serial number", "base board product name", "base board manufacturer", "base board version", "chassis serial number",
+    "chassis manufacturer", "chassis version", "serial number", "no dimm", "no module installed", "not installed", "type1productconfigid", "123456789", "0123456789", "0123456789abcdef",
+)
+FILL, MOST_TEXT = "0fFxX-._*?#", 128
+
+
+def firmware_text(value: Column) -> Column:
+    """Without control characters and blanks at the ends; null where it says nothing: a placeholder, or one fill character over and over."""
+    clean = F.left(F.trim(F.regexp_replace(value, r"[\x00-\x1f\x7f]", "")), F.lit(MOST_TEXT))
+    low, first = F.lower(clean), F.left(clean, F.lit(1))
+    fill = F.lit(FILL).contains(first) & (F.replace(clean, first, F.lit("")) == "")
+    return F.when((clean != "") & ~low.isin(*PLACEHOLDERS) & ~low.startswith("to be filled") & ~fill, clean)
+
+
+def inventory_points(facts: DataFrame, keep: list[str], attributes: str = "attributes") -> DataFrame:
+    """keep, attributes and value 1 of each fact whose cleaned attributes say more than its id."""
+    cleaned = F.map_filter(F.transform_values(attributes, lambda _, v: firmware_text(v)), lambda _, v: v.isNotNull())
+    rows = maps.once(facts, {attributes: cleaned})
+    return rows.where(F.exists(F.map_keys(attributes), lambda k: k != "hw.id")).select(*keep, attributes, F.lit(1).cast("long").alias("value"))

@@ -42,10 +42,12 @@ def logshape(df: DataFrame, branches: Sequence[str] | None = None, options: dict
     if unknown:
         raise ValueError(f"unknown branches: {sorted(unknown)}")
     chosen = [_hinted(b, options) for b in BRANCHES if branches is None or b.name in branches]
-    out = flatten(shaped(df, chosen, options))
-    inner = [b for b in chosen if b.name != "syslog"]
-    if inner and any(b.name == "syslog" for b in chosen):
-        out = _again(out, inner, options)
+    by_name = [b.name for b in chosen]
+    if "syslog" in by_name and len(chosen) > 1:
+        at = by_name.index("syslog")
+        out = _with_inner(df, chosen[:at], chosen[at], chosen[:at] + chosen[at + 1 :], options)
+    else:
+        out = flatten(shaped(df, chosen, options))
     names = options.get("service_name_overrides", {})
     if names:
         service = F.col("resource")["service.name"]
@@ -74,27 +76,18 @@ def _hinted(b: Branch, options: dict) -> Branch:
     return replace(b, claim=claim)
 
 
-def _again(df: DataFrame, branches: Sequence[Branch], options: dict) -> DataFrame:
-    """The records that syslog has claimed, shaped by their inner text."""
-    hidden = ["message", "priority"]
-    held = df.withColumn("_hidden", maps.only(F.col("attributes"), hidden)).withColumnRenamed("branch", "_outer").withColumn("_body", F.when(F.col("_outer") == "syslog", F.col("body")).otherwise(""))
-    # the attributes that only outer branches may claim by are hidden from the second pass
-    again = shaped(held.withColumn("attributes", F.when(F.col("_outer") == "syslog", maps.without(F.col("attributes"), hidden)).otherwise(F.col("attributes"))), branches, {**options, "cisco_source": "_none"}, body="_body").drop("_branch")
-    took = (F.col("_outer") == "syslog") & F.col("_shaped").isNotNull()
-    s = lambda k: F.col(f"_shaped.{k}")
-    rest = [c for c in df.columns if c not in ("branch", "body", "severity_number", "severity_text", "ts_us", "attributes", "resource", "scope_name")]
-    number = F.when(took, F.coalesce(s("severity_number"), F.col("severity_number"))).otherwise(F.col("severity_number"))
-    return again.select(
-        *rest,
-        F.when(took, s("branch")).otherwise(F.col("_outer")).alias("branch"),
-        F.when(took, s("body")).otherwise(F.col("body")).alias("body"),
-        number.alias("severity_number"),
-        F.coalesce(levels.text(number), F.col("severity_text")).alias("severity_text"),
-        F.when(took, s("ts_us")).otherwise(F.col("ts_us")).alias("ts_us"),
-        maps.merge(F.when(took, s("attributes")).otherwise(F.col("attributes")), F.col("_hidden")).alias("attributes"),
-        F.when(took, s("resource")).otherwise(F.col("resource")).alias("resource"),
-        F.when(took, s("scope_name")).otherwise(F.col("scope_name")).alias("scope_name"),
-    )
+def _with_inner(df: DataFrame, before: Sequence[Branch], syslog: Branch, others: Sequence[Branch], options: dict) -> DataFrame:
+    """Syslog lines that no branch before claims are unwrapped; then each record, or its inner text, goes through the others once."""
+    free = claimed_by(record(df, options), before).isNull() if before else F.lit(True)
+    outer = flatten(shaped(df, [syslog], options, only=free)).withColumnRenamed("branch", "_outer")
+    inner = F.col("_outer") == "syslog"
+    # The attributes that only outer lines are known by are hidden meanwhile.
+    hidden = ["message", "priority", options.get("cisco_source", "log.record.original")]
+    outer = outer.withColumn("_hidden", F.when(inner, maps.only(F.col("attributes"), hidden)))
+    outer = outer.withColumn("attributes", F.when(inner, maps.without(F.col("attributes"), hidden)).otherwise(F.col("attributes")))
+    out = flatten(shaped(outer, others, options), keep=("_outer", "_hidden"))
+    attributes = F.when(F.col("_outer") == "syslog", maps.merge(F.col("attributes"), F.col("_hidden"))).otherwise(F.col("attributes"))
+    return out.withColumns({"branch": F.coalesce("branch", "_outer"), "attributes": attributes}).drop("_outer", "_hidden")
 
 
 def claims(df: DataFrame, options: dict | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.functions import levels, maps
+from lumenloom.functions import levels, maps, pairs
 from lumenloom.functions.patterns import captures, group, matches
 
 ORIGINAL = "log.record.original"
@@ -30,7 +30,7 @@ SLOTS = {
     "json": "map<string,string>",
     "caps2": "array<string>",
     "json2": "map<string,string>",
-    "kv": "array<struct<k:string,v:string>>",
+    "kv": pairs.KIND,
     "caps3": "array<string>",
 }
 #: Slots of one level may read those of the levels before.
@@ -143,10 +143,9 @@ class Branch:
 
 
 RESULT = "struct<branch:string,body:string,severity_number:int,severity_text:string,ts_us:bigint,attributes:map<string,string>,resource:map<string,string>,scope_name:string>"
-_RAW = (
-    "struct<body:string,level:int,ts_us:bigint,put:map<string,string>,fill:map<string,string>,more:map<string,string>,"
-    "res:map<string,string>,res_fill:map<string,string>,scope:string,dropped:array<string>,clear:boolean>"
-)
+#: The parts of a shape that are maps: their values are computed as arrays, in compiled code, and named by the branch's keys after.
+_PARTS = ("put", "fill", "res", "res_fill")
+_RAW = "struct<body:string,level:int,ts_us:bigint,more:map<string,string>,scope:string,put:array<string>,fill:array<string>,res:array<string>,res_fill:array<string>>"
 
 
 def begins(text: Column, chars: str) -> Column:
@@ -197,42 +196,44 @@ def record(df: DataFrame, options: dict | None = None, body: str = "body") -> Re
     )
 
 
-def _raw(rec: Rec, s: Shape) -> Column:
+def _parts(rec: Rec, s: Shape) -> dict[str, dict[str, Column]]:
     fill = dict(s.fill)
     if s.original and rec.options.get("keep_original", True):
         fill.setdefault(ORIGINAL, F.nullif(rec.text, F.lit("")))
+    return {"put": s.put, "fill": fill, "res": s.resource, "res_fill": s.resource_fill}
+
+
+def _raw(rec: Rec, s: Shape) -> Column:
     null = lambda kind: F.lit(None).cast(kind)
+    values = [F.array(*[v.cast("string") for v in p.values()]).cast("array<string>").alias(k) for k, p in _parts(rec, s).items()]
     return F.struct(
         (s.body if s.body is not None else null("string")).cast("string").alias("body"),
         (s.level if s.level is not None else null("int")).cast("int").alias("level"),
         (s.ts_us if s.ts_us is not None else null("long")).cast("long").alias("ts_us"),
-        maps.of(s.put).alias("put"),
-        maps.of(fill).alias("fill"),
         (s.more if s.more is not None else null("map<string,string>")).alias("more"),
-        maps.of(s.resource).alias("res"),
-        maps.of(s.resource_fill).alias("res_fill"),
         (s.scope if s.scope is not None else null("string")).cast("string").alias("scope"),
-        F.array(*[F.lit(k) for k in s.drop if k not in s.put]).cast("array<string>").alias("dropped"),
-        F.lit(s.clear_level).alias("clear"),
+        *values,
     ).cast(_RAW)
 
 
-def _layered(base: Column, dropped: Column | None, *layers: tuple[Column, bool]) -> Column:
-    """base without the dropped keys, then layer on layer: (map, wins over what is below)."""
+def _layered(base: Column, dropped: Column | None, *layers: tuple[Column | None, bool]) -> Column:
+    """base without the dropped keys, then layer on layer: (map or None, wins over what is below)."""
     out = base if dropped is None else F.map_filter(base, lambda k, _: ~F.array_contains(dropped, k))
     for layer, wins in layers:
-        out = maps.merge(out, layer) if wins else maps.merge(layer, out)
+        if layer is not None:
+            out = maps.merge(out, layer) if wins else maps.merge(layer, out)
     return out
 
 
-def shaped(df: DataFrame, branches: Sequence[Branch], options: dict | None = None, body: str = "body") -> DataFrame:
-    """Adds _shaped, a RESULT, null where no branch claims the record.
+def shaped(df: DataFrame, branches: Sequence[Branch], options: dict | None = None, body: str = "body", only: Column | None = None) -> DataFrame:
+    """Adds _shaped, a RESULT, null where no branch claims the record, or where ``only`` does not hold.
 
     Each level of slots is a projection of its own, so that a pattern runs once
     for a record and the expressions stay small.
     """
     rec = record(df, options, body)
-    df = df.withColumn("_branch", claimed_by(rec, branches))
+    claimed = claimed_by(rec, branches)
+    df = df.withColumn("_branch", claimed if only is None else F.when(only, claimed))
     at = F.col("_branch")
     for level in LEVELS:
         cols = {}
@@ -240,15 +241,27 @@ def shaped(df: DataFrame, branches: Sequence[Branch], options: dict | None = Non
             found = [(at == b.name, c.cast(SLOTS[slot])) for b in branches if (c := b.slot(slot, rec)) is not None]
             cols[f"_{slot}"] = _case(found, SLOTS[slot])
         df = df.withColumns(cols)
-    df = df.withColumn("_raw", _case([(at == b.name, _raw(rec, b.shape(rec))) for b in branches], _RAW))
+    shapes = {b.name: b.shape(rec) for b in branches}
+    df = maps.once(df, {"_raw": _case([(at == n, _raw(rec, s)) for n, s in shapes.items()], _RAW)})
     s = lambda k: F.col(f"_raw.{k}")
     none = maps.empty()
-    level = F.when(~s("clear"), F.coalesce(s("level"), rec.severity))
+    texts = lambda keys: F.array(*map(F.lit, keys)).cast("array<string>")
+
+    def part(k: str) -> Column | None:
+        """A map of one kind over all branches, null where the branch has none of it."""
+        found = [(at == n, texts(p)) for n, shape in shapes.items() if (p := _parts(rec, shape)[k])]
+        return maps.named(_case(found, "array<string>"), s(k)) if found else None
+
+    dropped = [(at == n, texts([k for k in shape.drop if k not in shape.put])) for n, shape in shapes.items() if shape.drop]
+    clear = [n for n, shape in shapes.items() if shape.clear_level]
+    level = F.when(~at.isin(clear), F.coalesce(s("level"), rec.severity)) if clear else F.coalesce(s("level"), rec.severity)
     scope = F.col("scope_name") if "scope_name" in df.columns else F.lit(None).cast("string")
+    put, fill, res, res_fill = (None if m is None else F.coalesce(m, none) for m in map(part, _PARTS))
+    more = F.coalesce(s("more"), none) if any(shape.more is not None for shape in shapes.values()) else None
     df = df.withColumns({
         "_level": level,
-        "_attributes": _layered(rec.attributes, s("dropped"), (s("put"), True), (s("fill"), False), (F.coalesce(s("more"), none), True)),
-        "_resource": _layered(rec.resource, None, (s("res"), True), (s("res_fill"), False)),
+        "_attributes": _layered(rec.attributes, F.coalesce(_case(dropped, "array<string>"), texts([])) if dropped else None, (put, True), (fill, False), (more, True)),
+        "_resource": _layered(rec.resource, None, (res, True), (res_fill, False)),
     })
     out = F.struct(
         at.alias("branch"),
@@ -266,8 +279,8 @@ def shaped(df: DataFrame, branches: Sequence[Branch], options: dict | None = Non
 OUT = ("branch", "body", "severity_number", "severity_text", "ts_us", "attributes", "resource", "scope_name")
 
 
-def flatten(df: DataFrame) -> DataFrame:
-    """The fields of _shaped in place of the record's own, which stay where it is null."""
+def flatten(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The fields of _shaped in place of the record's own, which stay where it is null; of the other columns with an underscore only ``keep`` stay."""
     rec = record(df)
     own = {
         "body": F.col("body"),
@@ -279,7 +292,7 @@ def flatten(df: DataFrame) -> DataFrame:
         "scope_name": F.col("scope_name") if "scope_name" in df.columns else F.lit(None).cast("string"),
     }
     took = F.col("_shaped").isNotNull()
-    rest = [c for c in df.columns if c not in OUT and not c.startswith("_")]
+    rest = [c for c in df.columns if c not in OUT and (not c.startswith("_") or c in keep)]
     return df.select(
         *rest,
         F.col("_shaped.branch").alias("branch"),

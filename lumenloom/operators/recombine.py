@@ -6,11 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenloom.functions import maps
+from lumenloom.functions.layouts import line as layout
+from lumenloom.functions.layouts import maybe, rest
 from lumenloom.functions.patterns import matches
 from lumenloom.operators.timeseries import gap_groups, running_sum
 
 GAP_US, MAX_US, MAX_LINES, MAX_BYTES = 10_000, 80_000, 50, 1 << 16
-EXCEPTION = r"^[A-Za-z_][A-Za-z0-9_.]*(: .*)?$"
+#: Lines that hang together at most; a longer run of lines that go on with those before is cut.
+MOST_LINES = 20_000
+#: A dotted name, and behind a colon what it says.
+EXCEPTION = layout(r"[A-Za-z_][\w.]*", maybe(": ", rest()))
 
 
 def recombine(df: DataFrame, key: str, at_us: str, tie: str, line: str, first_entry: str, gap_us: int = GAP_US, max_us: int = MAX_US, max_lines: int = MAX_LINES, sep: str = "\n") -> DataFrame:
@@ -45,19 +50,26 @@ def is_continuation(line: Column) -> Column:
     return line.rlike("^[ \t]") | line.startswith("Caused by:") | line.rlike(r"^\.\.\. \d+ more$") | is_chain(line)
 
 
-def fold_traces(df: DataFrame, key: str, order: str, line: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+def fold_traces(df: DataFrame, key: str, order: str, line: str, max_bytes: int = MAX_BYTES, most_lines: int = MOST_LINES) -> DataFrame:
     """key, order (of the first line), n_lines and body of each record, with traces folded; blank lines are left out.
 
     A line joins the record before it if it continues it, or if it is the
     exception line of a trace: the first since its begin or last chain line, or
-    one with a message. A record is cut at each ``max_bytes``.
+    one with a message. A record is cut at each ``max_bytes``. No task holds more
+    than ``most_lines`` lines of a source together: where so many go on with each
+    other, what follows is a record of its own.
     """
     text = F.col(line)
     rows = df.where(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")) != "").select(key, order, line)
     exception = matches(text, EXCEPTION) & ~is_continuation(text) & ~is_trace_start(text)
     rows = rows.withColumn("_us", F.col(order).cast("long"))
     opens = is_trace_start(text) | (~is_continuation(text) & ~exception)
-    rows = gap_groups(rows, [key], "_us", order, opens, "_block", chunk_us=100_000).drop("prev_us")
+    rows = gap_groups(rows, [key], "_us", order, opens, "_run", chunk_us=100_000).drop("prev_us")
+    rows = running_sum(rows.withColumn("_one", F.lit(1)), [key], "_us", order, "_one", "_n", chunk_us=100_000)
+    begin = rows.groupBy(key, "_run").agg(F.min("_n").alias("_n0"))
+    same = F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}")) & (F.col("l._run") == F.col("r._run"))
+    rows = rows.alias("l").join(begin.alias("r"), same).select("l.*", "r._n0")
+    rows = rows.withColumn("_block", F.struct("_run", F.floor((F.col("_n") - F.col("_n0")) / most_lines).alias("part"))).drop("_one", "_n", "_n0")
     w = Window.partitionBy(key, "_block").orderBy(order)
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"_trace": F.first(is_trace_start(text)).over(so_far), "_ex": exception, "_part": F.sum(is_chain(text).cast("int")).over(so_far)})

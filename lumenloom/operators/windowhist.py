@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from lumenloom.operators.timeseries import DAY_US, previous
 
 MAX_SCALE, MIN_SCALE, MAX_SIZE = 20, -10, 16
+#: Ranks that the summary of a median tells apart.
+ACCURACY = 10_000
 
 _DISK = ("system.disk.pending_operations", "windows.physicaldisk.queue_length", "windows.physicaldisk.avg_queue_length", "windows.physicaldisk.operation_latency", "windows.physicaldisk.idle_time")
 _PLAIN = (
@@ -48,6 +50,30 @@ def routed(points: DataFrame, groups: list[str] | None = None, metric: str = "me
     return points.withColumns({"group": group, "mode": mode})
 
 
+def summaries(points: DataFrame, series: list[str], at_us: str, tie: str, value: str, every_us: int = DAY_US, groups: list[str] | None = None, keep_counter: bool = False) -> dict[str, DataFrame]:
+    """Points by what the catalogue says of their metric: ``histogram``, ``last``, ``counter`` and ``rest``.
+
+    Histograms are of values, or of rates where the group's counters are made
+    rates; with ``keep_counter`` such counters also give their last reading of
+    each window, else ``counter`` is empty. Points of no group pass in ``rest``.
+    series: columns that tell series of one metric apart; the metric is ``metric``.
+    """
+    keys = ["metric", *series]
+    known = routed(points, groups)
+    counters = [m for _, is_counter, metrics in CATALOGUE.values() if is_counter for m in metrics]
+    made_rate = F.col("metric").isin(counters)
+    rates = counter_rate(known.where((F.col("mode") == "histogram") & made_rate), keys, at_us, tie, value).where("rate IS NOT NULL").withColumn(value, F.col("rate").cast("double"))
+    plain = known.where((F.col("mode") == "histogram") & ~made_rate).withColumn(value, F.col(value).cast("double"))
+    names = [*keys, at_us, value]
+    last = lambda df: last_values(df, keys, at_us, tie, [value], every_us)
+    return {
+        "histogram": exponential_histogram(finite(plain.select(*names).unionByName(rates.select(*names)), value), keys, value, at_us, every_us),
+        "last": last(known.where(F.col("mode") == "last")),
+        "counter": last(known.where((F.col("mode") == "histogram") & made_rate & F.lit(keep_counter))),
+        "rest": known.where("mode IS NULL").select(*points.columns),
+    }
+
+
 def finite(points: DataFrame, value: str) -> DataFrame:
     """Without null, NaN and infinite values."""
     v = F.col(value)
@@ -167,12 +193,19 @@ def cumulative(windows: DataFrame, series: list[str]) -> DataFrame:
     return windows.withColumns({"n": F.sum("n").over(w), "sum_value": F.sum("sum_value").over(w), "min_value": F.min("min_value").over(w), "max_value": F.max("max_value").over(w)})
 
 
-def aligned_stats(points: DataFrame, series: list[str], value: str, at_us: str, period_us: int, percentiles: bool = True) -> DataFrame:
-    """One row per series, period and statistic: min, max, mean, sum, count and, if asked for, the median."""
+def aligned_stats(points: DataFrame, series: list[str], value: str, at_us: str, period_us: int, median: str | None = "summary") -> DataFrame:
+    """One row per series, period and statistic: min, max, mean, sum, count and, unless ``median`` is None, p50.
+
+    median: "summary" takes a value of the group by mergeable summaries of
+    bounded size, exact up to ACCURACY different values and within that share of
+    the ranks beyond; "exact" interpolates between the middle ones, for which a
+    task holds all different values of a group.
+    """
     aggs = [F.min(value).cast("double").alias("min"), F.max(value).cast("double").alias("max"), F.avg(value).alias("mean"), F.sum(value).cast("double").alias("sum"), F.count(value).cast("double").alias("count")]
     names = ["min", "max", "mean", "sum", "count"]
-    if percentiles:
-        aggs.append(F.percentile(value, F.lit(0.5)).alias("p50"))
+    if median:
+        found = F.percentile_approx(value, F.lit(0.5), F.lit(ACCURACY)) if median == "summary" else F.percentile(value, F.lit(0.5))
+        aggs.append(found.cast("double").alias("p50"))
         names.append("p50")
     wide = points.groupBy(*series, in_window(at_us, period_us).alias("period_us")).agg(*aggs)
     return wide.unpivot([*series, "period_us"], names, "stat", "value")

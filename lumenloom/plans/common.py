@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenloom.operators.timeseries import micros
+from lumenloom.sources.tables import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumns({"at_us": micros("ts"), "cents": F.round(F.col("value") * 100).cast("long")})
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events() for work that costs more than a shuffle of its rows, which small files are dealt over all cores for."""
+    return spread(events(spark, sf_dir))
+
+
 #: The same in DuckDB.
 EVENTS = "(SELECT *, epoch_us(ts) AS at_us, CAST(round(value * 100) AS BIGINT) AS cents FROM events)"
 DAY = 86_400_000_000

@@ -108,21 +108,25 @@ def openvpn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status files in both forms built from customers, read back, joined with routes and summed up."""
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("f"), "c_custkey", F.concat(F.lit("u"), F.col("c_custkey") % 40).alias("name"), F.concat(F.lit("10.0.0."), F.col("c_nationkey"), F.lit(":"), F.col("c_custkey")).alias("addr"))
     new = F.col("f") % 2 == 0
-    row = F.when(new, F.concat_ws(",", F.lit("CLIENT_LIST"), "name", "addr", F.lit("v"), F.col("c_custkey").cast("string"), F.lit("7"), F.lit("2026-01-01"), F.lit("1"), F.lit("UNDEF"))).otherwise(F.concat_ws(",", "name", "addr", F.col("c_custkey").cast("string"), F.lit("7"), F.lit("2026-01-01")))
-    route = F.when(new, F.concat_ws(",", F.lit("ROUTING_TABLE"), F.concat(F.lit("r"), "c_custkey"), "name", "addr", F.lit("t"))).otherwise(F.concat_ws(",", F.concat(F.lit("r"), "c_custkey"), "name", "addr", F.lit("t")))
+    at = F.timestamp_seconds(F.lit(1_780_272_000) + F.col("c_custkey") * 5_003)
+    since = F.when(F.col("c_custkey") % 3 == 0, F.date_format(at, "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format(at, "EEE MMM d HH:mm:ss yyyy"))
+    row = F.when(new, F.concat_ws(",", F.lit("CLIENT_LIST"), "name", "addr", F.lit("v"), F.col("c_custkey").cast("string"), F.lit("7"), since, F.lit("1"), F.lit("UNDEF"))).otherwise(F.concat_ws(",", "name", "addr", F.col("c_custkey").cast("string"), F.lit("7"), since))
+    # Two routes each, of which the second is the smaller text.
+    one = lambda letter: F.when(new, F.concat_ws(",", F.lit("ROUTING_TABLE"), F.concat(F.lit(letter), "c_custkey"), "name", "addr", F.lit("t"))).otherwise(F.concat_ws(",", F.concat(F.lit(letter), "c_custkey"), "name", "addr", F.lit("t")))
+    route = F.concat(one("r"), F.lit("\n"), one("a"))
     g = c.groupBy("f", _file_of("c_custkey")).agg(F.array_join(F.collect_list(row), "\n").alias("rows"), F.array_join(F.collect_list(route), "\n").alias("routes"))
     text = F.when(new, F.concat(F.lit("TITLE,V\nTIME,2026,1\nHEADER,CLIENT_LIST,x\n"), "rows", F.lit("\n"), "routes", F.lit("\nEND"))).otherwise(F.concat(F.lit("OpenVPN CLIENT LIST\nUpdated,2026\nCommon Name,x\n"), "rows", F.lit("\nROUTING TABLE\nVirtual Address,x\n"), "routes", F.lit("\nGLOBAL STATS\nq,0\n"), F.when(F.col("f") % 5 == 0, "cut").otherwise("END")))
     rows = devices.openvpn_rows(g.select(F.concat_ws("-", "f", "file").alias("path"), text.alias("value")))
     clients = rows.where("kind = 'client'").drop("virtual_address").withColumn("virtual_address", F.lit(None).cast("string"))
     joined = devices.openvpn_routes(clients, rows.where("kind = 'route'"))
-    totals = devices.openvpn_totals(joined).select("name", "address", "bytes_received", "bytes_sent", "sessions")
+    totals = devices.openvpn_totals(joined).select("name", "address", "bytes_received", "bytes_sent", "sessions", "since_us")
     firsts = joined.groupBy("name").agg(F.min("virtual_address").alias("first_route"))
     return totals.join(firsts, "name")
 
 
 OPENVPN = """
 WITH c AS (SELECT 'u' || c_custkey % 40 AS name, '10.0.0.' || c_nationkey AS address, c_custkey FROM customer WHERE c_nationkey % 2 = 0 OR c_nationkey % 5 <> 0)
-SELECT name, address, CAST(sum(c_custkey) AS BIGINT) AS bytes_received, 7 * count(*) AS bytes_sent, count(*) AS sessions, (SELECT min('r' || d.c_custkey) FROM c d WHERE d.name = c.name) AS first_route FROM c GROUP BY 1, 2
+SELECT name, address, CAST(sum(c_custkey) AS BIGINT) AS bytes_received, 7 * count(*) AS bytes_sent, count(*) AS sessions, (1780272000 + min(c_custkey) * 5003) * 1000000 AS since_us, (SELECT min('r' || d.c_custkey) FROM c d WHERE d.name = c.name) AS first_route FROM c GROUP BY 1, 2
 """
 
 
@@ -194,8 +198,8 @@ def histogram_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HISTOGRAM_BOUNDS = f"""
 WITH e AS (SELECT event_id, (event_id % 4)::DOUBLE AS a, (user_id % 3)::DOUBLE AS b, event_id % 5 AS n FROM {EVENTS})
-SELECT event_id, CASE WHEN b > 0 AND n > 0 THEN array_to_string(list_transform(range(0, n + 1), lambda i: round(a + b * i, 3)::VARCHAR), ' ') END AS linear,
-CASE WHEN a > 0 AND b > 1 AND n > 0 THEN array_to_string(list_transform(range(0, n + 1), lambda i: round(a * pow(b, i), 3)::VARCHAR), ' ') END AS exponential FROM e
+SELECT event_id, CASE WHEN b > 0 THEN array_to_string(list_transform(range(0, n + 1), lambda i: round(a + b * i, 3)::VARCHAR), ' ') END AS linear,
+CASE WHEN a > 0 AND b > 1 THEN array_to_string(list_transform(range(0, n + 1), lambda i: round(a * pow(b, i), 3)::VARCHAR), ' ') END AS exponential FROM e
 """
 
 

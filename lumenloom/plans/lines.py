@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lumenloom.operators.logshape import BY_NAME, logshape
 from lumenloom.operators.parsers import parse
-from lumenloom.plans.common import EVENTS, events
+from lumenloom.plans.common import EVENTS, lines as read_lines
 
 OPTIONS = {"prefix": "x", "keep_original": False, "account_aliases": {"7": "seven"}}
 
@@ -214,8 +214,7 @@ def _column(name: str) -> str:
 
 def shaped_case(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     c = CASES[name]
-    rows = events(spark, sf_dir)
-    lines = rows.select(
+    lines = read_lines(spark, sf_dir).select(
         "event_id", F.expr(c.line).alias("body"), F.expr(c.attributes).cast("map<string,string>").alias("attributes"), F.expr(c.resource).cast("map<string,string>").alias("resource"),
         F.expr(c.severity).cast("int").alias("severity_number"), F.expr(c.record_us).cast("long").alias("ts_us"),
     )

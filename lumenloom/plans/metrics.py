@@ -102,12 +102,13 @@ SELECT user_id, count(*) AS n_gaps, CAST(sum(CASE WHEN abs(gap - {6 * HOUR}) * 2
 
 
 def aligned_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The median as a value of the group, from summaries of bounded size."""
     out = windowhist.aligned_stats(events(spark, sf_dir), ["event_type"], "cents", "at_us", 6 * HOUR)
     return out.withColumn("value", F.round("value", 6))
 
 
 ALIGNED_STATS = f"""
-WITH w AS (SELECT event_type, at_us // {6 * HOUR} * {6 * HOUR} AS period_us, CAST(min(cents) AS DOUBLE) AS min, CAST(max(cents) AS DOUBLE) AS max, avg(cents) AS mean, CAST(sum(cents) AS DOUBLE) AS sum, CAST(count(cents) AS DOUBLE) AS count, quantile_cont(CAST(cents AS DOUBLE), 0.5) AS p50 FROM {EVENTS} GROUP BY 1, 2)
+WITH w AS (SELECT event_type, at_us // {6 * HOUR} * {6 * HOUR} AS period_us, CAST(min(cents) AS DOUBLE) AS min, CAST(max(cents) AS DOUBLE) AS max, avg(cents) AS mean, CAST(sum(cents) AS DOUBLE) AS sum, CAST(count(cents) AS DOUBLE) AS count, CAST(quantile_disc(cents, 0.5) AS DOUBLE) AS p50 FROM {EVENTS} GROUP BY 1, 2)
 SELECT event_type, period_us, stat, round(value, 6) AS value FROM (UNPIVOT w ON min, max, mean, sum, count, p50 INTO NAME stat VALUE value)
 """
 
@@ -224,15 +225,17 @@ UNION ALL SELECT name, at_us, true, count(*), CAST(sum(cents) AS BIGINT), CAST(0
 def process_lifetime(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     metric = F.when(F.col("event_type") == "view", "process.cpu.time").when(F.col("event_type") == "click", "process.disk.io").otherwise("process.uptime")
-    p = e.select("user_id", "at_us", metric.alias("metric"), F.when(metric == "process.uptime", "gauge").otherwise("sum").alias("kind"), F.when(metric != "process.uptime", "cumulative").alias("temporality"), F.when(metric == "process.disk.io", F.when(F.col("event_id") % 2 == 0, "read").otherwise("write")).alias("direction"), F.col("cents").cast("double").alias("value"))
-    out = enrich.process_lifetime(p, ["user_id"]).where("metric LIKE '%lifetime%'")
-    return out.groupBy("user_id", "metric", "direction").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("value"), F.max("at_us").alias("at_us"))
+    e = e.withColumn("day", F.floor(F.col("at_us") / DAY))
+    p = e.select("user_id", "day", "at_us", metric.alias("metric"), F.when(metric == "process.uptime", "gauge").otherwise("sum").alias("kind"), F.when(metric != "process.uptime", "cumulative").alias("temporality"), F.when(metric == "process.disk.io", F.when(F.col("event_id") % 2 == 0, "read").otherwise("write")).alias("direction"), F.col("cents").cast("double").alias("value"))
+    out = enrich.process_lifetime(p, ["user_id"], scrape="day").where("metric LIKE '%lifetime%'")
+    return out.groupBy("user_id", "day", "metric", "direction").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("value"), F.max("at_us").alias("at_us"))
 
 
 PROCESS_LIFETIME = f"""
-WITH a AS (SELECT user_id, max(cents) FILTER (event_type NOT IN ('view', 'click')) AS age, sum(cents) FILTER (event_type = 'view') AS cpu, max(at_us) FILTER (event_type = 'view') AS seen_at FROM {EVENTS} GROUP BY 1)
-SELECT user_id, 'process.cpu.lifetime.ratio' AS metric, NULL AS direction, CAST(1 AS BIGINT) AS n, round(cpu / age, 6) AS value, seen_at AS at_us FROM a WHERE age > 0 AND cpu IS NOT NULL
-UNION ALL SELECT e.user_id, 'process.disk.lifetime.rate', CASE WHEN event_id % 2 = 0 THEN 'read' ELSE 'write' END AS d, count(*), round(sum(cents / age), 6), max(at_us) FROM {EVENTS} e JOIN a ON a.user_id = e.user_id WHERE event_type = 'click' AND age > 0 GROUP BY e.user_id, d
+WITH d AS (SELECT *, at_us // {DAY} AS day FROM {EVENTS}),
+a AS (SELECT user_id, day, max(cents) FILTER (event_type NOT IN ('view', 'click')) AS age, sum(cents) FILTER (event_type = 'view') AS cpu, max(at_us) FILTER (event_type = 'view') AS seen_at FROM d GROUP BY 1, 2)
+SELECT user_id, day, 'process.cpu.lifetime.ratio' AS metric, NULL AS direction, CAST(1 AS BIGINT) AS n, round(cpu / age, 6) AS value, seen_at AS at_us FROM a WHERE age > 0 AND cpu IS NOT NULL
+UNION ALL SELECT d.user_id, d.day, 'process.disk.lifetime.rate', CASE WHEN event_id % 2 = 0 THEN 'read' ELSE 'write' END AS d1, count(*), round(sum(cents / age), 6), max(at_us) FROM d JOIN a ON a.user_id = d.user_id AND a.day = d.day WHERE event_type = 'click' AND age > 0 GROUP BY d.user_id, d.day, d1
 """
 
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from lumenloom.functions import network
 from lumenloom.operators import enrich, filters, journald as jd, recombine as rc
-from lumenloom.plans.common import DAY, EVENTS, events, table
+from lumenloom.plans.common import DAY, EVENTS, events, lines, table
 from lumenloom.sinks import flowlog
 from lumenloom.sources import devices
+from lumenloom.sources.tables import spread
 
 HOUR = DAY // 24
 
@@ -37,7 +38,9 @@ ASSET_LOOKUP = "SELECT c_custkey, CASE WHEN n_nationkey % 5 = 0 THEN 'new-' || n
 
 def port_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "nation").select(F.concat(F.lit("sw"), F.floor(F.col("n_nationkey") / 2).cast("string"), F.when(F.col("n_nationkey") % 2 == 0, ".a.net").otherwise(".b.net")).alias("hostname"), F.concat(F.lit("Gi"), F.col("n_regionkey")).alias("port"), F.col("n_name").alias("alias"))
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("sw"), F.col("c_custkey") % 14, F.when(F.col("c_custkey") % 3 == 0, "").otherwise(".a.net")).alias("host"), F.concat(F.lit("Gi"), F.col("c_nationkey") % 5).alias("port"))
+    loud = F.col("c_custkey") % 4 == 0
+    name, port = F.concat(F.lit("sw"), F.col("c_custkey") % 14, F.when(F.col("c_custkey") % 3 == 0, "").otherwise(".a.net")), F.concat(F.lit("Gi"), F.col("c_nationkey") % 5)
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.when(loud, F.concat(F.lit(" "), F.upper(name))).otherwise(name).alias("host"), F.when(loud, F.concat(F.lower(port), F.lit(" "))).otherwise(port).alias("port"))
     return enrich.port_alias(c, a, "host", "port").select("c_custkey", "alias")
 
 
@@ -49,7 +52,7 @@ SELECT c_custkey, coalesce((SELECT min(alias) FROM a WHERE a.h = c.h AND a.p = c
 
 
 def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     ns = F.lit(1_700_000_000_000_000_000)
     return li.select(
         "l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit("10."), F.col("l_partkey") % 256, F.lit("."), F.col("l_suppkey") % 256, F.lit(".1")).alias("src_addr"),
@@ -65,9 +68,8 @@ def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flow_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded flows folded, mapped and looked up; the table's filled columns with the keys of their rows."""
     routers = table(spark, sf_dir, "nation").select(F.concat(F.lit("172.16.0."), F.col("n_nationkey")).alias("address"), F.concat(F.lit("acc"), "n_nationkey").alias("account_id"), F.col("n_name").alias("region"), (F.col("n_nationkey") * 10).cast("int").alias("sampling_rate"), F.when(F.col("n_nationkey") % 2 == 0, "ingress").alias("direction")).where("n_nationkey < 8")
-    flows = devices.flow_attributes(devices.folded(_flows(spark, sf_dir)))
-    keyed = flows.withColumn("attributes", F.map_concat("attributes", F.create_map(F.lit("flow.sequence_num"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("string"))))
-    out = flowlog.flow_rows(keyed, routers, loader="l", collector="c")
+    flows = devices.folded(_flows(spark, sf_dir)).withColumn("sequence", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    out = flowlog.flow_rows(flows, routers, loader="l", collector="c", fields=devices.flow_fields(flows))
     return out.groupBy("sequence_num", "srcaddr", "dstaddr", "srcport", "dstport", "protocol", "packets", "bytes", "exporter", "account_id", "region", "sampling_rate", "flow_direction", "dscp", "action", "flow_type", "start_time", "end_time", "received_at", "ip_version", "src_asn").agg(F.count("*").alias("n"))
 
 
@@ -304,7 +306,7 @@ UNION ALL SELECT 'gcp', event_id, event_type, NULL, CASE event_type WHEN 'error'
 
 
 def journald(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _maps(events(spark, sf_dir).select("event_id", "user_id", "event_type"), {}, {"host.name": "if(event_id % 3 = 0, 'own', null)"}).withColumn("body", F.lit("map"))
+    e = _maps(lines(spark, sf_dir).select("event_id", "user_id", "event_type"), {}, {"host.name": "if(event_id % 3 = 0, 'own', null)"}).withColumn("body", F.lit("map"))
     cells = {"MESSAGE": "event_type", "PRIORITY": "event_id % 9", "_HOSTNAME": "concat('h', user_id)", "_PID": "event_id", "_SYSTEMD_UNIT": "concat(event_type, '.service')", "_TRANSPORT": "'stdout'", "_ODD": "user_id", "__CURSOR": "'c'", "EXTRA": "'x'"}
     fields = F.create_map(*[x for k, v in cells.items() for x in (F.lit(k), F.expr(v).cast("string"))])
     out = jd.journald(e.withColumn("fields", F.when(F.col("event_id") % 10 != 0, fields)), extended=True)

@@ -10,18 +10,73 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenloom.functions import network
+from lumenloom.functions.maps import lookup, once
 from lumenloom.operators.enrich import small
 
-#: The table's 60 columns in order, and their types.
-_KINDS = {"s": T.StringType(), "i": T.IntegerType(), "l": T.LongType(), "t": T.LongType(), "b": T.ShortType()}
-_LAYOUT = """
-cloud:s account_id:s region:s source_file:s insert_id:s loaded_at:t loader:s exporter:s collector:s vpc_id:s peer_vpc_id:s subnet_id:s interface_id:s
-input_interface:s output_interface:s vlan_id:i instance_id:s src_instance:s dst_instance:s srcaddr:s dstaddr:s pkt_srcaddr:s pkt_dstaddr:s srcport:i dstport:i
-protocol:i packets:l bytes:l sampling_rate:i tcp_flags:i type:s flow_direction:s traffic_path:s dscp:i next_hop:s src_asn:l dst_asn:l start_time:t end_time:t
-action:s log_status:s version:i src_k8s_cluster:s src_k8s_namespace:s src_k8s_pod:s src_k8s_workload:s dst_k8s_cluster:s dst_k8s_namespace:s dst_k8s_pod:s
-dst_k8s_workload:s src_service:s dst_service:s flow_type:s sequence_num:l received_at:t ip_version:b src_mac:s dst_mac:s icmp_type:b icmp_code:b
-"""
-COLUMNS = [tuple(c.split(":")) for c in _LAYOUT.split()]
+_KINDS = {"string": T.StringType(), "integer": T.IntegerType(), "long": T.LongType(), "time": T.LongType(), "small": T.ShortType()}
+#: The table's 60 columns in order, and their kinds; times are seconds since 1970.
+COLUMNS = [
+    ("cloud", "string"),
+    ("account_id", "string"),
+    ("region", "string"),
+    ("source_file", "string"),
+    ("insert_id", "string"),
+    ("loaded_at", "time"),
+    ("loader", "string"),
+    ("exporter", "string"),
+    ("collector", "string"),
+    ("vpc_id", "string"),
+    ("peer_vpc_id", "string"),
+    ("subnet_id", "string"),
+    ("interface_id", "string"),
+    ("input_interface", "string"),
+    ("output_interface", "string"),
+    ("vlan_id", "integer"),
+    ("instance_id", "string"),
+    ("src_instance", "string"),
+    ("dst_instance", "string"),
+    ("srcaddr", "string"),
+    ("dstaddr", "string"),
+    ("pkt_srcaddr", "string"),
+    ("pkt_dstaddr", "string"),
+    ("srcport", "integer"),
+    ("dstport", "integer"),
+    ("protocol", "integer"),
+    ("packets", "long"),
+    ("bytes", "long"),
+    ("sampling_rate", "integer"),
+    ("tcp_flags", "integer"),
+    ("type", "string"),
+    ("flow_direction", "string"),
+    ("traffic_path", "string"),
+    ("dscp", "integer"),
+    ("next_hop", "string"),
+    ("src_asn", "long"),
+    ("dst_asn", "long"),
+    ("start_time", "time"),
+    ("end_time", "time"),
+    ("action", "string"),
+    ("log_status", "string"),
+    ("version", "integer"),
+    ("src_k8s_cluster", "string"),
+    ("src_k8s_namespace", "string"),
+    ("src_k8s_pod", "string"),
+    ("src_k8s_workload", "string"),
+    ("dst_k8s_cluster", "string"),
+    ("dst_k8s_namespace", "string"),
+    ("dst_k8s_pod", "string"),
+    ("dst_k8s_workload", "string"),
+    ("src_service", "string"),
+    ("dst_service", "string"),
+    ("flow_type", "string"),
+    ("sequence_num", "long"),
+    ("received_at", "time"),
+    ("ip_version", "small"),
+    ("src_mac", "string"),
+    ("dst_mac", "string"),
+    ("icmp_type", "small"),
+    ("icmp_code", "small"),
+]
 FLOW_SCHEMA = T.StructType([T.StructField(n, _KINDS[k]) for n, k in COLUMNS])
 
 #: Numbers of protocols by name.
@@ -41,10 +96,8 @@ def clamp(v: Column, low: int, high: int) -> Column:
 
 
 def protocol_number(name: Column) -> Column:
-    known = F.lit(None).cast("int")
-    for n, number in PROTOCOLS.items():
-        known = F.when(name == n, number).otherwise(known)
-    return F.coalesce(name.try_cast("int"), known, F.lit(0))
+    """A number as it is, a name by the table, 0 for others."""
+    return F.coalesce(name.try_cast("int"), lookup(name, PROTOCOLS), F.lit(0))
 
 
 def action(forwarding_status: Column) -> Column:
@@ -53,49 +106,87 @@ def action(forwarding_status: Column) -> Column:
     return F.when(code == 1, "ACCEPT").when(code == 2, "REJECT").otherwise("")
 
 
-def flow_rows(flows: DataFrame, routers: DataFrame | None = None, loader: str = "", collector: str = "", attributes: str = "attributes", received_ns: str | None = None) -> DataFrame:
+_TEXTS = ("flow.type", "flow.direction", "flow.next_hop", "flow.src_mac", "flow.dst_mac")
+_NUMBERS = (
+    "source.port", "destination.port", "source.as.number", "destination.as.number", "flow.src_as", "flow.dst_as", "flow.io.packets", "flow.io.bytes", "flow.in_if", "flow.out_if", "flow.tcp_flags", "flow.ip_tos",
+    "flow.forwarding_status", "flow.time_received", "flow.start", "flow.end", "flow.sampling_rate", "flow.vlan_id", "flow.sequence_num", "flow.icmp_type", "flow.icmp_code",
+)
+
+
+def flow_rows(
+    flows: DataFrame, routers: DataFrame | None = None, loader: str = "", collector: str = "", attributes: str = "attributes", received_ns: str | None = None, fields: dict[str, Column] | None = None
+) -> DataFrame:
     """The flow table's rows; records without two readable addresses are left out.
 
-    Times are seconds since 1970. Start and end outside of 2000 to 2099 both
-    take the time received. routers: address, account_id, region, sampling_rate,
-    direction; the exporter's address finds its row, IPv4 in IPv6 form as IPv4.
-    The record's sampling rate goes before the router's, 1 is the last resort.
+    The fields of a flow come from the map ``attributes``, or from the columns of
+    ``fields`` (attribute name -> column), which need no map. Times are seconds
+    since 1970. Start and end outside of 2000 to 2099 both take the time
+    received. routers: address, account_id, region, sampling_rate, direction;
+    the exporter's address finds its row, IPv4 in IPv6 form as IPv4. The record's
+    sampling rate goes before the router's, 1 is the last resort.
     """
-    a = F.col(attributes)
-    s = lambda k: a[k]
-    n = lambda *k: F.coalesce(*[a[x].try_cast("long") for x in k])
-    zero = lambda *k: F.coalesce(n(*k), F.lit(0).cast("long"))
-    i32 = lambda v: clamp(v, *INT32).cast("int")
-    flows = flows.withColumns({"_src": network.canonical(s("source.address")), "_dst": network.canonical(s("destination.address"))}).where("_src IS NOT NULL AND _dst IS NOT NULL")
-    sampler = F.coalesce(network.canonical(s("flow.sampler_address")), s("flow.sampler_address"))
-    flows = flows.withColumn("_exporter", sampler)
+    if fields is None:
+        flows = once(flows, {attributes: F.col(attributes)})
+        fields = {k: F.col(attributes)[k] for k in (*_TEXTS, *_NUMBERS, "source.address", "destination.address", "flow.sampler_address", "network.transport")}
+    found = lambda k: fields[k] if k in fields else F.lit(None)
+    src, dst, sampler = (found(k).cast("string") for k in ("source.address", "destination.address", "flow.sampler_address"))
+    flows = flows.where(network.is_address(src) & network.is_address(dst))
+    # Every field is read, and every address brought to its short form, once.
+    read = {"_src": network.canonical(src), "_dst": network.canonical(dst), "_exporter": F.coalesce(network.canonical(sampler), sampler), "_protocol": protocol_number(found("network.transport").cast("string"))}
+    read |= {f"_{k}": found(k).cast("string") for k in _TEXTS} | {f"_{k}": found(k).try_cast("long") for k in _NUMBERS}
+    received = F.col(received_ns).cast("long") if received_ns else F.lit(None).cast("long")
+    flows = once(flows.withColumn("_given", received), read).select("_given", *[f"`{k}`" for k in read])
     if routers is not None:
         r = routers.select(network.canonical(F.col("address")).alias("_exporter"), F.struct("account_id", "region", "sampling_rate", "direction").alias("_route")).where("_exporter IS NOT NULL").dropDuplicates(["_exporter"])
         flows = flows.join(small(r), "_exporter", "left")
     else:
         flows = flows.withColumn("_route", F.lit(None).cast("struct<account_id:string,region:string,sampling_rate:int,direction:string>"))
+    s = lambda k: F.col(f"`_{k}`")
+    zero = lambda *k: F.coalesce(*map(s, k), F.lit(0).cast("long"))
+    i32 = lambda v: clamp(v, *INT32).cast("int")
     valid = lambda ns: F.coalesce(ns.between(FIRST_NS, LAST_NS - 1), F.lit(False))
     seconds = lambda ns: F.call_function("div", ns, F.lit(SECOND_NS))
-    fallback = F.col(received_ns).cast("long") if received_ns else F.lit(None).cast("long")
-    received = F.when(valid(zero("flow.time_received")), n("flow.time_received")).otherwise(fallback)
-    good = valid(zero("flow.start")) & valid(zero("flow.end"))
-    version = F.when(F.col("_src").contains(":"), 6).otherwise(4)
-    rate = F.when(zero("flow.sampling_rate") > 0, n("flow.sampling_rate")).when(F.coalesce(F.col("_route.sampling_rate"), F.lit(0)) > 0, F.col("_route.sampling_rate").cast("long")).otherwise(1)
     text = lambda v: F.coalesce(v, F.lit(""))
+    received = F.when(valid(s("flow.time_received")), s("flow.time_received")).otherwise(F.col("_given"))
+    good = valid(s("flow.start")) & valid(s("flow.end"))
+    rate = F.when(zero("flow.sampling_rate") > 0, s("flow.sampling_rate")).when(F.coalesce(F.col("_route.sampling_rate"), F.lit(0)) > 0, F.col("_route.sampling_rate").cast("long")).otherwise(1)
     made = {
-        "cloud": F.lit("onprem"), "loader": F.lit(loader), "collector": F.lit(collector), "exporter": text(F.col("_exporter")),
-        "account_id": text(F.col("_route.account_id")), "region": text(F.col("_route.region")),
-        "srcaddr": F.col("_src"), "dstaddr": F.col("_dst"), "ip_version": version, "srcport": i32(zero("source.port")), "dstport": i32(zero("destination.port")),
-        "protocol": protocol_number(s("network.transport")), "packets": zero("flow.io.packets"), "bytes": zero("flow.io.bytes"),
-        "input_interface": zero("flow.in_if").cast("string"), "output_interface": zero("flow.out_if").cast("string"),
-        "tcp_flags": i32(zero("flow.tcp_flags")), "dscp": i32(F.shiftright(zero("flow.ip_tos"), 2)), "action": action(n("flow.forwarding_status")), "flow_type": text(s("flow.type")),
-        "start_time": seconds(F.when(good, n("flow.start")).otherwise(received)), "end_time": seconds(F.when(good, n("flow.end")).otherwise(received)), "received_at": seconds(received),
-        "sampling_rate": i32(rate), "flow_direction": text(F.coalesce(F.nullif(s("flow.direction"), F.lit("")), F.col("_route.direction"))),
-        "next_hop": text(s("flow.next_hop")), "src_asn": zero("source.as.number", "flow.src_as"), "dst_asn": zero("destination.as.number", "flow.dst_as"),
-        "vlan_id": i32(zero("flow.vlan_id")), "sequence_num": clamp(zero("flow.sequence_num"), 0, (1 << 32) - 1), "src_mac": text(s("flow.src_mac")), "dst_mac": text(s("flow.dst_mac")),
-        "icmp_type": clamp(zero("flow.icmp_type"), 0, 255), "icmp_code": clamp(zero("flow.icmp_code"), 0, 255),
-    }
-    blank = {"s": F.lit(""), "i": F.lit(0), "l": F.lit(0), "t": F.lit(None), "b": F.lit(0)}
+        "cloud": F.lit("onprem"),
+        "account_id": text(F.col("_route.account_id")),
+        "region": text(F.col("_route.region")),
+        "loader": F.lit(loader),
+        "exporter": text(F.col("_exporter")),
+        "collector": F.lit(collector),
+        "input_interface": zero("flow.in_if").cast("string"),
+        "output_interface": zero("flow.out_if").cast("string"),
+        "vlan_id": i32(zero("flow.vlan_id")),
+        "srcaddr": F.col("_src"),
+        "dstaddr": F.col("_dst"),
+        "srcport": i32(zero("source.port")),
+        "dstport": i32(zero("destination.port")),
+        "protocol": F.col("_protocol"),
+        "packets": zero("flow.io.packets"),
+        "bytes": zero("flow.io.bytes"),
+        "sampling_rate": i32(rate),
+        "tcp_flags": i32(zero("flow.tcp_flags")),
+        "flow_direction": text(F.coalesce(F.nullif(s("flow.direction"), F.lit("")), F.col("_route.direction"))),
+        "dscp": i32(F.shiftright(zero("flow.ip_tos"), 2)),
+        "next_hop": text(s("flow.next_hop")),
+        "src_asn": zero("source.as.number", "flow.src_as"),
+        "dst_asn": zero("destination.as.number", "flow.dst_as"),
+        "start_time": seconds(F.when(good, s("flow.start")).otherwise(received)),
+        "end_time": seconds(F.when(good, s("flow.end")).otherwise(received)),
+        "action": action(s("flow.forwarding_status")),
+        "flow_type": text(s("flow.type")),
+        "sequence_num": clamp(zero("flow.sequence_num"), 0, (1 << 32) - 1),
+        "received_at": seconds(received),
+        "ip_version": F.when(F.col("_src").contains(":"), 6).otherwise(4),
+        "src_mac": text(s("flow.src_mac")),
+        "dst_mac": text(s("flow.dst_mac")),
+        "icmp_type": clamp(zero("flow.icmp_type"), 0, 255),
+        "icmp_code": clamp(zero("flow.icmp_code"), 0, 255),
+    }
+    blank = {"string": F.lit(""), "integer": F.lit(0), "long": F.lit(0), "time": F.lit(None), "small": F.lit(0)}
     return flows.select(*[made.get(name, blank[kind]).cast(_KINDS[kind]).alias(name) for name, kind in COLUMNS])
 
 
@@ -104,7 +195,7 @@ def used_columns(rows: DataFrame) -> list[str]:
     tests = []
     for name, kind in COLUMNS:
         c = F.col(name)
-        filled = c.isNotNull() & (c != "" if kind == "s" else (c != 0))
+        filled = c.isNotNull() & (c != "" if kind == "string" else (c != 0))
         tests.append(F.max(F.coalesce(filled, F.lit(False))).alias(name))
     got = rows.agg(*tests).first().asDict()
     return [n for n, _ in COLUMNS if got[n]]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenloom.functions import levels, times
+from lumenloom.operators.enrich import small
 from lumenloom.operators.timeseries import changes
 
 # -- identity provider events
@@ -71,13 +74,71 @@ def series_points(df: DataFrame, document: str = "value") -> DataFrame:
 
 
 def linear_bounds(offset: Column, width: Column, n: Column) -> Column:
-    """n + 1 bounds offset + width * i; null for a width or number that is not above 0."""
-    return F.when((width > 0) & (n > 0), F.transform(F.sequence(F.lit(0), n), lambda i: offset + width * i))
+    """n + 1 bounds offset + width * i; null for a width that is not above 0, or a number or offset below 0."""
+    return F.when((width > 0) & (n >= 0) & (offset >= 0), F.transform(F.sequence(F.lit(0), n), lambda i: offset + width * i))
 
 
 def exponential_bounds(scale: Column, growth: Column, n: Column) -> Column:
-    """n + 1 bounds scale * growth^i; null unless scale > 0, growth > 1 and n > 0."""
-    return F.when((scale > 0) & (growth > 1) & (n > 0), F.transform(F.sequence(F.lit(0), n), lambda i: scale * F.pow(growth, i)))
+    """n + 1 bounds scale * growth^i; null unless scale > 0, growth > 1 and n >= 0."""
+    return F.when((scale > 0) & (growth > 1) & (n >= 0), F.transform(F.sequence(F.lit(0), n), lambda i: scale * F.pow(growth, i)))
+
+
+_BUCKETS = "struct<explicitBuckets:struct<bounds:array<double>>,linearBuckets:struct<numFiniteBuckets:int,offset:double,width:double>,exponentialBuckets:struct<numFiniteBuckets:int,scale:double,growthFactor:double>>"
+
+
+def distribution_points(df: DataFrame, document: str = "value") -> DataFrame:
+    """metric, attributes, count, sum, bounds, counts, start_us and ts_us of the distributions in monitoring series.
+
+    Bounds stay as they are, though the source counts a value at a bound above
+    it. Counts are filled up with zeros to one more than there are bounds. Points
+    without a distribution or without readable buckets are left out.
+    """
+    value = f"struct<distributionValue:struct<count:string,mean:double,bucketOptions:{_BUCKETS},bucketCounts:array<string>>>"
+    d = F.from_json(F.col(document), f"struct<metric:struct<type:string,labels:map<string,string>>,points:array<struct<interval:struct<startTime:string,endTime:string>,value:{value}>>>")
+    rows = df.select(d.alias("d")).select("d.metric", F.explode("d.points").alias("p")).select("metric", "p.interval", F.col("p.value.distributionValue").alias("v"))
+    o = F.col("v.bucketOptions")
+    linear, growing = o["linearBuckets"], o["exponentialBuckets"]
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    bounds = F.coalesce(
+        o["explicitBuckets"]["bounds"], linear_bounds(zero(linear["offset"]), linear["width"], linear["numFiniteBuckets"]),
+        exponential_bounds(growing["scale"], growing["growthFactor"], growing["numFiniteBuckets"]),
+    )
+    rows = rows.select("metric", "interval", "v", bounds.alias("bounds")).where("bounds IS NOT NULL")
+    counts = F.transform(F.coalesce("v.bucketCounts", F.array()), lambda c: c.cast("long"))
+    counts = F.concat(counts, F.array_repeat(F.lit(0).cast("long"), F.greatest(F.size("bounds") + 1 - F.size(counts), F.lit(0))))
+    n = F.coalesce(F.col("v.count").cast("long"), F.lit(0))
+    return rows.select(
+        F.col("metric.type").alias("metric"), F.coalesce("metric.labels", F.create_map().cast("map<string,string>")).alias("attributes"), n.alias("count"), (n * zero(F.col("v.mean"))).alias("sum"), "bounds", counts.alias("counts"),
+        times.rfc3339_micros(F.col("interval.startTime")).alias("start_us"), times.rfc3339_micros(F.col("interval.endTime")).alias("ts_us"),
+    )
+
+
+# -- metric queries
+
+#: Queries of one call, and about how many series number their calls in one task.
+PER_CALL, SERIES_AT_ONCE = 500, 50_000
+
+
+def query_calls(series: DataFrame, stats: Sequence[str], keys: Sequence[str] = ("account", "region", "tier"), per_call: int = PER_CALL, at_once: int = SERIES_AT_ONCE) -> DataFrame:
+    """A row per series and statistic, with the call (part and number) of its account, region and tier that asks for it.
+
+    series: keys, namespace, name, dimensions (text). Calls hold ``per_call``
+    queries but for the last of a part; a large group is numbered in parts.
+    """
+    keys = list(keys)
+    n = series.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / at_once).alias("_parts"))
+    rows = series.join(small(n), keys).withColumn("part", F.pmod(F.xxhash64("namespace", "name", "dimensions"), F.col("_parts"))).drop("_parts")
+    w = Window.partitionBy(*keys, "part").orderBy("namespace", "name", "dimensions")
+    rows = rows.withColumn("_n", F.row_number().over(w) - 1)
+    rows = rows.select("*", F.posexplode(F.array(*map(F.lit, stats))).alias("_s", "stat"))
+    return rows.withColumn("call", F.floor((F.col("_n") * len(stats) + F.col("_s")) / per_call)).drop("_n", "_s")
+
+
+def metric_gauges(points: DataFrame, read_us: str = "read_us") -> DataFrame:
+    """One gauge per series, statistic and time: of windows that overlap the value that was read last; the metric is amazonaws.com/<namespace>/<name>."""
+    keys = ["account", "region", "namespace", "name", "dimensions", "stat", "ts_us"]
+    best = points.groupBy(*keys).agg(F.max_by("value", F.struct(read_us, "value")).alias("value"))
+    return best.select("account", "region", F.concat_ws("/", F.lit("amazonaws.com"), "namespace", "name").alias("metric"), "dimensions", "stat", "ts_us", "value")
 
 
 # -- virtual machines

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenloom.functions import network
+from lumenloom.functions import maps, network, times
 from lumenloom.functions.patterns import captures, glob, group, re2
 from lumenloom.operators.enrich import small
 
@@ -13,7 +13,7 @@ from lumenloom.operators.enrich import small
 
 
 def openvpn_rows(files: DataFrame, path: str = "path", text: str = "value") -> DataFrame:
-    """path, kind (client or route), name, real_address, virtual_address, bytes_received, bytes_sent, since and snapshot of each table row.
+    """path, snapshot, line (its place), kind (client or route), name, real_address, virtual_address, bytes_received, bytes_sent, since and since_us of each table row.
 
     files: whole texts. Forms 1 (titled sections), 2 (commas) and 3 (tabs). A
     file that does not end in END is not complete and gives nothing; rows with
@@ -34,7 +34,7 @@ def openvpn_rows(files: DataFrame, path: str = "path", text: str = "value") -> D
     rows = rows.withColumn("kind", kind)
     c, n = F.col("kind") == "client", F.col("new")
     out = rows.where("kind IS NOT NULL").select(
-        "path", "snapshot", "kind",
+        "path", "snapshot", F.col("i").alias("line"), "kind",
         F.when(c, F.when(n, get(1)).otherwise(get(0))).otherwise(F.when(n, get(2)).otherwise(get(1))).alias("name"),
         F.when(c, F.when(n, get(2)).otherwise(get(1))).otherwise(F.when(n, get(3)).otherwise(get(2))).alias("real_address"),
         F.when(c, F.when(n, get(3))).otherwise(F.when(n, get(1)).otherwise(get(0))).alias("virtual_address"),
@@ -42,19 +42,28 @@ def openvpn_rows(files: DataFrame, path: str = "path", text: str = "value") -> D
         F.when(c, F.when(n, F.when(F.size(f) >= 10, get(6)).otherwise(get(5))).otherwise(get(3))).try_cast("long").alias("bytes_sent"),
         F.when(c, F.when(n, F.when(F.size(f) >= 10, get(7)).otherwise(get(6))).otherwise(get(4))).alias("since"),
     )
+    out = out.withColumn("since_us", connected_us(F.col("since")))
     return out.where("kind = 'route' OR (name IS NOT NULL AND bytes_received IS NOT NULL AND bytes_sent IS NOT NULL)")
 
 
+def connected_us(since: Column) -> Column:
+    """``2026-06-18 08:12:15``, or ``Thu Jun 18 08:12:15 2026`` of the first form."""
+    of_words = F.regexp_replace(F.regexp_replace(since, "^[A-Za-z]+ ", ""), " +", " ")
+    return F.coalesce(times.utc_micros(since, "yyyy-MM-dd HH:mm:ss"), times.utc_micros(of_words, "MMM d HH:mm:ss yyyy"))
+
+
 def openvpn_routes(clients: DataFrame, routes: DataFrame) -> DataFrame:
-    """Clients with the virtual address of their first route by (name, real_address)."""
-    first = routes.groupBy("name", "real_address").agg(F.min("virtual_address").alias("_v"))
-    return clients.join(first, ["name", "real_address"], "left").withColumn("virtual_address", F.coalesce("virtual_address", "_v")).drop("_v")
+    """Clients with the virtual address of the first route of their file, by place in it, that has their name and address."""
+    keys = ["path", "name", "real_address"]
+    first = routes.groupBy(*keys).agg(F.min_by("virtual_address", "line").alias("_v"))
+    return clients.join(first, keys, "left").withColumn("virtual_address", F.coalesce("virtual_address", "_v")).drop("_v")
 
 
 def openvpn_totals(clients: DataFrame) -> DataFrame:
-    """bytes and earliest start per name and address of a client's sessions."""
+    """bytes and earliest start (text and microseconds) per name and address of a client's sessions."""
     ip = network.host(F.col("real_address"))
-    return clients.groupBy("name", ip.alias("address")).agg(F.sum("bytes_received").alias("bytes_received"), F.sum("bytes_sent").alias("bytes_sent"), F.min("since").alias("since"), F.count("*").alias("sessions"))
+    start = [F.min_by("since", "since_us").alias("since"), F.min("since_us").alias("since_us")]
+    return clients.groupBy("name", ip.alias("address")).agg(F.sum("bytes_received").alias("bytes_received"), F.sum("bytes_sent").alias("bytes_sent"), *start, F.count("*").alias("sessions"))
 
 
 def new_snapshots(rows: DataFrame, seen: DataFrame) -> DataFrame:
@@ -176,19 +185,45 @@ def folded(flows: DataFrame) -> DataFrame:
     return flows.withColumns({"bytes": total("bytes"), "packets": total("packets")})
 
 
-def flow_attributes(flows: DataFrame) -> DataFrame:
-    """attributes of decoded flows, as the flow table's sink reads them; columns that are not there are left out."""
-    text = {
-        "source.address": "src_addr", "source.port": "src_port", "destination.address": "dst_addr", "destination.port": "dst_port", "flow.io.bytes": "bytes", "flow.io.packets": "packets",
-        "flow.sequence_num": "sequence", "flow.time_received": "received_ns", "flow.start": "start_ns", "flow.end": "end_ns", "flow.sampling_rate": "sampling_rate", "flow.sampler_address": "sampler",
-        "flow.tcp_flags": "tcp_flags", "flow.in_if": "in_if", "flow.out_if": "out_if", "flow.ip_tos": "tos", "flow.icmp_type": "icmp_type", "flow.icmp_code": "icmp_code", "flow.src_mac": "src_mac",
-        "flow.dst_mac": "dst_mac", "flow.vlan_id": "vlan_id", "flow.next_hop": "next_hop", "flow.src_as": "src_as", "flow.dst_as": "dst_as", "flow.forwarding_status": "forwarding_status",
-    }
-    cells: list[Column] = []
-    for attr, column in text.items():
-        if column in flows.columns:
-            cells += [F.lit(attr), F.col(column).cast("string")]
+#: Attributes of a flow and the decoded columns that they come from.
+FLOW_COLUMNS = {
+    "source.address": "src_addr",
+    "source.port": "src_port",
+    "destination.address": "dst_addr",
+    "destination.port": "dst_port",
+    "flow.io.bytes": "bytes",
+    "flow.io.packets": "packets",
+    "flow.sequence_num": "sequence",
+    "flow.time_received": "received_ns",
+    "flow.start": "start_ns",
+    "flow.end": "end_ns",
+    "flow.sampling_rate": "sampling_rate",
+    "flow.sampler_address": "sampler",
+    "flow.tcp_flags": "tcp_flags",
+    "flow.in_if": "in_if",
+    "flow.out_if": "out_if",
+    "flow.ip_tos": "tos",
+    "flow.icmp_type": "icmp_type",
+    "flow.icmp_code": "icmp_code",
+    "flow.src_mac": "src_mac",
+    "flow.dst_mac": "dst_mac",
+    "flow.vlan_id": "vlan_id",
+    "flow.next_hop": "next_hop",
+    "flow.src_as": "src_as",
+    "flow.dst_as": "dst_as",
+    "flow.forwarding_status": "forwarding_status",
+}
+
+
+def flow_fields(flows: DataFrame) -> dict[str, Column]:
+    """The attributes of decoded flows as columns; those whose source is not there are left out."""
+    found = {attr: F.col(c) for attr, c in FLOW_COLUMNS.items() if c in flows.columns}
     for attr, column, names in (("network.transport", "protocol", TRANSPORTS), ("network.type", "ethertype", ETHERTYPES), ("flow.type", "flow_type", FLOW_TYPES)):
         if column in flows.columns:
-            cells += [F.lit(attr), named(F.col(column), names)]
-    return flows.withColumn("attributes", F.map_filter(F.create_map(*cells), lambda _, v: v.isNotNull()))
+            found[attr] = named(F.col(column), names)
+    return found
+
+
+def flow_attributes(flows: DataFrame) -> DataFrame:
+    """Adds attributes, the fields of decoded flows as a map of texts."""
+    return flows.withColumn("attributes", maps.of(flow_fields(flows)))
