@@ -42,6 +42,10 @@ _CODES = 64
 SAMPLE_DOCS, LANDMARKS = 1200, 64
 _NEGATIVES = 12_000
 _MEMORY = 1_000_000
+#: Words times their length cubed that are valued together.
+AT_ONCE = 2_000_000
+#: Texts, and about how many characters of them, whose new pieces are valued together.
+DOCS_AT_ONCE, CHARS_AT_ONCE = 256, 1_000_000
 _EDGE = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum())
 #: Words below this value are alike: they have it.
 FLOOR = -0.6
@@ -58,12 +62,11 @@ def pieces(text: str | None) -> set[str]:
     if len(words) < 2:
         return found
     length = np.fromiter(map(len, words), np.int64, len(words))
-    short = length <= SHORT
-    two = short[1:] & short[:-1]
-    if two.any():
-        pairs = list(map(str.__add__, words, words[1:]))
-        found.update(map(pairs.__getitem__, np.flatnonzero(two).tolist()))
-        found.update(pairs[i] + words[i + 2] for i in np.flatnonzero(two[1:] & two[:-1]).tolist())
+    two = (length[1:] <= SHORT) & (length[:-1] <= SHORT)
+    at = np.flatnonzero(two)
+    if len(at):
+        found.update([words[i] + words[i + 1] for i in at.tolist()])
+        found.update([words[i] + words[i + 1] + words[i + 2] for i in np.flatnonzero(two[1:] & two[:-1]).tolist()])
         single = length == 1
         if (single[2:] & single[1:-1] & single[:-2]).any():
             edge = np.flatnonzero(np.diff(np.r_[False, single, False].astype(np.int8)))
@@ -186,17 +189,27 @@ def sums(words: list[str], table: np.ndarray, bias: float) -> np.ndarray:
     """
     out = np.full(len(words), max(bias, FLOOR))
     flat = table[:, 0]
-    for n, some in _by_length(words, 2_000_000):
-        c = codes([words[x] for x in some], n)
-        number, weight = features(c)
-        total = weight @ flat[number]
-        least = np.sqrt(weight**2 @ (number != 0))
-        some = np.array(some)
-        high = np.flatnonzero(total > (FLOOR - bias) * least if FLOOR > bias else least > 0)
-        out[some] = np.where(least > 0, FLOOR, out[some])
-        if len(high):
-            norm = norms(np.ascontiguousarray(c[:, high]))
-            out[some[high]] = np.maximum(FLOOR, total[high] / norm + bias)
+    for n, where in _by_length(words, AT_ONCE):
+        c = codes([words[x] for x in where], n)
+        where = np.array(where)
+        i, j, k, weight = _triples(n)
+        letters = c.all(0)  # without a mark or digit no subsequence is empty, and the least norm is the same for all
+        for some, whole in ((np.flatnonzero(letters), True), (np.flatnonzero(~letters), False)):
+            if not len(some):
+                continue
+            part = c if len(some) == len(where) else np.ascontiguousarray(c[:, some])
+            if whole:
+                total = weight @ flat[((part * _CODES)[i] + part[j]) * _CODES + part[k]]
+                least = np.full(len(some), np.sqrt((weight**2).sum()))
+            else:
+                number, _ = features(part)
+                total, least = weight @ flat[number], np.sqrt(weight**2 @ (number != 0))
+            at = where[some]
+            high = np.flatnonzero(total > (FLOOR - bias) * least if FLOOR > bias else least > 0)
+            out[at] = np.where(least > 0, FLOOR, out[at])
+            if len(high):
+                norm = norms(np.ascontiguousarray(part[:, high]))
+                out[at[high]] = np.maximum(FLOOR, total[high] / norm + bias)
     return out
 
 
@@ -334,23 +347,41 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, sample_doc
 
 
 class _Scorer:
+    """Values of texts; what is new in several texts is valued at once, and remembered."""
+
     def __init__(self, machine: Machine) -> None:
         self.machine, self.known = machine, {}
 
     def __call__(self, text: str | None) -> float:
-        """The value of a text's worst word."""
-        found = pieces(text)
-        new = list(found.difference(self.known))
-        parts = [strings(p) for p in new]
-        flat = self.machine.values([u for p in parts for u in p]) if new else []
-        at = 0
-        for p, us in zip(new, parts):
-            self.known[p] = max(flat[at : at + len(us)], default=FLOOR)
-            at += len(us)
-        value = max(map(self.known.__getitem__, found), default=FLOOR)
+        return self.values([text])[0]
+
+    def values(self, texts: list[str | None]) -> list[float]:
+        """The value of each text's worst piece."""
+        found = [pieces(t) for t in texts]
+        new = list(set().union(*found).difference(self.known))
+        bare = [p.strip(_EDGE) for p in new]
+        short = [w for w in bare if len(w) <= UNIT]
+        self.known.update(zip([p for p, w in zip(new, bare) if len(w) <= UNIT], self.machine.values(short).tolist()))
+        for p, w in zip(new, bare):
+            if len(w) > UNIT:
+                self.known[p] = float(self.machine.values(strings(p)).max())
+        out = [float(max(map(self.known.__getitem__, f), default=FLOOR)) for f in found]
         if len(self.known) > _MEMORY:
             self.known.clear()
-        return float(value)
+        return out
+
+
+def _runs(texts: pa.Array) -> Iterator[list[str | None]]:
+    """Texts by DOCS_AT_ONCE, or fewer where they are long."""
+    run, size = [], 0
+    for x in texts:
+        run.append(x.as_py())
+        size += len(run[-1] or "")
+        if len(run) == DOCS_AT_ONCE or size > CHARS_AT_ONCE:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -368,7 +399,7 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", threshold:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(shared.value)
         for batch in batches:
-            values = np.array([scorer(x.as_py()) for x in batch.column(at)], float)
+            values = np.array([v for run in _runs(batch.column(at)) for v in scorer.values(run)], float)
             p = shared.value.probability(values)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=fields.names)
 
