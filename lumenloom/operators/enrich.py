@@ -14,8 +14,13 @@ BROADCAST_BYTES = 64 << 20
 
 
 def small(table: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """``table`` marked for broadcast if the optimizer's estimate of its size is within ``most`` bytes, else as it is."""
-    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """``table`` marked for broadcast if the optimizer's estimate of its size is within ``most`` bytes, else as it is.
+
+    Without access to the plan, as over Spark Connect, Spark decides.
+    """
+    if not hasattr(table, "_jdf"):
+        return table
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(table) if size <= most else table
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenloom.functions.maps import once
 from lumenloom.operators.timeseries import DAY_US, previous
 
 MAX_SCALE, MIN_SCALE, MAX_SIZE = 20, -10, 16
@@ -154,6 +155,13 @@ def exponential_histogram(points: DataFrame, series: list[str], value: str, at_u
     joined to the points; a second counts by bucket. Both combine before they
     shuffle, so that a hot series costs each task a row per bucket.
     """
+    keys = [*series, "window_us"]
+    ranges, counted = _ranges_and_counts(points, series, value, at_us, every_us, max_size)
+    return _as_histograms(ranges, counted, keys)
+
+
+def _ranges_and_counts(points: DataFrame, series: list[str], value: str, at_us: str, every_us: int, max_size: int) -> tuple[DataFrame, DataFrame]:
+    """Per series and window: counts, ranges of either sign and scale; and the counts (_c) of its buckets (_pos, _i)."""
     if not 2 <= max_size <= 160:
         raise ValueError("max_size must be from 2 to 160")
     df = finite(points, value).withColumn("window_us", in_window(at_us, every_us)).withColumn("_v", F.col(value).cast("double"))
@@ -167,16 +175,22 @@ def exponential_histogram(points: DataFrame, series: list[str], value: str, at_u
         side(pos, F.min).alias("_pl"), side(pos, F.max).alias("_ph"), side(neg, F.min).alias("_nl"), side(neg, F.max).alias("_nh"),
     )
     ranges = ranges.withColumn("scale", F.least(_scale(F.col("_pl"), F.col("_ph"), max_size), _scale(F.col("_nl"), F.col("_nh"), max_size)))
+    scaled = df.where("_v <> 0").alias("l").join(ranges.select(*keys, "scale").alias("r"), _same(keys, "l", "r")).select("l.*", "r.scale")
+    counted = scaled.groupBy(*keys, "scale", pos.alias("_pos"), bucket(F.col("_v"), F.col("scale")).alias("_i")).agg(F.count("*").alias("_c"))
+    return ranges, counted
+
+
+def _same(keys: list[str], left: str, right: str) -> Column:
     cond = F.lit(True)
     for k in keys:
-        cond = cond & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-    scaled = df.where("_v <> 0").alias("l").join(ranges.select(*keys, "scale").alias("r"), cond).select("l.*", "r.scale")
-    counted = scaled.groupBy(*keys, pos.alias("_pos"), bucket(F.col("_v"), F.col("scale")).alias("_i")).agg(F.count("*").alias("_c"))
+        cond = cond & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return cond
+
+
+def _as_histograms(ranges: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+    """A row per row of ``ranges`` with its buckets."""
     spread = counted.groupBy(*keys).agg(*[F.map_from_entries(F.collect_list(F.when(F.col("_pos") == p, F.struct("_i", "_c")))).alias(n) for n, p in (("_p", True), ("_n", False))])
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    both = ranges.alias("a").join(spread.alias("b"), cond, "left").select("a.*", "b._p", "b._n")
+    both = ranges.alias("a").join(spread.alias("b"), _same(keys, "a", "b"), "left").select("a.*", "b._p", "b._n")
 
     def buckets(m: str) -> Column:
         ks = F.map_keys(m)
@@ -187,6 +201,36 @@ def exponential_histogram(points: DataFrame, series: list[str], value: str, at_u
     return both.select(*keys, "count", "sum", "min", "max", "scale", "zero_count", buckets("_p").alias("positive"), buckets("_n").alias("negative"))
 
 
+def cumulative_histogram(points: DataFrame, series: list[str], value: str, at_us: str, every_us: int = DAY_US, max_size: int = MAX_SIZE) -> DataFrame:
+    """As exponential_histogram(), but each window's row counts all of its series' points up to the window's end.
+
+    Windows are counted first, each at its own scale. The scale of a sum falls as
+    its range grows; windows of one scale form a step, for which the buckets of
+    all windows before are merged once, pairwise into those of the lower scale,
+    and then run on. So a series costs each step its buckets and windows, not all
+    pairs of windows.
+    """
+    keys = [*series, "window_us"]
+    ranges, counted = _ranges_and_counts(points, series, value, at_us, every_us, max_size)
+    w = Window.partitionBy(*series).orderBy("window_us").rowsBetween(Window.unboundedPreceding, 0)
+    run = {c: F.sum(c).over(w) for c in ("count", "sum", "zero_count")} | {c: F.min(c).over(w) for c in ("min", "_pl", "_nl")} | {c: F.max(c).over(w) for c in ("max", "_ph", "_nh")}
+    total = ranges.select(*keys, *[v.alias(c) for c, v in run.items()])
+    # Joins go by the scale: as a column of its own its long expression stays out of what the optimizer infers from them.
+    total = once(total, {"scale": F.least(_scale(F.col("_pl"), F.col("_ph"), max_size), _scale(F.col("_nl"), F.col("_nh"), max_size))})
+    steps = total.groupBy(*series, F.col("scale").alias("_to")).agg(F.min("window_us").alias("_from_us"), F.max("window_us").alias("_to_us"))
+    both = counted.alias("l").join(steps.alias("r"), _same(series, "l", "r") & (F.col("l.window_us") <= F.col("r._to_us"))).select("l.*", "r._to", "r._from_us")
+    merged = F.floor(F.col("_i") / F.pow(F.lit(2.0), F.col("scale") - F.col("_to"))).cast("long")
+    cell = [*series, "_to", "_pos", "_i"]
+    moved = both.select(*series, "_to", "_pos", merged.alias("_i"), F.greatest("window_us", "_from_us").alias("window_us"), "_c")
+    moved = moved.groupBy(*cell, "window_us").agg(F.sum("_c").alias("_c"))
+    windows = total.select(*keys, F.col("scale").alias("_to"))
+    on = [*series, "_to"]
+    grid = windows.alias("l").join(moved.select(*cell).distinct().alias("r"), _same(on, "l", "r")).select("l.*", "r._pos", "r._i")
+    filled = grid.alias("l").join(moved.alias("r"), _same([*cell, "window_us"], "l", "r"), "left").select("l.*", "r._c")
+    so_far = F.sum("_c").over(Window.partitionBy(*cell).orderBy("window_us").rowsBetween(Window.unboundedPreceding, 0))
+    return _as_histograms(total, filled.withColumn("_c", so_far).where("_c > 0"), keys)
+
+
 def cumulative(windows: DataFrame, series: list[str]) -> DataFrame:
     """Window statistics summed up since each series began; of one row per window, so a series' rows are few."""
     w = Window.partitionBy(*series).orderBy("window_us").rowsBetween(Window.unboundedPreceding, 0)

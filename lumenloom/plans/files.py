@@ -20,9 +20,9 @@ def _lines(spark: SparkSession, sf_dir: str, expr: str, *keep: str) -> DataFrame
     return events(spark, sf_dir).select(*keep, F.expr(expr).alias("value"))
 
 
-def _file_of(key: str) -> Column:
+def _file_of(key: str, most: int = _FILE) -> Column:
     """A bounded number of rows with one ``key``, a whole number, belong to one file."""
-    return F.floor(F.col(key) / _FILE).alias("file")
+    return F.floor(F.col(key) / most).alias("file")
 
 
 def vpc_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +114,7 @@ def openvpn(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Two routes each, of which the second is the smaller text.
     one = lambda letter: F.when(new, F.concat_ws(",", F.lit("ROUTING_TABLE"), F.concat(F.lit(letter), "c_custkey"), "name", "addr", F.lit("t"))).otherwise(F.concat_ws(",", F.concat(F.lit(letter), "c_custkey"), "name", "addr", F.lit("t")))
     route = F.concat(one("r"), F.lit("\n"), one("a"))
-    g = c.groupBy("f", _file_of("c_custkey")).agg(F.array_join(F.collect_list(row), "\n").alias("rows"), F.array_join(F.collect_list(route), "\n").alias("routes"))
+    g = c.groupBy("f", _file_of("c_custkey", _FILE // 2)).agg(F.array_join(F.collect_list(row), "\n").alias("rows"), F.array_join(F.collect_list(route), "\n").alias("routes"))
     text = F.when(new, F.concat(F.lit("TITLE,V\nTIME,2026,1\nHEADER,CLIENT_LIST,x\n"), "rows", F.lit("\n"), "routes", F.lit("\nEND"))).otherwise(F.concat(F.lit("OpenVPN CLIENT LIST\nUpdated,2026\nCommon Name,x\n"), "rows", F.lit("\nROUTING TABLE\nVirtual Address,x\n"), "routes", F.lit("\nGLOBAL STATS\nq,0\n"), F.when(F.col("f") % 5 == 0, "cut").otherwise("END")))
     rows = devices.openvpn_rows(g.select(F.concat_ws("-", "f", "file").alias("path"), text.alias("value")))
     clients = rows.where("kind = 'client'").drop("virtual_address").withColumn("virtual_address", F.lit(None).cast("string"))

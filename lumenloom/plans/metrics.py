@@ -91,6 +91,18 @@ FROM s LEFT JOIN f fp ON fp.event_type = s.event_type AND fp.window_us = s.windo
 """
 
 
+def windowhist_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histograms of all values up to each window's end."""
+    p = events(spark, sf_dir).withColumn("v", F.col("cents") - 2000 * (F.col("event_id") % 2) * (F.col("event_id") % 5 == 0).cast("int"))
+    h = windowhist.cumulative_histogram(p, ["event_type"], "v", "at_us")
+    line = lambda c: F.concat(F.col(f"{c}.offset"), F.lit(":"), F.array_join(f"{c}.counts", ","))
+    return h.select("event_type", "window_us", "count", F.col("sum").cast("long").alias("sum"), F.col("min").cast("long").alias("min"), F.col("max").cast("long").alias("max"), "scale", "zero_count", line("positive").alias("positive"), line("negative").alias("negative"))
+
+
+#: The same SQL over each window's own and all earlier points.
+WINDOWHIST_RUNNING = WINDOWHIST_HISTOGRAM.replace("WITH p AS (", "WITH q AS (").replace("r AS (SELECT event_type", "p AS (SELECT w.event_type, w.window_us, q.v FROM (SELECT DISTINCT event_type, window_us FROM q) w JOIN q ON q.event_type = w.event_type AND q.window_us <= w.window_us),\nr AS (SELECT event_type", 1)
+
+
 def odd_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowhist.odd_spacing(events(spark, sf_dir), ["user_id"], "at_us", "event_id", 6 * HOUR)
 
@@ -310,13 +322,13 @@ SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_linenumber::VA
 """
 
 QUERIES = {
-    "windowhist_rate": windowhist_rate, "windowhist_reset": windowhist_reset, "windowhist_last": windowhist_last, "windowhist_cumulative": windowhist_cumulative, "windowhist_histogram": windowhist_histogram,
+    "windowhist_rate": windowhist_rate, "windowhist_reset": windowhist_reset, "windowhist_last": windowhist_last, "windowhist_cumulative": windowhist_cumulative, "windowhist_histogram": windowhist_histogram, "windowhist_running": windowhist_running,
     "odd_spacing": odd_spacing, "aligned_stats": aligned_stats, "missed_windows": missed_windows, "counter_start": counter_start, "counter_reset_proof": counter_reset_proof, "rate_volume": rate_volume,
     "fact_changes": fact_changes, "sorted_caps": sorted_caps, "process_sums": process_sums, "sum_processes": sum_processes, "process_lifetime": process_lifetime, "normalized_load": normalized_load,
     "worst_state": worst_state, "map_points": map_points, "nvme_health": nvme_health,
 }
 ORACLES = {
-    "windowhist_rate": WINDOWHIST_RATE, "windowhist_reset": WINDOWHIST_RESET, "windowhist_last": WINDOWHIST_LAST, "windowhist_cumulative": WINDOWHIST_CUMULATIVE, "windowhist_histogram": WINDOWHIST_HISTOGRAM,
+    "windowhist_rate": WINDOWHIST_RATE, "windowhist_reset": WINDOWHIST_RESET, "windowhist_last": WINDOWHIST_LAST, "windowhist_cumulative": WINDOWHIST_CUMULATIVE, "windowhist_histogram": WINDOWHIST_HISTOGRAM, "windowhist_running": WINDOWHIST_RUNNING,
     "odd_spacing": ODD_SPACING, "aligned_stats": ALIGNED_STATS, "missed_windows": MISSED_WINDOWS, "counter_start": COUNTER_START, "counter_reset_proof": COUNTER_RESET_PROOF, "rate_volume": RATE_VOLUME,
     "fact_changes": FACT_CHANGES, "sorted_caps": SORTED_CAPS, "process_sums": PROCESS_SUMS, "sum_processes": SUM_PROCESSES, "process_lifetime": PROCESS_LIFETIME, "normalized_load": NORMALIZED_LOAD,
     "worst_state": WORST_STATE, "map_points": MAP_POINTS, "nvme_health": NVME_HEALTH,

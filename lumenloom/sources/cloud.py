@@ -46,7 +46,10 @@ def next_state(polled: DataFrame, groups: DataFrame, until_us: Column, group: st
 
 
 def not_seen(found: DataFrame, seen: DataFrame, now_us: Column, overlap_us: int = 2_000_000, skew_us: int = 60_000_000) -> DataFrame:
-    """Files (path, created_us) that are new: not before the newest seen time less ``overlap_us``, not in ``seen`` by (lower-case path, time), not from the future."""
+    """Files (path, created_us) that are new: not before the newest seen time less ``overlap_us``, not in ``seen`` by (lower-case path, time), not from the future.
+
+    The newest time is one row, which every file is joined to.
+    """
     high = seen.agg(F.max("created_us").alias("_high"))
     key = seen.select(F.lower("path").alias("_p"), F.col("created_us").alias("_c")).distinct()
     fresh = found.crossJoin(F.broadcast(high)).where((F.col("created_us") >= F.coalesce("_high", F.lit(0)) - overlap_us) & (F.col("created_us") <= now_us + skew_us))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt over all cores, if its source has fewer splits than there are cores; else as it is.
 
-    A row group is one task, so a small file keeps one core busy. A large source
-    has splits enough, and is never shuffled.
+    df: a scan with projections and filters. A row group is one task, so a small
+    file keeps one core busy. A large source has splits enough, and is never shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)

@@ -33,8 +33,9 @@ def first_seen(files: DataFrame, key: list[str], ts: str, keep: str = "2 seconds
 def counter_rates(points: DataFrame, key: str, at_us: str, value: str, idle_ms: int = 600_000) -> DataFrame:
     """key, at_us and rate: increase per second since the series' last reading, which lives in the state.
 
-    The first reading, one after a pause of ``idle_ms``, a fall and a reading
-    that is not later give no rate. Within a batch readings go by time.
+    The first reading, one after a pause of ``idle_ms`` and a fall have no row. A
+    reading that is not later than the last one has a row with a null rate, so
+    that what comes late can be counted. Within a batch readings go by time.
     """
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -46,6 +47,7 @@ def counter_rates(points: DataFrame, key: str, at_us: str, value: str, idle_ms:
         out = []
         for at, v in zip(rows.at_us, rows.value):
             if last is not None and at <= last[0]:
+                out.append((k[0], at, None))
                 continue
             if last is not None and v >= last[1]:
                 out.append((k[0], at, (v - last[1]) / ((at - last[0]) / 1e6)))
@@ -53,16 +55,23 @@ def counter_rates(points: DataFrame, key: str, at_us: str, value: str, idle_ms:
         if last is not None:
             state.update(last)
             state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["key", "at_us", "rate"])
+        yield pd.DataFrame(out, columns=["key", "at_us", "rate"]).astype({"rate": "float64"})
 
     rows = points.select(F.col(key).cast("string").alias("key"), F.col(at_us).cast("long").alias("at_us"), F.col(value).cast("double").alias("value")).where("key IS NOT NULL AND at_us IS NOT NULL AND value IS NOT NULL")
     return rows.groupBy("key").applyInPandasWithState(run, "key string, at_us long, rate double", "at_us long, value double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def change_events(facts: DataFrame, key: str, at_us: str, value: str) -> DataFrame:
-    """key, at_us, value and previous_value where a key's value first appears or changes."""
+def change_events(facts: DataFrame, key: str, at_us: str, value: str, idle_ms: int = 7 * 86_400_000) -> DataFrame:
+    """key, at_us, value and previous_value where a key's value first appears or changes.
+
+    A key of which nothing came for ``idle_ms`` is forgotten, so that the state
+    holds live keys alone; its next value counts as a first one.
+    """
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen, last = state.exists, state.get[0] if state.exists else None
         out = []
         for at, v in pd.concat(list(batches)).sort_values("at_us")[["at_us", "value"]].itertuples(index=False):
@@ -70,10 +79,11 @@ def change_events(facts: DataFrame, key: str, at_us: str, value: str) -> DataFra
                 out.append((k[0], at, v, last))
             seen, last = True, v
         state.update((last,))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["key", "at_us", "value", "previous_value"])
 
     rows = facts.select(F.col(key).cast("string").alias("key"), F.col(at_us).cast("long").alias("at_us"), F.col(value).cast("string").alias("value"))
-    return rows.groupBy("key").applyInPandasWithState(run, "key string, at_us long, value string, previous_value string", "value string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("key").applyInPandasWithState(run, "key string, at_us long, value string, previous_value string", "value string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def recombined(lines: DataFrame, key: str, at_us: str, line: str, first_entry: str, gap_us: int = 10_000, max_lines: int = 50, flush_ms: int = 80) -> DataFrame:

@@ -11,8 +11,10 @@ SF = "/root/testdata/sf0.001"
 
 
 def run(spark, df, name, mode="append"):
+    # With timeouts by the clock a query would go on with empty batches for ever.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     assert q.exception() is None
     return spark.table(name)
 
@@ -35,7 +37,8 @@ def test_rates_and_changes(spark, stream):
     ev, live = stream
     got = run(spark, windows.counter_rates(live, "event_type", "at_us", "event_id"), "s2")
     want = windowhist.counter_rate(ev, ["event_type"], "at_us", "event_id", "event_id").where("rate IS NOT NULL").select("event_type", "at_us", "rate")
-    assert sorted((r[0], r[1], round(r[2], 9)) for r in got.collect()) == sorted((r[0], r[1], round(r[2], 9)) for r in want.collect())
+    rows = [r for r in got.collect() if r[2] is not None]
+    assert sorted((r[0], r[1], round(r[2], 9)) for r in rows) == sorted((r[0], r[1], round(r[2], 9)) for r in want.collect())
     got = run(spark, windows.change_events(live, "user_id", "at_us", "event_type"), "s3")
     want = timeseries.changes(ev, ["user_id"], "at_us", "event_id", "event_type")
     assert got.count() == want.count()
