@@ -41,7 +41,7 @@ _CODES = 64
 #: Bounds of the training sample: documents of either label, and landmarks of either kind.
 SAMPLE_DOCS, LANDMARKS = 1200, 64
 _NEGATIVES = 12_000
-_MEMORY = 1_000_000
+_MEMORY = 300_000
 #: Words times their length cubed that are valued together.
 AT_ONCE = 2_000_000
 #: Texts, and about how many characters of them, whose new pieces are valued together.
