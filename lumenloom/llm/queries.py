@@ -10,10 +10,12 @@ from lumenloom.llm import quality, toxicity
 from lumenloom.llm.minhash import near_duplicates
 from lumenloom.llm.packing import pack_documents, pieces_of
 from lumenloom.llm.pii import pseudonymize
+from lumenloom.llm.runs import periodic_runs
 from lumenloom.llm.tokens import decode, encode, library_tokenizer, ranks_tokenizer, read_token_files, write_token_files
 from lumenloom.llm.urlfilter import judge_urls
 from lumenloom.llm.vptree import nearest
 from lumenloom.llm.warc import read_archives, write_archives
+from lumenloom.llm.whitening import whitened_embeddings
 
 #: (allow or block, host, path)
 URL_RULES = [
@@ -92,3 +94,38 @@ def pack_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataF
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text, in which every tenth document by its id's checksum repeats itself from a word on, as the contract of op11 says."""
+    words = F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    n = F.size("words")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+    repeated = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("words", place(i))), " ")
+    some = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"))
+    return some.select("doc_id", F.when(n > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    best = F.get(F.array_sort(F.transform("runs", lambda r: F.struct((-r.length).alias("less"), r.start.alias("start"), r.period.alias("period")))), F.lit(0))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, F.concat(r.period.cast("string"), F.lit("\n")))), "")
+    found = periodic_runs(docs).withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        (-F.col("best.less")).alias("length"),
+        "best.period",
+        F.expr("-1000 * best.less div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -16,5 +16,7 @@ QUERIES = {
     "op8_byte_bpe": q.op8_byte_bpe,
     "op9_warc": q.op9_warc,
     "op10_url_filters": q.op10_url_filters,
+    "op11_runs": q.op11_runs,
+    "op13_whitening": q.op13_whitening,
 }
 ORACLES: dict[str, str] = {"op1_minhash": o.OP1, "op10_url_filters": o.OP10}
