@@ -239,6 +239,27 @@ def _same_id(some: DataFrame, classes: DataFrame, tables: Scratch) -> DataFrame:
     return held.join(held.groupBy("doc_id").agg(F.min("rep").alias("v")), "doc_id").select(F.col("rep").alias("u"), "v")
 
 
+def component_rows(table: DataFrame, classes: DataFrame, final: DataFrame, tables: Scratch) -> DataFrame:
+    """doc_id, n_shingles and component_id for each row of ``table``.
+
+    table: doc_id, n_shingles and digest; classes: digest, doc_id (its least
+    one) and rep; final: rep and component of the reps that have links.
+    """
+    # Classes of a component have the least id of any of them; a class without a link has its own.
+    linked = tables.write(final.join(classes.select("rep", "doc_id"), "rep"))
+    least = tables.write(linked.groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    linked = linked.join(least, "component").select("rep", "component_id")
+    named = tables.write(classes.join(linked, "rep", "left").select("digest", F.coalesce("component_id", "doc_id").alias("component_id")))
+    rows = table.select("doc_id", "n_shingles", "digest")
+    known = tables.write(rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").join(named, "digest").select("doc_id", "n_shingles", "component_id"))
+    alone = rows.where("digest IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles")
+    # An empty row of an id that has other rows goes by theirs.
+    blank = alone.where("n_shingles = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    theirs = tables.write(known.join(blank, "doc_id", "left_semi").select("doc_id", "component_id").distinct())
+    alone = alone.join(theirs, "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return known.unionByName(alone)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
@@ -319,16 +340,4 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, tables:
     edges = first.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more).unionByName(_same_id(some, classes, tables))
     final = connected_components(edges, write).withColumnRenamed("id", "rep")
     tables.drop(members, sets, cross, first)
-    # Classes of a component have the least id of any of them; a class without a link has its own.
-    linked = write(final.join(classes.select("rep", "doc_id"), "rep"))
-    least = write(linked.groupBy("component").agg(F.min("doc_id").alias("component_id")))
-    linked = linked.join(least, "component").select("rep", "component_id")
-    named = write(classes.join(linked, "rep", "left").select("digest", F.coalesce("component_id", "doc_id").alias("component_id")))
-    rows = table.select("doc_id", "n_shingles", "digest")
-    known = write(rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").join(named, "digest").select("doc_id", "n_shingles", "component_id"))
-    alone = rows.where("digest IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles")
-    # An empty row of an id that has other rows goes by theirs.
-    blank = alone.where("n_shingles = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    theirs = write(known.join(blank, "doc_id", "left_semi").select("doc_id", "component_id").distinct())
-    alone = alone.join(theirs, "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.coalesce("component_id", "doc_id")).alias("component_id"))
-    return known.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return component_rows(table, classes, final, tables).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

@@ -11,6 +11,7 @@ from lumenloom.llm.minhash import near_duplicates
 from lumenloom.llm.packing import pack_documents, pieces_of
 from lumenloom.llm.pii import pseudonymize
 from lumenloom.llm.runs import periodic_runs
+from lumenloom.llm.setjoin import similar_sets
 from lumenloom.llm.tokens import decode, encode, library_tokenizer, ranks_tokenizer, read_token_files, write_token_files
 from lumenloom.llm.urlfilter import judge_urls
 from lumenloom.llm.vptree import nearest
@@ -127,5 +128,9 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_sets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -17,6 +17,7 @@ QUERIES = {
     "op9_warc": q.op9_warc,
     "op10_url_filters": q.op10_url_filters,
     "op11_runs": q.op11_runs,
+    "op12_set_join": q.op12_set_join,
     "op13_whitening": q.op13_whitening,
 }
-ORACLES: dict[str, str] = {"op1_minhash": o.OP1, "op10_url_filters": o.OP10}
+ORACLES: dict[str, str] = {"op1_minhash": o.OP1, "op10_url_filters": o.OP10, "op12_set_join": o.OP12}
