@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenloom.functions import levels, maps, pairs
-from lumenloom.functions.patterns import captures, group, matches
+from lumenloom.functions.cuts import Cut
+from lumenloom.functions.patterns import group
 
 ORIGINAL = "log.record.original"
 
@@ -115,13 +116,13 @@ class Shape:
 
 @dataclass(frozen=True)
 class Branch:
-    """gate: cheap tests that every claimed record passes; pattern: of the whole line, its groups are rec.g(i); slots: the other columns that shape reads."""
+    """gate: cheap tests that every claimed record passes; cuts: the fields of the line, as rec.g(i); slots: the other columns that shape reads."""
 
     name: str
     shape: Callable[[Rec], Shape]
     gate: Callable[[Rec], Column]
     claim: Callable[[Rec], Column] | None = None
-    pattern: str | None = None
+    cuts: Callable[[Column], Cut] | None = None
     text_of: Callable[[Rec], Column] | None = None
     slots: dict[str, Callable[[Rec], Column]] = field(default_factory=dict)
 
@@ -130,8 +131,8 @@ class Branch:
 
     def claims(self, rec: Rec) -> Column:
         out = self.gate(rec)
-        if self.pattern:
-            out = out & matches(self.text(rec), self.pattern)
+        if self.cuts:
+            out = out & self.cuts(self.text(rec)).ok
         if self.claim:
             out = out & self.claim(rec)
         return F.coalesce(out, F.lit(False))
@@ -139,7 +140,7 @@ class Branch:
     def slot(self, name: str, rec: Rec) -> Column | None:
         if name in self.slots:
             return self.slots[name](rec)
-        return captures(self.text(rec), self.pattern) if name == "caps" and self.pattern else None
+        return self.cuts(self.text(rec)).array() if name == "caps" and self.cuts else None
 
 
 RESULT = "struct<branch:string,body:string,severity_number:int,severity_text:string,ts_us:bigint,attributes:map<string,string>,resource:map<string,string>,scope_name:string>"

@@ -5,30 +5,70 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lumenloom.functions import layouts as lay
 from lumenloom.functions import levels, network, times
-from lumenloom.functions.layouts import GAP, SOME_GAP, all_lines, field, inside, line, maybe, number, rest, skip, stamp, text, until, word
+from lumenloom.functions.cuts import CLOCK, DATE, MONTHS, Cut, at, before, behind, cut, digits, every, last, like, named, solid, until_last, words
 from lumenloom.functions.maps import lookup
-from lumenloom.functions.patterns import captures, first, group, matches
+from lumenloom.functions.patterns import captures, first, group
 from lumenloom.operators.logshape.core import Branch, Rec, Shape, begins
 from lumenloom.operators.logshape.lines import as_int
 
 # -- Cisco, HP switches, wireless controllers, access points
 
-#: Facility, severity and mnemonic, as vendors' message guides have them: %FACILITY-SEVERITY-MNEMONIC: text.
-_CODE = text("%") + field("[A-Z][A-Z0-9_]*") + "-" + field("[0-7A-Z]") + "-" + field("[A-Z0-9_]+") + ":"
-MNEMONIC = line("(?s:.*?)", _CODE, "(?s:.*)")
-_SOURCE_FILE = field(r"\w+\.[ch]")
-#: An access point's clock, then its message.
-AP_LINE = line(text("["), r"\*?", skip(stamp("MM/dd/yyyy HH:mm:ss")), r"[.\d]*", text("]"), SOME_GAP, rest())
-#: A switch's time, host, component, task; source file, line and sequence, if there; message.
-HP_LINE = line(
-    GAP, stamp("MMM d HH:mm:ss"), GAP, word(), GAP, until("["), inside("[", "]"), ":", SOME_GAP, maybe(_SOURCE_FILE, text("("), number(), text(")"), GAP, number(), GAP), "[^%]*%%", SOME_GAP, rest(),
-)
-#: A controller's access point, task and time; source file and line, if there; message.
-WLC_LINE = line(
-    until(":"), ":", GAP, text("*"), until(":"), ":", GAP, skip(stamp("MMM d HH:mm:ss.S")), ":", GAP, skip(_CODE), SOME_GAP, maybe(_SOURCE_FILE, ":", number(), GAP), rest(),
-)
+
+def codes(text: Column) -> Column:
+    """Facility, severity and mnemonic of each ``%FACILITY-SEVERITY-MNEMONIC:`` of a text, as vendors' message guides have them."""
+    marked = F.filter(F.slice(F.split(text, "%"), 2, 1 << 20), lambda x: x.contains(":"))
+    parts = F.transform(marked, lambda x: F.split(before(x, ":"), "-"))
+    name = lambda c: named(c) & (F.upper(c) == c)
+    return F.filter(parts, lambda c: (F.size(c) == 3) & name(at(c, 0)) & ~digits(F.left(at(c, 0), F.lit(1))) & (F.length(at(c, 1)) == 1) & at(c, 1).isin(*DIGITS) & name(at(c, 2)))
+
+
+def coded(text: Column) -> Column:
+    """The first code's parts from place 1 on; null where there is none."""
+    found = codes(text)
+    return F.when(text.contains("%") & (F.size(found) > 0), F.concat(F.array(F.lit("")), at(found, 0)))
+
+
+def access_point(text: Column) -> Cut:
+    """``[*MM/dd/yyyy hh:mm:ss.ffff] message``; the mark of an unset clock may be missing."""
+    found, (head, time, said) = cut(text, "[", "]")
+    clock = F.ltrim(time, F.lit("*"))
+    form = f"00/00/0000 {CLOCK}"
+    return Cut(every(found, head == "", like(clock, form), F.translate(F.substr(clock, F.lit(len(form) + 1)), ".0123456789", "") == "", ~text.contains("\n")), [F.ltrim(said)])
+
+
+def syslog_stamp(w: Column) -> Column:
+    """The words begin with month, day and clock, as RFC 3164 has them in section 4.1.2."""
+    return every(at(w, 0).isin(*MONTHS), digits(at(w, 1)), F.length(at(w, 1)) <= 2, like(at(w, 2), CLOCK))
+
+
+def source_file(place: Column) -> Column:
+    """``name.c`` or ``name.h``."""
+    return place.endswith(".c") | place.endswith(".h")
+
+
+def switch_line(text: Column) -> Cut:
+    """A switch's line behind a blank: time, host, component[task]:, perhaps file(line) and a sequence number, ``%%`` and the message."""
+    w = words(F.ltrim(text), 5)
+    found, (component, task, place, said) = cut(at(w, 4), "[", "]:", "%%")
+    f = words(F.trim(place))
+    file, number = before(at(f, 0), "("), F.rtrim(behind(at(f, 0), "("), F.lit(")"))
+    has = every(source_file(file), digits(number), digits(at(f, 1)))
+    ok = every(text.startswith(" "), syslog_stamp(w), F.length(at(w, 2)) == 8, found, component != "", ~text.contains("\n"))
+    when = lambda c: F.when(has, c)
+    return Cut(ok, [F.concat_ws(" ", at(w, 0), at(w, 1), at(w, 2)), at(w, 3), component, task, when(file), when(number), when(at(f, 1)), F.ltrim(said)])
+
+
+def controller_line(text: Column) -> Cut:
+    """A controller's line: access point, ``*task``, time, code, perhaps file:line, message."""
+    found, (point, task, time, code, said) = cut(text, ": *", ": ", ": %", ":")
+    w = words(F.ltrim(said), 2)
+    file, number = before(at(w, 0), ":"), behind(at(w, 0), ":")
+    has = F.coalesce(source_file(file) & digits(number), F.lit(False))
+    ok = every(found, point != "", ~point.contains(":"), task != "", syslog_stamp(words(time)), F.size(F.split(code, "-")) == 3, ~text.contains("\n"))
+    return Cut(ok, [point, task, F.when(has, file), F.when(has, number), F.when(has, at(w, 1)).otherwise(F.ltrim(said))])
+
+
 ROUTINE = ("pmkr0 lookup", "client roamed")
 #: Levels of mnemonics that differ from their own digit.
 WARN_MNEMONICS = (
@@ -72,7 +112,7 @@ def without_labels(message: Column) -> Column:
 
 def shape_cisco(rec: Rec) -> Shape:
     code, ap_line, src = rec.caps2, rec.caps3, rec.line
-    is_ap = F.size(ap_line) > 1
+    is_ap = ap_line.isNotNull()
     ap = group(ap_line, 1)
     marked = F.coalesce(rec.a(rec.ext("cisco.facility")), rec.a("cisco_facility"))
     facility = F.coalesce(marked, group(code, 1))
@@ -116,45 +156,67 @@ def shape_cisco(rec: Rec) -> Shape:
 
 
 def _switch(source: Column) -> Column:
-    return source.startswith(" ") & source.contains("%%") & matches(source, HP_LINE)
+    return F.coalesce(source.startswith(" ") & source.contains("%%") & switch_line(source).ok, F.lit(False))
 
 
 CISCO_BRANCH = Branch(
     "cisco", shape_cisco,
     slots={
         "line": source_line,
-        "caps": lambda r: F.when(r.line.startswith(" "), captures(r.line, HP_LINE)).when(r.line.contains(": *"), captures(r.line, WLC_LINE)),
-        "caps2": lambda r: captures(r.line, MNEMONIC),
-        "caps3": lambda r: captures(r.text, AP_LINE),
+        "caps": lambda r: F.when(r.line.startswith(" "), switch_line(r.line).read()).when(r.line.contains(": *"), controller_line(r.line).read()),
+        "caps2": lambda r: coded(r.line),
+        "caps3": lambda r: access_point(r.text).read(),
     },
     gate=lambda r: r.text.contains("%") | begins(r.text, "[") | r.has(r.ext("cisco.facility"), "cisco_facility", r.options.get("cisco_source", "log.record.original")),
-    claim=lambda r: r.has(r.ext("cisco.facility"), "cisco_facility") | matches(r.text, AP_LINE) | matches(source_line(r), _CODE) | _switch(source_line(r)),
+    claim=lambda r: r.has(r.ext("cisco.facility"), "cisco_facility") | F.coalesce(access_point(r.text).ok, F.lit(False)) | F.coalesce(coded(source_line(r)).isNotNull(), F.lit(False)) | _switch(source_line(r)),
 )
 
 # -- syslog
 
-_DAY_T = skip(stamp("yyyy-MM-dd'T'")) + r"\S*"
-#: RFC 5424, section 6: version, time, host, application, process, message id, structured data, message.
-RFC5424 = line(number(), *[GAP + f for f in (field(_DAY_T), word(), word(), word(), word())], GAP, field(r'-|(?:\[(?:[^"\]]|"(?:[^"\\]|\\.)*")*\])+'), SOME_GAP, all_lines())
-#: RFC 3164, section 4.1: time, then host or tag, and the message.
-RFC3164 = line(stamp("MMM d HH:mm:ss"), GAP, field(r"\S(?s:.*)"))
-#: Sequence, time, facility, severity, mnemonic, message of network devices.
-IOS = line(number(), ":", GAP, r"\*?", field(skip(stamp("MMM d HH:mm:ss")) + "[.0-9]*"), ":", GAP, text("%"), until("-"), "-", number(1), "-", until(":"), ":", SOME_GAP, all_lines())
-#: Tag, process, message.
-TAG = line(field(r"[^ \t\n:\[]+"), maybe(text("["), number(), text("]")), ":", SOME_GAP, all_lines())
+#: RFC 5424, section 6: version, time, host, application, process, message id, structured data, message. The standard leaves one reading.
+RFC5424 = r"^(\d+) +(\S+) +(\S+) +(\S+) +(\S+) +(\S+) +(-|(?:\[(?:[^\"\]]|\"(?:[^\"\\]|\\.)*\")*\])+) *((?s:.*))$"
 
 
-def wrapped(rec: Rec) -> Column:
-    return F.trim(F.coalesce(rec.a(rec.options.get("syslog_source", "message")), rec.text))
+def is_new(text: Column) -> Column:
+    """A version, then a date with a T."""
+    w = words(text, 3)
+    return digits(at(w, 0)) & F.coalesce(like(at(w, 1), f"{DATE}T"), F.lit(False))
+
+
+def old_line(text: Column) -> Cut:
+    """RFC 3164, section 4.1: time, then host or tag, and the message."""
+    w = words(text, 4)
+    return Cut(F.coalesce(syslog_stamp(w) & (F.size(w) == 4) & (F.length(at(w, 2)) == 8) & (at(w, 3) != ""), F.lit(False)), [F.concat_ws(" ", at(w, 0), at(w, 1), at(w, 2)), at(w, 3)])
+
 
+def ios_line(text: Column) -> Cut:
+    """``sequence: *time: %FACILITY-severity-MNEMONIC: message`` of network devices; the mark of an unset clock may be missing."""
+    found, (number, time, code, said) = cut(text, ": ", ": %", ":")
+    c = F.split(code, "-")
+    ok = every(found, digits(number), syslog_stamp(words(F.ltrim(time, F.lit("*")))), F.size(c) == 3, F.length(at(c, 1)) == 1, digits(at(c, 1)))
+    return Cut(F.coalesce(ok, F.lit(False)), [number, time, at(c, 0), at(c, 1), at(c, 2), F.ltrim(said)])
 
-_NEW = lay.begins(skip(number()), GAP, _DAY_T)
-_OLD = lay.begins(skip(stamp("MMM d HH:mm:ss")))
+
+def tagged(text: Column) -> Cut:
+    """``tag[process]: message``; the process may be missing."""
+    found, (tag, said) = cut(text, ":")
+    app, pid = before(tag, "["), F.rtrim(behind(tag, "["), F.lit("]"))
+    return Cut(F.coalesce(every(found, solid(tag), app != "", ~tag.contains("\n"), (app == tag) | (digits(pid) & tag.endswith("]"))), F.lit(False)), [app, pid, F.ltrim(said)])
+
+
+def wrapped(rec: Rec) -> Column:
+    return F.trim(F.coalesce(rec.a(rec.options.get("syslog_source", "message")), rec.text))
 
 
 def _groups(rec: Rec) -> Column:
     """Groups of the line's own form, tried in this order."""
-    return F.when(matches(rec.line, _NEW), captures(rec.line, RFC5424)).when(matches(rec.line, IOS), captures(rec.line, IOS)).otherwise(captures(rec.line, RFC3164))
+    ios, old = ios_line(rec.line), old_line(rec.line)
+    return F.when(is_new(rec.line), captures(rec.line, RFC5424)).when(ios.ok, ios.array()).when(old.ok, old.array()).otherwise(F.array(rec.line))
+
+
+def _unwrapped(text: Column) -> Column:
+    """The text begins with a time as one of the forms has it."""
+    return F.coalesce(is_new(text) | syslog_stamp(words(text, 4)) | ios_line(text).ok, F.lit(False))
 
 
 def _is_old(rec: Rec) -> Column:
@@ -169,7 +231,7 @@ def _no_host(rec: Rec) -> Column:
 
 def _tag(rec: Rec) -> Column:
     text = F.when(_no_host(rec), rec.g(2)).otherwise(F.regexp_extract(rec.g(2), r"(?s)^\S*\s+(.*)$", 1))
-    return F.when(_is_old(rec), F.when(matches(text, TAG), captures(text, TAG)).otherwise(F.array(F.lit(""), F.lit(""), F.lit(""), text)))
+    return F.when(_is_old(rec), F.coalesce(tagged(text).read(), F.array(F.lit(""), F.lit(""), F.lit(""), text)))
 
 
 def syslog_parts(rec: Rec) -> dict[str, Column]:
@@ -219,6 +281,6 @@ def shape_syslog(rec: Rec) -> Shape:
 SYSLOG_BRANCH = Branch(
     "syslog", shape_syslog, slots={"line": wrapped, "caps": _groups, "caps2": _tag, "caps3": lambda r: captures(r.g2(3), RFC5424)}, gate=lambda r: r.has(r.options.get("syslog_source", "message"), "priority") | (F.length(r.text) >= 13),
     claim=lambda r: F.coalesce(r.a(r.options.get("syslog_source", "message")).isNotNull(), F.lit(False)) | r.has("priority")
-    | matches(F.trim(r.text), f"{_NEW}|{_OLD}") | matches(F.trim(r.text), IOS),
+    | _unwrapped(F.trim(r.text)),
 )
 

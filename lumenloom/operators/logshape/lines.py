@@ -8,15 +8,13 @@ from pyspark.sql import functions as F
 from lumenloom.functions import agents, bodies, levels, network, pairs, times
 from lumenloom.functions.cleaning import strip_ansi
 from lumenloom.functions.maps import first_of
-from lumenloom.functions import layouts as lay
-from lumenloom.functions.layouts import GAP, SOME_GAP, field, inside, line, maybe, more_lines, name, number, one_of, quoted, rest, skip, stamp, text, until, word
-from lumenloom.functions.patterns import captures, first, group, matches
+from lumenloom.functions.cuts import CLOCK, DATE, MONTHS, Cut, at, before, behind, cut, digits, every, first_line, fraction, last, like, more_lines, named, request, solid, until_last, words
+from lumenloom.functions.patterns import first, group
 from lumenloom.operators.logshape.core import Branch, Rec, Shape, begins, needs
 
 DIGITS = "0123456789"
 
 
-
 def source_place(place: Column) -> dict[str, Column]:
     """``file.go:12`` as its file and line; the whole as the file where there is no line."""
     has = place.rlike(r"^.+:-?\d+$")
@@ -53,8 +51,16 @@ def plain(rec: Rec) -> Column:
 
 # -- klog
 
-#: Level, month and day, time, process, file, line, message.
-KLOG = line(one_of(*"IWEF"), stamp("MMdd"), GAP, stamp("HH:mm:ss.S"), GAP, number(), GAP, until(":"), ":", number(), text("]"), SOME_GAP, rest())
+
+def klog_line(text: Column) -> Cut:
+    """``Lmmdd hh:mm:ss.uuuuuu threadid file:line] msg``, as klog's documentation has it; the thread is padded."""
+    w = words(before(text, "]"))
+    place = at(w, 3)
+    file, number = before(place, ":"), behind(place, ":")
+    ok = every(F.size(w) == 4, F.substring(at(w, 0), 1, 1).isin(*"IWEF"), F.length(at(w, 0)) == 5, digits(F.substr(at(w, 0), F.lit(2))), fraction(at(w, 1), f"{CLOCK}."), digits(at(w, 2)), file != "", digits(number), ~text.contains("\n"))
+    return Cut(ok, [F.left(at(w, 0), F.lit(1)), F.substr(at(w, 0), F.lit(2)), at(w, 1), at(w, 2), file, number, F.ltrim(behind(text, "]"))])
+
+
 STATIC_PODS = ("kube-apiserver-", "kube-controller-manager-", "kube-scheduler-", "etcd-")
 _LIFTED = ("pod", "podUID", "podID", "containerName", "containerID")
 
@@ -97,7 +103,7 @@ def shape_klog(rec: Rec) -> Shape:
     )
 
 
-KLOG_BRANCH = Branch("klog", shape_klog, lambda r: begins(r.text, "IWEF") & (F.length(r.text) >= 20), pattern=KLOG, slots={"kv": lambda r: pairs.found(F.regexp_extract(F.trim(r.g(7)), r'(?s)^"[^"]+"\s*(.*)$', 1))})
+KLOG_BRANCH = Branch("klog", shape_klog, lambda r: begins(r.text, "IWEF") & (F.length(r.text) >= 20), cuts=klog_line, slots={"kv": lambda r: pairs.found(F.regexp_extract(F.trim(r.g(7)), r'(?s)^"[^"]+"\s*(.*)$', 1))})
 
 # -- access lines
 
@@ -123,14 +129,27 @@ def access(rec: Rec, *, client: Column, user: Column | None, method: Column, tar
     )
 
 
-UVICORN = line(one_of("TRACE", "DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL"), ":", GAP, rest())
-#: Host, port, request, status, its text.
-UVICORN_ACCESS = line(word(), ":", number(), " - ", quoted(), " ", number(3), SOME_GAP, rest())
+#: Level names of Python's logging, and the one that uvicorn adds.
+PYTHON_LEVELS = ("TRACE", "DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")
+
+
+def uvicorn_line(text: Column) -> Cut:
+    """``LEVEL:     message``: the level with its colon is padded."""
+    said = behind(text, ":")
+    return Cut(before(text, ":").isin(*PYTHON_LEVELS) & said.startswith(" ") & ~text.contains("\n"), [before(text, ":"), F.trim(said)])
+
+
+def uvicorn_access(said: Column) -> Cut:
+    """``client:port - "request" status text``, uvicorn's own access format."""
+    found, (peer, rest) = cut(said, ' - "')
+    status = F.trim(last(rest, '" '))
+    ok = every(found, rest.contains('" '), solid(peer), peer.contains(":"), digits(last(peer, ":")), digits(F.left(status, F.lit(3))), F.length(before(status, " ")) == 3)
+    return Cut(ok, [until_last(peer, ":"), last(peer, ":"), until_last(rest, '" '), F.left(status, F.lit(3)), F.trim(F.substr(status, F.lit(4)))])
 
 
 def shape_uvicorn(rec: Rec) -> Shape:
     caps = rec.caps2
-    is_access = F.size(caps) > 1
+    is_access = caps.isNotNull()
     request = F.split(group(caps, 3), " ", 3)
     method, target, protocol = (F.nullif(F.get(request, F.lit(i)), F.lit("")) for i in range(3))
     path, query, code = path_of(target), query_of(target), group(caps, 4).try_cast("int")
@@ -151,12 +170,16 @@ def shape_uvicorn(rec: Rec) -> Shape:
     )
 
 
-UVICORN_BRANCH = Branch("uvicorn", shape_uvicorn, lambda r: begins(r.text, "TDIWEC") & needs(r.text, ":"), pattern=UVICORN, slots={"caps2": lambda r: captures(F.trim(r.g(2)), UVICORN_ACCESS)})
+UVICORN_BRANCH = Branch("uvicorn", shape_uvicorn, lambda r: begins(r.text, "TDIWEC") & needs(r.text, ":"), cuts=uvicorn_line, slots={"caps2": lambda r: uvicorn_access(r.g(2)).read()})
+
+
+def combined_line(text: Column) -> Cut:
+    """nginx's ``combined`` format, and one quoted field more: the addresses that a request was forwarded for."""
+    found, (addr, user, time, asked, status, size, referer, agent, more) = cut(text, " - ", " [", '] "', '" ', " ", ' "', '" "', '"')
+    three, (method, target, protocol) = request(asked)
+    return Cut(every(found, three, solid(addr), solid(user), digits(status), digits(size)), [addr, user, time, method, target, protocol, status, size, referer, agent, before(behind(more, ' "'), '"')])
+
 
-#: A request: method, target, protocol.
-REQUEST = '"' + GAP.join([until(" ")] * 2 + [field('[^ "]+')]) + '"'
-#: Client, user, time, request, status, bytes, referer, agent, forwarded for.
-NGINX = lay.begins(word(), GAP, "-", GAP, word(), GAP, inside("[", "]"), GAP, REQUEST, GAP, number(), GAP, number(), GAP, quoted(), GAP, quoted(), maybe(GAP, quoted()), ".*$")
 CLF_TIME = "dd/MMM/yyyy:HH:mm:ss Z"
 
 
@@ -198,13 +221,14 @@ def shape_nginx(rec: Rec) -> Shape:
     )
 
 
-NGINX_BRANCH = Branch("nginx", shape_nginx, lambda r: needs(r.text, "[", '"'), pattern=NGINX)
+NGINX_BRANCH = Branch("nginx", shape_nginx, lambda r: needs(r.text, "[", '"'), cuts=combined_line)
 
-#: Client, user, time, method, target, status, bytes, agent, request id, microseconds.
-INFLUX = line(
-    text("[httpd] "), word(), " - ", word(), " ", inside("[", "]"), ' "', word(), " ", word(), " ", skip(until('"')), '" ', number(3), " ", word(), " ",
-    skip(quoted()), " ", quoted(), " ", word(), " ", number(),
-)
+
+def influx_line(text: Column) -> Cut:
+    """The common log format behind ``[httpd] ``, then referer, agent, request id and microseconds."""
+    found, (head, addr, user, time, asked, status, size, _, agent, request_id, micros) = cut(text, "[httpd] ", " - ", " [", '] "', '" ', " ", ' "', '" "', '" ', " ")
+    three, (method, target, _) = request(asked)
+    return Cut(every(found, three, head == "", solid(addr), solid(user), digits(status), F.length(status) == 3, solid(size), solid(request_id), digits(micros)), [addr, user, time, method, target, status, size, agent, request_id, micros])
 
 
 def shape_influx(rec: Rec) -> Shape:
@@ -215,13 +239,14 @@ def shape_influx(rec: Rec) -> Shape:
     )
 
 
-INFLUX_BRANCH = Branch("influx", shape_influx, lambda r: r.text.startswith("[httpd] "), pattern=INFLUX, text_of=trimmed)
+INFLUX_BRANCH = Branch("influx", shape_influx, lambda r: r.text.startswith("[httpd] "), cuts=influx_line, text_of=trimmed)
 
-#: Client, request id, user, time, method, upstream, target, agent, status, bytes, seconds. The user may stand behind a dash.
-OAUTH = line(
-    word(), " - ", word(), " - ", field("[^[]*"), inside("[", "]"), " ", skip(word()), " ", word(), " ", word(), " ", quoted(), " ", skip(word()), " ", quoted(), " ",
-    number(3), " ", number(), " ", field("[0-9.]+"),
-)
+
+def oauth_line(text: Column) -> Cut:
+    """The proxy's default request format: client, request id and user, time, host, method, upstream, target, protocol, agent, status, size, seconds."""
+    found, (client, request_id, user, time, host, method, upstream, target, protocol, agent, status, size, secs) = cut(text, " - ", " - ", " [", "] ", " ", " ", ' "', '" ', ' "', '" ', " ", " ")
+    ok = every(found, *map(solid, (client, request_id, host, method, upstream, protocol)), digits(status), F.length(status) == 3, digits(size), secs.try_cast("double").isNotNull())
+    return Cut(ok, [client, request_id, user, time, method, upstream, target, agent, status, size, secs])
 
 
 def shape_oauth(rec: Rec) -> Shape:
@@ -233,13 +258,16 @@ def shape_oauth(rec: Rec) -> Shape:
     )
 
 
-OAUTH_BRANCH = Branch("oauth2proxy", shape_oauth, lambda r: needs(r.text, " - ", " [", '"'), pattern=OAUTH, text_of=trimmed)
+OAUTH_BRANCH = Branch("oauth2proxy", shape_oauth, lambda r: needs(r.text, " - ", " [", '"'), cuts=oauth_line, text_of=trimmed)
 
-#: Client, type and name of the question, response code, seconds.
-COREDNS = line(
-    maybe(skip(inside("[", "]")), " "), word(), " - ", skip(number()), ' "', word(), " ", skip(word()), " ", word(), " ", skip(word()), " ", skip(number()), " ", skip(word()), " ", skip(number()), '" ',
-    word(), " ", skip(word()), " ", skip(number()), " ", field("[0-9.]+"), "s",
-)
+
+def coredns_line(text: Column) -> Cut:
+    """The log plugin's common format: remote, id, the question of seven words, the answer of four; a level may stand in front."""
+    found, (remote, number, question, answer) = cut(F.when(text.startswith("["), behind(text, "] ")).otherwise(text), " - ", ' "', '" ')
+    q, a = F.split(question, " "), F.split(answer, " ")
+    secs = F.rtrim(at(a, 3), F.lit("s"))
+    ok = every(found, solid(remote), digits(number), F.size(q) == 7, digits(at(q, 4)), digits(at(q, 6)), F.size(a) == 4, digits(at(a, 2)), at(a, 3).endswith("s"), secs.try_cast("double").isNotNull())
+    return Cut(ok, [remote, at(q, 0), at(q, 2), at(a, 0), secs])
 
 
 def shape_coredns(rec: Rec) -> Shape:
@@ -258,40 +286,53 @@ def shape_coredns(rec: Rec) -> Shape:
     )
 
 
-COREDNS_BRANCH = Branch("coredns", shape_coredns, lambda r: needs(r.text, " - ", '"') & (F.length(r.text) >= 20), pattern=COREDNS)
+COREDNS_BRANCH = Branch("coredns", shape_coredns, lambda r: needs(r.text, " - ", '"') & (F.length(r.text) >= 20), cuts=coredns_line)
 
 # -- servers
 
-_POSTGRES_HEAD = [stamp("yyyy-MM-dd HH:mm:ss.S"), GAP, name(), GAP, text("["), number(), text("]"), GAP]
-#: Time, zone, process, level, message, further lines.
-POSTGRES = line(*_POSTGRES_HEAD, one_of("LOG", "ERROR", "WARNING", "NOTICE", "INFO", "DEBUG", *(f"DEBUG{i}" for i in range(1, 6)), "FATAL", "PANIC"), ":", GAP, field("[^\n]*"), more_lines())
+#: The server's message severities.
+POSTGRES_LEVELS = ("LOG", "ERROR", "WARNING", "NOTICE", "INFO", "DEBUG", *(f"DEBUG{i}" for i in range(1, 6)), "FATAL", "PANIC")
+
+
+def postgres_line(text: Column) -> Cut:
+    """A log_line_prefix of ``%m [%p] ``, the severity and the message; further lines stay together."""
+    found, (day, clock, zone, pid, level, said) = cut(text, " ", " ", " [", "] ", ":")
+    w = F.ltrim(said)
+    ok = every(found, like(day, DATE), F.length(day) == 10, fraction(clock, f"{CLOCK}."), named(zone), digits(pid), level.isin(*POSTGRES_LEVELS), said.startswith(" "))
+    return Cut(ok, [F.concat(day, F.lit(" "), clock), zone, pid, level, first_line(w), more_lines(w)])
+
+
 #: Hours from UTC of the zones that are read.
 ZONES = {"UTC": 0, "GMT": 0, "CET": 1, "CEST": 2}
 
 
 def postgres_detail(more: Column, label: str) -> Column:
     """What a further line of this label says; it has a head of its own."""
-    return F.trim(first(more, "\n" + skip("".join(_POSTGRES_HEAD)) + label + ":" + GAP + field("[^\n]*")))
+    of = F.transform(F.filter(F.split(more, "\n"), lambda x: before(behind(x, "] "), ":") == label), lambda x: F.trim(behind(x, f"] {label}:")))
+    return at(of, 0)
 
 
 def shape_postgres(rec: Rec) -> Shape:
     shift = F.lit(None).cast("long")
     for zone, hours in ZONES.items():
         shift = F.when(rec.g(2) == zone, F.lit(hours * 3_600_000_000)).otherwise(shift)
-    stamp = F.regexp_replace(rec.g(1), r"\s+", " ")
     more = rec.g(6)
     return Shape(
         body=F.trim(rec.g(5)),
         level=levels.from_source("postgres", rec.g(4)),
-        ts_us=times.utc_micros(F.rpad(stamp, 26, "0"), "yyyy-MM-dd HH:mm:ss.SSSSSS") - shift,
+        ts_us=times.utc_micros(F.rpad(rec.g(1), 26, "0"), "yyyy-MM-dd HH:mm:ss.SSSSSS") - shift,
         put={"process.pid": as_int(rec.g(3)), **{rec.ext(f"postgres.{w.lower()}"): F.nullif(postgres_detail(more, w), F.lit("")) for w in ("DETAIL", "STATEMENT", "HINT", "CONTEXT")}},
     )
 
 
-POSTGRES_BRANCH = Branch("postgres", shape_postgres, lambda r: (F.length(r.text) >= 30) & (F.substring(r.text, 5, 1) == "-") & needs(r.text, "] "), pattern=POSTGRES)
+POSTGRES_BRANCH = Branch("postgres", shape_postgres, lambda r: (F.length(r.text) >= 30) & (F.substring(r.text, 5, 1) == "-") & needs(r.text, "] "), cuts=postgres_line)
 
-#: Process, role, time, level, message.
-REDIS = line(number(), ":", one_of(*"MSCX"), GAP, stamp("d MMM yyyy HH:mm:ss.S"), GAP, one_of(*".-*#"), GAP, rest())
+
+def redis_line(text: Column) -> Cut:
+    """``pid:role dd Mon yyyy hh:mm:ss.mmm mark message``."""
+    found, (pid, role, day, month, year, clock, mark, said) = cut(text, ":", " ", " ", " ", " ", " ", " ")
+    ok = every(found, digits(pid), role.isin(*"MSCX"), digits(day), month.isin(*MONTHS), digits(year), fraction(clock, f"{CLOCK}."), mark.isin(*".-*#"), ~text.contains("\n"))
+    return Cut(ok, [pid, role, F.concat_ws(" ", day, month, year, clock), mark, F.ltrim(said)])
 
 
 def shape_redis(rec: Rec) -> Shape:
@@ -299,18 +340,25 @@ def shape_redis(rec: Rec) -> Shape:
     return Shape(
         body=rec.g(5),
         level=levels.from_source("redis", rec.g(4)),
-        ts_us=times.utc_micros(F.regexp_replace(rec.g(3), r"\s+", " "), "d MMM yyyy HH:mm:ss.SSS"),
+        ts_us=times.utc_micros(rec.g(3), "d MMM yyyy HH:mm:ss.SSS"),
         put={"process.pid": as_int(rec.g(1)), rec.ext("redis.role"): role},
         resource_fill={"service.name": F.lit(rec.options.get("redis_service", "redis"))},
     )
 
 
-REDIS_BRANCH = Branch("redis", shape_redis, lambda r: begins(r.text, DIGITS) & needs(r.text, ":") & (F.length(r.text) >= 20), pattern=REDIS)
+REDIS_BRANCH = Branch("redis", shape_redis, lambda r: begins(r.text, DIGITS) & needs(r.text, ":") & (F.length(r.text) >= 20), cuts=redis_line)
+
 
-#: Time of day, level, logger, event.
-SENTRY = line(stamp("HH:mm:ss"), GAP, text("["), name(), text("]"), GAP, until(":"), ":", GAP, rest())
-#: A structured event: its name and its pairs in brackets.
-SENTRY_EVENT = line(word(), SOME_GAP, text("("), rest(), text(")"))
+def sentry_line(text: Column) -> Cut:
+    """``hh:mm:ss [LEVEL] logger: event``."""
+    found, (clock, level, logger, said) = cut(text, " [", "] ", ": ")
+    return Cut(every(found, like(clock, CLOCK), F.length(clock) == 8, named(level), logger != "", ~text.contains("\n")), [clock, level, logger, F.ltrim(said)])
+
+
+def sentry_event(said: Column) -> Cut:
+    """A structured event: its name and its pairs in brackets."""
+    found, (name, inner) = cut(said, "(")
+    return Cut(every(found, solid(F.rtrim(name)), said.endswith(")")), [F.rtrim(name), until_last(inner, ")")])
 
 
 def shape_sentry(rec: Rec) -> Shape:
@@ -342,42 +390,48 @@ def shape_sentry(rec: Rec) -> Shape:
 
 
 SENTRY_BRANCH = Branch(
-    "sentry", shape_sentry, lambda r: (F.substring(r.text, 3, 1) == ":") & (F.substring(r.text, 6, 1) == ":") & F.left(r.text, F.lit(30)).contains("["), pattern=SENTRY,
-    slots={"caps2": lambda r: captures(r.g(4), SENTRY_EVENT), "kv": lambda r: pairs.found(F.coalesce(r.g2(2), F.lit("")), pairs.SINGLE_QUOTED)},
+    "sentry", shape_sentry, lambda r: (F.substring(r.text, 3, 1) == ":") & (F.substring(r.text, 6, 1) == ":") & F.left(r.text, F.lit(30)).contains("["), cuts=sentry_line,
+    slots={"caps2": lambda r: sentry_event(r.g(4)).read(), "kv": lambda r: pairs.found(F.coalesce(r.g2(2), F.lit("")), pairs.SINGLE_QUOTED)},
 )
 
-#: Time, level, process, message.
-RABBIT = line(stamp("yyyy-MM-dd HH:mm:ss.SX"), " ", text("["), name(), text("] "), maybe(field("<[0-9.]+>"), " "), rest())
+
+def rabbit_line(text: Column) -> Cut:
+    """``date time+zone [level] message``; an Erlang process may stand before the message."""
+    found, (day, clock, level, said) = cut(text, " ", " [", "] ")
+    pid = F.when(said.startswith("<") & digits(F.translate(before(said, ">"), "<.", "")) & said.contains("> "), F.concat(before(said, ">"), F.lit(">")))
+    zone = F.translate(F.substr(clock, F.lit(10)), "0123456789", "")
+    ok = every(found, like(day, DATE), F.length(day) == 10, like(clock, f"{CLOCK}.0"), zone.isin("+:", "-:", "+", "-"), named(level), ~text.contains("\n"))
+    return Cut(ok, [F.concat(day, F.lit(" "), clock), level, pid, F.when(pid.isNotNull(), behind(said, "> ")).otherwise(said)])
 
 
 def shape_rabbit(rec: Rec) -> Shape:
     return Shape(body=F.trim(rec.g(4)), level=levels.from_word(rec.g(2)), ts_us=times.rfc3339_micros(rec.g(1)), put={rec.ext("rabbitmq.pid"): rec.g(3)})
 
 
-RABBIT_BRANCH = Branch("rabbitmq", shape_rabbit, lambda r: needs(r.text, " ["), pattern=RABBIT, text_of=plain)
+RABBIT_BRANCH = Branch("rabbitmq", shape_rabbit, lambda r: needs(r.text, " ["), cuts=rabbit_line, text_of=plain)
 
-MOSQUITTO = line(stamp("yyyy-MM-dd'T'HH:mm:ss"), ": ", rest())
-#: How messages of the broker begin, and what a client's own go on with.
-BROKER_MESSAGES = ("New connection from", "New client connected from", "Connecting bridge", "Bridge ", "Socket error", "mosquitto version", "Config loaded", "Opening ")
-CLIENT_MESSAGES = ("disconnected", "closed its connection", "has exceeded")
+#: First words of the broker's messages about connections, bridges and itself.
+BROKER_WORDS = ("New", "Client", "Connecting", "Bridge", "Socket", "mosquitto", "Config", "Opening")
 
 
-def _broker(rec: Rec) -> Column:
-    """The text behind the time is a message of the broker."""
-    said = F.substr(rec.text, F.lit(22))
-    of_client = F.substring_index(said, " ", 1) == "Client"
-    after = F.substr(said, F.length(F.substring_index(said, " ", 2)) + 2)
-    begins_with = lambda c, starts: F.array_contains(F.array(*[c.startswith(x) for x in starts]), True)
-    return begins_with(said, BROKER_MESSAGES) | (of_client & begins_with(after, CLIENT_MESSAGES))
+def mosquitto_line(text: Column) -> Cut:
+    """A log_timestamp_format of ``%Y-%m-%dT%H:%M:%S``, then a message of the broker."""
+    found, (time, said) = cut(text, ": ")
+    return Cut(every(found, like(time, f"{DATE}T{CLOCK}"), F.length(time) == 19, before(said, " ").isin(*BROKER_WORDS), ~text.contains("\n")), [time, said])
 
 
 MOSQUITTO_BRANCH = Branch(
     "mosquitto", lambda r: Shape(body=r.g(2), ts_us=times.rfc3339_micros(r.g(1))),
-    lambda r: (F.substring(r.text, 11, 1) == "T") & (F.substring(r.text, 20, 2) == ": "), pattern=MOSQUITTO, claim=_broker,
+    lambda r: (F.substring(r.text, 11, 1) == "T") & (F.substring(r.text, 20, 2) == ": "), cuts=mosquitto_line,
 )
 
-#: Time of a container runtime's head, name, value.
-STALL = line(maybe(word(), " ", skip(one_of("stdout", "stderr")), " ", skip(one_of("F", "P")), " "), "published ", name(), "=", word())
+
+def stall_line(text: Column) -> Cut:
+    """``published Name=value``, perhaps behind a container runtime's time, stream and tag."""
+    found, (head, name, value) = cut(text, "published ", "=")
+    h = F.split(head, " ")
+    runtime = every(F.size(h) == 4, at(h, 0) != "", at(h, 1).isin("stdout", "stderr"), at(h, 2).isin("F", "P"), at(h, 3) == "")
+    return Cut(every(found, (head == "") | runtime, named(name), solid(value), ~text.contains("\n")), [at(h, 0), name, value])
 
 
 def shape_stall(rec: Rec) -> Shape:
@@ -389,10 +443,13 @@ def shape_stall(rec: Rec) -> Shape:
     )
 
 
-STALL_BRANCH = Branch("stallcheck", shape_stall, lambda r: needs(r.text, "published "), pattern=STALL)
+STALL_BRANCH = Branch("stallcheck", shape_stall, lambda r: needs(r.text, "published "), cuts=stall_line)
 
-#: Type, seconds, their fraction, serial, pairs.
-KAUDIT = line("audit: type=", number(), " ", text("audit("), number(), text("."), number(), ":", number(), text("): "), rest())
+
+def kaudit_line(text: Column) -> Cut:
+    """``audit: type=n audit(seconds.fraction:serial): pairs``, as the kernel's audit_log_start() prints it."""
+    found, (head, kind, secs, part, serial, rest) = cut(text, "audit: type=", " audit(", ".", ":", "): ")
+    return Cut(every(found, head == "", digits(kind), digits(secs), digits(part), digits(serial)), [kind, secs, part, serial, rest])
 
 
 def shape_kaudit(rec: Rec) -> Shape:
@@ -411,9 +468,13 @@ def shape_kaudit(rec: Rec) -> Shape:
     )
 
 
-KAUDIT_BRANCH = Branch("kaudit", shape_kaudit, lambda r: begins(r.text, "a") & needs(r.text, "audit: type=", "apparmor="), pattern=KAUDIT, slots={"kv": lambda r: pairs.found(r.g(5))})
+KAUDIT_BRANCH = Branch("kaudit", shape_kaudit, lambda r: begins(r.text, "a") & needs(r.text, "audit: type=", "apparmor="), cuts=kaudit_line, slots={"kv": lambda r: pairs.found(r.g(5))})
 
-SMARTD = line("Device: ", field(r"/dev/\S+"), maybe(" ", skip(inside("[", "]"))), ", ", rest())
+def smartd_line(text: Column) -> Cut:
+    """``Device: /dev/name [type], message``; the type may be missing."""
+    found, (head, device, said) = cut(text, "Device: ", ", ")
+    name = before(device, " [")
+    return Cut(every(found, head == "", name.startswith("/dev/"), solid(name), (device == name) | device.endswith("]"), ~text.contains("\n")), [name, said])
 
 
 def shape_smartd(rec: Rec) -> Shape:
@@ -422,20 +483,27 @@ def shape_smartd(rec: Rec) -> Shape:
     return Shape(level=bad, put={rec.ext("smartd.device"): rec.g(1)})
 
 
-SMARTD_BRANCH = Branch("smartd", shape_smartd, lambda r: begins(r.text, "D") & needs(r.text, "Device: "), pattern=SMARTD)
+SMARTD_BRANCH = Branch("smartd", shape_smartd, lambda r: begins(r.text, "D") & needs(r.text, "Device: "), cuts=smartd_line)
+
+def without_wrapper(text: Column) -> Column:
+    """Without the ``jvm n    | `` that the service wrapper puts before each line."""
+    rest = behind(text, "|")
+    return F.when(text.startswith("jvm ") & digits(F.rtrim(F.substr(before(text, "|"), F.lit(5)))), F.when(rest.startswith(" "), F.substr(rest, F.lit(2))).otherwise(rest)).otherwise(text)
+
 
-_JVM_HEAD = "jvm " + skip(number()) + SOME_GAP + text("|") + " ?"
-_GOCD_HEAD = [stamp("yyyy-MM-dd HH:mm:ss,SSS"), GAP, name(), GAP, inside("[", "]"), GAP, field(r"[\w.$]+"), ":", number(), GAP, "-", GAP]
-#: Time, level, thread, class, line, message.
-GOCD_LINE = line(*_GOCD_HEAD, rest())
+def gocd_line(text: Column) -> Cut:
+    """log4j's ``%d{ISO8601} %5p [%t] %c{1}:%L - %m``."""
+    found, (day, clock, level, thread, place, number, said) = cut(text, " ", " ", " [", "] ", ":", " - ")
+    ok = every(found, like(day, DATE), F.length(day) == 10, fraction(clock, f"{CLOCK},"), named(F.trim(level)), solid(place), digits(number))
+    return Cut(ok, [F.concat(day, F.lit(" "), clock), F.trim(level), thread, place, number, said])
 
 
 def shape_gocd(rec: Rec) -> Shape:
-    inner = F.transform(F.split(rec.text, "\n"), lambda x: F.regexp_replace(x, "^" + _JVM_HEAD, ""))
-    parts = F.transform(inner, lambda x: captures(x, GOCD_LINE))
-    read = F.filter(parts, lambda c: F.size(c) > 1)
+    inner = F.transform(F.split(rec.text, "\n"), without_wrapper)
+    parts = F.transform(inner, lambda x: gocd_line(x).read())
+    read = F.filter(parts, lambda c: c.isNotNull())
     head = F.get(read, F.lit(0))
-    messages = F.transform(F.arrays_zip(inner.alias("t"), parts.alias("c")), lambda z: F.when(F.size(z.c) > 1, F.get(z.c, F.lit(6))).otherwise(z.t))
+    messages = F.transform(F.arrays_zip(inner.alias("t"), parts.alias("c")), lambda z: F.when(z.c.isNotNull(), F.get(z.c, F.lit(6))).otherwise(z.t))
     worst = F.array_max(F.transform(read, lambda c: F.coalesce(levels.from_word(F.get(c, F.lit(2))), F.lit(0))))
     return Shape(
         body=F.array_join(messages, "\n"),
@@ -444,9 +512,9 @@ def shape_gocd(rec: Rec) -> Shape:
     )
 
 
-GOCD_BRANCH = Branch("gocd", shape_gocd, lambda r: r.text.startswith("jvm "), claim=lambda r: matches(r.text, "(?m)" + lay.begins(maybe(_JVM_HEAD), skip("".join(_GOCD_HEAD)))))
+GOCD_BRANCH = Branch("gocd", shape_gocd, lambda r: r.text.startswith("jvm "), claim=lambda r: F.exists(F.split(r.text, "\n"), lambda x: F.coalesce(gocd_line(without_wrapper(x)).ok, F.lit(False))))
 
-CRON_BRANCH = Branch("cron", lambda r: Shape(body=r.g(1), resource={"service.name": F.lit("cron")}), lambda r: r.text.startswith("cron: "), pattern=line("cron: ", rest()))
+CRON_BRANCH = Branch("cron", lambda r: Shape(body=r.g(1), resource={"service.name": F.lit("cron")}), lambda r: r.text.startswith("cron: "), cuts=lambda t: Cut(t.startswith("cron: "), [F.substr(t, F.lit(7))]))
 
 _LOGFMT_LIFTED = ("level", "lvl", "t", "ts", "logger", "component", "module", "msg", "source", "caller", "uname")
 
@@ -478,8 +546,12 @@ LOGFMT_BRANCH = Branch(
     claim=_logfmt_keys,
 )
 
-#: Time, thread, query, level, component, message of one or more lines.
-CLICKHOUSE = line(stamp("yyyy.MM.dd HH:mm:ss.S"), " ", text("["), " *", number(), " *", text("]"), " ", inside("{", "}"), " <", name(), "> ", field("[^:\n]+"), ": ", lay.all_lines())
+
+def clickhouse_line(text: Column) -> Cut:
+    """``date time [ thread ] {query} <Level> component: message``, the message of one or more lines."""
+    found, (time, thread, query, level, component, said) = cut(text, " [", "] {", "} <", "> ", ": ")
+    ok = every(found, fraction(time, f"0000.00.00 {CLOCK}."), digits(F.trim(thread)), named(level), component != "", ~component.contains("\n"))
+    return Cut(ok, [time, F.trim(thread), query, level, component, said])
 
 
 def shape_clickhouse(rec: Rec) -> Shape:
@@ -492,10 +564,13 @@ def shape_clickhouse(rec: Rec) -> Shape:
     )
 
 
-CLICKHOUSE_BRANCH = Branch("clickhouse", shape_clickhouse, lambda r: begins(r.text, DIGITS) & needs(r.text, "} <"), pattern=CLICKHOUSE)
+CLICKHOUSE_BRANCH = Branch("clickhouse", shape_clickhouse, lambda r: begins(r.text, DIGITS) & needs(r.text, "} <"), cuts=clickhouse_line)
+
 
-#: Time, level, thread, file, line, message.
-CALICO = line(stamp("yyyy-MM-dd HH:mm:ss.SSS"), " ", inside("[", "]"), text("["), number(), text("]"), " ", word(), " ", number(), ": ", rest())
+def calico_line(text: Column) -> Cut:
+    """``date time [LEVEL][thread] file line: message``."""
+    found, (time, level, thread, file, number, said) = cut(text, " [", "][", "] ", " ", ": ")
+    return Cut(every(found, fraction(time, f"{DATE} {CLOCK}."), F.length(time) == 23, digits(thread), file != "", digits(number), ~text.contains("\n")), [time, level, thread, file, number, said])
 
 
 def shape_calico(rec: Rec) -> Shape:
@@ -507,22 +582,32 @@ def shape_calico(rec: Rec) -> Shape:
     )
 
 
-CALICO_BRANCH = Branch("calico", shape_calico, lambda r: begins(r.text, DIGITS) & needs(r.text, "]["), pattern=CALICO)
+CALICO_BRANCH = Branch("calico", shape_calico, lambda r: begins(r.text, DIGITS) & needs(r.text, "]["), cuts=calico_line)
+
+
+def ssm_line(text: Column) -> Cut:
+    """``date time LEVEL [component] message``, seconds with four decimals."""
+    found, (day, clock, level, component, said) = cut(text, " ", " ", " ", " ")
+    ok = every(found, like(day, DATE), F.length(day) == 10, fraction(clock, f"{CLOCK}."), F.length(clock) == 13, level.isin("ERROR", "WARN", "INFO", "DEBUG", "TRACE"), component != "", ~text.contains("\n"))
+    return Cut(ok, [F.concat(day, F.lit(" "), clock), level, component, said])
+
 
-#: Time, level, component, message.
-SSM = line(stamp("yyyy-MM-dd HH:mm:ss.SSSS"), " ", one_of("ERROR", "WARN", "INFO", "DEBUG", "TRACE"), " ", word(), " ", rest())
 SSM_BRANCH = Branch(
     "ssmagent",
     lambda r: Shape(body=r.g(4), level=levels.from_word(r.g(2)), ts_us=times.utc_micros(r.g(1), "yyyy-MM-dd HH:mm:ss.SSSS"), scope=r.g(3)),
-    lambda r: (F.substring(r.text, 5, 1) == "-") & (F.substring(r.text, 11, 1) == " "), pattern=SSM,
+    lambda r: (F.substring(r.text, 5, 1) == "-") & (F.substring(r.text, 11, 1) == " "), cuts=ssm_line,
 )
 
-#: Time of day, logger, level, file, line, message.
-LITELLM = line(stamp("HH:mm:ss"), " - ", field(r"[A-Za-z][\w .]*"), ":", field("[A-Za-z]+"), ": ", field(r"[\w./-]+"), ":", number(), " - ", rest())
+
+def litellm_line(text: Column) -> Cut:
+    """A Python format of ``%(asctime)s - %(name)s:%(levelname)s: %(filename)s:%(lineno)s - %(message)s``, the time without a date."""
+    found, (clock, logger, level, file, number, said) = cut(text, " - ", ":", ": ", ":", " - ")
+    ok = every(found, like(clock, CLOCK), F.length(clock) == 8, logger != "", F.upper(level).isin(*PYTHON_LEVELS), solid(file), digits(number), ~text.contains("\n"))
+    return Cut(ok, [clock, logger, level, file, number, said])
 
 
 def shape_litellm(rec: Rec) -> Shape:
     return Shape(body=rec.g(6), level=levels.from_word(rec.g(3)), put={"code.file.path": rec.g(4), "code.line.number": as_int(rec.g(5))}, scope=rec.g(2))
 
 
-LITELLM_BRANCH = Branch("litellm", shape_litellm, lambda r: needs(r.text, " - "), pattern=LITELLM, text_of=plain)
+LITELLM_BRANCH = Branch("litellm", shape_litellm, lambda r: needs(r.text, " - "), cuts=litellm_line, text_of=plain)

@@ -6,10 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lumenloom.functions import agents, bodies, levels, maps, network, pairs, times
-from lumenloom.functions import layouts as lay
-from lumenloom.functions.layouts import GAP, field, line, maybe, name, number, quoted, skip, text, until, word
+from lumenloom.functions.cuts import Cut, at, before, behind, cut, digits, every, named, solid
 from lumenloom.functions.maps import first_of
-from lumenloom.functions.patterns import captures, group, matches
+from lumenloom.functions.patterns import group, matches
 from lumenloom.operators.logshape.core import Branch, Rec, Shape, as_object, begins, needs, object_text
 from lumenloom.operators.logshape.lines import node_of_static_pod, source_place
 
@@ -114,12 +113,15 @@ TRACING_BRANCH = Branch(
 
 # -- pino
 
-#: A tag in brackets, if there, and an object.
-PINO = line(maybe(text("["), until("]"), text("]"), GAP), field(r"\{(?s:.*)\}"))
+
+def tagged_object(text: Column) -> Cut:
+    """An object, perhaps behind a tag in brackets."""
+    inner_ = F.when(text.startswith("["), F.ltrim(behind(text, "]"))).otherwise(text)
+    return Cut(F.coalesce(inner_.startswith("{") & inner_.endswith("}"), F.lit(False)), [F.when(text.startswith("["), before(F.substr(text, F.lit(2)), "]")), inner_])
 
 
 def _pino_object(rec: Rec) -> Column:
-    return F.regexp_extract(F.trim(rec.text), PINO, 2)
+    return F.coalesce(tagged_object(F.trim(rec.text)).fields[1], F.lit(""))
 
 
 def shape_pino(rec: Rec) -> Shape:
@@ -144,7 +146,7 @@ def shape_pino(rec: Rec) -> Shape:
 
 
 PINO_BRANCH = Branch(
-    "pino", shape_pino, lambda r: needs(r.text, "{", '"time"', '"level"'), pattern=PINO, text_of=lambda r: F.trim(r.text),
+    "pino", shape_pino, lambda r: needs(r.text, "{", '"time"', '"level"'), cuts=tagged_object, text_of=lambda r: F.trim(r.text),
     slots={"json": lambda r: as_object(r.g(2)), "json2": lambda r: inner(F.when(r.j("error").startswith("{"), r.j("error")))},
     claim=lambda r: matches(r.text, r'"level"\s*:\s*\d') & F.get_json_object(_pino_object(r), "$.time").try_cast("double").isNotNull()
     & first_of(F.get_json_object(_pino_object(r), "$.msg"), F.get_json_object(_pino_object(r), "$.error.message")).isNotNull(),
@@ -152,8 +154,12 @@ PINO_BRANCH = Branch(
 
 # -- logrus, zap and slog
 
-#: The three keys that a text line begins with.
-LOGRUS_TEXT = lay.begins("time=", skip(quoted()), GAP, "level=", skip(name()), GAP, 'msg="')
+
+def text_line(text: Column) -> Column:
+    """logrus' TextFormatter without colours: time, level and a quoted message come first."""
+    found, (head, time, level, _) = cut(text, "time=", " level=", ' msg="')
+    return every(found, head == "", time.startswith('"'), time.endswith('"'), named(F.rtrim(level)))
+
 #: Levels of console lines.
 CONSOLE_LEVELS = ("debug", "info", "warn", "error", "dpanic", "panic", "fatal")
 _TABS = 4
@@ -221,23 +227,27 @@ LOGRUS_BRANCH = Branch(
         "json": lambda r: F.coalesce(as_object(_zap_tail(r)), maps.empty()),
         "kv": lambda r: pairs.found(F.when(r.text.startswith("time="), r.text).otherwise(""), pairs.ESCAPED),
     },
-    claim=lambda r: F.when(r.text.startswith("{"), _logrus_json(r)).when(r.text.startswith("t"), matches(r.text, LOGRUS_TEXT)).otherwise(_zap_console(r.text)),
+    claim=lambda r: F.when(r.text.startswith("{"), _logrus_json(r)).when(r.text.startswith("t"), text_line(r.text)).otherwise(_zap_console(r.text)),
 )
 
 # -- collector console lines
 
-#: What syslog puts in front: program and process.
-_WRAPPER = lay.begins(r"[\w.-]+", text("["), number(), text("]: "))
+
+def program_line(text: Column) -> Cut:
+    """What syslog puts in front, program and process, and what follows."""
+    found, (app, pid, rest) = cut(text, "[", "]: ")
+    return Cut(every(found, solid(app), digits(pid)), [app, pid, rest])
 
 
 def _console(rec: Rec) -> Column:
     """time, level, caller, message, fields of the line or of the one in original_message."""
 
-    def cut(text: Column) -> Column:
-        s = F.regexp_replace(text, _WRAPPER, "")
+    def cells(text: Column) -> Column:
+        head = program_line(text)
+        s = F.when(head.ok, head.fields[2]).otherwise(text)
         return F.split(F.when(s.contains("\t"), s).otherwise(F.replace(s, F.lit("#011"), F.lit("\t"))), "\t", 5)
 
-    return F.when(rec.text.contains('"otelcol.component'), cut(rec.text)).otherwise(cut(F.coalesce(rec.attributes["original_message"], F.lit(""))))
+    return F.when(rec.text.contains('"otelcol.component'), cells(rec.text)).otherwise(cells(F.coalesce(rec.attributes["original_message"], F.lit(""))))
 
 
 def _is_console(rec: Rec) -> Column:
@@ -267,7 +277,7 @@ def shape_collector(rec: Rec) -> Shape:
         level=F.when(debug, levels.DEBUG).otherwise(levels.from_word(at(1))),
         ts_us=times.rfc3339_micros(at(0)),
         put={
-            "process.pid": F.nullif(F.regexp_extract(rec.text, _WRAPPER, 1), F.lit("")),
+            "process.pid": F.when(program_line(rec.text).ok, program_line(rec.text).fields[1]),
             "code.file.path": F.regexp_replace(place["code.file.path"], "@[^/]+", ""),
             "code.line.number": place["code.line.number"],
             "otel.component.name": name,
@@ -313,7 +323,17 @@ LLDPD_BRANCH = Branch(
 # -- Kubernetes: pod status lines, events, lift keys
 
 #: Namespace, pod, phase, how many are ready, node.
-POD = line("Pod ", field(r"[^/ \t\n]+"), "/", word(), ": ", name(), maybe(" ", text("("), field(r"\d+/\d+"), " ready", text(")")), maybe(" on ", word()))
+
+
+def pod_line(text: Column) -> Cut:
+    """``Pod namespace/name: phase (ready/all ready) on node``; the counts and the node may be missing."""
+    found, (head, namespace, name, said) = cut(text, "Pod ", "/", ": ")
+    phase, ready, node = before(said, " "), before(behind(said, "("), " ready)"), behind(said, " on ")
+    whole = F.concat(phase, F.coalesce(F.concat(F.lit(" ("), ready, F.lit(" ready)")), F.lit("")), F.coalesce(F.concat(F.lit(" on "), node), F.lit("")))
+    ok = every(found, head == "", solid(namespace), solid(name), named(phase), said == whole, F.coalesce(digits(F.replace(ready, F.lit("/"), F.lit(""))), F.lit(True)), F.coalesce(solid(node), F.lit(True)))
+    return Cut(F.coalesce(ok, F.lit(False)), [namespace, name, phase, ready, node])
+
+
 #: The resource's keys and the record's keys that move there.
 LIFT = {
     "k8s.namespace.name": ("k8s.namespace.name", "namespace"),
@@ -340,7 +360,7 @@ def _plain_note(note: Column) -> Column:
 
 def shape_k8s(rec: Rec) -> Shape:
     pod, event, subject = rec.caps, rec.json, rec.json2
-    is_pod = F.size(pod) > 1
+    is_pod = pod.isNotNull()
     from_attrs = rec.a("k8s.event.reason").isNotNull()
     is_event = ~is_pod & (F.coalesce(event["reason"], subject["kind"]).isNotNull() | from_attrs)
     reason = F.coalesce(event["reason"], rec.a("k8s.event.reason"))
@@ -376,12 +396,12 @@ def _k8s_claim(rec: Rec) -> Column:
     t = F.trim(rec.text)
     event = object_text(rec.text) & t.rlike('"involvedObject"|"reason"') & F.coalesce(F.get_json_object(t, "$.reason"), F.get_json_object(t, "$.involvedObject.kind")).isNotNull()
     keys = F.coalesce(rec.a("k8s.event.reason"), *[rec.a(k) for k in LIFT]).isNotNull()
-    return matches(t, POD) | F.coalesce(event, F.lit(False)) | keys
+    return pod_line(t).ok | F.coalesce(event, F.lit(False)) | keys
 
 
 K8S_BRANCH = Branch(
     "k8s", shape_k8s, lambda r: F.lit(True), claim=_k8s_claim,
-    slots={"caps": lambda r: captures(F.trim(r.text), POD), "json": lambda r: F.when(object_text(r.text), as_object(r.text)), "json2": lambda r: inner(r.j("involvedObject"))},
+    slots={"caps": lambda r: pod_line(F.trim(r.text)).read(), "json": lambda r: F.when(object_text(r.text), as_object(r.text)), "json2": lambda r: inner(r.j("involvedObject"))},
 )
 
 # -- EKS audit

@@ -12,34 +12,62 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.functions import bodies, levels, maps, pairs, times
-from lumenloom.functions import layouts as lay
-from lumenloom.functions.layouts import GAP, SOME_GAP, all_lines, field, inside, line, maybe, more_lines, name, number, one_of, rest, skip, stamp, text, until, word
+from lumenloom.functions import bodies, levels, maps, network, pairs, times
+from lumenloom.functions.cuts import CLOCK, DATE, Cut, at, before, behind, cut, digits, every, first_line, fraction, last, like, more_lines, named, solid, until_last, words
 from lumenloom.functions.maps import first_of
-from lumenloom.functions.patterns import captures, first, group, matches
+from lumenloom.functions.patterns import first, group
 from lumenloom.operators.logshape import BY_NAME
 from lumenloom.operators.logshape.core import Branch, Rec, Shape, as_object, flatten, needs, object_text, shaped
 
 # -- charon
 
-#: Thread, subsystem, connection and its number, message.
-CHARON = line(number(), text("["), name(), text("]"), GAP, "<", field("[^|>]+"), maybe(text("|"), field("[0-9]*")), ">", GAP, rest())
-_PEER = until("[") + text("[") + number() + text("]")
-PACKET = line(one_of("received", "sending"), " packet: from ", _PEER, " to ", _PEER, " ", text("("), number(), " bytes", text(")"), ".*")
-CHILD_SA = "CHILD_SA" + GAP + field("[0-9a-f-]+") + skip(inside("{", "}")) + maybe(GAP, name())
-SPI_PAIR = "SPIs?" + GAP + field("[0-9a-f]+") + "_i" + maybe(GAP, field("[0-9a-f]+") + "_o")
-IDENTITY = "authentication of '" + until("'") + "'" + maybe(" with ", skip(word()), " ", one_of("successful", "failed"))
 
+def charon_line(text: Column) -> Cut:
+    """``thread[SUBSYSTEM] <connection|number> message``; the number may be missing."""
+    found, (thread, system, connection, said) = cut(text, "[", "] <", "> ")
+    name, number = before(connection, "|"), behind(connection, "|")
+    ok = every(found, digits(thread), named(system), name != "", F.coalesce((number == "") | digits(number), F.lit(True)), ~text.contains("\n"))
+    return Cut(ok, [thread, system, name, number, F.ltrim(said)])
 
-def behind(text_: Column, mark: str) -> Column:
-    """What stands behind the first ``mark``, null where there is none."""
-    return F.when(text_.contains(mark), F.substr(text_, F.call_function("instr", text_, F.lit(mark)) + len(mark)))
+
+def packet(said: Column) -> Cut:
+    """``received packet: from host[port] to host[port] (n bytes)``, and the same of what is sent."""
+    found, (verb, src, sport, dst, dport, size, _) = cut(said, " packet: from ", "[", "] to ", "[", "] (", " bytes)")
+    return Cut(every(found, verb.isin("received", "sending"), src != "", digits(sport), dst != "", digits(dport), digits(size)), [verb, src, sport, dst, dport, size])
+
+
+def word_behind(text_: Column, mark: str) -> Column:
+    """The word behind the first ``mark``, null where there is none."""
+    return F.nullif(before(F.ltrim(behind(text_, mark)), " "), F.lit(""))
+
+
+def child_sa(said: Column) -> tuple[Column, Column]:
+    """Name and state of ``CHILD_SA name{number} state``."""
+    found, (_, name, _, state) = cut(said, "CHILD_SA ", "{", "}")
+    ok = every(found, solid(name))
+    return F.when(ok, name), F.when(ok & state.startswith(" "), F.nullif(before(F.ltrim(state), " "), F.lit("")))
+
+
+def spis(said: Column) -> list[Column]:
+    """The two indexes of ``SPIs one_i other_o``."""
+    w = words(F.coalesce(behind(said, "SPIs "), behind(said, "SPI ")), 3)
+    return [F.when(at(w, i).endswith(end), F.substr(at(w, i), F.lit(1), F.length(at(w, i)) - 2)) for i, end in enumerate(("_i", "_o"))]
+
+
+def identity(said: Column) -> tuple[Column, Column]:
+    """Who authenticates, and how it went."""
+    rest = behind(said, "authentication of '")
+    how = words(behind(rest, "' with "), 3)
+    return before(rest, "'"), F.when(at(how, 1).isin("successful", "failed"), at(how, 1))
 
 
 def shape_charon(r: Rec) -> Shape:
     said, packet = r.g(5), r.caps2
     low = F.lower(said)
-    auth = first(said, IDENTITY, 2)
+    who, auth = identity(said)
+    child, state = child_sa(said)
+    spi_in, spi_out = spis(said)
+    selector = behind(said, "TS ")
     sent = group(packet, 1) == "sending"
     late = low.contains("retransmit") | low.contains("timeout") | low.contains("giving up")
     level = F.when(low.contains("error") | low.contains("failed"), levels.ERROR).when(late, levels.WARN).otherwise(levels.INFO)
@@ -57,34 +85,42 @@ def shape_charon(r: Rec) -> Shape:
             "destination.port": group(packet, 5),
             "network.io.direction": F.when(sent, "transmit").when(~sent, "receive"),
             r.ext("ipsec.packet.bytes"): group(packet, 6),
-            r.ext("ipsec.child_sa"): first(said, CHILD_SA, 1),
-            r.ext("ipsec.child_sa.state"): first(said, CHILD_SA, 2),
-            r.ext("ipsec.spi.in"): first(said, SPI_PAIR, 1),
-            r.ext("ipsec.spi.out"): first(said, SPI_PAIR, 2),
-            r.ext("ipsec.traffic_selector"): first(said, "TS" + GAP + field("[0-9][0-9./ =]*") + "$"),
+            r.ext("ipsec.child_sa"): child,
+            r.ext("ipsec.child_sa.state"): state,
+            r.ext("ipsec.spi.in"): spi_in,
+            r.ext("ipsec.spi.out"): spi_out,
+            r.ext("ipsec.traffic_selector"): F.when(digits(F.left(selector, F.lit(1))) & (F.translate(selector, "0123456789./ =", "") == ""), selector),
             r.ext("ipsec.proposal"): F.ltrim(behind(said, "selected proposal:")),
             r.ext("ipsec.delete.spi"): F.when(said.contains("DELETE for "), F.substring_index(behind(said, "CHILD_SA with SPI "), " ", 1)),
-            r.ext("ipsec.auth.identity"): first(said, IDENTITY, 1),
+            r.ext("ipsec.auth.identity"): who,
             r.ext("ipsec.auth.result"): auth,
         },
     )
 
 
-CHARON_BRANCH = Branch("charon", shape_charon, lambda r: needs(r.text, "[", "<"), pattern=CHARON, slots={"caps2": lambda r: captures(r.g(5), PACKET)})
+CHARON_BRANCH = Branch("charon", shape_charon, lambda r: needs(r.text, "[", "<"), cuts=charon_line, slots={"caps2": lambda r: packet(r.g(5)).read()})
 
 # -- containerd
 
-#: Time, level, message with escapes, further pairs.
-CONTAINERD = line('time="', until('"'), '"', GAP, "level=", name(), GAP, 'msg="', field(r'(?:[^"\\]|\\.)*+'), '"', SOME_GAP, all_lines())
+#: Stand for an escaped backslash and quote while a quoted text is looked for.
+_BACKSLASH, _QUOTE = "\u0001", "\u0002"
+
+
+def containerd_line(text: Column) -> Cut:
+    """logrus' TextFormatter: time, level, a quoted message with escapes, further pairs."""
+    plain = F.replace(F.replace(text, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+    found, (head, time, level, said, more) = cut(plain, 'time="', '" level=', ' msg="', '"')
+    back = lambda c: F.replace(F.replace(c, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
+    return Cut(every(found, head == "", ~time.contains('"'), named(level)), [time, level, back(said), back(F.ltrim(more))])
 
 
 def shape_containerd(r: Rec) -> Shape:
     msg = F.replace(F.replace(r.g(3), F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n"))
     # Every id of 64 digits, and the word that stands before it and tells what it is of.
-    before, ids = (F.regexp_extract_all(msg, F.lit('([A-Za-z]+)[ :="]+([0-9a-f]{64})'), i) for i in (1, 2))
-    of = lambda *words: F.coalesce(*[F.get(ids, (F.nullif(F.array_position(before, w), F.lit(0)) - 1).cast("int")) for w in words])
+    kinds, ids = (F.regexp_extract_all(msg, F.lit('([A-Za-z]+)[ :="]+([0-9a-f]{64})'), i) for i in (1, 2))
+    of = lambda *names: F.coalesce(*[F.get(ids, (F.nullif(F.array_position(kinds, w), F.lit(0)) - 1).cast("int")) for w in names])
     image = F.filter(F.regexp_extract_all(msg, F.lit('"([^" ]*)"'), 1), lambda x: x.rlike(r"^[A-Za-z0-9][\w.-]*(?:/[\w.-]+)+:[\w.-]+$"))
-    member = lambda struct, key: first(msg, struct + text("{") + "[^}]*?\\b" + key + ":" + field("[^,}]+"))
+    member = lambda struct, key: before(behind(F.concat(F.lit(","), before(behind(msg, struct + "{"), "}"), F.lit(",")), f",{key}:"), ",")
     error = pairs.last_value(r.kv, "error")
     return Shape(
         body=F.when(error.isNotNull(), F.concat(msg, F.lit(": "), error)).otherwise(msg),
@@ -104,15 +140,31 @@ def shape_containerd(r: Rec) -> Shape:
     )
 
 
-CONTAINERD_BRANCH = Branch("containerd", shape_containerd, lambda r: r.text.startswith('time="'), pattern=CONTAINERD, slots={"kv": lambda r: pairs.found(F.coalesce(r.g(4), F.lit("")))})
+CONTAINERD_BRANCH = Branch("containerd", shape_containerd, lambda r: r.text.startswith('time="'), cuts=containerd_line, slots={"kv": lambda r: pairs.found(F.coalesce(r.g(4), F.lit("")))})
 
 # -- cron
 
 
-#: A user's command begins or has ended; a session opens or closes; a part of a daily or other run.
-JOB = text("(") + until(")") + text(")") + GAP + one_of("CMD", "CMDEND") + GAP + text("(") + field(".+") + text(")") + "$"
-SESSION = text("pam_unix(cron:session):") + GAP + "session " + one_of("opened", "closed") + " for user " + name()
-RUN_PARTS = lay.begins(text("("), field(r"/etc/cron\.[^)]+"), text(")"), GAP, one_of("starting", "finished"), GAP, word(), "$")
+def job(text: Column) -> Cut:
+    """``(user) CMD (command)`` at the end of a line: a command begins; with CMDEND it has ended."""
+    found, (head, user, rest) = cut(text, "(", ") ")
+    verb, command = before(rest, " "), behind(rest, "(")
+    ok = every(found, user != "", verb.isin("CMD", "CMDEND"), F.ltrim(behind(rest, " ")).startswith("("), command.endswith(")"), F.length(command) > 1, ~command.contains("\n"))
+    return Cut(F.coalesce(ok, F.lit(False)), [user, verb, until_last(command, ")")])
+
+
+def session(text: Column) -> Cut:
+    """PAM's ``session opened for user name``, and ``closed``."""
+    found, (_, verb, user) = cut(text, "pam_unix(cron:session): session ", " for user ")
+    name = before(before(user, " "), "(")
+    return Cut(every(found, verb.isin("opened", "closed"), name != ""), [verb, name])
+
+
+def run_parts(text: Column) -> Cut:
+    """``(/etc/cron.daily) starting name``, and ``finished``."""
+    found, (head, folder, said) = cut(text, "(", ") ")
+    w = words(said)
+    return Cut(every(found, head == "", folder.startswith("/etc/cron."), F.size(w) == 2, at(w, 0).isin("starting", "finished"), at(w, 1) != ""), [folder, at(w, 0), at(w, 1)])
 
 
 def clean_command(command: Column) -> Column:
@@ -123,17 +175,17 @@ def clean_command(command: Column) -> Column:
 
 
 def shape_cron(r: Rec) -> Shape:
-    job, session, part = ([first(r.text, p, i) for i in (1, 2, 3)] for p in (JOB, SESSION + "()", RUN_PARTS))
-    ended = job[1] == "CMDEND"
-    command = F.coalesce(clean_command(job[2]), part[2])
-    event = F.when(ended | (part[1] == "finished"), "end").when(session[0].isNotNull(), F.concat(F.lit("session_"), session[0])).otherwise("start")
+    mine, pam, part = ([F.when(c.ok, f) for f in c.fields] for c in (job(r.text), session(r.text), run_parts(r.text)))
+    ended = mine[1] == "CMDEND"
+    command = F.coalesce(clean_command(mine[2]), part[2])
+    event = F.when(ended | (part[1] == "finished"), "end").when(pam[0].isNotNull(), F.concat(F.lit("session_"), pam[0])).otherwise("start")
     body = F.coalesce(
-        F.concat(part[2], F.lit(" "), part[1]), F.when(ended, F.concat(command, F.lit(" finished"))), command, F.concat(F.lit("session "), session[0], F.lit(" for "), session[1]),
+        F.concat(part[2], F.lit(" "), part[1]), F.when(ended, F.concat(command, F.lit(" finished"))), command, F.concat(F.lit("session "), pam[0], F.lit(" for "), pam[1]),
     )
-    return Shape(body=body, level=F.lit(levels.INFO), put={"user.name": F.coalesce(job[0], session[1]), r.ext("cron.command"): command, r.ext("cron.event"): event, r.ext("cron.directory"): part[0]})
+    return Shape(body=body, level=F.lit(levels.INFO), put={"user.name": F.coalesce(mine[0], pam[1]), r.ext("cron.command"): command, r.ext("cron.event"): event, r.ext("cron.directory"): part[0]})
 
 
-CRON_LINE_BRANCH = Branch("cronlog", shape_cron, lambda r: r.text.contains("("), claim=lambda r: matches(r.text, JOB) | matches(r.text, SESSION) | matches(r.text, RUN_PARTS))
+CRON_LINE_BRANCH = Branch("cronlog", shape_cron, lambda r: r.text.contains("("), claim=lambda r: job(r.text).ok | session(r.text).ok | run_parts(r.text).ok)
 
 # -- packet filter
 
@@ -170,47 +222,70 @@ def shape_filter(r: Rec) -> Shape:
     )
 
 
+def _filter_fields(f: Column) -> Column:
+    """Rule, interface, reason, action, direction and version of at least 18 fields are there."""
+    return every(F.size(f) >= 18, digits(at(f, 0)), at(f, 4) != "", at(f, 5) != "", at(f, 6).isin("pass", "block", "reject", "match"), at(f, 7).isin("in", "out"), at(f, 8).isin("4", "6"))
+
+
 FILTER_BRANCH = Branch(
     "filterlog", shape_filter, lambda r: needs(r.text, ","), slots={"caps": lambda r: F.split(r.text, ",")},
-    claim=lambda r: matches(r.text, r"^\d+,[^,]*,[^,]*,[^,]*,[^,]+,[^,]+,(?:pass|block|reject|match),(?:in|out),[46],") & (F.size(F.split(r.text, ",")) >= 18),
+    claim=lambda r: network.let(F.split(r.text, ","), _filter_fields),
 )
 
 # -- Kafka, PgBouncer, Snuba, Snooze, Tekton
 
-#: Time, level, message, logger in brackets.
-KAFKA = line(text("["), stamp("yyyy-MM-dd HH:mm:ss,SSS"), text("]"), GAP, one_of("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL"), GAP, field("(?s:.*?)"), maybe(GAP, text("("), field(r"[\w.$]+"), text(")")))
+
+def kafka_line(text: Column) -> Cut:
+    """log4j's ``[%d] %p %m (%c)``; the logger may be missing."""
+    found, (head, time, level, said) = cut(text, "[", "] ", " ")
+    logger = F.rtrim(last(said, " ("), F.lit(")"))
+    has = every(said.contains(" ("), said.endswith(")"), logger.rlike(r"^[\w.$]+$"))
+    ok = every(found, head == "", like(time, f"{DATE} {CLOCK},000"), F.length(time) == 23, level.isin("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL"))
+    return Cut(ok, [time, level, F.ltrim(F.when(has, until_last(said, " (")).otherwise(said)), F.when(has, logger)])
+
 KAFKA_BRANCH = Branch(
     "kafka",
-    lambda r: Shape(body=r.g(3), level=levels.from_word(r.g(2)), ts_us=times.utc_micros(F.regexp_replace(r.g(1), r"\s+", " "), "yyyy-MM-dd HH:mm:ss,SSS"), scope=r.g(4), put={r.ext("kafka.component"): first(r.g(3), r"^\[([^\]=]+)[\]=]")}),
-    lambda r: r.text.startswith("["), pattern=KAFKA,
+    lambda r: Shape(body=r.g(3), level=levels.from_word(r.g(2)), ts_us=times.utc_micros(r.g(1), "yyyy-MM-dd HH:mm:ss,SSS"), scope=r.g(4), put={r.ext("kafka.component"): first(r.g(3), r"^\[([^\]=]+)[\]=]")}),
+    lambda r: r.text.startswith("["), cuts=kafka_line,
 )
 
-#: Time, zone, process, level, message.
-PGBOUNCER = line(stamp("yyyy-MM-dd HH:mm:ss.S"), GAP, name(), GAP, text("["), number(), text("]"), GAP, one_of("LOG", "DEBUG", "NOISE", "INFO", "WARNING", "ERROR", "FATAL"), GAP, all_lines())
-#: Side and number of a connection, database, user, address, port, message; and without the middle.
-_SIDE = field("[CS]-0x[0-9A-Fa-f]+") + ":" + GAP
-CONNECTION = line(_SIDE, name(), "/", name(), "@", field("[0-9.]+"), ":", number(), GAP, all_lines())
-CONNECTION_ONLY = line(_SIDE, all_lines())
+
+def pgbouncer_line(text: Column) -> Cut:
+    """``date time zone [pid] LEVEL message``."""
+    found, (day, clock, zone, pid, level, said) = cut(text, " ", " ", " [", "] ", " ")
+    ok = every(found, like(day, DATE), F.length(day) == 10, fraction(clock, f"{CLOCK}."), named(zone), digits(pid), level.isin("LOG", "DEBUG", "NOISE", "INFO", "WARNING", "ERROR", "FATAL"))
+    return Cut(ok, [F.concat(day, F.lit(" "), clock), zone, pid, level, F.ltrim(said)])
+
+
+def connection(said: Column) -> tuple[Column, list[Column]]:
+    """Whether a message begins with ``side-0xnumber: database/user@address:port``, or its first part alone; side, database, user, address, port, message."""
+    found, (side, db, user, addr, port, rest) = cut(said, ": ", "/", "@", ":", " ")
+    full = every(found, named(db), named(user), F.translate(addr, "0123456789.", "") == "", addr != "", digits(port))
+    is_side = side.startswith("C-0x") | side.startswith("S-0x")
+    when = lambda c: F.when(is_side & full, c)
+    return is_side, [F.when(is_side, side), when(db), when(user), when(addr), when(port), F.when(is_side, F.ltrim(F.when(full, rest).otherwise(behind(said, ": "))))]
 
 
 def shape_pgbouncer(r: Rec) -> Shape:
     said = r.g(5)
-    full = matches(said, CONNECTION)
-    side = F.coalesce(first(said, CONNECTION, 1), first(said, CONNECTION_ONLY, 1))
+    _, (side, db, user, addr, port, message) = connection(said)
     return Shape(
-        body=F.when(full, first(said, CONNECTION, 6)).otherwise(F.coalesce(first(said, CONNECTION_ONLY, 2), said)),
+        body=F.coalesce(F.nullif(message, F.lit("")), said),
         level=F.when(r.g(4) == "LOG", levels.INFO).otherwise(levels.from_word(r.g(4))),
-        ts_us=times.utc_micros(F.rpad(F.regexp_replace(r.g(1), r"\s+", " "), 26, "0"), "yyyy-MM-dd HH:mm:ss.SSSSSS"),
+        ts_us=times.utc_micros(F.rpad(r.g(1), 26, "0"), "yyyy-MM-dd HH:mm:ss.SSSSSS"),
         put={
-            "process.pid": r.g(3), "db.namespace": F.when(full, first(said, CONNECTION, 2)), "user.name": F.when(full, first(said, CONNECTION, 3)), "client.address": F.when(full, first(said, CONNECTION, 4)),
-            "client.port": F.when(full, first(said, CONNECTION, 5)), r.ext("pgbouncer.connection"): side, r.ext("pgbouncer.side"): F.when(side.startswith("C"), "client").when(side.startswith("S"), "server"),
+            "process.pid": r.g(3), "db.namespace": db, "user.name": user, "client.address": addr,
+            "client.port": port, r.ext("pgbouncer.connection"): side, r.ext("pgbouncer.side"): F.when(side.startswith("C"), "client").when(side.startswith("S"), "server"),
         },
     )
 
 
-PGBOUNCER_BRANCH = Branch("pgbouncer", shape_pgbouncer, lambda r: needs(r.text, "["), pattern=PGBOUNCER)
+PGBOUNCER_BRANCH = Branch("pgbouncer", shape_pgbouncer, lambda r: needs(r.text, "["), cuts=pgbouncer_line)
 
-SNUBA_PYTHON = line(stamp("yyyy-MM-dd HH:mm:ss,SSS"), GAP, field("(?s:.+)"))
+def python_line(text: Column) -> Cut:
+    """The asctime of Python's logging, then the message."""
+    said = F.substr(text, F.lit(24))
+    return Cut(like(text, f"{DATE} {CLOCK},000") & said.startswith(" ") & (F.ltrim(said) != ""), [F.left(text, F.lit(23)), F.ltrim(said)])
 
 
 def shape_snuba(r: Rec) -> Shape:
@@ -218,7 +293,7 @@ def shape_snuba(r: Rec) -> Shape:
     return Shape(
         body=F.when(is_json, r.json2["message"]).otherwise(r.g(2)),
         level=F.when(is_json, levels.from_word(r.j("level"))).otherwise(levels.INFO),
-        ts_us=F.when(is_json, times.rfc3339_micros(r.j("timestamp"))).otherwise(times.utc_micros(F.regexp_replace(r.g(1), r"\s+", " "), "yyyy-MM-dd HH:mm:ss,SSS")),
+        ts_us=F.when(is_json, times.rfc3339_micros(r.j("timestamp"))).otherwise(times.utc_micros(r.g(1), "yyyy-MM-dd HH:mm:ss,SSS")),
         more=maps.prefixed(r.json2, r.ext("snuba."), ("message",)),
         scope=r.j("target"),
     )
@@ -226,11 +301,18 @@ def shape_snuba(r: Rec) -> Shape:
 
 SNUBA_BRANCH = Branch(
     "snuba", shape_snuba, lambda r: r.text.rlike(r"^[{\d]"),
-    slots={"caps": lambda r: captures(r.text, SNUBA_PYTHON), "json": lambda r: as_object(r.text), "json2": lambda r: F.from_json(r.j("fields"), "map<string,string>")},
-    claim=lambda r: matches(r.text, SNUBA_PYTHON) | (object_text(r.text) & (F.get_json_object(r.text, "$.fields.message") != "") & (F.get_json_object(r.text, "$.target") != "")),
+    slots={"caps": lambda r: python_line(r.text).read(), "json": lambda r: as_object(r.text), "json2": lambda r: F.from_json(r.j("fields"), "map<string,string>")},
+    claim=lambda r: python_line(r.text).ok | (object_text(r.text) & (F.get_json_object(r.text, "$.fields.message") != "") & (F.get_json_object(r.text, "$.target") != "")),
 )
 
 
+def levelled_line(text: Column) -> Cut:
+    """Date, time and a level, which may stand in brackets and have a colon, then the message of one or more lines."""
+    w = words(first_line(text), 4)
+    level = F.rtrim(F.ltrim(at(w, 2), F.lit("[")), F.lit("]:"))
+    return Cut(every(F.size(w) == 4, level.isin("DEBUG", "INFO", "WARNING", "WARN", "ERROR", "CRITICAL", "FATAL")), [level, at(w, 3), more_lines(text)])
+
+
 def snooze_branch(rules: Sequence[tuple[str, str]]) -> Branch:
     """rules: namespaces and containers whose lines begin with a level; only the first line is read, times stay."""
     place = lambda r: F.concat_ws("\u0001", r.r("k8s.namespace.name"), r.r("k8s.container.name"))
@@ -238,14 +320,24 @@ def snooze_branch(rules: Sequence[tuple[str, str]]) -> Branch:
         "snooze",
         lambda r: Shape(body=F.concat(r.g(2), F.coalesce(r.g(3), F.lit(""))), level=F.when(r.g(1) == "CRITICAL", levels.FATAL).otherwise(levels.from_word(r.g(1))), original=False),
         lambda r: place(r).isin([f"{a}\u0001{b}" for a, b in rules]),
-        pattern=line(skip(word()), " ", skip(word()), " ", r"\[?", one_of("DEBUG", "INFO", "WARNING", "WARN", "ERROR", "CRITICAL", "FATAL"), r"\]?:?", GAP, field("[^\n]*"), more_lines()),
+        cuts=levelled_line,
     )
 
 
-#: The object, type, reason and note of an event.
-TEKTON_EVENT = line(text("Event(v1.ObjectReference"), inside("{", "}"), text("):"), SOME_GAP, "type:", SOME_GAP, "'", name(), "'", GAP, "reason:", SOME_GAP, "'", name(), "'", SOME_GAP, all_lines())
-#: Kind, name, condition, its state, reason and message of a run.
-TEKTON_RUN = line(one_of("PipelineRun", "TaskRun"), GAP, word(), GAP, "status is being set to", GAP, text("&{"), name(), GAP, name(), GAP, skip(inside("{", "}")), GAP, name(), SOME_GAP, field("(?s:.*)"), text("}"))
+def tekton_event(text: Column) -> Cut:
+    """What client-go logs of an event: the object, its type, reason and note."""
+    found, (head, subject, kind, reason, note) = cut(text, "Event(v1.ObjectReference{", "}): type: '", "' reason: '", "'")
+    return Cut(every(found, head == "", named(kind), named(reason)), [subject, kind, reason, F.ltrim(note)])
+
+
+def tekton_run(text: Column) -> Cut:
+    """``Kind name status is being set to &{type status severity {time} reason message}``: a condition as Go prints it."""
+    found, (kind, name, condition, time, rest) = cut(text, " ", " status is being set to &{", "{", "} ")
+    c, said = words(condition), until_last(F.ltrim(rest), "}")
+    ok = every(found, kind.isin("PipelineRun", "TaskRun"), solid(name), named(at(c, 0)), named(at(c, 1)), rest.endswith("}"), named(before(said, " ")))
+    return Cut(ok, [kind, name, at(c, 0), at(c, 1), before(said, " "), F.coalesce(F.ltrim(behind(said, " ")), F.lit(""))])
+
+
 #: How many tasks of a run have ended how, and the word that says so.
 TASKS = {"completed": "Completed", "failed": "Failed", "cancelled": "Cancelled", "skipped": "Skipped"}
 
@@ -276,25 +368,56 @@ def shape_tekton(r: Rec) -> Shape:
 
 TEKTON_BRANCH = Branch(
     "tekton", shape_tekton, lambda r: r.text.startswith("Event") | r.text.startswith("PipelineRun") | r.text.startswith("TaskRun"),
-    slots={"caps": lambda r: captures(r.text, TEKTON_EVENT), "caps2": lambda r: captures(r.text, TEKTON_RUN)}, claim=lambda r: matches(r.text, TEKTON_EVENT) | matches(r.text, TEKTON_RUN),
+    slots={"caps": lambda r: tekton_event(r.text).read(), "caps2": lambda r: tekton_run(r.text).read()}, claim=lambda r: tekton_event(r.text).ok | tekton_run(r.text).ok,
 )
 
 # -- kernel
 
-#: A disk's address, name and message; a block device and sector; a balancer's scheduler, protocol, target and message; a limiter's count.
-_SCSI = line("sd", GAP, field("[0-9]+(?::[0-9]+){3}"), ":", GAP, inside("[", "]"), GAP, rest())
-_MEDIUM = line("critical medium error,", GAP, "dev", GAP, name(), ",", GAP, "sector", GAP, number(), GAP, rest())
-_IPVS = line("IPVS:", GAP, name(), ":", GAP, name(), GAP, field("[0-9.:]+"), GAP, "-", GAP, rest())
-_LIMIT = line("net_ratelimit:", GAP, number(), GAP, "callbacks suppressed")
+
+def scsi_line(text: Column) -> Cut:
+    """``sd host:channel:target:lun: [name] message``, the head of sd_printk()."""
+    found, (head, address, device, said) = cut(text, "sd ", ": [", "] ")
+    return Cut(every(found, head == "", F.size(F.split(address, ":")) == 4, digits(F.translate(address, ":", ""))), [address, device, F.ltrim(said)])
+
+
+def medium_line(text: Column) -> Cut:
+    """``critical medium error, dev name, sector n ...``, as blk_print_req_error() has it."""
+    found, (head, device, sector, _) = cut(text, "critical medium error, dev ", ", sector ", " ")
+    return Cut(every(found, head == "", named(device), digits(sector)), [device, sector])
+
+
+def balancer_line(text: Column) -> Cut:
+    """``IPVS: scheduler: PROTOCOL target - message``."""
+    found, (head, scheduler, protocol, target, said) = cut(text, "IPVS: ", ": ", " ", " - ")
+    return Cut(every(found, head == "", named(scheduler), named(protocol), digits(F.translate(target, ".:", ""))), [scheduler, protocol, target, said])
+
+
+def limiter_line(text: Column) -> Cut:
+    """``net_ratelimit: n callbacks suppressed``."""
+    found, (head, n, rest) = cut(text, "net_ratelimit: ", " callbacks suppressed")
+    return Cut(every(found, head == "", rest == "", digits(n)), [n])
+
+
 #: How network interfaces are named.
 NICS = ("veth", "eth", "eno", "enp", "ens", "bond", "br", "cni", "tun", "tap", "wlan", "docker", "cali", "flannel")
-_NIC = line(field(skip(one_of(*NICS)) + r"[\w.-]*"), ":", GAP, rest())
-_UPTIME = lay.begins(text("["), " *", field(r"[0-9]+(?:\.[0-9]+)?"), text("]"), SOME_GAP)
+
+
+def interface_line(text: Column) -> Cut:
+    """An interface's name and a colon, then the message."""
+    found, (name, said) = cut(text, ": ")
+    known = F.array_contains(F.array(*[name.startswith(n) for n in NICS]), True)
+    return Cut(every(found, known, name.rlike(r"^[\w.-]+$")), [name, F.ltrim(said)])
+
+
+def uptime(text: Column) -> Column:
+    """The seconds since the start in brackets that a line begins with, null where it doesn't."""
+    found, (head, secs, _) = cut(text, "[", "]")
+    return F.when(every(found, head == "", digits(F.translate(F.trim(secs), ".", ""))), F.trim(secs))
 
 
 def kernel_line(r: Rec) -> Column:
     """Without the uptime in front."""
-    return F.trim(F.when(r.text.startswith("["), F.regexp_replace(r.text, _UPTIME, "")).otherwise(r.text))
+    return F.trim(F.when(uptime(r.text).isNotNull(), behind(r.text, "]")).otherwise(r.text))
 
 
 #: Words that tell an error or a warning.
@@ -304,28 +427,29 @@ KERNEL_WARNINGS = ("no destination available", "callbacks suppressed", "link dow
 
 def shape_kernel(r: Rec) -> Shape:
     t = r.line
-    kinds = {k: matches(t, p) for k, p in (("scsi", _SCSI), ("block", _MEDIUM), ("ipvs", _IPVS))} | {"clocksource": t.startswith("clocksource:")}
+    disk, medium, balancer, limiter, nic = ([F.when(c.ok, f) for f in c.fields] for c in (scsi_line(t), medium_line(t), balancer_line(t), limiter_line(t), interface_line(t)))
+    kinds = {k: p[0].isNotNull() for k, p in (("scsi", disk), ("block", medium), ("ipvs", balancer))} | {"clocksource": t.startswith("clocksource:")}
     system = F.lit("network")
     for kind, is_it in reversed(kinds.items()):
         system = F.when(is_it, kind).otherwise(system)
     low = F.lower(t)
     any_of = lambda words: F.array_contains(F.array(*[low.contains(w) for w in words]), True)
     return Shape(
-        body=F.coalesce(first(t, _SCSI, 3), first(t, _NIC, 2), t),
+        body=F.coalesce(disk[2], nic[1], t),
         level=F.when(any_of(KERNEL_ERRORS), levels.ERROR).when(any_of(KERNEL_WARNINGS), levels.WARN).otherwise(levels.INFO),
         put={
             r.ext("kernel.subsystem"): system,
-            r.ext("kernel.uptime"): first(r.text, _UPTIME, 1),
-            r.ext("kernel.device"): F.coalesce(first(t, _SCSI, 2), first(t, _MEDIUM, 1)),
-            r.ext("scsi.address"): first(t, _SCSI, 1),
-            r.ext("scsi.sense_key"): F.trim(first(t, "Sense Key *: *" + field("[^[]+"))),
+            r.ext("kernel.uptime"): uptime(r.text),
+            r.ext("kernel.device"): F.coalesce(disk[1], medium[0]),
+            r.ext("scsi.address"): disk[0],
+            r.ext("scsi.sense_key"): F.trim(before(F.ltrim(F.ltrim(behind(t, "Sense Key")), F.lit(": ")), "[")),
             r.ext("scsi.sense"): F.trim(behind(t, "Add. Sense: ")),
-            r.ext("block.sector"): first(t, _MEDIUM, 2),
-            r.ext("ipvs.scheduler"): first(t, _IPVS, 1),
-            "network.transport": F.lower(first(t, _IPVS, 2)),
-            "destination.address": first(t, _IPVS, 3),
-            "network.interface.name": first(t, _NIC, 1),
-            r.ext("kernel.suppressed"): first(t, _LIMIT, 1),
+            r.ext("block.sector"): medium[1],
+            r.ext("ipvs.scheduler"): balancer[0],
+            "network.transport": F.lower(balancer[1]),
+            "destination.address": balancer[2],
+            "network.interface.name": nic[0],
+            r.ext("kernel.suppressed"): limiter[0],
         },
     )
 
@@ -333,8 +457,8 @@ def shape_kernel(r: Rec) -> Shape:
 def _kernel(r: Rec) -> Column:
     t = kernel_line(r)
     out = t.startswith("clocksource:")
-    for p in (_SCSI, _MEDIUM, _IPVS, _LIMIT, _NIC):
-        out = out | matches(t, p)
+    for form in (scsi_line, medium_line, balancer_line, limiter_line, interface_line):
+        out = out | F.coalesce(form(t).ok, F.lit(False))
     return out
 
 
@@ -342,11 +466,16 @@ KERNEL_BRANCH = Branch("kernel", shape_kernel, lambda r: F.length(r.text) > 3, s
 
 # -- remote desktop server
 
-#: Process, thread, time, mark of an event, message.
-VNC = line(
-    SOME_GAP, text("["), SOME_GAP, field("[0-9]{1,18}"), SOME_GAP, "/", SOME_GAP, field("[0-9]{1,18}"), SOME_GAP, text("]"), GAP, stamp("yyyy-MM-dd HH:mm:ss:SSS"), GAP,
-    maybe(":", SOME_GAP), maybe(one_of("+", "-", "!"), GAP), rest(),
-)
+
+def vnc_line(text: Column) -> Cut:
+    """``[ process/ thread] date time:millis mark message``; the mark of an event may be missing, and a colon may stand before it."""
+    found, (head, pid, thread, rest) = cut(text, "[", "/", "]")
+    w = words(F.ltrim(rest), 3)
+    said = F.when(at(w, 2).startswith(":"), F.ltrim(F.substr(at(w, 2), F.lit(2)))).otherwise(at(w, 2))
+    mark = F.when(F.substring(said, 1, 1).isin("+", "-", "!") & (F.substring(said, 2, 1) == " "), F.left(said, F.lit(1)))
+    number = lambda c: digits(F.trim(c)) & (F.length(F.trim(c)) <= 18)
+    ok = every(found, F.trim(head) == "", number(pid), number(thread), rest.startswith(" "), F.size(w) == 3, like(at(w, 0), DATE), F.length(at(w, 0)) == 10, like(at(w, 1), f"{CLOCK}:000"), F.length(at(w, 1)) == 12, ~text.contains("\n"))
+    return Cut(ok, [F.trim(pid), F.trim(thread), F.concat_ws(" ", at(w, 0), at(w, 1)), mark, F.when(mark.isNotNull(), F.ltrim(F.substr(said, F.lit(2)))).otherwise(said)])
 
 
 def shape_vnc(r: Rec) -> Shape:
@@ -373,7 +502,7 @@ def shape_vnc(r: Rec) -> Shape:
     )
 
 
-VNC_BRANCH = Branch("tightvnc", shape_vnc, lambda r: needs(r.text, "[", "/", "]"), pattern=VNC)
+VNC_BRANCH = Branch("tightvnc", shape_vnc, lambda r: needs(r.text, "[", "/", "]"), cuts=vnc_line)
 
 # -- Kubernetes events as objects
 

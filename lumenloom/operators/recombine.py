@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenloom.functions import maps
-from lumenloom.functions.layouts import line as layout
-from lumenloom.functions.layouts import maybe, rest
+from lumenloom.functions.cuts import before
 from lumenloom.functions.patterns import matches
 from lumenloom.operators.timeseries import gap_groups, running_sum
 
 GAP_US, MAX_US, MAX_LINES, MAX_BYTES = 10_000, 80_000, 50, 1 << 16
 #: Lines that hang together at most; a longer run of lines that go on with those before is cut.
 MOST_LINES = 20_000
-#: A dotted name, and behind a colon what it says.
-EXCEPTION = layout(r"[A-Za-z_][\w.]*", maybe(": ", rest()))
+
+
+def is_exception(line: Column) -> Column:
+    """A dotted name, and behind a colon what it says."""
+    return before(line, ": ").rlike(r"^[A-Za-z_][\w.]*$") & ~line.contains("\n")
 
 
 def recombine(df: DataFrame, key: str, at_us: str, tie: str, line: str, first_entry: str, gap_us: int = GAP_US, max_us: int = MAX_US, max_lines: int = MAX_LINES, sep: str = "\n") -> DataFrame:
@@ -61,7 +63,7 @@ def fold_traces(df: DataFrame, key: str, order: str, line: str, max_bytes: int =
     """
     text = F.col(line)
     rows = df.where(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")) != "").select(key, order, line)
-    exception = matches(text, EXCEPTION) & ~is_continuation(text) & ~is_trace_start(text)
+    exception = is_exception(text) & ~is_continuation(text) & ~is_trace_start(text)
     rows = rows.withColumn("_us", F.col(order).cast("long"))
     opens = is_trace_start(text) | (~is_continuation(text) & ~exception)
     rows = gap_groups(rows, [key], "_us", order, opens, "_run", chunk_us=100_000).drop("prev_us")
@@ -89,7 +91,7 @@ def mark_exceptions(df: DataFrame, body: str = "body") -> DataFrame:
     """Traces become ERROR with exception.type, exception.message and exception.stacktrace."""
     text = F.regexp_replace(F.col(body), r"\n+$", "")
     last = F.substring_index(text, "\n", -1)
-    is_trace = F.coalesce(is_trace_start(F.col(body)) & F.col(body).contains("\n") & matches(last, EXCEPTION), F.lit(False))
+    is_trace = F.coalesce(is_trace_start(F.col(body)) & F.col(body).contains("\n") & is_exception(last), F.lit(False))
     values = {
         "exception.type": F.when(is_trace, F.substring_index(last, ": ", 1)),
         "exception.message": F.when(is_trace & last.contains(": "), F.regexp_extract(last, "^[^:]*: (.*)$", 1)),

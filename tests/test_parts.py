@@ -1,15 +1,16 @@
-"""Parts that queries reach only in one form: layouts, captures, readers, writers, hot runs of lines."""
+"""Parts that queries reach only in one form: cuts, forms, readers, writers, hot runs of lines."""
 
-import re
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from lumenloom.functions import agents, maps, pairs
-from lumenloom.functions import layouts as lay
+from lumenloom.functions import agents, cuts, maps, pairs
 from lumenloom.functions.patterns import captures, re2
 from lumenloom.operators import hardware, windowhist
 from lumenloom.operators import recombine as rc
+from lumenloom.operators.logshape import devices as device_lines
+from lumenloom.operators.logshape import lines
 from lumenloom.sinks import flowlog
 from lumenloom.sources import aws, devices
 from lumenloom.sources.tables import spread
@@ -19,16 +20,42 @@ def values(spark, column, *rows):
     return [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, t string").orderBy("i").select(column).collect()]
 
 
-@pytest.mark.parametrize("form,fits,other", [("yyyy-MM-dd'T'HH:mm:ssX", "2026-06-18T08:12:15+02:00", "2026-06-18 08:12:15+02:00"), ("MMM d HH:mm:ss.S", "Jun  8 08:12:15.1234", "June 8 08:12:15.1"), ("yyyy.MM.dd HH:mm:ss,SSS", "2026.06.18 08:12:15,123", "2026-06-18 08:12:15,123")])
-def test_stamps_fit_their_form(form, fits, other):
-    pattern = re.compile(lay.line(lay.stamp(form)))
-    assert pattern.match(fits)[1] == fits and not pattern.match(other)
+def test_cutting_at_marks(spark):
+    ok, pieces = cuts.cut(F.col("t"), "[", "] ", ": ")
+    read = F.when(ok, F.array(*pieces))
+    assert values(spark, read, "a[b] c: d: e", "é[ü] ñ: \U0001f600", "[] : ", "a] b[c: d", "a[b] c", None) == [["a", "b", "c", "d: e"], ["é", "ü", "ñ", "\U0001f600"], ["", "", "", ""], None, None, None]
+    assert values(spark, cuts.until_last(F.col("t"), "::"), "a::b::c", "abc", "::") == ["a::b", None, ""]
+    assert values(spark, cuts.behind(F.col("t"), "::"), "a::b::c", "abc", "::") == ["b::c", None, ""]
+    assert values(spark, cuts.last(F.col("t"), "::"), "a::b::c", "abc") == ["c", "abc"]
+
+
+def test_what_pieces_look_like(spark):
+    t = F.col("t")
+    assert values(spark, cuts.digits(t), "12", "", "1a", "-1") == [True, False, False, False]
+    assert values(spark, cuts.fraction(t, f"{cuts.DATE} {cuts.CLOCK},"), "2026-06-18 08:12:15,123", "2026-06-18 08:12:15,", "2026-06-18 08:12:15.123", "2026-6-18 08:12:15,123") == [True, False, False, False]
+    assert values(spark, cuts.solid(t), "a", "", "a b") == [True, False, False]
+    assert values(spark, F.array(cuts.first_line(t), cuts.more_lines(t)), "a\nb\nc", "a") == [["a", "\nb\nc"], ["a", None]]
+    ok, (method, target, _) = cuts.request(t)
+    assert values(spark, F.when(ok, F.concat(method, target)), "GET / HTTP/1.1", "GET /", "GET / x y") == ["GET/", None, None]
+
+
+@pytest.mark.parametrize("form,fits,others", [
+    (lines.klog_line, ["I0102 15:04:05.123456       7 a.go:12] msg", "E1231 00:00:00.1 1 b.go:1]"], ["X0102 15:04:05.1 7 a.go:12] m", "I0102 15:04:05 7 a.go:12] m", "I0102 15:04:05.1 7 a.go] m", "I0102 15:04:05.1 a.go:12] m"]),
+    (lines.combined_line, ['1.2.3.4 - - [02/Jan/2026:15:04:05 +0000] "GET / HTTP/1.1" 200 5 "-" "x"', '1.2.3.4 - u [t] "GET / HTTP/1.1" 200 5 "-" "x" "9.9.9.9"'], ['1.2.3.4 - - [t] "GET /" 200 5 "-" "x"', '1.2.3.4 - - [t] "GET / HTTP/1.1" OK 5 "-" "x"']),
+    (lines.postgres_line, ["2026-01-02 03:04:05.123 UTC [12] LOG:  ready", "2026-01-02 03:04:05.123 CET [12] ERROR:  no\nmore"], ["2026-01-02 03:04:05 UTC [12] LOG:  ready", "2026-01-02 03:04:05.123 UTC [x] LOG:  ready", "2026-01-02 03:04:05.123 UTC [12] SAID:  ready"]),
+    (lines.redis_line, ["1:M 19 Nov 2026 23:22:38.000 * ok"], ["1:Q 19 Nov 2026 23:22:38.000 * ok", "1:M 19 Nop 2026 23:22:38.000 * ok", "1:M 19 Nov 2026 23:22:38.000 ? ok"]),
+    (device_lines.old_line, ["Jan  2 03:04:05 host app: x", "Dec 31 10:05:00 h"], ["Jam  2 03:04:05 host", "Jan 2 03:04 host", "Jan 2 03:04:05"]),
+    (device_lines.ios_line, ["12: *Jan  2 03:04:05.123: %SYS-5-CONFIG_I: done", "12: Jan 2 03:04:05: %A-0-B:"], ["12: *Jan  2 03:04:05.123: SYS-5-CONFIG_I: done", "x: *Jan 2 03:04:05: %SYS-5-CONFIG_I: done"]),
+    (device_lines.tagged, ["sshd[4]: x", "cron: y", "a/b-c[1]:z"], ["no tag", "two words: x", "a[b]: x", "[4]: x"]),
+])
+def test_what_forms_take_and_refuse(spark, form, fits, others):
+    ok = F.coalesce(form(F.col("t")).ok, F.lit(False))
+    assert values(spark, ok, *fits, *others) == [True] * len(fits) + [False] * len(others)
 
 
-def test_parts_of_a_layout():
-    p = re.compile(lay.line(lay.word(), lay.GAP, lay.inside("[", "]"), lay.maybe(" ", lay.quoted()), lay.skip(lay.one_of(":", "a.b")), lay.rest()))
-    assert p.match('x  [y z] "q":tail').groups() == ("x", "y z", "q", "tail") and p.match("x [y]a.btail").groups() == ("x", "y", None, "tail")
-    assert not p.match("x [y]axbtail")
+def test_codes_of_devices(spark):
+    got = values(spark, device_lines.coded(F.col("t")), "x: %LINK-3-UPDOWN: Interface Gi1/0/1", "50% off: %SYS-5-CONFIG_I: y", "%link-3-UPDOWN: z", "%A-9-B: z", "none")
+    assert got == [["", "LINK", "3", "UPDOWN"], ["", "SYS", "5", "CONFIG_I"], None, None, None]
 
 
 def test_a_line_that_holds_the_mark_of_groups(spark):
@@ -71,7 +98,7 @@ def test_flow_files_as_text_and_parquet(spark, tmp_path):
 
 def test_batches_are_written_again_until_they_are(spark, monkeypatch):
     waits, tries = [], []
-    monkeypatch.setattr(flowlog.time, "sleep", waits.append)
+    monkeypatch.setattr(flowlog, "time", SimpleNamespace(sleep=waits.append, monotonic=lambda: 0.0))
 
     def write(df):
         tries.append(df.count())

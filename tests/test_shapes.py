@@ -40,18 +40,17 @@ def test_whole_table(spark):
 def test_gates_never_refuse_what_a_branch_claims(spark):
     """The claim with its gate is the claim alone, on the lines of every format."""
     from lumenloom.operators.logshape.core import record
-    from lumenloom.functions.patterns import matches
 
     df = rows(spark, [(line, None, None, None, None) for line in LINES])
     rec = record(df)
     bad = []
     for b in BRANCHES:
         alone = F.lit(True)
-        if b.pattern:
-            alone = alone & matches(b.text(rec), b.pattern)
+        if b.cuts:
+            alone = alone & b.cuts(b.text(rec)).ok
         if b.claim:
             alone = alone & b.claim(rec)
-        if b.pattern:
+        if b.cuts:
             bad.append((F.coalesce(alone, F.lit(False)) & ~b.claims(rec)).alias(b.name))
     for r in df.select(*bad).collect():
         assert not any(r), r
