@@ -15,6 +15,7 @@ ones first; and so on until all lists are settled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,7 +83,7 @@ def _full_sets(docs: DataFrame, reps: DataFrame, ids: DataFrame, id_col: str, te
 
 
 def _first_lists(reps: DataFrame, percent: int, tables: Scratch) -> DataFrame:
-    """The index lists of whole sets: g (0), token, x, n, d (the size) and pos, the place of the n-gram in its set's order.
+    """The index lists of whole sets: g (0), token, x, n, d (the size) and rest, how many n-grams of the set are left in its order, this one included.
 
     The order: counted n-grams by how many sets have them, then the others by
     their hash. Those of one set alone take places, but are in no list.
@@ -97,7 +98,7 @@ def _first_lists(reps: DataFrame, percent: int, tables: Scratch) -> DataFrame:
     listed = sized.select(F.col("rep").alias("x"), F.col("n_shingles").alias("n"), "c", own.alias("own"), F.posexplode("ts").alias("i", "t"))
     pos = F.when(F.col("t.late") == 0, F.col("c") - F.col("own") + F.col("i")).otherwise(F.col("c") + F.col("t.late") - 1)
     most = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
-    return listed.where(pos < most).select(F.lit(0).cast("long").alias("g"), F.col("t.token").alias("token"), "x", "n", F.col("n").alias("d"), pos.cast("long").alias("pos"))
+    return listed.where(pos < most).select(F.lit(0).cast("long").alias("g"), F.col("t.token").alias("token"), "x", "n", F.col("n").alias("d"), (F.col("n") - pos).cast("long").alias("rest"))
 
 
 def _lists(items: DataFrame, percent: int, tables: Scratch) -> DataFrame:
@@ -114,32 +115,40 @@ def _lists(items: DataFrame, percent: int, tables: Scratch) -> DataFrame:
     listed = sized.select("g", "x", "n", "d", F.size("ts").alias("own"), F.posexplode("ts").alias("i", "t"))
     pos = F.col("d") - F.col("own") + F.col("i")
     most = F.expr(f"n * {100 - percent} div {percent}") + 1
-    return listed.where(pos < most).select("g", F.col("t.token").alias("token"), "x", "n", "d", pos.cast("long").alias("pos"))
+    return listed.where(pos < most).select("g", F.col("t.token").alias("token"), "x", "n", "d", (F.col("d") - pos).cast("long").alias("rest"))
 
 
 def _fits(percent: int) -> Column:
     """Whether entries or blocks a and b of one list can belong to sets similar enough, by sizes and places."""
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    rest = F.least(a("d") - a("pos"), b("d") - b("pos"))
     sizes = F.lit(percent) * F.greatest(a("n"), b("n")) <= F.lit(100) * F.least(a("n"), b("n"))
-    return sizes & (F.lit(100 + percent) * (a("d") + b("d") - 2 * rest) <= F.lit(100 - percent) * (a("n") + b("n")))
+    return sizes & (F.lit(100 + percent) * (a("d") + b("d") - 2 * F.least(a("rest"), b("rest"))) <= F.lit(100 - percent) * (a("n") + b("n")))
+
+
+def _size_class(n: str, percent: int) -> Column:
+    """Sets similar enough are in one class or in neighbouring ones."""
+    return F.floor(F.log(F.col(n)) / F.lit(max(math.log(100 / percent), 1e-3)) + F.lit(1e-9)).cast("int")
 
 
 def _live(lists: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
     """Entries, with label and the number m of entries left in their list, of blocks that another label can meet.
 
     A block is the entries of one list with the same sizes and place; whole
-    blocks are skipped, so a list costs pairs of its blocks at most.
+    blocks are skipped, so a list costs its blocks times the sizes near each.
     """
     if labels is None:
         known = lists.withColumn("label", F.col("x"))
     else:
         known = lists.join(labels.withColumnRenamed("id", "x"), "x", "left").withColumn("label", F.coalesce("component", "x")).drop("component")
-    at = ["g", "token", "n", "d", "pos"]
-    blocks = known.groupBy(*at).agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    at = ["g", "token", "n", "d", "rest"]
+    ends = [F.min("label").alias("lo"), F.max("label").alias("hi")]
+    blocks = known.groupBy(*at).agg(*ends).withColumn("size_class", _size_class("n", percent))
+    # Of the blocks of one size that with most left behind its place meets whatever any of them meets.
+    best = blocks.groupBy("g", "token", "n", "d", "size_class").agg(F.max("rest").alias("rest"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    best = best.withColumn("size_class", F.explode(F.array(*[F.col("size_class") + i for i in (-1, 0, 1)])))
     one = (F.col("a.lo") == F.col("a.hi")) & (F.col("b.lo") == F.col("b.hi")) & (F.col("a.lo") == F.col("b.lo"))
-    same = (F.col("a.g") == F.col("b.g")) & (F.col("a.token") == F.col("b.token"))
-    met = blocks.alias("a").join(blocks.alias("b"), same & ~one & _fits(percent), "left_semi").select(*at)
+    same = (F.col("a.g") == F.col("b.g")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.size_class") == F.col("b.size_class"))
+    met = blocks.alias("a").join(best.alias("b"), same & ~one & _fits(percent), "left_semi").select(*at)
     left = known.join(met, at)
     return left.join(left.groupBy("g", "token").agg(F.count(F.lit(1)).alias("m")), ["g", "token"])
 
@@ -209,24 +218,23 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle:
     repeated = not reps.where("rows > 1").isEmpty()
     lists = write(_first_lists(reps, percent, tables))
     live = write(_live(lists, None, percent))
-    ids = write(live.select(F.col("x").alias("rep")).distinct())
-    sets = _full_sets(docs, reps, ids, id_col, text_col, shingle)
+    sets = _full_sets(docs, reps, live.select(F.col("x").alias("rep")).distinct(), id_col, text_col, shingle)
     sets = write(sets.dropDuplicates(["rep"]) if repeated else sets)
-    star = write(_to_centres(live).where("x <> c").select(F.col("x").alias("a"), F.col("c").alias("b")))
+    star = _to_centres(live).where("x <> c").select(F.col("x").alias("a"), F.col("c").alias("b"))
     labels = connected_components(_confirm(star, sets, percent), write)
-    tables.drop(star, lists)
+    tables.drop(lists)
 
     def joined_up(labels: DataFrame, edges: DataFrame) -> DataFrame:
         known = labels.select(F.col("id").alias("u"), F.col("component").alias("v"))
         return connected_components(known.unionByName(edges.select("u", "v")), write)
 
-    left = write(_live(live.select("g", "token", "x", "n", "d", "pos"), labels, percent))
+    left = write(_live(live.select("g", "token", "x", "n", "d", "rest"), labels, percent))
     tables.drop(live)
     whole = sets.select(F.col("rep").alias("x"), F.size("shingles").cast("long").alias("n"), F.col("shingles").alias("s"))
     items, on = whole, []
     for level in range(LEVELS):
         few = left if level == LEVELS - 1 else left.where(F.col("m") <= SMALL)
-        pairs = write(_pairs(few, percent))
+        pairs = _pairs(few, percent)
         a = items.select(*on, F.col("x").alias("a"), F.col("n").alias("an"), F.col("s").alias("as"))
         b = items.select(*on, F.col("x").alias("b"), F.col("n").alias("bn"), F.col("s").alias("bs"))
         both = (pairs if on else pairs.drop("g")).join(a, [*on, "a"]).join(b, [*on, "b"])
