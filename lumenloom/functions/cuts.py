@@ -1,19 +1,23 @@
 """Lines cut at the marks that their formats put between fields, and tests of what stands between.
 
-A format is a row of marks and what its fields may look like. Cutting searches
-for plain text from left to right and tests run on the pieces, so no pattern
-walks over a line.
+A format is a row of marks and a function of the pieces between them: whether
+they look right, and which fields they make up. A line is cut once; the tests
+and fields read its pieces.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce, wraps
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumenloom.functions.network import let
+from lumenloom.functions.patterns import captures
+
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 #: Dates and times with each digit as 0.
 DATE, CLOCK = "0000-00-00", "00:00:00"
@@ -21,29 +25,69 @@ DATE, CLOCK = "0000-00-00", "00:00:00"
 
 @dataclass(frozen=True)
 class Cut:
-    """ok: whether a line has the form; fields: what it says then, from 1."""
+    """ok: whether a line has the form; array: its fields then, from place 1 on."""
 
     ok: Column
-    fields: Sequence[Column]
-
-    def array(self) -> Column:
-        """The fields, from place 1 on."""
-        return F.array(F.lit(""), *self.fields)
+    array: Column
 
     def read(self) -> Column:
-        """array(), null for lines of other forms."""
-        return F.when(self.ok, self.array())
+        """The fields, null for lines of other forms."""
+        return F.when(self.ok, self.array)
+
+
+@cache
+def _between(marks: tuple[str, ...]) -> str:
+    """A pattern with a group for each piece before, between and behind the marks' first places in this order."""
+    plain = lambda t: re.sub(r"([^\w\s])", r"\\\1", t)
+    pieces = [(f"([^{plain(m)}]*)" if len(m) == 1 else "((?s:.*?))") + plain(m) for m in marks]
+    return "^" + "".join(pieces) + "((?s:.*))$"
 
 
 def cut(text: Column, *marks: str) -> tuple[Column, list[Column]]:
     """Whether all marks stand in the text in this order, and the pieces before, between and behind their first places."""
-    found, pieces, begin = [], [], F.lit(1)
-    for mark in marks:
-        at = F.call_function("locate", F.lit(mark), text, begin)
-        found.append(at > 0)
-        pieces.append(F.substr(text, begin, at - begin))
-        begin = at + len(mark)
-    return every(*found), [*pieces, F.substr(text, begin)]
+    caps = captures(text, _between(marks))
+    return F.size(caps) > 1, [F.get(caps, F.lit(i + 1)) for i in range(len(marks) + 1)]
+
+
+def form(ok: Column, fields: Sequence[Column]) -> Cut:
+    """A form that is told without cutting."""
+    return Cut(F.coalesce(ok, F.lit(False)), F.array(F.lit(""), *fields))
+
+
+Fields = Callable[..., tuple[Column, Sequence[Column]]]
+
+
+def _bound(base: Column, read: Callable[[Column], tuple[Column, Sequence[Column]]]) -> Cut:
+    """``read`` gives test and fields from a value that is computed once for all of them."""
+    return Cut(F.coalesce(let(base, lambda c: read(c)[0]), F.lit(False)), let(base, lambda c: F.array(F.lit(""), *read(c)[1])))
+
+
+def marked(*marks: str, of: Callable[[Column], Column] = lambda t: t) -> Callable[[Fields], Callable[[Column], Cut]]:
+    """A form whose function takes the text and its pieces between these marks, and gives the test and the fields."""
+
+    def made(parts: Fields) -> Callable[[Column], Cut]:
+        @wraps(parts)
+        def at_text(text: Column) -> Cut:
+            pieces = lambda c: [F.get(c, F.lit(i + 1)) for i in range(len(marks) + 1)]
+            whole = lambda c: parts(text, *pieces(c))
+            return _bound(captures(of(text), _between(marks)), lambda c: ((F.size(c) > 1) & whole(c)[0], whole(c)[1]))
+
+        return at_text
+
+    return made
+
+
+def spaced(most: int = -1, of: Callable[[Column], Column] = lambda t: t) -> Callable[[Fields], Callable[[Column], Cut]]:
+    """A form whose function takes the text and its words, see words()."""
+
+    def made(parts: Fields) -> Callable[[Column], Cut]:
+        @wraps(parts)
+        def at_text(text: Column) -> Cut:
+            return _bound(words(of(text), most), lambda w: parts(text, w))
+
+        return at_text
+
+    return made
 
 
 def every(*conditions: Column) -> Column:

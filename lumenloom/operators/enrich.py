@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -218,6 +220,48 @@ def ips_in(text: Column, v6: bool = False) -> Column:
     return F.array_distinct(F.array_except(F.concat(four, six), F.array(*map(F.lit, NO_HOST))))
 
 
+#: A text in quotes within a JSON document, and the colon behind it if it is a key.
+_QUOTED = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"\s*+(:?)'
+
+
+def leaves(body: Column) -> Column:
+    """The texts of a body in their order: of an object or list as JSON all values that are texts, however deep; else the body itself.
+
+    Keys, numbers, truth values and nulls are left out. One scan over the
+    document, so its depth has no bound. What looks like JSON but isn't is a text.
+    """
+    document = F.trim(body)
+    nested = (document.startswith("{") | document.startswith("[")) & F.try_parse_json(document).isNotNull()
+    text, colon = (F.regexp_extract_all(document, F.lit(_QUOTED), i) for i in (1, 2))
+    values = F.filter(F.arrays_zip(text.alias("t"), colon.alias("c")), lambda z: z.c == "")
+    # Escapes of all texts are undone at once.
+    plain = F.from_json(F.concat(F.lit('["'), F.array_join(F.transform(values, lambda z: z.t), '","'), F.lit('"]')), "array<string>")
+    none = F.array().cast("array<string>")
+    return F.when(body.isNull(), none).when(~nested, F.array(body)).when(F.size(values) == 0, none).otherwise(plain)
+
+
+def found_in(values: Column, find: Callable[[Column], Column]) -> Column:
+    """What ``find`` gives for each of several texts, each thing once, in order."""
+    return F.array_distinct(F.flatten(F.transform(values, lambda x: find(x))))
+
+
+def address_attribute(df: DataFrame, target: str, find: Callable[[Column], Column] = ips_in, body: bool = True, attributes: Sequence[str] = (), first_only: bool = False) -> DataFrame:
+    """Sets the attribute ``target`` to the addresses of the body and of some attributes: all with commas between, or the first.
+
+    find: ips_in, macs_in or another function from a text to an array. Bodies and
+    attributes may be JSON documents, see leaves(). The body comes first, then
+    the attributes as listed. A record without an address stays as it is.
+    """
+    own = F.coalesce(F.col("attributes"), maps.empty())
+    sources = ([F.col("body")] if body else []) + [own[a] for a in attributes]
+    if not sources:
+        return df
+    found = found_in(F.concat(*[leaves(s) for s in sources]), find)
+    value = F.get(found, F.lit(0)) if first_only else F.nullif(F.array_join(found, ","), F.lit(""))
+    df = maps.once(df, {"_found": value})
+    return df.withColumn("attributes", maps.overwrite(own, {target: F.col("_found")})).drop("_found")
+
+
 # -- metrics
 
 LOADS = {f"system.cpu.load_average.{m}": f"system.cpu.load_average.normalized.{m}" for m in ("1m", "5m", "15m")}

@@ -140,7 +140,7 @@ class Branch:
     def slot(self, name: str, rec: Rec) -> Column | None:
         if name in self.slots:
             return self.slots[name](rec)
-        return self.cuts(self.text(rec)).array() if name == "caps" and self.cuts else None
+        return self.cuts(self.text(rec)).array if name == "caps" and self.cuts else None
 
 
 RESULT = "struct<branch:string,body:string,severity_number:int,severity_text:string,ts_us:bigint,attributes:map<string,string>,resource:map<string,string>,scope_name:string>"

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lumenloom.functions import levels, network, times
-from lumenloom.functions.cuts import CLOCK, DATE, MONTHS, Cut, at, before, behind, cut, digits, every, last, like, named, solid, until_last, words
+from lumenloom.functions.cuts import CLOCK, DATE, MONTHS, at, before, behind, cut, digits, every, like, marked, named, solid, spaced, words
 from lumenloom.functions.maps import lookup
 from lumenloom.functions.patterns import captures, first, group
 from lumenloom.operators.logshape.core import Branch, Rec, Shape, begins
@@ -29,12 +29,12 @@ def coded(text: Column) -> Column:
     return F.when(text.contains("%") & (F.size(found) > 0), F.concat(F.array(F.lit("")), at(found, 0)))
 
 
-def access_point(text: Column) -> Cut:
+@marked("[", "]")
+def access_point(text: Column, head: Column, time: Column, said: Column) -> tuple[Column, list[Column]]:
     """``[*MM/dd/yyyy hh:mm:ss.ffff] message``; the mark of an unset clock may be missing."""
-    found, (head, time, said) = cut(text, "[", "]")
     clock = F.ltrim(time, F.lit("*"))
     form = f"00/00/0000 {CLOCK}"
-    return Cut(every(found, head == "", like(clock, form), F.translate(F.substr(clock, F.lit(len(form) + 1)), ".0123456789", "") == "", ~text.contains("\n")), [F.ltrim(said)])
+    return every(head == "", like(clock, form), F.translate(F.substr(clock, F.lit(len(form) + 1)), ".0123456789", "") == "", ~text.contains("\n")), [F.ltrim(said)]
 
 
 def syslog_stamp(w: Column) -> Column:
@@ -47,26 +47,26 @@ def source_file(place: Column) -> Column:
     return place.endswith(".c") | place.endswith(".h")
 
 
-def switch_line(text: Column) -> Cut:
+@spaced(5, of=F.ltrim)
+def switch_line(text: Column, w: Column) -> tuple[Column, list[Column]]:
     """A switch's line behind a blank: time, host, component[task]:, perhaps file(line) and a sequence number, ``%%`` and the message."""
-    w = words(F.ltrim(text), 5)
     found, (component, task, place, said) = cut(at(w, 4), "[", "]:", "%%")
     f = words(F.trim(place))
     file, number = before(at(f, 0), "("), F.rtrim(behind(at(f, 0), "("), F.lit(")"))
     has = every(source_file(file), digits(number), digits(at(f, 1)))
     ok = every(text.startswith(" "), syslog_stamp(w), F.length(at(w, 2)) == 8, found, component != "", ~text.contains("\n"))
     when = lambda c: F.when(has, c)
-    return Cut(ok, [F.concat_ws(" ", at(w, 0), at(w, 1), at(w, 2)), at(w, 3), component, task, when(file), when(number), when(at(f, 1)), F.ltrim(said)])
+    return ok, [F.concat_ws(" ", at(w, 0), at(w, 1), at(w, 2)), at(w, 3), component, task, when(file), when(number), when(at(f, 1)), F.ltrim(said)]
 
 
-def controller_line(text: Column) -> Cut:
+@marked(": *", ": ", ": %", ":")
+def controller_line(text: Column, point: Column, task: Column, time: Column, code: Column, said: Column) -> tuple[Column, list[Column]]:
     """A controller's line: access point, ``*task``, time, code, perhaps file:line, message."""
-    found, (point, task, time, code, said) = cut(text, ": *", ": ", ": %", ":")
     w = words(F.ltrim(said), 2)
     file, number = before(at(w, 0), ":"), behind(at(w, 0), ":")
     has = F.coalesce(source_file(file) & digits(number), F.lit(False))
-    ok = every(found, point != "", ~point.contains(":"), task != "", syslog_stamp(words(time)), F.size(F.split(code, "-")) == 3, ~text.contains("\n"))
-    return Cut(ok, [point, task, F.when(has, file), F.when(has, number), F.when(has, at(w, 1)).otherwise(F.ltrim(said))])
+    ok = every(point != "", ~point.contains(":"), task != "", syslog_stamp(words(time)), F.size(F.split(code, "-")) == 3, ~text.contains("\n"))
+    return ok, [point, task, F.when(has, file), F.when(has, number), F.when(has, at(w, 1)).otherwise(F.ltrim(said))]
 
 
 ROUTINE = ("pmkr0 lookup", "client roamed")
@@ -183,25 +183,25 @@ def is_new(text: Column) -> Column:
     return digits(at(w, 0)) & F.coalesce(like(at(w, 1), f"{DATE}T"), F.lit(False))
 
 
-def old_line(text: Column) -> Cut:
+@spaced(4)
+def old_line(text: Column, w: Column) -> tuple[Column, list[Column]]:
     """RFC 3164, section 4.1: time, then host or tag, and the message."""
-    w = words(text, 4)
-    return Cut(F.coalesce(syslog_stamp(w) & (F.size(w) == 4) & (F.length(at(w, 2)) == 8) & (at(w, 3) != ""), F.lit(False)), [F.concat_ws(" ", at(w, 0), at(w, 1), at(w, 2)), at(w, 3)])
+    return syslog_stamp(w) & (F.size(w) == 4) & (F.length(at(w, 2)) == 8) & (at(w, 3) != ""), [F.concat_ws(" ", at(w, 0), at(w, 1), at(w, 2)), at(w, 3)]
 
 
-def ios_line(text: Column) -> Cut:
+@marked(": ", ": %", ":")
+def ios_line(text: Column, number: Column, time: Column, code: Column, said: Column) -> tuple[Column, list[Column]]:
     """``sequence: *time: %FACILITY-severity-MNEMONIC: message`` of network devices; the mark of an unset clock may be missing."""
-    found, (number, time, code, said) = cut(text, ": ", ": %", ":")
     c = F.split(code, "-")
-    ok = every(found, digits(number), syslog_stamp(words(F.ltrim(time, F.lit("*")))), F.size(c) == 3, F.length(at(c, 1)) == 1, digits(at(c, 1)))
-    return Cut(F.coalesce(ok, F.lit(False)), [number, time, at(c, 0), at(c, 1), at(c, 2), F.ltrim(said)])
+    ok = every(digits(number), syslog_stamp(words(F.ltrim(time, F.lit("*")))), F.size(c) == 3, F.length(at(c, 1)) == 1, digits(at(c, 1)))
+    return F.coalesce(ok, F.lit(False)), [number, time, at(c, 0), at(c, 1), at(c, 2), F.ltrim(said)]
 
 
-def tagged(text: Column) -> Cut:
+@marked(":")
+def tagged(text: Column, tag: Column, said: Column) -> tuple[Column, list[Column]]:
     """``tag[process]: message``; the process may be missing."""
-    found, (tag, said) = cut(text, ":")
     app, pid = before(tag, "["), F.rtrim(behind(tag, "["), F.lit("]"))
-    return Cut(F.coalesce(every(found, solid(tag), app != "", ~tag.contains("\n"), (app == tag) | (digits(pid) & tag.endswith("]"))), F.lit(False)), [app, pid, F.ltrim(said)])
+    return F.coalesce(every(solid(tag), app != "", ~tag.contains("\n"), (app == tag) | (digits(pid) & tag.endswith("]"))), F.lit(False)), [app, pid, F.ltrim(said)]
 
 
 def wrapped(rec: Rec) -> Column:
@@ -211,7 +211,7 @@ def wrapped(rec: Rec) -> Column:
 def _groups(rec: Rec) -> Column:
     """Groups of the line's own form, tried in this order."""
     ios, old = ios_line(rec.line), old_line(rec.line)
-    return F.when(is_new(rec.line), captures(rec.line, RFC5424)).when(ios.ok, ios.array()).when(old.ok, old.array()).otherwise(F.array(rec.line))
+    return F.when(is_new(rec.line), captures(rec.line, RFC5424)).when(ios.ok, ios.array).when(old.ok, old.array).otherwise(F.array(rec.line))
 
 
 def _unwrapped(text: Column) -> Column:

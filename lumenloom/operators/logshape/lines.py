@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenloom.functions import agents, bodies, levels, network, pairs, times
 from lumenloom.functions.cleaning import strip_ansi
 from lumenloom.functions.maps import first_of
-from lumenloom.functions.cuts import CLOCK, DATE, MONTHS, Cut, at, before, behind, cut, digits, every, first_line, fraction, last, like, more_lines, named, request, solid, until_last, words
+from lumenloom.functions.cuts import CLOCK, DATE, MONTHS, Cut, at, before, behind, digits, every, first_line, form, fraction, last, like, marked, more_lines, named, request, solid, spaced, until_last
 from lumenloom.functions.patterns import first, group
 from lumenloom.operators.logshape.core import Branch, Rec, Shape, begins, needs
 
@@ -52,13 +52,13 @@ def plain(rec: Rec) -> Column:
 # -- klog
 
 
-def klog_line(text: Column) -> Cut:
+@spaced(of=lambda t: before(t, "]"))
+def klog_line(text: Column, w: Column) -> tuple[Column, list[Column]]:
     """``Lmmdd hh:mm:ss.uuuuuu threadid file:line] msg``, as klog's documentation has it; the thread is padded."""
-    w = words(before(text, "]"))
     place = at(w, 3)
     file, number = before(place, ":"), behind(place, ":")
     ok = every(F.size(w) == 4, F.substring(at(w, 0), 1, 1).isin(*"IWEF"), F.length(at(w, 0)) == 5, digits(F.substr(at(w, 0), F.lit(2))), fraction(at(w, 1), f"{CLOCK}."), digits(at(w, 2)), file != "", digits(number), ~text.contains("\n"))
-    return Cut(ok, [F.left(at(w, 0), F.lit(1)), F.substr(at(w, 0), F.lit(2)), at(w, 1), at(w, 2), file, number, F.ltrim(behind(text, "]"))])
+    return ok, [F.left(at(w, 0), F.lit(1)), F.substr(at(w, 0), F.lit(2)), at(w, 1), at(w, 2), file, number, F.ltrim(behind(text, "]"))]
 
 
 STATIC_PODS = ("kube-apiserver-", "kube-controller-manager-", "kube-scheduler-", "etcd-")
@@ -136,15 +136,15 @@ PYTHON_LEVELS = ("TRACE", "DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")
 def uvicorn_line(text: Column) -> Cut:
     """``LEVEL:     message``: the level with its colon is padded."""
     said = behind(text, ":")
-    return Cut(before(text, ":").isin(*PYTHON_LEVELS) & said.startswith(" ") & ~text.contains("\n"), [before(text, ":"), F.trim(said)])
+    return form(before(text, ":").isin(*PYTHON_LEVELS) & said.startswith(" ") & ~text.contains("\n"), [before(text, ":"), F.trim(said)])
 
 
-def uvicorn_access(said: Column) -> Cut:
+@marked(' - "')
+def uvicorn_access(said: Column, peer: Column, rest: Column) -> tuple[Column, list[Column]]:
     """``client:port - "request" status text``, uvicorn's own access format."""
-    found, (peer, rest) = cut(said, ' - "')
     status = F.trim(last(rest, '" '))
-    ok = every(found, rest.contains('" '), solid(peer), peer.contains(":"), digits(last(peer, ":")), digits(F.left(status, F.lit(3))), F.length(before(status, " ")) == 3)
-    return Cut(ok, [until_last(peer, ":"), last(peer, ":"), until_last(rest, '" '), F.left(status, F.lit(3)), F.trim(F.substr(status, F.lit(4)))])
+    ok = every(rest.contains('" '), solid(peer), peer.contains(":"), digits(last(peer, ":")), digits(F.left(status, F.lit(3))), F.length(before(status, " ")) == 3)
+    return ok, [until_last(peer, ":"), last(peer, ":"), until_last(rest, '" '), F.left(status, F.lit(3)), F.trim(F.substr(status, F.lit(4)))]
 
 
 def shape_uvicorn(rec: Rec) -> Shape:
@@ -173,11 +173,11 @@ def shape_uvicorn(rec: Rec) -> Shape:
 UVICORN_BRANCH = Branch("uvicorn", shape_uvicorn, lambda r: begins(r.text, "TDIWEC") & needs(r.text, ":"), cuts=uvicorn_line, slots={"caps2": lambda r: uvicorn_access(r.g(2)).read()})
 
 
-def combined_line(text: Column) -> Cut:
+@marked(" - ", " [", '] "', '" ', " ", ' "', '" "', '"')
+def combined_line(text: Column, addr: Column, user: Column, time: Column, asked: Column, status: Column, size: Column, referer: Column, agent: Column, more: Column) -> tuple[Column, list[Column]]:
     """nginx's ``combined`` format, and one quoted field more: the addresses that a request was forwarded for."""
-    found, (addr, user, time, asked, status, size, referer, agent, more) = cut(text, " - ", " [", '] "', '" ', " ", ' "', '" "', '"')
     three, (method, target, protocol) = request(asked)
-    return Cut(every(found, three, solid(addr), solid(user), digits(status), digits(size)), [addr, user, time, method, target, protocol, status, size, referer, agent, before(behind(more, ' "'), '"')])
+    return every(three, solid(addr), solid(user), digits(status), digits(size)), [addr, user, time, method, target, protocol, status, size, referer, agent, before(behind(more, ' "'), '"')]
 
 
 CLF_TIME = "dd/MMM/yyyy:HH:mm:ss Z"
@@ -224,11 +224,11 @@ def shape_nginx(rec: Rec) -> Shape:
 NGINX_BRANCH = Branch("nginx", shape_nginx, lambda r: needs(r.text, "[", '"'), cuts=combined_line)
 
 
-def influx_line(text: Column) -> Cut:
+@marked("[httpd] ", " - ", " [", '] "', '" ', " ", ' "', '" "', '" ', " ")
+def influx_line(text: Column, head: Column, addr: Column, user: Column, time: Column, asked: Column, status: Column, size: Column, _: Column, agent: Column, request_id: Column, micros: Column) -> tuple[Column, list[Column]]:
     """The common log format behind ``[httpd] ``, then referer, agent, request id and microseconds."""
-    found, (head, addr, user, time, asked, status, size, _, agent, request_id, micros) = cut(text, "[httpd] ", " - ", " [", '] "', '" ', " ", ' "', '" "', '" ', " ")
     three, (method, target, _) = request(asked)
-    return Cut(every(found, three, head == "", solid(addr), solid(user), digits(status), F.length(status) == 3, solid(size), solid(request_id), digits(micros)), [addr, user, time, method, target, status, size, agent, request_id, micros])
+    return every(three, head == "", solid(addr), solid(user), digits(status), F.length(status) == 3, solid(size), solid(request_id), digits(micros)), [addr, user, time, method, target, status, size, agent, request_id, micros]
 
 
 def shape_influx(rec: Rec) -> Shape:
@@ -242,11 +242,11 @@ def shape_influx(rec: Rec) -> Shape:
 INFLUX_BRANCH = Branch("influx", shape_influx, lambda r: r.text.startswith("[httpd] "), cuts=influx_line, text_of=trimmed)
 
 
-def oauth_line(text: Column) -> Cut:
+@marked(" - ", " - ", " [", "] ", " ", " ", ' "', '" ', ' "', '" ', " ", " ")
+def oauth_line(text: Column, client: Column, request_id: Column, user: Column, time: Column, host: Column, method: Column, upstream: Column, target: Column, protocol: Column, agent: Column, status: Column, size: Column, secs: Column) -> tuple[Column, list[Column]]:
     """The proxy's default request format: client, request id and user, time, host, method, upstream, target, protocol, agent, status, size, seconds."""
-    found, (client, request_id, user, time, host, method, upstream, target, protocol, agent, status, size, secs) = cut(text, " - ", " - ", " [", "] ", " ", " ", ' "', '" ', ' "', '" ', " ", " ")
-    ok = every(found, *map(solid, (client, request_id, host, method, upstream, protocol)), digits(status), F.length(status) == 3, digits(size), secs.try_cast("double").isNotNull())
-    return Cut(ok, [client, request_id, user, time, method, upstream, target, agent, status, size, secs])
+    ok = every(*map(solid, (client, request_id, host, method, upstream, protocol)), digits(status), F.length(status) == 3, digits(size), secs.try_cast("double").isNotNull())
+    return ok, [client, request_id, user, time, method, upstream, target, agent, status, size, secs]
 
 
 def shape_oauth(rec: Rec) -> Shape:
@@ -261,13 +261,13 @@ def shape_oauth(rec: Rec) -> Shape:
 OAUTH_BRANCH = Branch("oauth2proxy", shape_oauth, lambda r: needs(r.text, " - ", " [", '"'), cuts=oauth_line, text_of=trimmed)
 
 
-def coredns_line(text: Column) -> Cut:
+@marked(" - ", ' "', '" ', of=lambda t: F.when(t.startswith("["), behind(t, "] ")).otherwise(t))
+def coredns_line(text: Column, remote: Column, number: Column, question: Column, answer: Column) -> tuple[Column, list[Column]]:
     """The log plugin's common format: remote, id, the question of seven words, the answer of four; a level may stand in front."""
-    found, (remote, number, question, answer) = cut(F.when(text.startswith("["), behind(text, "] ")).otherwise(text), " - ", ' "', '" ')
     q, a = F.split(question, " "), F.split(answer, " ")
     secs = F.rtrim(at(a, 3), F.lit("s"))
-    ok = every(found, solid(remote), digits(number), F.size(q) == 7, digits(at(q, 4)), digits(at(q, 6)), F.size(a) == 4, digits(at(a, 2)), at(a, 3).endswith("s"), secs.try_cast("double").isNotNull())
-    return Cut(ok, [remote, at(q, 0), at(q, 2), at(a, 0), secs])
+    ok = every(solid(remote), digits(number), F.size(q) == 7, digits(at(q, 4)), digits(at(q, 6)), F.size(a) == 4, digits(at(a, 2)), at(a, 3).endswith("s"), secs.try_cast("double").isNotNull())
+    return ok, [remote, at(q, 0), at(q, 2), at(a, 0), secs]
 
 
 def shape_coredns(rec: Rec) -> Shape:
@@ -294,12 +294,12 @@ COREDNS_BRANCH = Branch("coredns", shape_coredns, lambda r: needs(r.text, " - ",
 POSTGRES_LEVELS = ("LOG", "ERROR", "WARNING", "NOTICE", "INFO", "DEBUG", *(f"DEBUG{i}" for i in range(1, 6)), "FATAL", "PANIC")
 
 
-def postgres_line(text: Column) -> Cut:
+@marked(" ", " ", " [", "] ", ":")
+def postgres_line(text: Column, day: Column, clock: Column, zone: Column, pid: Column, level: Column, said: Column) -> tuple[Column, list[Column]]:
     """A log_line_prefix of ``%m [%p] ``, the severity and the message; further lines stay together."""
-    found, (day, clock, zone, pid, level, said) = cut(text, " ", " ", " [", "] ", ":")
     w = F.ltrim(said)
-    ok = every(found, like(day, DATE), F.length(day) == 10, fraction(clock, f"{CLOCK}."), named(zone), digits(pid), level.isin(*POSTGRES_LEVELS), said.startswith(" "))
-    return Cut(ok, [F.concat(day, F.lit(" "), clock), zone, pid, level, first_line(w), more_lines(w)])
+    ok = every(like(day, DATE), F.length(day) == 10, fraction(clock, f"{CLOCK}."), named(zone), digits(pid), level.isin(*POSTGRES_LEVELS), said.startswith(" "))
+    return ok, [F.concat(day, F.lit(" "), clock), zone, pid, level, first_line(w), more_lines(w)]
 
 
 #: Hours from UTC of the zones that are read.
@@ -328,11 +328,11 @@ def shape_postgres(rec: Rec) -> Shape:
 POSTGRES_BRANCH = Branch("postgres", shape_postgres, lambda r: (F.length(r.text) >= 30) & (F.substring(r.text, 5, 1) == "-") & needs(r.text, "] "), cuts=postgres_line)
 
 
-def redis_line(text: Column) -> Cut:
+@marked(":", " ", " ", " ", " ", " ", " ")
+def redis_line(text: Column, pid: Column, role: Column, day: Column, month: Column, year: Column, clock: Column, mark: Column, said: Column) -> tuple[Column, list[Column]]:
     """``pid:role dd Mon yyyy hh:mm:ss.mmm mark message``."""
-    found, (pid, role, day, month, year, clock, mark, said) = cut(text, ":", " ", " ", " ", " ", " ", " ")
-    ok = every(found, digits(pid), role.isin(*"MSCX"), digits(day), month.isin(*MONTHS), digits(year), fraction(clock, f"{CLOCK}."), mark.isin(*".-*#"), ~text.contains("\n"))
-    return Cut(ok, [pid, role, F.concat_ws(" ", day, month, year, clock), mark, F.ltrim(said)])
+    ok = every(digits(pid), role.isin(*"MSCX"), digits(day), month.isin(*MONTHS), digits(year), fraction(clock, f"{CLOCK}."), mark.isin(*".-*#"), ~text.contains("\n"))
+    return ok, [pid, role, F.concat_ws(" ", day, month, year, clock), mark, F.ltrim(said)]
 
 
 def shape_redis(rec: Rec) -> Shape:
@@ -349,16 +349,16 @@ def shape_redis(rec: Rec) -> Shape:
 REDIS_BRANCH = Branch("redis", shape_redis, lambda r: begins(r.text, DIGITS) & needs(r.text, ":") & (F.length(r.text) >= 20), cuts=redis_line)
 
 
-def sentry_line(text: Column) -> Cut:
+@marked(" [", "] ", ": ")
+def sentry_line(text: Column, clock: Column, level: Column, logger: Column, said: Column) -> tuple[Column, list[Column]]:
     """``hh:mm:ss [LEVEL] logger: event``."""
-    found, (clock, level, logger, said) = cut(text, " [", "] ", ": ")
-    return Cut(every(found, like(clock, CLOCK), F.length(clock) == 8, named(level), logger != "", ~text.contains("\n")), [clock, level, logger, F.ltrim(said)])
+    return every(like(clock, CLOCK), F.length(clock) == 8, named(level), logger != "", ~text.contains("\n")), [clock, level, logger, F.ltrim(said)]
 
 
-def sentry_event(said: Column) -> Cut:
+@marked("(")
+def sentry_event(said: Column, name: Column, inner: Column) -> tuple[Column, list[Column]]:
     """A structured event: its name and its pairs in brackets."""
-    found, (name, inner) = cut(said, "(")
-    return Cut(every(found, solid(F.rtrim(name)), said.endswith(")")), [F.rtrim(name), until_last(inner, ")")])
+    return every(solid(F.rtrim(name)), said.endswith(")")), [F.rtrim(name), until_last(inner, ")")]
 
 
 def shape_sentry(rec: Rec) -> Shape:
@@ -395,13 +395,13 @@ SENTRY_BRANCH = Branch(
 )
 
 
-def rabbit_line(text: Column) -> Cut:
+@marked(" ", " [", "] ")
+def rabbit_line(text: Column, day: Column, clock: Column, level: Column, said: Column) -> tuple[Column, list[Column]]:
     """``date time+zone [level] message``; an Erlang process may stand before the message."""
-    found, (day, clock, level, said) = cut(text, " ", " [", "] ")
     pid = F.when(said.startswith("<") & digits(F.translate(before(said, ">"), "<.", "")) & said.contains("> "), F.concat(before(said, ">"), F.lit(">")))
     zone = F.translate(F.substr(clock, F.lit(10)), "0123456789", "")
-    ok = every(found, like(day, DATE), F.length(day) == 10, like(clock, f"{CLOCK}.0"), zone.isin("+:", "-:", "+", "-"), named(level), ~text.contains("\n"))
-    return Cut(ok, [F.concat(day, F.lit(" "), clock), level, pid, F.when(pid.isNotNull(), behind(said, "> ")).otherwise(said)])
+    ok = every(like(day, DATE), F.length(day) == 10, like(clock, f"{CLOCK}.0"), zone.isin("+:", "-:", "+", "-"), named(level), ~text.contains("\n"))
+    return ok, [F.concat(day, F.lit(" "), clock), level, pid, F.when(pid.isNotNull(), behind(said, "> ")).otherwise(said)]
 
 
 def shape_rabbit(rec: Rec) -> Shape:
@@ -414,10 +414,10 @@ RABBIT_BRANCH = Branch("rabbitmq", shape_rabbit, lambda r: needs(r.text, " ["),
 BROKER_WORDS = ("New", "Client", "Connecting", "Bridge", "Socket", "mosquitto", "Config", "Opening")
 
 
-def mosquitto_line(text: Column) -> Cut:
+@marked(": ")
+def mosquitto_line(text: Column, time: Column, said: Column) -> tuple[Column, list[Column]]:
     """A log_timestamp_format of ``%Y-%m-%dT%H:%M:%S``, then a message of the broker."""
-    found, (time, said) = cut(text, ": ")
-    return Cut(every(found, like(time, f"{DATE}T{CLOCK}"), F.length(time) == 19, before(said, " ").isin(*BROKER_WORDS), ~text.contains("\n")), [time, said])
+    return every(like(time, f"{DATE}T{CLOCK}"), F.length(time) == 19, before(said, " ").isin(*BROKER_WORDS), ~text.contains("\n")), [time, said]
 
 
 MOSQUITTO_BRANCH = Branch(
@@ -426,12 +426,12 @@ MOSQUITTO_BRANCH = Branch(
 )
 
 
-def stall_line(text: Column) -> Cut:
+@marked("published ", "=")
+def stall_line(text: Column, head: Column, name: Column, value: Column) -> tuple[Column, list[Column]]:
     """``published Name=value``, perhaps behind a container runtime's time, stream and tag."""
-    found, (head, name, value) = cut(text, "published ", "=")
     h = F.split(head, " ")
     runtime = every(F.size(h) == 4, at(h, 0) != "", at(h, 1).isin("stdout", "stderr"), at(h, 2).isin("F", "P"), at(h, 3) == "")
-    return Cut(every(found, (head == "") | runtime, named(name), solid(value), ~text.contains("\n")), [at(h, 0), name, value])
+    return every((head == "") | runtime, named(name), solid(value), ~text.contains("\n")), [at(h, 0), name, value]
 
 
 def shape_stall(rec: Rec) -> Shape:
@@ -446,10 +446,10 @@ def shape_stall(rec: Rec) -> Shape:
 STALL_BRANCH = Branch("stallcheck", shape_stall, lambda r: needs(r.text, "published "), cuts=stall_line)
 
 
-def kaudit_line(text: Column) -> Cut:
+@marked("audit: type=", " audit(", ".", ":", "): ")
+def kaudit_line(text: Column, head: Column, kind: Column, secs: Column, part: Column, serial: Column, rest: Column) -> tuple[Column, list[Column]]:
     """``audit: type=n audit(seconds.fraction:serial): pairs``, as the kernel's audit_log_start() prints it."""
-    found, (head, kind, secs, part, serial, rest) = cut(text, "audit: type=", " audit(", ".", ":", "): ")
-    return Cut(every(found, head == "", digits(kind), digits(secs), digits(part), digits(serial)), [kind, secs, part, serial, rest])
+    return every(head == "", digits(kind), digits(secs), digits(part), digits(serial)), [kind, secs, part, serial, rest]
 
 
 def shape_kaudit(rec: Rec) -> Shape:
@@ -470,11 +470,11 @@ def shape_kaudit(rec: Rec) -> Shape:
 
 KAUDIT_BRANCH = Branch("kaudit", shape_kaudit, lambda r: begins(r.text, "a") & needs(r.text, "audit: type=", "apparmor="), cuts=kaudit_line, slots={"kv": lambda r: pairs.found(r.g(5))})
 
-def smartd_line(text: Column) -> Cut:
+@marked("Device: ", ", ")
+def smartd_line(text: Column, head: Column, device: Column, said: Column) -> tuple[Column, list[Column]]:
     """``Device: /dev/name [type], message``; the type may be missing."""
-    found, (head, device, said) = cut(text, "Device: ", ", ")
     name = before(device, " [")
-    return Cut(every(found, head == "", name.startswith("/dev/"), solid(name), (device == name) | device.endswith("]"), ~text.contains("\n")), [name, said])
+    return every(head == "", name.startswith("/dev/"), solid(name), (device == name) | device.endswith("]"), ~text.contains("\n")), [name, said]
 
 
 def shape_smartd(rec: Rec) -> Shape:
@@ -491,11 +491,11 @@ def without_wrapper(text: Column) -> Column:
     return F.when(text.startswith("jvm ") & digits(F.rtrim(F.substr(before(text, "|"), F.lit(5)))), F.when(rest.startswith(" "), F.substr(rest, F.lit(2))).otherwise(rest)).otherwise(text)
 
 
-def gocd_line(text: Column) -> Cut:
+@marked(" ", " ", " [", "] ", ":", " - ")
+def gocd_line(text: Column, day: Column, clock: Column, level: Column, thread: Column, place: Column, number: Column, said: Column) -> tuple[Column, list[Column]]:
     """log4j's ``%d{ISO8601} %5p [%t] %c{1}:%L - %m``."""
-    found, (day, clock, level, thread, place, number, said) = cut(text, " ", " ", " [", "] ", ":", " - ")
-    ok = every(found, like(day, DATE), F.length(day) == 10, fraction(clock, f"{CLOCK},"), named(F.trim(level)), solid(place), digits(number))
-    return Cut(ok, [F.concat(day, F.lit(" "), clock), F.trim(level), thread, place, number, said])
+    ok = every(like(day, DATE), F.length(day) == 10, fraction(clock, f"{CLOCK},"), named(F.trim(level)), solid(place), digits(number))
+    return ok, [F.concat(day, F.lit(" "), clock), F.trim(level), thread, place, number, said]
 
 
 def shape_gocd(rec: Rec) -> Shape:
@@ -514,7 +514,7 @@ def shape_gocd(rec: Rec) -> Shape:
 
 GOCD_BRANCH = Branch("gocd", shape_gocd, lambda r: r.text.startswith("jvm "), claim=lambda r: F.exists(F.split(r.text, "\n"), lambda x: F.coalesce(gocd_line(without_wrapper(x)).ok, F.lit(False))))
 
-CRON_BRANCH = Branch("cron", lambda r: Shape(body=r.g(1), resource={"service.name": F.lit("cron")}), lambda r: r.text.startswith("cron: "), cuts=lambda t: Cut(t.startswith("cron: "), [F.substr(t, F.lit(7))]))
+CRON_BRANCH = Branch("cron", lambda r: Shape(body=r.g(1), resource={"service.name": F.lit("cron")}), lambda r: r.text.startswith("cron: "), cuts=lambda t: form(t.startswith("cron: "), [F.substr(t, F.lit(7))]))
 
 _LOGFMT_LIFTED = ("level", "lvl", "t", "ts", "logger", "component", "module", "msg", "source", "caller", "uname")
 
@@ -547,11 +547,11 @@ LOGFMT_BRANCH = Branch(
 )
 
 
-def clickhouse_line(text: Column) -> Cut:
+@marked(" [", "] {", "} <", "> ", ": ")
+def clickhouse_line(text: Column, time: Column, thread: Column, query: Column, level: Column, component: Column, said: Column) -> tuple[Column, list[Column]]:
     """``date time [ thread ] {query} <Level> component: message``, the message of one or more lines."""
-    found, (time, thread, query, level, component, said) = cut(text, " [", "] {", "} <", "> ", ": ")
-    ok = every(found, fraction(time, f"0000.00.00 {CLOCK}."), digits(F.trim(thread)), named(level), component != "", ~component.contains("\n"))
-    return Cut(ok, [time, F.trim(thread), query, level, component, said])
+    ok = every(fraction(time, f"0000.00.00 {CLOCK}."), digits(F.trim(thread)), named(level), component != "", ~component.contains("\n"))
+    return ok, [time, F.trim(thread), query, level, component, said]
 
 
 def shape_clickhouse(rec: Rec) -> Shape:
@@ -567,10 +567,10 @@ def shape_clickhouse(rec: Rec) -> Shape:
 CLICKHOUSE_BRANCH = Branch("clickhouse", shape_clickhouse, lambda r: begins(r.text, DIGITS) & needs(r.text, "} <"), cuts=clickhouse_line)
 
 
-def calico_line(text: Column) -> Cut:
+@marked(" [", "][", "] ", " ", ": ")
+def calico_line(text: Column, time: Column, level: Column, thread: Column, file: Column, number: Column, said: Column) -> tuple[Column, list[Column]]:
     """``date time [LEVEL][thread] file line: message``."""
-    found, (time, level, thread, file, number, said) = cut(text, " [", "][", "] ", " ", ": ")
-    return Cut(every(found, fraction(time, f"{DATE} {CLOCK}."), F.length(time) == 23, digits(thread), file != "", digits(number), ~text.contains("\n")), [time, level, thread, file, number, said])
+    return every(fraction(time, f"{DATE} {CLOCK}."), F.length(time) == 23, digits(thread), file != "", digits(number), ~text.contains("\n")), [time, level, thread, file, number, said]
 
 
 def shape_calico(rec: Rec) -> Shape:
@@ -585,11 +585,11 @@ def shape_calico(rec: Rec) -> Shape:
 CALICO_BRANCH = Branch("calico", shape_calico, lambda r: begins(r.text, DIGITS) & needs(r.text, "]["), cuts=calico_line)
 
 
-def ssm_line(text: Column) -> Cut:
+@marked(" ", " ", " ", " ")
+def ssm_line(text: Column, day: Column, clock: Column, level: Column, component: Column, said: Column) -> tuple[Column, list[Column]]:
     """``date time LEVEL [component] message``, seconds with four decimals."""
-    found, (day, clock, level, component, said) = cut(text, " ", " ", " ", " ")
-    ok = every(found, like(day, DATE), F.length(day) == 10, fraction(clock, f"{CLOCK}."), F.length(clock) == 13, level.isin("ERROR", "WARN", "INFO", "DEBUG", "TRACE"), component != "", ~text.contains("\n"))
-    return Cut(ok, [F.concat(day, F.lit(" "), clock), level, component, said])
+    ok = every(like(day, DATE), F.length(day) == 10, fraction(clock, f"{CLOCK}."), F.length(clock) == 13, level.isin("ERROR", "WARN", "INFO", "DEBUG", "TRACE"), component != "", ~text.contains("\n"))
+    return ok, [F.concat(day, F.lit(" "), clock), level, component, said]
 
 
 SSM_BRANCH = Branch(
@@ -599,11 +599,11 @@ SSM_BRANCH = Branch(
 )
 
 
-def litellm_line(text: Column) -> Cut:
+@marked(" - ", ":", ": ", ":", " - ")
+def litellm_line(text: Column, clock: Column, logger: Column, level: Column, file: Column, number: Column, said: Column) -> tuple[Column, list[Column]]:
     """A Python format of ``%(asctime)s - %(name)s:%(levelname)s: %(filename)s:%(lineno)s - %(message)s``, the time without a date."""
-    found, (clock, logger, level, file, number, said) = cut(text, " - ", ":", ": ", ":", " - ")
-    ok = every(found, like(clock, CLOCK), F.length(clock) == 8, logger != "", F.upper(level).isin(*PYTHON_LEVELS), solid(file), digits(number), ~text.contains("\n"))
-    return Cut(ok, [clock, logger, level, file, number, said])
+    ok = every(like(clock, CLOCK), F.length(clock) == 8, logger != "", F.upper(level).isin(*PYTHON_LEVELS), solid(file), digits(number), ~text.contains("\n"))
+    return ok, [clock, logger, level, file, number, said]
 
 
 def shape_litellm(rec: Rec) -> Shape:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lumenloom.functions import agents, bodies, levels, maps, network, pairs, times
-from lumenloom.functions.cuts import Cut, at, before, behind, cut, digits, every, named, solid
+from lumenloom.functions.cuts import Cut, before, behind, cut, digits, every, form, marked, named, solid
 from lumenloom.functions.maps import first_of
 from lumenloom.functions.patterns import group, matches
 from lumenloom.operators.logshape.core import Branch, Rec, Shape, as_object, begins, needs, object_text
@@ -117,11 +117,11 @@ TRACING_BRANCH = Branch(
 def tagged_object(text: Column) -> Cut:
     """An object, perhaps behind a tag in brackets."""
     inner_ = F.when(text.startswith("["), F.ltrim(behind(text, "]"))).otherwise(text)
-    return Cut(F.coalesce(inner_.startswith("{") & inner_.endswith("}"), F.lit(False)), [F.when(text.startswith("["), before(F.substr(text, F.lit(2)), "]")), inner_])
+    return form(inner_.startswith("{") & inner_.endswith("}"), [F.when(text.startswith("["), before(F.substr(text, F.lit(2)), "]")), inner_])
 
 
 def _pino_object(rec: Rec) -> Column:
-    return F.coalesce(tagged_object(F.trim(rec.text)).fields[1], F.lit(""))
+    return F.coalesce(F.get(tagged_object(F.trim(rec.text)).array, F.lit(2)), F.lit(""))
 
 
 def shape_pino(rec: Rec) -> Shape:
@@ -233,10 +233,10 @@ LOGRUS_BRANCH = Branch(
 # -- collector console lines
 
 
-def program_line(text: Column) -> Cut:
+@marked("[", "]: ")
+def program_line(text: Column, app: Column, pid: Column, rest: Column) -> tuple[Column, list[Column]]:
     """What syslog puts in front, program and process, and what follows."""
-    found, (app, pid, rest) = cut(text, "[", "]: ")
-    return Cut(every(found, solid(app), digits(pid)), [app, pid, rest])
+    return every(solid(app), digits(pid)), [app, pid, rest]
 
 
 def _console(rec: Rec) -> Column:
@@ -244,7 +244,7 @@ def _console(rec: Rec) -> Column:
 
     def cells(text: Column) -> Column:
         head = program_line(text)
-        s = F.when(head.ok, head.fields[2]).otherwise(text)
+        s = F.when(head.ok, F.get(head.array, F.lit(3))).otherwise(text)
         return F.split(F.when(s.contains("\t"), s).otherwise(F.replace(s, F.lit("#011"), F.lit("\t"))), "\t", 5)
 
     return F.when(rec.text.contains('"otelcol.component'), cells(rec.text)).otherwise(cells(F.coalesce(rec.attributes["original_message"], F.lit(""))))
@@ -277,7 +277,7 @@ def shape_collector(rec: Rec) -> Shape:
         level=F.when(debug, levels.DEBUG).otherwise(levels.from_word(at(1))),
         ts_us=times.rfc3339_micros(at(0)),
         put={
-            "process.pid": F.when(program_line(rec.text).ok, program_line(rec.text).fields[1]),
+            "process.pid": F.get(program_line(rec.text).read(), F.lit(2)),
             "code.file.path": F.regexp_replace(place["code.file.path"], "@[^/]+", ""),
             "code.line.number": place["code.line.number"],
             "otel.component.name": name,
@@ -325,13 +325,13 @@ LLDPD_BRANCH = Branch(
 #: Namespace, pod, phase, how many are ready, node.
 
 
-def pod_line(text: Column) -> Cut:
+@marked("Pod ", "/", ": ")
+def pod_line(text: Column, head: Column, namespace: Column, name: Column, said: Column) -> tuple[Column, list[Column]]:
     """``Pod namespace/name: phase (ready/all ready) on node``; the counts and the node may be missing."""
-    found, (head, namespace, name, said) = cut(text, "Pod ", "/", ": ")
     phase, ready, node = before(said, " "), before(behind(said, "("), " ready)"), behind(said, " on ")
     whole = F.concat(phase, F.coalesce(F.concat(F.lit(" ("), ready, F.lit(" ready)")), F.lit("")), F.coalesce(F.concat(F.lit(" on "), node), F.lit("")))
-    ok = every(found, head == "", solid(namespace), solid(name), named(phase), said == whole, F.coalesce(digits(F.replace(ready, F.lit("/"), F.lit(""))), F.lit(True)), F.coalesce(solid(node), F.lit(True)))
-    return Cut(F.coalesce(ok, F.lit(False)), [namespace, name, phase, ready, node])
+    ok = every(head == "", solid(namespace), solid(name), named(phase), said == whole, F.coalesce(digits(F.replace(ready, F.lit("/"), F.lit(""))), F.lit(True)), F.coalesce(solid(node), F.lit(True)))
+    return F.coalesce(ok, F.lit(False)), [namespace, name, phase, ready, node]
 
 
 #: The resource's keys and the record's keys that move there.

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenloom.functions import bodies, levels, maps, network, pairs, times
-from lumenloom.functions.cuts import CLOCK, DATE, Cut, at, before, behind, cut, digits, every, first_line, fraction, last, like, more_lines, named, solid, until_last, words
+from lumenloom.functions.cuts import CLOCK, DATE, Cut, at, before, behind, cut, digits, every, first_line, form, fraction, last, like, marked, more_lines, named, solid, spaced, until_last, words
 from lumenloom.functions.maps import first_of
 from lumenloom.functions.patterns import first, group
 from lumenloom.operators.logshape import BY_NAME
@@ -22,18 +22,18 @@ from lumenloom.operators.logshape.core import Branch, Rec, Shape, as_object, fla
 # -- charon
 
 
-def charon_line(text: Column) -> Cut:
+@marked("[", "] <", "> ")
+def charon_line(text: Column, thread: Column, system: Column, connection: Column, said: Column) -> tuple[Column, list[Column]]:
     """``thread[SUBSYSTEM] <connection|number> message``; the number may be missing."""
-    found, (thread, system, connection, said) = cut(text, "[", "] <", "> ")
     name, number = before(connection, "|"), behind(connection, "|")
-    ok = every(found, digits(thread), named(system), name != "", F.coalesce((number == "") | digits(number), F.lit(True)), ~text.contains("\n"))
-    return Cut(ok, [thread, system, name, number, F.ltrim(said)])
+    ok = every(digits(thread), named(system), name != "", F.coalesce((number == "") | digits(number), F.lit(True)), ~text.contains("\n"))
+    return ok, [thread, system, name, number, F.ltrim(said)]
 
 
-def packet(said: Column) -> Cut:
+@marked(" packet: from ", "[", "] to ", "[", "] (", " bytes)")
+def packet(said: Column, verb: Column, src: Column, sport: Column, dst: Column, dport: Column, size: Column, _: Column) -> tuple[Column, list[Column]]:
     """``received packet: from host[port] to host[port] (n bytes)``, and the same of what is sent."""
-    found, (verb, src, sport, dst, dport, size, _) = cut(said, " packet: from ", "[", "] to ", "[", "] (", " bytes)")
-    return Cut(every(found, verb.isin("received", "sending"), src != "", digits(sport), dst != "", digits(dport), digits(size)), [verb, src, sport, dst, dport, size])
+    return every(verb.isin("received", "sending"), src != "", digits(sport), dst != "", digits(dport), digits(size)), [verb, src, sport, dst, dport, size]
 
 
 def word_behind(text_: Column, mark: str) -> Column:
@@ -103,15 +103,18 @@ CHARON_BRANCH = Branch("charon", shape_charon, lambda r: needs(r.text, "[", "<")
 # -- containerd
 
 #: Stand for an escaped backslash and quote while a quoted text is looked for.
-_BACKSLASH, _QUOTE = "\u0001", "\u0002"
+_BACKSLASH, _QUOTE = "\u0002", "\u0003"
 
 
-def containerd_line(text: Column) -> Cut:
+def _hidden_escapes(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+
+
+@marked('time="', '" level=', ' msg="', '"', of=_hidden_escapes)
+def containerd_line(text: Column, head: Column, time: Column, level: Column, said: Column, more: Column) -> tuple[Column, list[Column]]:
     """logrus' TextFormatter: time, level, a quoted message with escapes, further pairs."""
-    plain = F.replace(F.replace(text, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
-    found, (head, time, level, said, more) = cut(plain, 'time="', '" level=', ' msg="', '"')
     back = lambda c: F.replace(F.replace(c, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
-    return Cut(every(found, head == "", ~time.contains('"'), named(level)), [time, level, back(said), back(F.ltrim(more))])
+    return every(head == "", ~time.contains('"'), named(level)), [time, level, back(said), back(F.ltrim(more))]
 
 
 def shape_containerd(r: Rec) -> Shape:
@@ -145,26 +148,26 @@ CONTAINERD_BRANCH = Branch("containerd", shape_containerd, lambda r: r.text.star
 # -- cron
 
 
-def job(text: Column) -> Cut:
+@marked("(", ") ")
+def job(text: Column, head: Column, user: Column, rest: Column) -> tuple[Column, list[Column]]:
     """``(user) CMD (command)`` at the end of a line: a command begins; with CMDEND it has ended."""
-    found, (head, user, rest) = cut(text, "(", ") ")
     verb, command = before(rest, " "), behind(rest, "(")
-    ok = every(found, user != "", verb.isin("CMD", "CMDEND"), F.ltrim(behind(rest, " ")).startswith("("), command.endswith(")"), F.length(command) > 1, ~command.contains("\n"))
-    return Cut(F.coalesce(ok, F.lit(False)), [user, verb, until_last(command, ")")])
+    ok = every(user != "", verb.isin("CMD", "CMDEND"), F.ltrim(behind(rest, " ")).startswith("("), command.endswith(")"), F.length(command) > 1, ~command.contains("\n"))
+    return F.coalesce(ok, F.lit(False)), [user, verb, until_last(command, ")")]
 
 
-def session(text: Column) -> Cut:
+@marked("pam_unix(cron:session): session ", " for user ")
+def session(text: Column, _: Column, verb: Column, user: Column) -> tuple[Column, list[Column]]:
     """PAM's ``session opened for user name``, and ``closed``."""
-    found, (_, verb, user) = cut(text, "pam_unix(cron:session): session ", " for user ")
     name = before(before(user, " "), "(")
-    return Cut(every(found, verb.isin("opened", "closed"), name != ""), [verb, name])
+    return every(verb.isin("opened", "closed"), name != ""), [verb, name]
 
 
-def run_parts(text: Column) -> Cut:
+@marked("(", ") ")
+def run_parts(text: Column, head: Column, folder: Column, said: Column) -> tuple[Column, list[Column]]:
     """``(/etc/cron.daily) starting name``, and ``finished``."""
-    found, (head, folder, said) = cut(text, "(", ") ")
     w = words(said)
-    return Cut(every(found, head == "", folder.startswith("/etc/cron."), F.size(w) == 2, at(w, 0).isin("starting", "finished"), at(w, 1) != ""), [folder, at(w, 0), at(w, 1)])
+    return every(head == "", folder.startswith("/etc/cron."), F.size(w) == 2, at(w, 0).isin("starting", "finished"), at(w, 1) != ""), [folder, at(w, 0), at(w, 1)]
 
 
 def clean_command(command: Column) -> Column:
@@ -175,7 +178,7 @@ def clean_command(command: Column) -> Column:
 
 
 def shape_cron(r: Rec) -> Shape:
-    mine, pam, part = ([F.when(c.ok, f) for f in c.fields] for c in (job(r.text), session(r.text), run_parts(r.text)))
+    mine, pam, part = ([F.get(c.read(), F.lit(i + 1)) for i in range(3)] for c in (job(r.text), session(r.text), run_parts(r.text)))
     ended = mine[1] == "CMDEND"
     command = F.coalesce(clean_command(mine[2]), part[2])
     event = F.when(ended | (part[1] == "finished"), "end").when(pam[0].isNotNull(), F.concat(F.lit("session_"), pam[0])).otherwise("start")
@@ -235,13 +238,13 @@ FILTER_BRANCH = Branch(
 # -- Kafka, PgBouncer, Snuba, Snooze, Tekton
 
 
-def kafka_line(text: Column) -> Cut:
+@marked("[", "] ", " ")
+def kafka_line(text: Column, head: Column, time: Column, level: Column, said: Column) -> tuple[Column, list[Column]]:
     """log4j's ``[%d] %p %m (%c)``; the logger may be missing."""
-    found, (head, time, level, said) = cut(text, "[", "] ", " ")
     logger = F.rtrim(last(said, " ("), F.lit(")"))
     has = every(said.contains(" ("), said.endswith(")"), logger.rlike(r"^[\w.$]+$"))
-    ok = every(found, head == "", like(time, f"{DATE} {CLOCK},000"), F.length(time) == 23, level.isin("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL"))
-    return Cut(ok, [time, level, F.ltrim(F.when(has, until_last(said, " (")).otherwise(said)), F.when(has, logger)])
+    ok = every(head == "", like(time, f"{DATE} {CLOCK},000"), F.length(time) == 23, level.isin("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL"))
+    return ok, [time, level, F.ltrim(F.when(has, until_last(said, " (")).otherwise(said)), F.when(has, logger)]
 
 KAFKA_BRANCH = Branch(
     "kafka",
@@ -250,11 +253,11 @@ KAFKA_BRANCH = Branch(
 )
 
 
-def pgbouncer_line(text: Column) -> Cut:
+@marked(" ", " ", " [", "] ", " ")
+def pgbouncer_line(text: Column, day: Column, clock: Column, zone: Column, pid: Column, level: Column, said: Column) -> tuple[Column, list[Column]]:
     """``date time zone [pid] LEVEL message``."""
-    found, (day, clock, zone, pid, level, said) = cut(text, " ", " ", " [", "] ", " ")
-    ok = every(found, like(day, DATE), F.length(day) == 10, fraction(clock, f"{CLOCK}."), named(zone), digits(pid), level.isin("LOG", "DEBUG", "NOISE", "INFO", "WARNING", "ERROR", "FATAL"))
-    return Cut(ok, [F.concat(day, F.lit(" "), clock), zone, pid, level, F.ltrim(said)])
+    ok = every(like(day, DATE), F.length(day) == 10, fraction(clock, f"{CLOCK}."), named(zone), digits(pid), level.isin("LOG", "DEBUG", "NOISE", "INFO", "WARNING", "ERROR", "FATAL"))
+    return ok, [F.concat(day, F.lit(" "), clock), zone, pid, level, F.ltrim(said)]
 
 
 def connection(said: Column) -> tuple[Column, list[Column]]:
@@ -285,7 +288,7 @@ PGBOUNCER_BRANCH = Branch("pgbouncer", shape_pgbouncer, lambda r: needs(r.text,
 def python_line(text: Column) -> Cut:
     """The asctime of Python's logging, then the message."""
     said = F.substr(text, F.lit(24))
-    return Cut(like(text, f"{DATE} {CLOCK},000") & said.startswith(" ") & (F.ltrim(said) != ""), [F.left(text, F.lit(23)), F.ltrim(said)])
+    return form(like(text, f"{DATE} {CLOCK},000") & said.startswith(" ") & (F.ltrim(said) != ""), [F.left(text, F.lit(23)), F.ltrim(said)])
 
 
 def shape_snuba(r: Rec) -> Shape:
@@ -306,11 +309,11 @@ SNUBA_BRANCH = Branch(
 )
 
 
-def levelled_line(text: Column) -> Cut:
+@spaced(4, of=first_line)
+def levelled_line(text: Column, w: Column) -> tuple[Column, list[Column]]:
     """Date, time and a level, which may stand in brackets and have a colon, then the message of one or more lines."""
-    w = words(first_line(text), 4)
     level = F.rtrim(F.ltrim(at(w, 2), F.lit("[")), F.lit("]:"))
-    return Cut(every(F.size(w) == 4, level.isin("DEBUG", "INFO", "WARNING", "WARN", "ERROR", "CRITICAL", "FATAL")), [level, at(w, 3), more_lines(text)])
+    return every(F.size(w) == 4, level.isin("DEBUG", "INFO", "WARNING", "WARN", "ERROR", "CRITICAL", "FATAL")), [level, at(w, 3), more_lines(text)]
 
 
 def snooze_branch(rules: Sequence[tuple[str, str]]) -> Branch:
@@ -324,18 +327,18 @@ def snooze_branch(rules: Sequence[tuple[str, str]]) -> Branch:
     )
 
 
-def tekton_event(text: Column) -> Cut:
+@marked("Event(v1.ObjectReference{", "}): type: '", "' reason: '", "'")
+def tekton_event(text: Column, head: Column, subject: Column, kind: Column, reason: Column, note: Column) -> tuple[Column, list[Column]]:
     """What client-go logs of an event: the object, its type, reason and note."""
-    found, (head, subject, kind, reason, note) = cut(text, "Event(v1.ObjectReference{", "}): type: '", "' reason: '", "'")
-    return Cut(every(found, head == "", named(kind), named(reason)), [subject, kind, reason, F.ltrim(note)])
+    return every(head == "", named(kind), named(reason)), [subject, kind, reason, F.ltrim(note)]
 
 
-def tekton_run(text: Column) -> Cut:
+@marked(" ", " status is being set to &{", "{", "} ")
+def tekton_run(text: Column, kind: Column, name: Column, condition: Column, time: Column, rest: Column) -> tuple[Column, list[Column]]:
     """``Kind name status is being set to &{type status severity {time} reason message}``: a condition as Go prints it."""
-    found, (kind, name, condition, time, rest) = cut(text, " ", " status is being set to &{", "{", "} ")
     c, said = words(condition), until_last(F.ltrim(rest), "}")
-    ok = every(found, kind.isin("PipelineRun", "TaskRun"), solid(name), named(at(c, 0)), named(at(c, 1)), rest.endswith("}"), named(before(said, " ")))
-    return Cut(ok, [kind, name, at(c, 0), at(c, 1), before(said, " "), F.coalesce(F.ltrim(behind(said, " ")), F.lit(""))])
+    ok = every(kind.isin("PipelineRun", "TaskRun"), solid(name), named(at(c, 0)), named(at(c, 1)), rest.endswith("}"), named(before(said, " ")))
+    return ok, [kind, name, at(c, 0), at(c, 1), before(said, " "), F.coalesce(F.ltrim(behind(said, " ")), F.lit(""))]
 
 
 #: How many tasks of a run have ended how, and the word that says so.
@@ -374,39 +377,39 @@ TEKTON_BRANCH = Branch(
 # -- kernel
 
 
-def scsi_line(text: Column) -> Cut:
+@marked("sd ", ": [", "] ")
+def scsi_line(text: Column, head: Column, address: Column, device: Column, said: Column) -> tuple[Column, list[Column]]:
     """``sd host:channel:target:lun: [name] message``, the head of sd_printk()."""
-    found, (head, address, device, said) = cut(text, "sd ", ": [", "] ")
-    return Cut(every(found, head == "", F.size(F.split(address, ":")) == 4, digits(F.translate(address, ":", ""))), [address, device, F.ltrim(said)])
+    return every(head == "", F.size(F.split(address, ":")) == 4, digits(F.translate(address, ":", ""))), [address, device, F.ltrim(said)]
 
 
-def medium_line(text: Column) -> Cut:
+@marked("critical medium error, dev ", ", sector ", " ")
+def medium_line(text: Column, head: Column, device: Column, sector: Column, _: Column) -> tuple[Column, list[Column]]:
     """``critical medium error, dev name, sector n ...``, as blk_print_req_error() has it."""
-    found, (head, device, sector, _) = cut(text, "critical medium error, dev ", ", sector ", " ")
-    return Cut(every(found, head == "", named(device), digits(sector)), [device, sector])
+    return every(head == "", named(device), digits(sector)), [device, sector]
 
 
-def balancer_line(text: Column) -> Cut:
+@marked("IPVS: ", ": ", " ", " - ")
+def balancer_line(text: Column, head: Column, scheduler: Column, protocol: Column, target: Column, said: Column) -> tuple[Column, list[Column]]:
     """``IPVS: scheduler: PROTOCOL target - message``."""
-    found, (head, scheduler, protocol, target, said) = cut(text, "IPVS: ", ": ", " ", " - ")
-    return Cut(every(found, head == "", named(scheduler), named(protocol), digits(F.translate(target, ".:", ""))), [scheduler, protocol, target, said])
+    return every(head == "", named(scheduler), named(protocol), digits(F.translate(target, ".:", ""))), [scheduler, protocol, target, said]
 
 
-def limiter_line(text: Column) -> Cut:
+@marked("net_ratelimit: ", " callbacks suppressed")
+def limiter_line(text: Column, head: Column, n: Column, rest: Column) -> tuple[Column, list[Column]]:
     """``net_ratelimit: n callbacks suppressed``."""
-    found, (head, n, rest) = cut(text, "net_ratelimit: ", " callbacks suppressed")
-    return Cut(every(found, head == "", rest == "", digits(n)), [n])
+    return every(head == "", rest == "", digits(n)), [n]
 
 
 #: How network interfaces are named.
 NICS = ("veth", "eth", "eno", "enp", "ens", "bond", "br", "cni", "tun", "tap", "wlan", "docker", "cali", "flannel")
 
 
-def interface_line(text: Column) -> Cut:
+@marked(": ")
+def interface_line(text: Column, name: Column, said: Column) -> tuple[Column, list[Column]]:
     """An interface's name and a colon, then the message."""
-    found, (name, said) = cut(text, ": ")
     known = F.array_contains(F.array(*[name.startswith(n) for n in NICS]), True)
-    return Cut(every(found, known, name.rlike(r"^[\w.-]+$")), [name, F.ltrim(said)])
+    return every(known, name.rlike(r"^[\w.-]+$")), [name, F.ltrim(said)]
 
 
 def uptime(text: Column) -> Column:
@@ -427,7 +430,7 @@ KERNEL_WARNINGS = ("no destination available", "callbacks suppressed", "link dow
 
 def shape_kernel(r: Rec) -> Shape:
     t = r.line
-    disk, medium, balancer, limiter, nic = ([F.when(c.ok, f) for f in c.fields] for c in (scsi_line(t), medium_line(t), balancer_line(t), limiter_line(t), interface_line(t)))
+    disk, medium, balancer, limiter, nic = ([F.get(c.read(), F.lit(i + 1)) for i in range(4)] for c in (scsi_line(t), medium_line(t), balancer_line(t), limiter_line(t), interface_line(t)))
     kinds = {k: p[0].isNotNull() for k, p in (("scsi", disk), ("block", medium), ("ipvs", balancer))} | {"clocksource": t.startswith("clocksource:")}
     system = F.lit("network")
     for kind, is_it in reversed(kinds.items()):
@@ -467,15 +470,15 @@ KERNEL_BRANCH = Branch("kernel", shape_kernel, lambda r: F.length(r.text) > 3, s
 # -- remote desktop server
 
 
-def vnc_line(text: Column) -> Cut:
+@marked("[", "/", "]")
+def vnc_line(text: Column, head: Column, pid: Column, thread: Column, rest: Column) -> tuple[Column, list[Column]]:
     """``[ process/ thread] date time:millis mark message``; the mark of an event may be missing, and a colon may stand before it."""
-    found, (head, pid, thread, rest) = cut(text, "[", "/", "]")
     w = words(F.ltrim(rest), 3)
     said = F.when(at(w, 2).startswith(":"), F.ltrim(F.substr(at(w, 2), F.lit(2)))).otherwise(at(w, 2))
     mark = F.when(F.substring(said, 1, 1).isin("+", "-", "!") & (F.substring(said, 2, 1) == " "), F.left(said, F.lit(1)))
     number = lambda c: digits(F.trim(c)) & (F.length(F.trim(c)) <= 18)
-    ok = every(found, F.trim(head) == "", number(pid), number(thread), rest.startswith(" "), F.size(w) == 3, like(at(w, 0), DATE), F.length(at(w, 0)) == 10, like(at(w, 1), f"{CLOCK}:000"), F.length(at(w, 1)) == 12, ~text.contains("\n"))
-    return Cut(ok, [F.trim(pid), F.trim(thread), F.concat_ws(" ", at(w, 0), at(w, 1)), mark, F.when(mark.isNotNull(), F.ltrim(F.substr(said, F.lit(2)))).otherwise(said)])
+    ok = every(F.trim(head) == "", number(pid), number(thread), rest.startswith(" "), F.size(w) == 3, like(at(w, 0), DATE), F.length(at(w, 0)) == 10, like(at(w, 1), f"{CLOCK}:000"), F.length(at(w, 1)) == 12, ~text.contains("\n"))
+    return ok, [F.trim(pid), F.trim(thread), F.concat_ws(" ", at(w, 0), at(w, 1)), mark, F.when(mark.isNotNull(), F.ltrim(F.substr(said, F.lit(2)))).otherwise(said)]
 
 
 def shape_vnc(r: Rec) -> Shape:

@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from lumenloom.operators.timeseries import gap_groups
 
 SCRAPE_GAP_US = 1_000_000
+#: Times are put in order within chunks of so long; a chunk gives one row to the next.
+CHUNK_US = 60_000_000
 #: Resource keys that differ for each process.
 OWN_KEYS = ("process.pid", "process.parent_pid", "process.command", "process.command_line", "process.executable.path", "process.owner", "process.executable.name")
 
 
-def scrape_ends(points: DataFrame, at_us: str = "at_us", gap_us: int = SCRAPE_GAP_US) -> DataFrame:
-    """at_us and scrape_us: for each distinct time the last one of its scrape; a pause of ``gap_us`` or more begins a new scrape."""
+def scrape_ends(points: DataFrame, at_us: str = "at_us", gap_us: int = SCRAPE_GAP_US, chunk_us: int = CHUNK_US) -> DataFrame:
+    """at_us and scrape_us: for each distinct time the last one of its scrape; a pause of ``gap_us`` or more begins a new scrape.
+
+    Scrapes are of all series, so times have no key but their chunk of ``chunk_us``.
+    """
     times = points.select(at_us).distinct().withColumn("_tie", F.col(at_us))
-    runs = gap_groups(times, [], at_us, "_tie", F.col(at_us) - F.col("prev_us") >= gap_us, "_run")
+    runs = gap_groups(times, [], at_us, "_tie", F.col(at_us) - F.col("prev_us") >= gap_us, "_run", chunk_us)
     ends = runs.groupBy("_run").agg(F.max(at_us).alias("scrape_us"))
     return runs.join(ends, "_run").select(at_us, "scrape_us")
 

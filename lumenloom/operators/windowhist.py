@@ -237,22 +237,49 @@ def cumulative(windows: DataFrame, series: list[str]) -> DataFrame:
     return windows.withColumns({"n": F.sum("n").over(w), "sum_value": F.sum("sum_value").over(w), "min_value": F.min("min_value").over(w), "max_value": F.max("max_value").over(w)})
 
 
-def aligned_stats(points: DataFrame, series: list[str], value: str, at_us: str, period_us: int, median: str | None = "summary") -> DataFrame:
+def _order(value: Column) -> Column:
+    """A whole number that does not fall as the value grows; values of one number are within 1 / 700 of each other."""
+    size = F.ceil(F.log2(F.abs(value)) * 512).cast("long") + (1 << 20)
+    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0).cast("long"))
+
+
+def medians(points: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys and p50: the exact median of each group, between the two middle values if their number is even; nulls are left out.
+
+    Equal values are counted first. Ranges of values tell in which of them the
+    middle lies, and only that range's values are put in order, so that no task
+    sorts a whole group.
+    """
+    df = points.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    counts = df.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_o", _order(F.col("_v")))
+    ranges = counts.groupBy(*keys, "_o").agg(F.sum("_c").alias("_c"))
+    up_to = Window.partitionBy(*keys).orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = ranges.withColumns({"_end": F.sum("_c").over(up_to), "_n": F.sum("_c").over(Window.partitionBy(*keys))})
+    ranges = ranges.withColumns({"_lo": F.expr("(_n + 1) div 2"), "_hi": F.expr("_n div 2 + 1"), "_begin": F.col("_end") - F.col("_c")})
+    middle = ranges.where("_end >= _lo AND _begin < _hi").select(*keys, "_o", "_begin", "_lo", "_hi")
+    near = counts.alias("l").join(middle.alias("r"), _same([*keys, "_o"], "l", "r")).select("l.*", "r._begin", "r._lo", "r._hi")
+    inside = Window.partitionBy(*keys, "_o").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("_end", F.col("_begin") + F.sum("_c").over(inside))
+    at = lambda rank: F.min(F.when(F.col("_end") >= F.col(rank), F.col("_v")))
+    return near.groupBy(*keys).agg(((at("_lo") + at("_hi")) / 2).alias("p50"))
+
+
+def aligned_stats(points: DataFrame, series: list[str], value: str, at_us: str, period_us: int, median: str | None = "exact") -> DataFrame:
     """One row per series, period and statistic: min, max, mean, sum, count and, unless ``median`` is None, p50.
 
-    median: "summary" takes a value of the group by mergeable summaries of
-    bounded size, exact up to ACCURACY different values and within that share of
-    the ranks beyond; "exact" interpolates between the middle ones, for which a
-    task holds all different values of a group.
+    median: "exact" as medians() has it; "summary" takes a value of the group by
+    mergeable summaries of bounded size, within a share of 1 / ACCURACY of the ranks.
     """
+    keys = [*series, "period_us"]
+    points = points.withColumn("period_us", in_window(at_us, period_us))
     aggs = [F.min(value).cast("double").alias("min"), F.max(value).cast("double").alias("max"), F.avg(value).alias("mean"), F.sum(value).cast("double").alias("sum"), F.count(value).cast("double").alias("count")]
     names = ["min", "max", "mean", "sum", "count"]
-    if median:
-        found = F.percentile_approx(value, F.lit(0.5), F.lit(ACCURACY)) if median == "summary" else F.percentile(value, F.lit(0.5))
-        aggs.append(found.cast("double").alias("p50"))
-        names.append("p50")
-    wide = points.groupBy(*series, in_window(at_us, period_us).alias("period_us")).agg(*aggs)
-    return wide.unpivot([*series, "period_us"], names, "stat", "value")
+    if median == "summary":
+        aggs.append(F.percentile_approx(value, F.lit(0.5), F.lit(ACCURACY)).cast("double").alias("p50"))
+    wide = points.groupBy(*keys).agg(*aggs)
+    if median == "exact":
+        wide = wide.alias("l").join(medians(points, keys, value).alias("r"), _same(keys, "l", "r"), "left").select("l.*", "r.p50")
+    return wide.unpivot(keys, names + (["p50"] if median else []), "stat", "value")
 
 
 def missed_windows(state: DataFrame, now_us: Column, period_us: int, delay_us: int, max_catchup: int) -> DataFrame:

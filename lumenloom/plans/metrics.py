@@ -114,13 +114,12 @@ SELECT user_id, count(*) AS n_gaps, CAST(sum(CASE WHEN abs(gap - {6 * HOUR}) * 2
 
 
 def aligned_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The median as a value of the group, from summaries of bounded size."""
     out = windowhist.aligned_stats(events(spark, sf_dir), ["event_type"], "cents", "at_us", 6 * HOUR)
     return out.withColumn("value", F.round("value", 6))
 
 
 ALIGNED_STATS = f"""
-WITH w AS (SELECT event_type, at_us // {6 * HOUR} * {6 * HOUR} AS period_us, CAST(min(cents) AS DOUBLE) AS min, CAST(max(cents) AS DOUBLE) AS max, avg(cents) AS mean, CAST(sum(cents) AS DOUBLE) AS sum, CAST(count(cents) AS DOUBLE) AS count, CAST(quantile_disc(cents, 0.5) AS DOUBLE) AS p50 FROM {EVENTS} GROUP BY 1, 2)
+WITH w AS (SELECT event_type, at_us // {6 * HOUR} * {6 * HOUR} AS period_us, CAST(min(cents) AS DOUBLE) AS min, CAST(max(cents) AS DOUBLE) AS max, avg(cents) AS mean, CAST(sum(cents) AS DOUBLE) AS sum, CAST(count(cents) AS DOUBLE) AS count, quantile_cont(cents, 0.5) AS p50 FROM {EVENTS} GROUP BY 1, 2)
 SELECT event_type, period_us, stat, round(value, 6) AS value FROM (UNPIVOT w ON min, max, mean, sum, count, p50 INTO NAME stat VALUE value)
 """
 

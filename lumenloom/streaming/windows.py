@@ -6,13 +6,18 @@ without state of their own give the batch result.
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lumenloom.operators.windowhist import MAX_SCALE, MAX_SIZE, MIN_SCALE
+
 
 def window_stats(points: DataFrame, series: list[str], value: str, ts: str, every: str) -> DataFrame:
     """n, sum, least and greatest value per series and window; points later than one window are dropped."""
@@ -43,9 +48,11 @@ def counter_rates(points: DataFrame, key: str, at_us: str, value: str, idle_ms:
             state.remove()
             return
         last = state.get if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["at_us", "value"])
+        # Of a batch two numbers a reading are kept, as their order in time is needed.
+        times, values = (np.concatenate(x) for x in zip(*[(b.at_us.to_numpy(), b.value.to_numpy()) for b in batches]))
+        order = np.lexsort((values, times))
         out = []
-        for at, v in zip(rows.at_us, rows.value):
+        for at, v in zip(times[order].tolist(), values[order].tolist()):
             if last is not None and at <= last[0]:
                 out.append((k[0], at, None))
                 continue
@@ -117,3 +124,114 @@ def recombined(lines: DataFrame, key: str, at_us: str, line: str, first_entry: s
 
     rows = lines.select(F.col(key).cast("string").alias("key"), F.col(at_us).cast("long").alias("at_us"), F.col(line).alias("line")).where("key IS NOT NULL AND line <> ''")
     return rows.groupBy("key").applyInPandasWithState(run, "key string, at_us long, n_lines long, body string", "began long, last long, n long, body string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+class _Buckets:
+    """Counts by exponential bucket of one sign, of at most ``most`` neighbouring buckets: the scale falls as the range grows."""
+
+    def __init__(self, scale: int, counts: dict[int, int]) -> None:
+        self.scale, self.counts = scale, counts
+
+    def lower(self, by: int) -> None:
+        merged: dict[int, int] = {}
+        for i, n in self.counts.items():
+            merged[i >> by] = merged.get(i >> by, 0) + n
+        self.scale, self.counts = self.scale - by, merged
+
+    def fit(self, most: int) -> None:
+        while self.counts and max(self.counts) - min(self.counts) >= most and self.scale > MIN_SCALE:
+            self.lower(1)
+
+    def add(self, other: _Buckets, most: int) -> None:
+        if other.scale > self.scale:
+            other.lower(other.scale - self.scale)
+        elif self.scale > other.scale:
+            self.lower(self.scale - other.scale)
+        for i, n in other.counts.items():
+            self.counts[i] = self.counts.get(i, 0) + n
+        self.fit(most)
+
+    @classmethod
+    def of(cls, sizes: np.ndarray, most: int) -> _Buckets:
+        index, n = np.unique(np.ceil(np.round(np.log2(sizes) * 2.0**MAX_SCALE, 9)).astype(np.int64) - 1, return_counts=True)
+        out = cls(MAX_SCALE, dict(zip(index.tolist(), n.tolist())))
+        out.fit(most)
+        return out
+
+
+class Histogram:
+    """A window's summary that values and other summaries can be added to; its size does not grow with their number."""
+
+    def __init__(self, most: int, count: int = 0, total: float = 0.0, low: float = math.inf, high: float = -math.inf, zero: int = 0, positive: _Buckets | None = None, negative: _Buckets | None = None) -> None:
+        self.most, self.count, self.total, self.low, self.high, self.zero = most, count, total, low, high, zero
+        self.positive, self.negative = positive or _Buckets(MAX_SCALE, {}), negative or _Buckets(MAX_SCALE, {})
+
+    @classmethod
+    def of(cls, values: np.ndarray, most: int) -> Histogram:
+        return cls(most, len(values), float(values.sum()), float(values.min()), float(values.max()), int((values == 0).sum()), _Buckets.of(values[values > 0], most), _Buckets.of(-values[values < 0], most))
+
+    def add(self, other: Histogram) -> None:
+        self.count, self.total, self.zero = self.count + other.count, self.total + other.total, self.zero + other.zero
+        self.low, self.high = min(self.low, other.low), max(self.high, other.high)
+        self.positive.add(other.positive, self.most)
+        self.negative.add(other.negative, self.most)
+
+    def dump(self) -> list:
+        return [self.most, self.count, self.total, self.low, self.high, self.zero, *[[b.scale, list(b.counts.items())] for b in (self.positive, self.negative)]]
+
+    @classmethod
+    def load(cls, x: list) -> Histogram:
+        return cls(*x[:6], *[_Buckets(scale, {i: n for i, n in counts}) for scale, counts in x[6:]])
+
+    def row(self) -> dict:
+        """The two signs at one scale, counts from the least bucket to the greatest."""
+        scale = min(self.positive.scale, self.negative.scale)
+        sides = []
+        for b in (self.positive, self.negative):
+            b.lower(b.scale - scale)
+            lo, hi = (min(b.counts), max(b.counts)) if b.counts else (0, -1)
+            sides.append({"offset": lo, "counts": [b.counts.get(i, 0) for i in range(lo, hi + 1)]} if b.counts else None)
+        return {"count": self.count, "sum": self.total, "min": self.low, "max": self.high, "scale": scale, "zero_count": self.zero, "positive": sides[0], "negative": sides[1]}
+
+
+_SIDE = "struct<offset:bigint,counts:array<bigint>>"
+HISTOGRAM = f"series string, window_us long, count long, sum double, min double, max double, scale int, zero_count long, positive {_SIDE}, negative {_SIDE}"
+
+
+def window_histograms(points: DataFrame, key: str, value: str, at_us: str, every_us: int, late: str = "0 seconds", max_size: int = MAX_SIZE) -> DataFrame:
+    """HISTOGRAM rows, one per series and window, sent when the watermark has passed the window's end; as exponential_histogram() of a static table.
+
+    Each task first sums up its own points, so that a hot series shuffles a
+    summary per task and window. The state holds open windows alone; a window
+    leaves it as it is sent, and a series with its last one. Null and non-finite
+    values are left out; what comes after its window was sent is dropped.
+    """
+
+    def sum_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf[np.isfinite(pdf.value.to_numpy())]
+            at = pdf.at_us - pdf.at_us % every_us
+            rows = [(k, w, int(g.at_us.max()), json.dumps(Histogram.of(g.value.to_numpy(), max_size).dump())) for (k, w), g in pdf.groupby(["key", at])]
+            yield pd.DataFrame(rows, columns=["key", "window_us", "last_us", "part"])
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        open_ = {int(w): Histogram.load(x) for w, x in json.loads(state.get[0]).items()} if state.exists else {}
+        passed = state.getCurrentWatermarkMs() * 1000
+        for pdf in batches:
+            for w, part in zip(pdf.window_us, pdf.part):
+                if w + every_us > passed:
+                    new = Histogram.load(json.loads(part))
+                    open_[w].add(new) if w in open_ else open_.update({w: new})
+        done = sorted(w for w in open_ if w + every_us <= passed)
+        out = [{"series": k[0], "window_us": w} | open_.pop(w).row() for w in done]
+        if open_:
+            state.update((json.dumps({w: h.dump() for w, h in open_.items()}),))
+            state.setTimeoutTimestamp(max((min(open_) + every_us) // 1000, passed // 1000 + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["series", "window_us", "count", "sum", "min", "max", "scale", "zero_count", "positive", "negative"])
+
+    rows = points.select(F.col(key).cast("string").alias("key"), F.col(at_us).cast("long").alias("at_us"), F.col(value).cast("double").alias("value")).where("key IS NOT NULL AND at_us IS NOT NULL AND value IS NOT NULL")
+    parts = rows.mapInPandas(sum_up, "key string, window_us long, last_us long, part string")
+    parts = parts.withColumn("at", F.timestamp_micros("last_us")).withWatermark("at", late)
+    return parts.groupBy("key").applyInPandasWithState(run, HISTOGRAM, "open string", "append", GroupStateTimeout.EventTimeTimeout)

@@ -60,3 +60,30 @@ def test_first_seen(spark, stream):
     ev, live = stream
     got = run(spark, windows.first_seen(live, ["user_id"], "at", "60 days"), "s5")
     assert got.count() == ev.select("user_id").distinct().count()
+
+
+def test_window_histograms_equal_the_batch_and_forget_idle_series(spark, tmp_path):
+    day = 86_400_000_000
+    ev = events(spark, SF).withColumn("v", F.when(F.col("event_id") % 3 == 0, -F.col("value")).when(F.col("event_id") % 11 == 0, 0.0).otherwise(F.col("value") * F.col("event_id"))).select("event_type", "at_us", "v")
+    last = ev.agg(F.max("at_us")).first()[0]
+    # Later points of other series move the watermark behind all windows of these.
+    more = [("only", last + 3 * day, 1.0), ("end", last + 9 * day, 2.0), ("end", last + 20 * day, float("nan")), ("tail", last + 30 * day, 1.0)]
+    more = [spark.createDataFrame([m], "event_type string, at_us long, v double") for m in more]
+    rows = ev
+    for m in more:
+        rows = rows.unionByName(m)
+    middle = ev.agg(F.percentile_approx("at_us", 0.5)).first()[0]
+    for i, part in enumerate((ev.where(F.col("at_us") < middle), ev.where(F.col("at_us") >= middle), *more)):
+        part.coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    live = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    q = windows.window_histograms(live, "event_type", "v", "at_us", day, late="2 days").writeStream.format("memory").queryName("s6").outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(180) and q.exception() is None
+    got = {(r.series, r.window_us): r for r in spark.table("s6").collect()}
+    want = {(r.event_type, r.window_us): r for r in windowhist.exponential_histogram(rows, ["event_type"], "v", "at_us", day).collect()}
+    passed = last + 30 * day - 2 * day
+    due = {k for k in want if k[1] + day <= passed}
+    assert set(got) == due and len(due) > 20 and ("tail", max(k[1] for k in want)) not in due
+    for k in due:
+        a, b = got[k], want[k]
+        assert (a["count"], a.zero_count, a.scale, a.positive, a.negative) == (b["count"], b.zero_count, b.scale, b.positive, b.negative) and abs(a["sum"] - b["sum"]) < 1e-6 * max(1, abs(b["sum"])), k
