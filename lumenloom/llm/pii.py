@@ -241,10 +241,14 @@ _FIRST, _LAST = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal
 
 
 def date(f: Feistel, s: str, back: bool = False) -> str | None:
-    """Days from 1900 to 2099, year first, or last after day and month (month and day, if only that is a day)."""
+    """Days from 1900 to 2099, year first, or last after day and month (month and day, if only that is a day).
+
+    Dates with a day or month of one digit keep to themselves, and are written without zeros.
+    """
     sep = re.search(r"[-/.]", s)[0]
     parts = s.split(sep)
     orders = [(0, 1, 2)] if len(parts[0]) == 4 else [(2, 1, 0), (2, 0, 1)]
+    short = len(parts[0]) == 1 or len(parts[1]) == 1
     for order in orders:
         try:
             day = dt.date(*(int(parts[i]) for i in order))
@@ -253,38 +257,40 @@ def date(f: Feistel, s: str, back: bool = False) -> str | None:
         if not _FIRST <= day.toordinal() <= _LAST:
             continue
         # A day above 12 shows its order; the pseudonym must be read in the same order, so each order has its own days.
-        mine = _days(order != (2, 0, 1), len(parts[0]) == 4)
+        mine = _days(order != (2, 0, 1), len(parts[0]) == 4, short)
         if day.toordinal() not in mine[1]:
             continue
-        new = dt.date.fromordinal(mine[0][f.permute(f"date{order}", mine[1][day.toordinal()], len(mine[0]), back)])
+        new = dt.date.fromordinal(mine[0][f.permute(f"date{order}{'short' * short}", mine[1][day.toordinal()], len(mine[0]), back)])
         out = list(parts)
         for i, n in zip(order, (new.year, new.month, new.day)):
-            out[i] = str(n).zfill(len(parts[i]))
+            out[i] = str(n) if short else str(n).zfill(len(parts[i]))
         return sep.join(out)
     return None
 
 
 @functools.cache
-def _days(day_first: bool, year_first: bool) -> tuple[list[int], dict[int, int]]:
+def _days(day_first: bool, year_first: bool, short: bool = False) -> tuple[list[int], dict[int, int]]:
     days = [d for d in range(_FIRST, _LAST + 1) if year_first or day_first or dt.date.fromordinal(d).day > 12]
+    if short:
+        days = [d for d in days if min(dt.date.fromordinal(d).day, dt.date.fromordinal(d).month) < 10]
     return days, {d: i for i, d in enumerate(days)}
 
 
 _N, _E = r"(?<![0-9A-Za-z_.+-])", r"(?![0-9A-Za-z_])"
 #: A named group per kind; earlier ones win at the same place.
 PARTS = {
-    "email": r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-]))",
+    "email": r"(?P<email>(?<![\w.%+-])[\w%+-][\w.%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-]))",
     "secret": r"(?P<secret>(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pos]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[bp]-[A-Za-z0-9-]{10,})(?![0-9A-Za-z]))",
-    "assigned": r"(?i:(?<![A-Za-z])(?:token|secret|passwd|password|api[ _-]?key|access[ _-]?key)[\"']?[ \t]*[:=][ \t]*)(?P<q>[\"'])(?P<assigned>[^\"'\s]{8,})(?P=q)",
+    "assigned": r"(?i:(?<![A-Za-z])(?:token|secret|passwd|password|api[ _-]?key|access[ _-]?key)[\"']?[ \t]*[:=][ \t]*)(?P<q>[\"'])(?P<assigned>[^\"'\s]+)(?P=q)",
     "iban": r"(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z]))",
     "card": _N + r"(?P<card>[0-9]{13,19}|[0-9]{4}(?P<s0>[ -])[0-9]{4}(?P=s0)[0-9]{4}(?P=s0)[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?!\.?[0-9])" + _E,
-    "ssn": _N + r"(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?!-?[0-9])" + _E,
+    "ssn": _N + r"(?<![0-9] )(?P<ssn>[0-9]{3}(?P<s4>[ -])[0-9]{2}(?P=s4)[0-9]{4})(?![ -]?[0-9])" + _E,
     "ip": _N + r"(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?!\.?[0-9])" + _E,
     "date": _N
-    + r"(?P<date>[0-9]{4}(?P<s1>[-/.])[0-9]{2}(?P=s1)[0-9]{2}|[0-9]{2}(?P<s2>[-/.])[0-9]{2}(?P=s2)[0-9]{4})(?![-/.]?[0-9])"
-    + _E,
+    + r"(?P<date>[0-9]{4}(?P<s1>[-/.])[0-9]{2}(?P=s1)[0-9]{2}|[0-9]{2}(?P<s2>[-/.])[0-9]{2}(?P=s2)[0-9]{4}|[1-9][0-9]?(?P<s5>[-/.])[1-9][0-9]?(?P=s5)[0-9]{4})(?![-/.]?[0-9])"
+    + r"(?:(?![0-9A-Za-z_])|(?=T[0-9]{2}:))",
     "phone": r"(?<![0-9A-Za-z_.])(?P<phone>\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}"
-    + r"|(?:1[ .-])?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|(?:1[.-])?[0-9]{3}(?P<s3>[.-])[0-9]{3}(?P=s3)[0-9]{4})(?![.-]?[0-9])"
+    + r"|(?:1[ .-])?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|(?:1[.-])?(?<![0-9] )[0-9]{3}(?P<s3>[ .-])[0-9]{3}(?P=s3)[0-9]{4})(?![ .-]?[0-9])"
     + _E,
 }
 KINDS = list(PARTS)

@@ -64,13 +64,11 @@ def token_bytes(vocabulary: dict[str, int]) -> list[bytes]:
 
 
 def library_tokenizer(path: str):
-    """A tokenizers.Tokenizer from a JSON file; strings of special tokens in a text are ordinary text."""
+    """A tokenizers.Tokenizer as a JSON file defines it: where a text holds the string of a special token, that is its id."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def ranks_tokenizer(path: str, pattern: str):
@@ -101,6 +99,7 @@ class PieceEncoder:
     New pieces are encoded together, one space before each: of the ids of such a
     run those whose bytes begin with a space are where the pieces begin. Pieces
     are held in two generations of MEMORY each; what is read again moves on.
+    Texts that hold the string of an added token are encoded whole.
     """
 
     def __init__(self, tokenizer, memory: int = MEMORY) -> None:
@@ -108,6 +107,7 @@ class PieceEncoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content]
         self.begins = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
         self.begins[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
 
@@ -158,8 +158,10 @@ class PieceEncoder:
         """
         texts = pc.fill_null(texts, "")
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        for token in self.added:
+            odd = odd | pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         split = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
-        by_hand = [cut(t.as_py()) for t in texts.filter(pa.array(odd))]
+        by_hand = [[t] if any(x in t for x in self.added) else cut(t) for t in texts.filter(pa.array(odd)).to_pylist()]
         values = pa.concat_arrays([split.flatten(), pa.array([p for c in by_hand for p in c], texts.type)])
         counts = np.concatenate([np.diff(split.offsets.to_numpy()), np.array([len(c) for c in by_hand], np.int64)]).astype(np.int64)
         coded = values.dictionary_encode()

@@ -38,16 +38,15 @@ UNIT = 24
 SHORT = 4
 #: 0 for marks and digits, 1 to 26 for a to z, the rest for all other letters by their code point: an alphabet's letters differ.
 _CODES = 64
-#: Bounds of the training sample: documents of either label, and landmarks of either kind.
-SAMPLE_DOCS, LANDMARKS = 1200, 64
-_NEGATIVES = 12_000
+#: Bounds of the training sample: documents of either label, clean words that are compared at once, and landmarks of either kind.
+SAMPLE_DOCS, NEGATIVES, LANDMARKS = 1200, 12_000, 64
 _MEMORY = 300_000
 #: Words times their length cubed that are valued together.
 AT_ONCE = 2_000_000
 #: Texts, and about how many characters of them, whose new pieces are valued together.
 DOCS_AT_ONCE, CHARS_AT_ONCE = 256, 1_000_000
 _EDGE = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum())
-#: Words below this value are alike: they have it.
+#: Below it a word is left for later: if no word of a text is above, the exact values decide.
 FLOOR = -0.6
 
 
@@ -181,13 +180,14 @@ def kernel(words: list[str], columns: Columns) -> np.ndarray:
     return out
 
 
-def sums(words: list[str], table: np.ndarray, bias: float) -> np.ndarray:
-    """The normalised kernel with a table of one weight for every subsequence, plus bias; FLOOR where it is less.
+def sums(words: list[str], table: np.ndarray, bias: float, floor: float = -np.inf) -> np.ndarray:
+    """The normalised kernel with a table of one weight for every subsequence, plus bias; at most ``floor`` stands for what isn't above it.
 
     A norm is at least that of the subsequences each for itself, which is quick
-    to tell; the exact one is needed only for words that may be over FLOOR.
+    to tell; the exact one is needed only for words that may be over the floor.
+    Words without a subsequence tell nothing, and have the floor.
     """
-    out = np.full(len(words), max(bias, FLOOR))
+    out = np.full(len(words), floor)
     flat = table[:, 0]
     for n, where in _by_length(words, AT_ONCE):
         c = codes([words[x] for x in where], n)
@@ -205,11 +205,11 @@ def sums(words: list[str], table: np.ndarray, bias: float) -> np.ndarray:
                 number, _ = features(part)
                 total, least = weight @ flat[number], np.sqrt(weight**2 @ (number != 0))
             at = where[some]
-            high = np.flatnonzero(total > (FLOOR - bias) * least if FLOOR > bias else least > 0)
-            out[at] = np.where(least > 0, FLOOR, out[at])
+            # With a floor above the bias a sum must be above 0, so the least norm gives an upper bound.
+            high = np.flatnonzero((least > 0) & (total > (floor - bias) * least if floor > bias else True))
             if len(high):
                 norm = norms(np.ascontiguousarray(part[:, high]))
-                out[at[high]] = np.maximum(FLOOR, total[high] / norm + bias)
+                out[at[high]] = np.maximum(floor, total[high] / norm + bias)
     return out
 
 
@@ -253,26 +253,33 @@ class Machine:
     slope: float
     shift: float
 
-    def values(self, words: list[str]) -> np.ndarray:
-        return sums(words, self.table, self.bias)
+    def values(self, words: list[str], floor: float = -np.inf) -> np.ndarray:
+        return sums(words, self.table, self.bias, floor)
+
+    def worst(self, words: list[str]) -> float:
+        """The exact value of the worst word; the bias if none has a subsequence."""
+        value = float(self.values(words).max(initial=-np.inf))
+        return value if np.isfinite(value) else self.bias
 
     def probability(self, value: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * value + self.shift, -500, 500)))
 
 
-def train(bags: list[set[str]], toxic: np.ndarray, fold: np.ndarray, rounds: int = 3, counts: dict[int, int] | None = None) -> Machine:
+def train(bags: list[set[str]], toxic: np.ndarray, fold: np.ndarray, rounds: int = 3, counts: dict[int, int] | None = None, negatives: int = NEGATIVES, landmarks: int = LANDMARKS) -> Machine:
     """A machine from bags of units with document labels; bags with fold true set the curve alone.
 
     counts: documents of either label that the sample stands for, so that the
     curve's probabilities are those of all documents and not of the sample.
+    negatives: clean words that a round compares, at first by chance, then the
+    worst of all clean ones with them; landmarks: of either kind.
     """
     use = [(b, t) for b, t, f in zip(bags, toxic, fold) if not f]
     clean = Counter(w for b, t in use if not t for w in b)
     bad = Counter(w for b, t in use if t for w in b)
     liked = {w: n / (1 + 5 * clean[w]) for w, n in bad.items()}
-    negatives = sorted(clean)
+    spotless = sorted(clean)
     pick = np.random.default_rng(7)
-    few = [negatives[i] for i in pick.choice(len(negatives), min(len(negatives), _NEGATIVES), replace=False)]
+    few = [spotless[i] for i in pick.choice(len(spotless), min(len(spotless), negatives), replace=False)]
     machine = None
     for _ in range(rounds):
         witness = Counter()
@@ -282,8 +289,8 @@ def train(bags: list[set[str]], toxic: np.ndarray, fold: np.ndarray, rounds: int
                 if machine is not None or bad[w] > 1:
                     witness[w] += 1
         positives = [w for w in witness if not clean[w]] or list(witness) or [""]
-        top = [w for w, _ in Counter({w: witness[w] for w in positives}).most_common(LANDMARKS) if len(w) > 2]
-        marks = [*top, *[few[i] for i in pick.choice(len(few), min(len(few), LANDMARKS), replace=False) if len(few[i]) > 2]]
+        top = [w for w, _ in Counter({w: witness[w] for w in positives}).most_common(landmarks) if len(w) > 2]
+        marks = [*top, *[few[i] for i in pick.choice(len(few), min(len(few), landmarks), replace=False) if len(few[i]) > 2]]
         if not marks:
             return Machine(np.zeros((_CODES**3, 1), np.float32), 0.0, 0.0, -20.0)
         columns = Columns.of(marks)
@@ -297,12 +304,12 @@ def train(bags: list[set[str]], toxic: np.ndarray, fold: np.ndarray, rounds: int
         b = fit_machine(x, y, weight)
         machine = Machine(columns.fold(root @ b[:-1]), float(b[-1]), 1.0, 0.0)
         every = sorted(set(clean) | set(bad))
-        value = dict(zip(every, machine.values(every)))
+        value = dict(zip(every, machine.values(every, FLOOR).tolist()))
         liked = {w: v + 10 - 5 * (clean[w] > 0) for w, v in value.items()}
-        hard = sorted((w for w in clean), key=lambda w: -value[w])[: _NEGATIVES // 4]
-        few = list(dict.fromkeys(hard + few))[:_NEGATIVES]
+        hard = sorted((w for w in clean), key=lambda w: -value[w])[: negatives // 4]
+        few = list(dict.fromkeys(hard + few))[:negatives]
     for part in (True, False):
-        rows = [(max(machine.values(sorted(b)), default=FLOOR), t) for b, t, f in zip(bags, toxic, fold) if f == part]
+        rows = [(machine.worst(sorted(b)), t) for b, t, f in zip(bags, toxic, fold) if f == part]
         labels = np.array([t for _, t in rows], float)
         if 0 < labels.sum() < len(labels):
             break
@@ -318,12 +325,13 @@ def fold_of(id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4))
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, sample_docs: int = SAMPLE_DOCS) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, sample_docs: int = SAMPLE_DOCS, negatives: int = NEGATIVES, landmarks: int = LANDMARKS) -> Machine:
     """Train on up to ``sample_docs`` documents of either label, the first by a hash of the id.
 
     Rows whose crc32(id) mod 4 is ``held_out`` are never used. Repeated label
     rows of one id count as toxic if one of them does. Of a sampled document
     all distinct words are used; of several texts of one id the least one is.
+    negatives, landmarks: see train().
     """
     marked = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if held_out is not None:
@@ -343,29 +351,45 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, sample_doc
     rows = texts.mapInArrow(run, "doc_id long, words string").join(F.broadcast(chosen), "doc_id").toPandas().sort_values("doc_id")
     bags = [set(w.split()) for w in rows.words]
     counts = {int(r.toxic): r["count"] for r in marked.groupBy("toxic").count().collect()}  # two rows
-    return train(bags, rows.toxic.to_numpy(), rows.fold.to_numpy(), counts=counts)
+    return train(bags, rows.toxic.to_numpy(), rows.fold.to_numpy(), counts=counts, negatives=negatives, landmarks=landmarks)
 
 
 class _Scorer:
     """Values of texts; what is new in several texts is valued at once, and remembered."""
 
     def __init__(self, machine: Machine) -> None:
-        self.machine, self.known = machine, {}
+        self.machine, self.known, self.low = machine, {}, {}
 
     def __call__(self, text: str | None) -> float:
         return self.values([text])[0]
 
+    def _exact(self, some: set[str]) -> dict[str, float]:
+        """Exact values of pieces, remembered like those above FLOOR."""
+        new = {p: strings(p) for p in some if p not in self.low}
+        value = iter(self.machine.values([w for u in new.values() for w in u]).tolist())
+        self.low.update({p: max([next(value) for _ in u], default=-np.inf) for p, u in new.items()})
+        found = {p: self.low[p] for p in some}
+        if len(self.low) > _MEMORY:
+            self.low.clear()
+        return found
+
     def values(self, texts: list[str | None]) -> list[float]:
-        """The value of each text's worst piece."""
+        """The value of each text's worst piece; where none is above FLOOR, the exact one of all its pieces."""
         found = [pieces(t) for t in texts]
         new = list(set().union(*found).difference(self.known))
         bare = [p.strip(_EDGE) for p in new]
         short = [w for w in bare if len(w) <= UNIT]
-        self.known.update(zip([p for p, w in zip(new, bare) if len(w) <= UNIT], self.machine.values(short).tolist()))
+        self.known.update(zip([p for p, w in zip(new, bare) if len(w) <= UNIT], self.machine.values(short, FLOOR).tolist()))
         for p, w in zip(new, bare):
             if len(w) > UNIT:
-                self.known[p] = float(self.machine.values(strings(p)).max())
+                self.known[p] = float(self.machine.values(strings(p), FLOOR).max())
         out = [float(max(map(self.known.__getitem__, f), default=FLOOR)) for f in found]
+        low = [i for i, v in enumerate(out) if v <= FLOOR]
+        if low:
+            exact = self._exact(set().union(*[found[i] for i in low]))
+            for i in low:
+                value = max(map(exact.__getitem__, found[i]), default=-np.inf)
+                out[i] = value if np.isfinite(value) else self.machine.bias
         if len(self.known) > _MEMORY:
             self.known.clear()
         return out

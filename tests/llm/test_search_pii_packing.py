@@ -176,6 +176,47 @@ def test_best_fit_prefers_the_tightest_room():
     assert packing.pack(np.array([10]), (16, 64), 4)[2].tolist() == [16]
 
 
+def planted(rng):
+    """A value of a kind in one of its forms."""
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    day, month, year = rng.randint(1, 28), rng.randint(1, 12), rng.randint(1900, 2099)
+    ssn = f"{rng.randint(1, 665):03d} {rng.randint(1, 99):02d} {rng.randint(1, 9999):04d}"
+    name = rng.choice(["_foo", "müller", "a.b", "x+y", "Ünal_9"])
+    return rng.choice([
+        f"{year}-{month:02d}-{day:02d}", f"{day}/{month}/{year}", f"{day:02d}.{month:02d}.{year}", ssn, ssn.replace(" ", "-"),
+        f"{rng.randint(2, 9)}{d(2)} {rng.randint(2, 9)}{d(2)} {d(4)}", f"{rng.randint(2, 9)}{d(2)}-{rng.randint(2, 9)}{d(2)}-{d(4)}", f"{name}@{rng.choice('abc')}x.example",
+        ".".join(str(rng.randint(0, 255)) for _ in range(4)),
+    ])
+
+
+def test_no_planted_value_stays_and_equal_ones_stay_linked():
+    """Brute force over forms: each value stands in several surroundings, is gone in all, has one pseudonym, and comes back."""
+    rng, f = random.Random(11), pii.Feistel(b"k")
+    around = [("see ", " there"), ("(", ")"), ("x: ", ", y"), ("\n", "\n"), ("", ""), ("é ", " é")]
+    for _ in range(600):
+        v = planted(rng)
+        new = set()
+        for a, b in around:
+            text, spans = pii.replace(f"{a}{v}{b}", f)
+            assert len(spans) == 1 and text.startswith(a) and text.endswith(b), (v, text)
+            assert (spans[0][1], spans[0][2]) == (len(a), len(a) + len(v))
+            new.add(text[len(a) : len(text) - len(b)])
+            assert pii.replace(text, f, back=True)[0] == f"{a}{v}{b}", (v, text)
+        assert len(new) == 1
+
+
+def test_times_short_dates_and_secrets():
+    f = pii.Feistel(b"k")
+    at = "2024-01-15T10:00:00Z"
+    text, spans = pii.replace(f"at {at}", f)
+    assert [s[0] for s in spans] == ["date"] and text.endswith("T10:00:00Z") and text[3:13] != at[:10] and pii.replace(text, f, back=True)[0] == f"at {at}"
+    new = pii.replace("1/2/1999", f)[0]
+    assert new != "1/2/1999" and any(len(p) == 1 for p in new.split("/")) and pii.replace(new, f, back=True)[0] == "1/2/1999"
+    assert pii.replace('password: "hunter2"', f)[0] != 'password: "hunter2"'
+    for clean in ("1 2 3", "on 13/13/1999", "v1.2.3", "12 34 5678", "000 12 3456", "rows 100 200 3000 4000", "T10:00:00", "2024-13-45T10:00"):
+        assert pii.replace(clean, f) == (clean, []), clean
+
+
 LIB = (K.library_tokenizer, P.path("byte_bpe_50k.json"))
 
 

@@ -25,7 +25,7 @@ def test_pieces_give_the_ids_of_the_whole_text(reference):
     rng = random.Random(2)
     parts = list("abcXYZ 's'll  \n\t.,;123é日本😀  \u0085\x1c​　Ω'") + ["ion", "the", " ", " "]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
-    texts += ["", " ", "  ", "a ", " a", "<|endoftext|> x", "a" * 3000]
+    texts += ["", " ", "  ", "a ", " a", "<|endoftext| x", "a" * 3000]
     by_rank, by_file = K.PieceEncoder(HOW[0](*HOW[1:])), K.PieceEncoder(LIB[0](*LIB[1:]))
     for t, a, b in zip(texts, by_rank(texts), by_file(texts)):
         assert np.frombuffer(a, "<u4").tolist() == reference.encode_ordinary(t) == np.frombuffer(b, "<u4").tolist()
@@ -121,3 +121,15 @@ def test_columns_with_names_of_token_results(spark):
     out = K.decode(K.encode(docs, *HOW, offsets=True), *HOW).first()
     assert (bytes(out.decoded), out.token_starts, len(out.token_ids)) == (b"a b", [0, 1], 2)
     assert K.encode(docs, *HOW).first().decoded == "z"
+
+
+def test_strings_of_special_tokens_are_as_the_library_has_them(spark):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    special = [t.content for t in own.get_added_tokens_decoder().values()]
+    texts = [f"a{x}b {x} c" for x in special] + [special[0], f" {special[0][:-1]} ", f"{special[0]}{special[0]}", f"caf\u00e9 {special[0]}\n\n  end", "plain text"]
+    encoder = K.PieceEncoder(K.library_tokenizer(P.path("byte_bpe_50k.json")))
+    for some in (texts, texts[::-1]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder(some)] == [own.encode(t, add_special_tokens=False).ids for t in some]
+    assert len(own.encode(special[0], add_special_tokens=False).ids) == 1
