@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +33,10 @@ from lumenloom.llm.minhash import _confirm, _ends, _same_id, _texts, component_r
 SHINGLE, PERCENT = 3, 90
 #: N-grams are counted if their hash is a multiple of it; the others come last in the order of all.
 SAMPLE = 4
-#: Lists of so many sets are compared pair by pair once their centre has been.
-SMALL = 16
+#: Lists of so many whole sets are compared pair by pair once their centre has been.
+SMALL = 32
+#: Lists over differences with so many members and n-grams at most are compared in one task; larger ones give way to differences again.
+MEMBERS, LOAD = 1024, 2_000_000
 #: So often lists give way to differences; what is still unsettled then is compared pair by pair.
 LEVELS = 8
 _TABLE = "doc_id long, text_hash long, n_shingles long, digest binary, counted array<long>, more array<long>"
@@ -131,7 +135,7 @@ def _size_class(n: str, percent: int) -> Column:
 
 
 def _live(lists: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
-    """Entries, with label and the number m of entries left in their list, of blocks that another label can meet.
+    """Entries, with label and the number m and the summed sizes of the entries left in their list, of blocks that another label can meet.
 
     A block is the entries of one list with the same sizes and place; whole
     blocks are skipped, so a list costs its blocks times the sizes near each.
@@ -150,7 +154,7 @@ def _live(lists: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame
     same = (F.col("a.g") == F.col("b.g")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.size_class") == F.col("b.size_class"))
     met = blocks.alias("a").join(best.alias("b"), same & ~one & _fits(percent), "left_semi").select(*at)
     left = known.join(met, at)
-    return left.join(left.groupBy("g", "token").agg(F.count(F.lit(1)).alias("m")), ["g", "token"])
+    return left.join(left.groupBy("g", "token").agg(F.count(F.lit(1)).alias("m"), F.sum("d").alias("load")), ["g", "token"])
 
 
 def _to_centres(live: DataFrame) -> DataFrame:
@@ -167,6 +171,43 @@ def _pairs(live: DataFrame, percent: int) -> DataFrame:
     return live.alias("a").join(live.alias("b"), same & _fits(percent)).select("a.g", F.col("a.x").alias("a"), F.col("b.x").alias("b")).distinct()
 
 
+def _links(few: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """Edges u, v that join up what is similar enough within each list, compared in one task by the differences from its centre.
+
+    How many n-grams two differences share is a product of the list's incidence
+    matrix with itself, in slices of columns; n-grams of one member share nothing.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, n, d = (pdf[c].to_numpy() for c in ("x", "n", "d"))
+        number, place, count = np.unique(np.concatenate(pdf.s.to_list()), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(x)), d)
+        keep = count[place] > 1
+        column = (np.cumsum(count > 1) - 1)[place[keep]]
+        row, both = row[keep], np.zeros((len(x), len(x)), np.float32)
+        for first in range(0, int(column.max(initial=-1)) + 1, 4096):
+            some = (column >= first) & (column < first + 4096)
+            part = np.zeros((len(x), 4096), np.float32)
+            part[row[some], column[some] - first] = 1
+            both += part @ part.T
+        apart = d[:, None] + d[None, :] - 2 * both.astype(np.int64)
+        a, b = np.nonzero(np.triu((100 + percent) * apart <= (100 - percent) * (n[:, None] + n[None, :]), 1))
+        root = np.arange(len(x))
+        while len(a):  # each pair's ends take the least root of both, until none changes
+            least = np.minimum(root[a], root[b])
+            new = root.copy()
+            np.minimum.at(new, a, least)
+            np.minimum.at(new, b, least)
+            if (new == root).all():
+                break
+            root = new
+        joined = np.flatnonzero(root != np.arange(len(x)))
+        return pd.DataFrame({"u": x[joined], "v": x[root[joined]]})
+
+    held = few.select("g", "token", "x").join(items.select("g", "x", "n", "d", "s"), ["g", "x"])
+    return held.groupBy("g", "token").applyInPandas(run, "u long, v long").distinct()
+
+
 def _apart(a: str, b: str) -> Column:
     return F.concat(F.array_except(a, b), F.array_except(b, a))
 
@@ -188,6 +229,26 @@ def _differences(to: DataFrame, sets: DataFrame, on: list[str]) -> DataFrame:
     return (found.dropDuplicates(["g", "x"]) if on else found).withColumn("d", F.size("s").cast("long"))
 
 
+def _relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (id, component) with each component named as the largest one that an edge leads to, if that is larger than itself.
+
+    Of several components that hang together some may keep names of their own:
+    then more is compared later than need be, and nothing less.
+    """
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    of = lambda end: labels.select(F.col("id").alias(end), F.col("component").alias(f"{end}_label"))
+    named = edges.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    ends = named.select(F.coalesce("u_label", "u").alias("a"), F.coalesce("v_label", "v").alias("b")).where("a <> b").distinct()
+    both = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    size = lambda end: sizes.select(F.col("component").alias(end), F.col("size").alias(f"{end}_size"))
+    sized = both.join(size("a"), "a", "left").join(size("b"), "b", "left").select("a", "b", *[F.coalesce(f"{x}_size", F.lit(1)).alias(f"{x}_size") for x in ("a", "b")])
+    to = sized.groupBy("a").agg(F.max(F.struct("b_size", "b")).alias("to"), F.max(F.struct("a_size", "a")).alias("own")).where("to > own")
+    moved = to.select(F.col("a").alias("component"), F.col("to.b").alias("other"))
+    # A component of one set has no row so far.
+    known = labels.unionByName(moved.select(F.col("component").alias("id"), "component").join(labels.select("id"), "id", "left_anti"))
+    return known.join(moved, "component", "left").select("id", F.coalesce("other", "component").alias("component"))
+
+
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of ``docs``.
 
@@ -224,33 +285,36 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle:
     labels = connected_components(_confirm(star, sets, percent), write)
     tables.drop(lists)
 
-    def joined_up(labels: DataFrame, edges: DataFrame) -> DataFrame:
-        known = labels.select(F.col("id").alias("u"), F.col("component").alias("v"))
-        return connected_components(known.unionByName(edges.select("u", "v")), write)
-
+    found = [labels.select(F.col("id").alias("u"), F.col("component").alias("v"))]
     left = write(_live(live.select("g", "token", "x", "n", "d", "rest"), labels, percent))
     tables.drop(live)
     whole = sets.select(F.col("rep").alias("x"), F.size("shingles").cast("long").alias("n"), F.col("shingles").alias("s"))
     items, on = whole, []
     for level in range(LEVELS):
-        few = left if level == LEVELS - 1 else left.where(F.col("m") <= SMALL)
-        pairs = _pairs(few, percent)
+        last = level == LEVELS - 1
+        in_task = F.lit(not last) & ((F.col("m") <= MEMBERS) & (F.col("load") <= LOAD) if on else F.lit(False))
+        by_pair = ~in_task & (F.lit(last) | ((F.col("m") <= SMALL) if not on else F.lit(False)))
+        pairs = _pairs(left.where(by_pair), percent)
         a = items.select(*on, F.col("x").alias("a"), F.col("n").alias("an"), F.col("s").alias("as"))
         b = items.select(*on, F.col("x").alias("b"), F.col("n").alias("bn"), F.col("s").alias("bs"))
         both = (pairs if on else pairs.drop("g")).join(a, [*on, "a"]).join(b, [*on, "b"])
-        edges = write(both.where(_similar(F.size(_apart("as", "bs")), F.col("an") + F.col("bn"), percent)).select(F.col("a").alias("u"), F.col("b").alias("v")))
-        many = left.where(F.col("m") > SMALL)
-        if level == LEVELS - 1 or many.isEmpty():
-            labels = joined_up(labels, edges)
+        edges = both.where(_similar(F.size(_apart("as", "bs")), F.col("an") + F.col("bn"), percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if on and not last:
+            edges = _links(left.where(in_task), items, percent)
+        edges = write(edges)
+        many = left.where(~in_task & ~by_pair)
+        found.append(edges)
+        if last or many.isEmpty():
             break
         to = _to_centres(many)
         items = write(_differences(to if on else to.drop("g"), items, on))
         on = ["g"]
         close = items.where((F.col("g") != F.col("x")) & _similar(F.col("d"), F.col("n") + F.col("cn"), percent)).select(F.col("g").alias("u"), F.col("x").alias("v"))
-        labels = joined_up(labels, edges.unionByName(close))
+        found.append(close)
+        labels = write(_relabelled(labels, edges.unionByName(close)))
         left = write(_live(_lists(items, percent, tables), labels, percent))
         if left.isEmpty():
             break
-    edges = labels.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(_same_id(some, classes, tables))
+    edges = reduce(DataFrame.unionByName, [*found, _same_id(some, classes, tables)])
     final = connected_components(edges, write).withColumnRenamed("id", "rep")
     return component_rows(table, classes, final, tables)
