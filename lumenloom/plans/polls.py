@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenloom.functions import maps
 from lumenloom.operators import enrich
 from lumenloom.plans.common import DAY, EVENTS, events, table
-from lumenloom.sources import polled
+from lumenloom.sources import devices, polled
 from lumenloom.sources.tables import scratch
 
 #: From when to when the events are polled, in days from 2024-01-01.
@@ -71,5 +71,24 @@ WITH k AS (SELECT o_orderkey, '.' || o_orderkey % 7 || '.' AS m, o_orderkey AS o
 SELECT o_orderkey, array_to_string(list_append(body, peer), ',') AS ips, body[1] AS first_ip, CASE WHEN o % 3 = 0 THEN 'aa:bb:cc:dd:ee:0f,00:11:22:33:44:55' END AS macs FROM f
 """
 
-QUERIES = {"polled_logs": polled_logs, "nested_addresses": nested_addresses}
-ORACLES = {"polled_logs": POLLED_LOGS, "nested_addresses": NESTED_ADDRESSES}
+def flow_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows of all versions, of which some have both fields of milliseconds, one, one out of the calendar, or no field of time at all."""
+    e = events(spark, sf_dir)
+    k, ms = F.col("event_id") % 6, (F.col("at_us") / 1000).cast("long")
+    flows = e.select(
+        "event_id", (F.col("event_id") % 5).cast("int").alias("flow_type"), (F.col("at_us") * 1000).alias("start_ns"), (F.col("at_us") * 1000 + 7).alias("end_ns"),
+        F.when(k.isin(0, 1), ms).when(k == 2, F.lit(5).cast("long")).alias("start_ms"), F.when(k.isin(0, 3), ms + 250).alias("end_ms"),
+        F.when(k == 4, F.col("user_id")).alias("first_switched"), F.lit(None).cast("long").alias("last_switched"),
+    )
+    return devices.absolute_times(flows).select("event_id", "flow_type", "start_ns", "end_ns")
+
+
+FLOW_TIMES = f"""
+SELECT event_id, CAST(event_id % 5 AS INTEGER) AS flow_type,
+       CASE WHEN event_id % 5 <> 3 THEN at_us * 1000 WHEN event_id % 6 IN (0, 1) THEN at_us // 1000 * 1000000 WHEN event_id % 6 IN (2, 5) THEN 0 ELSE at_us * 1000 END AS start_ns,
+       CASE WHEN event_id % 5 <> 3 THEN at_us * 1000 + 7 WHEN event_id % 6 IN (0, 3) THEN (at_us // 1000 + 250) * 1000000 WHEN event_id % 6 = 5 THEN 0 ELSE at_us * 1000 + 7 END AS end_ns
+FROM {EVENTS}
+"""
+
+QUERIES = {"flow_times": flow_times, "polled_logs": polled_logs, "nested_addresses": nested_addresses}
+ORACLES = {"flow_times": FLOW_TIMES, "polled_logs": POLLED_LOGS, "nested_addresses": NESTED_ADDRESSES}

@@ -185,6 +185,25 @@ def folded(flows: DataFrame) -> DataFrame:
     return flows.withColumns({"bytes": total("bytes"), "packets": total("packets")})
 
 
+#: A time in milliseconds counts from 2000-01-01 up to 2100-01-01.
+LEAST_MS, MOST_MS = 946_684_800_000, 4_102_444_800_000
+
+
+def absolute_times(flows: DataFrame) -> DataFrame:
+    """start_ns and end_ns of version 9 flows from their own millisecond fields, where a flow has one of them.
+
+    flows: flow_type, start_ns, end_ns, the fields start_ms and end_ms, and
+    first_switched and last_switched, all null where a record lacks them. A time
+    out of the calendar is 0. A flow without any field of time gets 0 for both
+    and not its header's time; other versions keep what they have.
+    """
+    v9 = F.col("flow_type") == 3
+    ms = lambda c: F.when((F.col(c) >= LEAST_MS) & (F.col(c) < MOST_MS), F.col(c) * 1_000_000).otherwise(F.lit(0).cast("long"))
+    none = F.coalesce("start_ms", "end_ms", "first_switched", "last_switched").isNull()
+    time = lambda c: F.when(v9 & F.col(f"{c}_ms").isNotNull(), ms(f"{c}_ms")).when(v9 & none, F.lit(0).cast("long")).otherwise(F.col(f"{c}_ns"))
+    return flows.withColumns({"start_ns": time("start"), "end_ns": time("end")})
+
+
 #: Attributes of a flow and the decoded columns that they come from.
 FLOW_COLUMNS = {
     "source.address": "src_addr",
