@@ -473,12 +473,13 @@ KERNEL_BRANCH = Branch("kernel", shape_kernel, lambda r: F.length(r.text) > 3, s
 @marked("[", "/", "]")
 def vnc_line(text: Column, head: Column, pid: Column, thread: Column, rest: Column) -> tuple[Column, list[Column]]:
     """``[ process/ thread] date time:millis mark message``; the mark of an event may be missing, and a colon may stand before it."""
-    w = words(F.ltrim(rest), 3)
-    said = F.when(at(w, 2).startswith(":"), F.ltrim(F.substr(at(w, 2), F.lit(2)))).otherwise(at(w, 2))
+    line = F.ltrim(rest)
+    behind_time = F.ltrim(F.substr(line, F.lit(24)))
+    said = F.when(behind_time.startswith(":"), F.ltrim(F.substr(behind_time, F.lit(2)))).otherwise(behind_time)
     mark = F.when(F.substring(said, 1, 1).isin("+", "-", "!") & (F.substring(said, 2, 1) == " "), F.left(said, F.lit(1)))
     number = lambda c: digits(F.trim(c)) & (F.length(F.trim(c)) <= 18)
-    ok = every(F.trim(head) == "", number(pid), number(thread), rest.startswith(" "), F.size(w) == 3, like(at(w, 0), DATE), F.length(at(w, 0)) == 10, like(at(w, 1), f"{CLOCK}:000"), F.length(at(w, 1)) == 12, ~text.contains("\n"))
-    return ok, [F.trim(pid), F.trim(thread), F.concat_ws(" ", at(w, 0), at(w, 1)), mark, F.when(mark.isNotNull(), F.ltrim(F.substr(said, F.lit(2)))).otherwise(said)]
+    ok = every(F.trim(head) == "", number(pid), number(thread), rest.startswith(" "), like(line, f"{DATE} {CLOCK}:000"), F.substring(line, 24, 1) == " ", ~text.contains("\n"))
+    return ok, [F.trim(pid), F.trim(thread), F.left(line, F.lit(23)), mark, F.when(mark.isNotNull(), F.ltrim(F.substr(said, F.lit(2)))).otherwise(said)]
 
 
 def shape_vnc(r: Rec) -> Shape:
