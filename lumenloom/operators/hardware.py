@@ -190,6 +190,80 @@ def ata_identity(df: DataFrame, page: str = "page") -> DataFrame:
     return df.withColumns({k: F.when(F.octet_length(p) >= 512, v) for k, v in fields.items()})
 
 
+# -- SCSI log pages: a header of 4 bytes, then parameters of stated length, numbers big-endian
+
+#: Codes of the pages, and of the parameters that are read from them.
+ERROR_PAGES = {2: "write", 3: "read", 5: "verify"}
+TEMPERATURE, START_STOP, EXCEPTIONS = 13, 14, 47
+CORRECTED, UNCORRECTED, CYCLES = 3, 6, 4
+NO_TEMPERATURE, FAILURE_PREDICTED = 255, 93
+
+
+def _big_endian(raw: Column) -> Column:
+    """An unsigned number of 1 to 8 bytes; null for other lengths."""
+    return F.when(F.octet_length(raw).between(1, 8), F.conv(F.hex(raw), 16, 10).cast("decimal(20,0)"))
+
+
+def log_parameters(df: DataFrame, page: str = "page") -> DataFrame:
+    """Adds page_code and parameters (code, data) of log pages, in their order; both null where a page is refused.
+
+    Refused are pages without a whole header or with a subpage, and those in which
+    a parameter reaches over the page's stated length. If the stated length reaches
+    over what was read, the page was cut, and its whole parameters count.
+    """
+    p, size = F.col(page), F.octet_length(page)
+    at = lambda i: _number(p, i, 1).cast("int")
+    stated = at(2) * 256 + at(3) + 4
+    end = F.least(stated, size)
+    start = F.struct(F.lit(4).alias("pos"), F.array().cast("array<struct<code:int,data:binary>>").alias("found"))
+
+    def step(s: Column, _: Column) -> Column:
+        """Take the parameter at s.pos if it is whole."""
+        n = at(s.pos + 3)
+        whole = F.coalesce((s.pos + 4 <= end) & (s.pos + 4 + n <= end), F.lit(False))
+        one = F.struct((at(s.pos) * 256 + at(s.pos + 1)).alias("code"), F.substr(p, s.pos + 5, n).alias("data"))
+        return F.struct(F.when(whole, s.pos + 4 + n).otherwise(s.pos).alias("pos"), F.when(whole, F.array_append(s.found, one)).otherwise(s.found).alias("found"))
+
+    headed = F.coalesce((size >= 4) & (F.floor(at(0) / 64) % 2 == 0) & (at(1) == 0), F.lit(False))
+    read = F.when(headed, F.aggregate(F.sequence(F.lit(0), F.floor(size / 4).cast("int")), start, step))
+    rows = maps.once(df.drop("page_code", "parameters"), {"_read": read})
+    taken = (F.col("_read.pos") == end) | (stated > size)
+    return rows.withColumns({"page_code": F.when(taken, at(0) % 64), "parameters": F.when(taken, F.col("_read.found"))}).drop("_read")
+
+
+def log_pages(df: DataFrame, page: str = "page") -> DataFrame:
+    """Adds page_code, operation, corrected, uncorrected, celsius, cycles, sense, qualifier and predicted_failure of log pages.
+
+    Null where the page is another, is refused (log_parameters) or doesn't say;
+    corrected counts are 0 if an error page lists none. A page of exceptions
+    without a whole first parameter is refused. Of equal codes the last counts.
+    """
+    rows = log_parameters(df, page)
+    code = F.col("page_code")
+
+    def last(wanted: int, ok) -> Column:
+        return F.try_element_at(F.filter("parameters", lambda x: (x.code == wanted) & ok(x.data)), F.lit(-1)).data
+
+    number = lambda wanted: _big_endian(last(wanted, lambda d: F.octet_length(d).between(1, 8)))
+    byte = lambda d, i: _number(d, i, 1)
+    errors, newest = code.isin(*ERROR_PAGES), last(0, lambda d: F.octet_length(d) >= 2)
+    heat = F.when(code == TEMPERATURE, byte(last(0, lambda d: (F.octet_length(d) >= 2) & (byte(d, 1) != NO_TEMPERATURE)), 1))
+    heat = heat.when(code == EXCEPTIONS, byte(last(0, lambda d: (F.octet_length(d) >= 3) & (byte(d, 2) != NO_TEMPERATURE)), 2))
+    refused = (code == EXCEPTIONS) & newest.isNull()
+    sense = F.when(code == EXCEPTIONS, byte(newest, 0))
+    fields = {
+        "operation": maps.lookup(code.cast("string"), {str(k): v for k, v in ERROR_PAGES.items()}),
+        "corrected": F.when(errors, F.coalesce(number(CORRECTED), F.lit(0).cast("decimal(20,0)"))),
+        "uncorrected": F.when(errors, number(UNCORRECTED)),
+        "celsius": heat,
+        "cycles": F.when(code == START_STOP, number(CYCLES)),
+        "sense": sense,
+        "qualifier": F.when(code == EXCEPTIONS, byte(newest, 1)),
+        "predicted_failure": sense == FAILURE_PREDICTED,
+    }
+    return rows.withColumns({**fields, "page_code": F.when(~refused, code)}).drop("parameters")
+
+
 # -- power supplies and replaceable units
 
 

@@ -213,6 +213,36 @@ FROM {EVENTS}, (VALUES (5), (194)) i(id) WHERE event_id % 9 <> 0
 """
 
 
+def log_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log pages built from events: error counters of several widths, one page cut in reading, temperature, cycles, exceptions, and a page that says too little of its length."""
+    e = events(spark, sf_dir).select("event_id", "user_id")
+    wide = lambda c, n: F.unhex(F.lpad(F.hex(F.col(c)), 2 * n, "0"))
+    parameter = lambda code, data: F.concat(F.unhex(F.lit(f"{code:04X}02")), _byte(F.octet_length(data)), data)
+    paged = lambda code, body, less=0: F.concat(F.unhex(F.lit(f"{code:02X}00")), F.unhex(F.lpad(F.hex(F.octet_length(body) - less), 4, "0")), body)
+    width = F.when(F.col("event_id") % 5 == 0, wide("event_id", 4)).otherwise(wide("event_id", 8))
+    errors = paged(3, F.concat(parameter(0, F.unhex(F.lit("0A0B0C"))), parameter(3, width), parameter(6, wide("user_id", 4))))
+    kinds = [
+        errors,
+        F.substr(errors, F.lit(1), F.octet_length(errors) - 3),
+        paged(13, F.concat(parameter(0, F.concat(_zeros(1), _byte(F.col("user_id") % 256))), parameter(1, F.unhex(F.lit("0041"))))),
+        paged(14, F.concat(parameter(1, _zeros(6)), parameter(4, wide("event_id", 4)))),
+        paged(47, parameter(0, F.concat(_byte(F.when(F.col("user_id") % 2 == 0, 93).otherwise(11)), _byte(F.col("user_id") % 100), _byte(F.lit(255))))),
+        paged(14, parameter(4, wide("event_id", 4)), 2),
+    ]
+    page = F.get(F.array(*kinds), (F.col("event_id") % 6).cast("int"))
+    out = hardware.log_pages(e.select("event_id", page.alias("page"))).drop("page")
+    return out.select("event_id", *[F.col(c).cast("string").alias(c) for c in out.columns if c != "event_id"])
+
+
+LOG_PAGES = f"""
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN '3' WHEN 1 THEN '3' WHEN 2 THEN '13' WHEN 3 THEN '14' WHEN 4 THEN '47' END AS page_code,
+CASE WHEN event_id % 6 < 2 THEN 'read' END AS operation, CASE WHEN event_id % 6 < 2 THEN event_id::VARCHAR END AS corrected, CASE WHEN event_id % 6 = 0 THEN user_id::VARCHAR END AS uncorrected,
+CASE WHEN event_id % 6 = 2 AND user_id % 256 <> 255 THEN (user_id % 256)::VARCHAR END AS celsius, CASE WHEN event_id % 6 = 3 THEN event_id::VARCHAR END AS cycles,
+CASE WHEN event_id % 6 = 4 THEN CASE WHEN user_id % 2 = 0 THEN '93' ELSE '11' END END AS sense, CASE WHEN event_id % 6 = 4 THEN (user_id % 100)::VARCHAR END AS qualifier,
+CASE WHEN event_id % 6 = 4 THEN CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END END AS predicted_failure FROM {EVENTS}
+"""
+
+
 def disk_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IDENTIFY pages built from keys: texts with swapped bytes, sizes of 48 bits, names."""
     e = events(spark, sf_dir).select("event_id", F.rpad(F.concat(F.lit("M"), "event_id"), 40, " ").alias("m"), F.rpad(F.concat(F.lit("S"), "user_id"), 20, " ").alias("s"))
@@ -271,7 +301,7 @@ SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'Acme' END AS vendor, CASE WHEN
 
 _ALL = {
     "catalogue_routes": CATALOGUE_ROUTES, "catalogue_windows": CATALOGUE_WINDOWS, "late_points": LATE_POINTS, "top_rows": TOP_ROWS, "stamps": STAMPS, "noise": NOISE, "filled_columns": FILLED_COLUMNS, "digests": DIGESTS,
-    "guest_facts": GUEST_FACTS, "fresh_snapshots": FRESH_SNAPSHOTS, "pool_errors": POOL_ERRORS, "distributions": DISTRIBUTIONS, "metric_calls": METRIC_CALLS, "metric_gauges": METRIC_GAUGES, "smart_table": SMART_TABLE,
+    "guest_facts": GUEST_FACTS, "fresh_snapshots": FRESH_SNAPSHOTS, "pool_errors": POOL_ERRORS, "distributions": DISTRIBUTIONS, "metric_calls": METRIC_CALLS, "metric_gauges": METRIC_GAUGES, "smart_table": SMART_TABLE, "log_pages": LOG_PAGES,
     "disk_identities": DISK_IDENTITIES, "supplies": SUPPLIES, "unit_records": UNIT_RECORDS, "firmware_facts": FIRMWARE_FACTS,
 }
 QUERIES = {n: globals()[n] for n in _ALL}

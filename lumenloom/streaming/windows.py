@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lumenloom.operators.recombine import GAP_US, MAX_BYTES, MAX_LINES, MAX_US
 from lumenloom.operators.windowhist import MAX_SCALE, MAX_SIZE, MIN_SCALE
 
 
@@ -99,8 +101,6 @@ def recombined(lines: DataFrame, key: str, at_us: str, line: str, first_entry: s
     A record ends at the next that begins, after a pause, at ``max_lines``, or
     ``flush_ms`` after its key's last line.
     """
-    import re
-
     begins = re.compile(first_entry)
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -126,6 +126,86 @@ def recombined(lines: DataFrame, key: str, at_us: str, line: str, first_entry: s
     return rows.groupBy("key").applyInPandasWithState(run, "key string, at_us long, n_lines long, body string", "began long, last long, n long, body string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+class OpenRecords:
+    """Records of one shard that may still go on, at most ``most`` of them."""
+
+    def __init__(self, begins: re.Pattern, most: int, gap_us: int, max_us: int, max_lines: int, max_bytes: int, open_: dict[str, dict] | None = None) -> None:
+        self.begins, self.most, self.gap_us, self.max_us, self.max_lines, self.max_bytes = begins, most, gap_us, max_us, max_lines, max_bytes
+        self.open = open_ or {}
+        self.done: list[tuple[str, int, int, str]] = []
+
+    def send(self, key: str) -> None:
+        r = self.open.pop(key)
+        self.done.append((key, r["at"], r["n"], r["body"]))
+
+    def add(self, key: str, at: int, line: str, now_ms: int) -> None:
+        """Goes on with the key's record, or sends it and begins another; then sends the one that began first if there are too many."""
+        r, size = self.open.get(key), len(line.encode("utf-8", "surrogatepass"))
+        if r and not self.begins.search(line) and at - r["last"] <= self.gap_us:
+            # Cuts by lines and by time are counted from the run's begin, as recombine() does.
+            part = max((r["before"] + r["n"]) // self.max_lines, (at - r["t0"]) // (self.max_us + 1))
+            if part == r["part"] and r["bytes"] + 1 + size <= self.max_bytes:
+                r |= {"last": at, "n": r["n"] + 1, "bytes": r["bytes"] + 1 + size, "body": f"{r['body']}\n{line}", "seen": now_ms}
+                return
+            t0, before = r["t0"], r["before"] + r["n"]
+        else:
+            t0, before, part = at, 0, 0
+        if r:
+            self.send(key)
+        self.open[key] = {"t0": t0, "before": before, "part": part, "at": at, "last": at, "n": 1, "bytes": size, "body": line, "began": now_ms, "seen": now_ms}
+        if len(self.open) > self.most:
+            # A key is put in anew with each record, so the first key's record began first.
+            self.send(next(iter(self.open)))
+
+    def flush(self, now_ms: int, flush_ms: int, hold_ms: int) -> int | None:
+        """Sends what got no line for ``flush_ms`` or began ``hold_ms`` ago; the wait until the next is due."""
+        due = {k: min(r["seen"] + flush_ms, r["began"] + hold_ms) for k, r in self.open.items()}
+        for k in [k for k, at in due.items() if at <= now_ms]:
+            self.send(k)
+        return min((due[k] - now_ms for k in self.open), default=None)
+
+
+def recombined_within(
+    lines: DataFrame, key: str, at_us: str, line: str, first_entry: str, max_open: int = 1000, shards: int = 64, gap_us: int = GAP_US, max_us: int = MAX_US, max_lines: int = MAX_LINES, max_bytes: int = MAX_BYTES, flush_ms: int = 80, hold_ms: int = 80
+) -> DataFrame:
+    """key, at_us, n_lines and body of each record, with at most ``max_open`` open records over all keys.
+
+    Keys are dealt over ``shards`` by a hash; a shard holds its share of
+    ``max_open`` (at least one), and if there are more its record that began
+    first is sent, whole lines as they are. So the state is bounded, however many
+    keys there are, by max_open times ``max_bytes`` and a line; what follows in
+    a key that was sent begins a record of its own. A record also ends at the next
+    that begins, after a pause, and every ``max_us`` or ``max_lines`` after
+    its run's begin, by the lines' own times, as recombine() has it; before
+    ``max_bytes`` would be passed; and by the clock ``flush_ms`` after
+    its last line or ``hold_ms`` after its begin. No line is dropped: those without
+    a key or a text are records of their own. Within a micro-batch, which the
+    source's limits bound, a shard's lines go by time.
+    """
+    begins, share = re.compile(first_entry), max(1, max_open // shards)
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = OpenRecords(begins, share, gap_us, max_us, max_lines, max_bytes, json.loads(state.get[0]) if state.exists else None)
+        now = state.getCurrentProcessingTimeMs()
+        if not state.hasTimedOut:
+            for of, at, text in pd.concat(list(batches)).sort_values("at_us", kind="stable")[["key", "at_us", "line"]].itertuples(index=False):
+                held.add(of, int(at), text, now)
+        wait = held.flush(now, flush_ms, hold_ms)
+        if wait is not None:
+            state.update((json.dumps(held.open),))
+            state.setTimeoutDuration(max(1, wait))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(held.done, columns=["key", "at_us", "n_lines", "body"])
+
+    rows = lines.select(F.col(key).cast("string").alias("key"), F.col(at_us).cast("long").alias("at_us"), F.col(line).alias("line"))
+    joins = F.coalesce((F.col("line") != "") & F.col("key").isNotNull() & F.col("at_us").isNotNull(), F.lit(False))
+    alone = rows.where(~joins).select("key", "at_us", F.lit(1).cast("long").alias("n_lines"), F.col("line").alias("body"))
+    dealt = rows.where(joins).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    made = dealt.groupBy("shard").applyInPandasWithState(run, "key string, at_us long, n_lines long, body string", "open string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return made.unionByName(alone)
+
+
 class _Buckets:
     """Counts by exponential bucket of one sign, of at most ``most`` neighbouring buckets: the scale falls as the range grows."""
 

@@ -1,5 +1,9 @@
 """Streams give what the batch operators give on the same input, and take late files in."""
 
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +91,45 @@ def test_window_histograms_equal_the_batch_and_forget_idle_series(spark, tmp_pat
     for k in due:
         a, b = got[k], want[k]
         assert (a["count"], a.zero_count, a.scale, a.positive, a.negative) == (b["count"], b.zero_count, b.scale, b.positive, b.negative) and abs(a["sum"] - b["sum"]) < 1e-6 * max(1, abs(b["sum"])), k
+
+
+def test_open_records_are_bounded_and_no_line_is_lost(spark, tmp_path):
+    """10,000 keys of three lines, in two files; at most 1,000 records stay open, and these leave by the clock."""
+    rows = spark.range(30_000).selectExpr("concat('k', id % 10000) AS key", "(id % 10000) * 3000 + id div 10000 AS at_us", "concat(if(id < 10000, 'BEGIN ', ' more '), id) AS line")
+    odd = spark.createDataFrame([(None, 5, "no key"), ("k1", 6, "")], rows.schema)
+    for i, part in enumerate((rows.where("at_us < 15000000").unionByName(odd), rows.where("at_us >= 15000000"))):
+        part.coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    live = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    made = windows.recombined_within(live, "key", "at_us", "line", "^BEGIN", max_open=1000, shards=8, flush_ms=500, hold_ms=2000)
+    q = made.writeStream.format("memory").queryName("s7").outputMode("append").start()
+    end = time.time() + 120
+    while time.time() < end and q.exception() is None and spark.table("s7").agg(F.sum("n_lines")).first()[0] != 30_002:
+        time.sleep(1)
+    q.stop()
+    got = spark.table("s7").collect()
+    assert sum(r.n_lines for r in got) == 30_002
+    assert sorted(x for r in got for x in r.body.split("\n")) == sorted([*[r.line for r in rows.collect()], "no key", ""])
+    # By time a key's three lines follow each other, so that no eviction parts them.
+    assert {r.n_lines for r in got if r.key and r.body} == {3}
+
+
+def test_open_records_are_those_of_the_batch(spark):
+    """Pauses, begins, cuts by lines and by time as recombine() has them."""
+    rnd = random.Random(3)
+    rows, at = [], dict.fromkeys("abc", 0)
+    for i in range(2000):
+        k = rnd.choice("abc")
+        at[k] += rnd.choice((1, 40, 900, 9_000, 10_001))
+        rows.append((k, at[k], i, f"{rnd.choice(('BEGIN', 'x', 'x', 'x', 'x'))} {i}"))
+    batch = recombine.recombine(spark.createDataFrame(rows, "k string, t long, i long, line string"), "k", "t", "i", "line", "^BEGIN", max_us=20_000, max_lines=4)
+    held = windows.OpenRecords(re.compile("^BEGIN"), 3, 10_000, 20_000, 4, 1 << 16)
+    for k, t, _, line in rows:
+        held.add(k, t, line, 0)
+    assert held.flush(10, 100, 200) == 90 and held.flush(100, 100, 200) is None
+    assert sorted(held.done) == sorted(tuple(r) for r in batch.select("k", "t", "n_lines", "body").collect())
+    held = windows.OpenRecords(re.compile("^BEGIN"), 2, 10_000, 20_000, 50, 10)
+    for k, t, line in (("a", 1, "BEGIN"), ("b", 2, "x"), ("a", 3, "1234"), ("a", 4, "5"), ("c", 5, "y" * 99)):
+        held.add(k, t, line, t)
+    assert held.done == [("a", 1, 2, "BEGIN\n1234"), ("b", 2, 1, "x")] and list(held.open) == ["a", "c"] and held.open["c"]["bytes"] == 99
+    assert held.flush(104, 100, 10_000) == 1 and held.done[-1] == ("a", 4, 1, "5")
