@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenloom.plans import analytics, extra, files, forms, lines, metrics, more, polls, records
+from lumenloom.plans import analytics, extra, files, forms, lines, linked, metrics, more, polls, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _module in (metrics, records, lines, forms, files, more, extra, analytics, polls):
+for _module in (metrics, records, lines, forms, files, more, extra, analytics, polls, linked):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
