@@ -86,6 +86,11 @@ def _full_sets(docs: DataFrame, reps: DataFrame, ids: DataFrame, id_col: str, te
     return found.select("rep", "text").mapInArrow(run, "rep long, shingles array<long>")
 
 
+def _first_places(ts: str, k: Column) -> Column:
+    """Place and item of each of the first k items of an array; the others make no rows."""
+    return F.posexplode(F.slice(ts, 1, F.greatest(k, F.lit(0)).cast("int")))
+
+
 def _first_lists(reps: DataFrame, percent: int, tables: Scratch) -> DataFrame:
     """The index lists of whole sets: g (0), token, x, n, d (the size) and rest, how many n-grams of the set are left in its order, this one included.
 
@@ -97,12 +102,13 @@ def _first_lists(reps: DataFrame, percent: int, tables: Scratch) -> DataFrame:
     each = reps.select("rep", F.explode(F.concat(counted, more)).alias("t")).select("rep", "t.late", "t.token")
     often = tables.write(each.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
     shared = each.join(often, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("late", "k", "token"))).alias("ts"))
-    sized = shared.join(reps.select("rep", "n_shingles", F.size("counted").alias("c")), "rep")
-    own = F.size(F.filter("ts", lambda t: t.late == 0))
-    listed = sized.select(F.col("rep").alias("x"), F.col("n_shingles").alias("n"), "c", own.alias("own"), F.posexplode("ts").alias("i", "t"))
-    pos = F.when(F.col("t.late") == 0, F.col("c") - F.col("own") + F.col("i")).otherwise(F.col("c") + F.col("t.late") - 1)
+    sized = shared.join(reps.select("rep", F.col("n_shingles").alias("n"), F.size("counted").alias("c")), "rep")
+    sized = sized.withColumn("own", F.size(F.filter("ts", lambda t: t.late == 0)))
     most = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
-    return listed.where(pos < most).select(F.lit(0).cast("long").alias("g"), F.col("t.token").alias("token"), "x", "n", F.col("n").alias("d"), (F.col("n") - pos).cast("long").alias("rest"))
+    # The table holds no more of the others than there are places left, so the first places are a prefix of ts.
+    listed = sized.select(F.col("rep").alias("x"), "n", "c", "own", _first_places("ts", most - F.col("c") + F.col("own")).alias("i", "t"))
+    pos = F.when(F.col("t.late") == 0, F.col("c") - F.col("own") + F.col("i")).otherwise(F.col("c") + F.col("t.late") - 1)
+    return listed.select(F.lit(0).cast("long").alias("g"), F.col("t.token").alias("token"), "x", "n", F.col("n").alias("d"), (F.col("n") - pos).cast("long").alias("rest"))
 
 
 def _lists(items: DataFrame, percent: int, tables: Scratch) -> DataFrame:
@@ -115,11 +121,11 @@ def _lists(items: DataFrame, percent: int, tables: Scratch) -> DataFrame:
     each = items.select("g", "x", F.explode("s").alias("token"))
     often = tables.write(each.groupBy("g", "token").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
     shared = each.join(often, ["g", "token"]).groupBy("g", "x").agg(F.array_sort(F.collect_list(F.struct("k", "token"))).alias("ts"))
-    sized = shared.join(items.select("g", "x", "n", "d"), ["g", "x"])
-    listed = sized.select("g", "x", "n", "d", F.size("ts").alias("own"), F.posexplode("ts").alias("i", "t"))
-    pos = F.col("d") - F.col("own") + F.col("i")
+    sized = shared.join(items.select("g", "x", "n", "d"), ["g", "x"]).withColumn("own", F.size("ts"))
     most = F.expr(f"n * {100 - percent} div {percent}") + 1
-    return listed.where(pos < most).select("g", F.col("t.token").alias("token"), "x", "n", "d", (F.col("d") - pos).cast("long").alias("rest"))
+    listed = sized.select("g", "x", "n", "d", "own", _first_places("ts", most - F.col("d") + F.col("own")).alias("i", "t"))
+    pos = F.col("d") - F.col("own") + F.col("i")
+    return listed.select("g", F.col("t.token").alias("token"), "x", "n", "d", (F.col("d") - pos).cast("long").alias("rest"))
 
 
 def _fits(percent: int) -> Column:
@@ -134,11 +140,13 @@ def _size_class(n: str, percent: int) -> Column:
     return F.floor(F.log(F.col(n)) / F.lit(max(math.log(100 / percent), 1e-3)) + F.lit(1e-9)).cast("int")
 
 
-def _live(lists: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+def _live(lists: DataFrame, labels: DataFrame | None, percent: int, tables: Scratch) -> DataFrame:
     """Entries, with label and the number m and the summed sizes of the entries left in their list, of blocks that another label can meet.
 
     A block is the entries of one list with the same sizes and place; whole
     blocks are skipped, so a list costs its blocks times the sizes near each.
+    What is left and the numbers of each list are written before they are
+    joined, so that AQE can split a long list.
     """
     if labels is None:
         known = lists.withColumn("label", F.col("x"))
@@ -153,15 +161,19 @@ def _live(lists: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame
     one = (F.col("a.lo") == F.col("a.hi")) & (F.col("b.lo") == F.col("b.hi")) & (F.col("a.lo") == F.col("b.lo"))
     same = (F.col("a.g") == F.col("b.g")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.size_class") == F.col("b.size_class"))
     met = blocks.alias("a").join(best.alias("b"), same & ~one & _fits(percent), "left_semi").select(*at)
-    left = known.join(met, at)
-    return left.join(left.groupBy("g", "token").agg(F.count(F.lit(1)).alias("m"), F.sum("d").alias("load")), ["g", "token"])
+    left = tables.write(known.join(met, at))
+    held = tables.write(left.groupBy("g", "token").agg(F.count(F.lit(1)).alias("m"), F.sum("d").alias("load")))
+    live = tables.write(left.join(held, ["g", "token"]))
+    tables.drop(left, held)
+    return live
 
 
-def _to_centres(live: DataFrame) -> DataFrame:
+def _to_centres(live: DataFrame, tables: Scratch) -> DataFrame:
     """g, x, n and c: each entry's set and the centre of its list, the member that shares most entries over all."""
     weight = live.groupBy("g", "x").agg(F.sum("m").alias("w"))
     weighed = live.join(weight, ["g", "x"])
     centre = weighed.groupBy("g", "token").agg(F.max(F.struct("w", (-F.col("x")).alias("less"))).alias("c")).select("g", "token", (-F.col("c.less")).alias("c"))
+    centre = tables.write(centre)
     return live.join(centre, ["g", "token"]).select("g", "x", "n", "c").distinct()
 
 
@@ -278,15 +290,15 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle:
     reps = write(some.join(classes, ["digest", "doc_id"]).groupBy("rep").agg(*one, F.count(F.lit(1)).alias("rows")))
     repeated = not reps.where("rows > 1").isEmpty()
     lists = write(_first_lists(reps, percent, tables))
-    live = write(_live(lists, None, percent))
+    live = _live(lists, None, percent, tables)
     sets = _full_sets(docs, reps, live.select(F.col("x").alias("rep")).distinct(), id_col, text_col, shingle)
     sets = write(sets.dropDuplicates(["rep"]) if repeated else sets)
-    star = _to_centres(live).where("x <> c").select(F.col("x").alias("a"), F.col("c").alias("b"))
+    star = _to_centres(live, tables).where("x <> c").select(F.col("x").alias("a"), F.col("c").alias("b"))
     labels = connected_components(_confirm(star, sets, percent), write)
     tables.drop(lists)
 
     found = [labels.select(F.col("id").alias("u"), F.col("component").alias("v"))]
-    left = write(_live(live.select("g", "token", "x", "n", "d", "rest"), labels, percent))
+    left = _live(live.select("g", "token", "x", "n", "d", "rest"), labels, percent, tables)
     tables.drop(live)
     whole = sets.select(F.col("rep").alias("x"), F.size("shingles").cast("long").alias("n"), F.col("shingles").alias("s"))
     items, on = whole, []
@@ -306,13 +318,15 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle:
         found.append(edges)
         if last or many.isEmpty():
             break
-        to = _to_centres(many)
+        to = _to_centres(many, tables)
         items = write(_differences(to if on else to.drop("g"), items, on))
         on = ["g"]
         close = items.where((F.col("g") != F.col("x")) & _similar(F.col("d"), F.col("n") + F.col("cn"), percent)).select(F.col("g").alias("u"), F.col("x").alias("v"))
         found.append(close)
         labels = write(_relabelled(labels, edges.unionByName(close)))
-        left = write(_live(_lists(items, percent, tables), labels, percent))
+        lists = write(_lists(items, percent, tables))
+        left = _live(lists, labels, percent, tables)
+        tables.drop(lists)
         if left.isEmpty():
             break
     edges = reduce(DataFrame.unionByName, [*found, _same_id(some, classes, tables)])

@@ -91,6 +91,34 @@ def test_the_last_level_is_exact_too(spark, monkeypatch):
     assert run(spark, pairs) == brute(pairs)
 
 
+def exploded(plan):
+    """Rows that the posexplodes of an executed plan made."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return exploded(plan.executedPlan())
+    if "QueryStage" in plan.nodeName():
+        return exploded(plan.plan())
+    own = plan.metrics().get("numOutputRows").get().value() if plan.nodeName() == "Generate" and "posexplode" in plan.toString().split("\n")[0] else 0
+    return own + sum(exploded(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_only_first_places_become_rows(spark):
+    rng = random.Random(8)
+    base = words(rng, 80)
+    # All differences hold the same 30 n-grams; one more is their own.
+    ids = [(0, x, 100, [*range(30), 1000 + x]) for x in range(40)]
+    with J.Scratch(spark) as tables:
+        items = tables.write(spark.createDataFrame(ids, "g long, x long, n long, s array<long>").withColumn("d", J.F.size("s").cast("long")))
+        reps = tables.write(
+            J.set_table(documents(spark, [(i, " ".join([*base, f"own{i}"])) for i in range(40)]), "doc_id", "text", 3, 90).withColumn("rep", J.F.col("doc_id"))
+        )
+        counted = reps.select(J.F.size("counted")).first()[0]
+        for lists, places in ((J._lists(items, 90, tables), 11), (J._first_lists(reps, 90, tables), 9)):
+            rows = lists.collect()
+            made = exploded(lists._jdf.queryExecution().executedPlan())
+            assert made == len(rows) and 0 < len(rows) <= 40 * places
+    assert counted > 9
+
+
 @pytest.mark.parametrize("percent,k", [(75, 5)])
 def test_other_thresholds_and_sizes(spark, percent, k):
     rng = random.Random(percent)
