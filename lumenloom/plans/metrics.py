@@ -304,7 +304,7 @@ UNION ALL SELECT event_id, m, '1', v, NULL, NULL, NULL, NULL, NULL FROM p WHERE
 
 def nvme_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Health pages built from order lines, read back."""
-    le = lambda c, n: F.reverse(F.unhex(F.lpad(F.hex(c), 2 * n, "0"))) if n == 1 else F.unhex(F.array_join(F.transform(F.sequence(F.lit(n - 1), F.lit(0), F.lit(-1)), lambda i: F.substr(F.lpad(F.hex(c), 2 * n, "0"), i * 2 + 1, F.lit(2))), ""))
+    le = lambda c, n: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(c), 16, "0"), 15 - 2 * i, 2) for i in range(n)]))
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     zeros = lambda n: F.unhex(F.lit("00" * n))
     page = F.concat(
