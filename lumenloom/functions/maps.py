@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenloom.functions.network import let
+
 
 def once(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     """``df`` with these columns, each computed once for a row however often it is read.
@@ -92,10 +94,15 @@ def rename(base: Column, pairs: Iterable[tuple[str, str]]) -> Column:
     """Old keys become new ones; of several for one new key the new key itself, then the first pair wins."""
     pairs = list(pairs)
     old = [a for a, _ in pairs]
-    takes: dict[str, list[Column]] = {}
-    for a, b in pairs:
-        takes.setdefault(b, []).append(base[a])
-    return fill(without(base, [k for k in old if k not in takes]), {b: F.coalesce(*found) for b, found in takes.items()})
+
+    def renamed(base: Column) -> Column:
+        takes: dict[str, list[Column]] = {}
+        for a, b in pairs:
+            takes.setdefault(b, []).append(base[a])
+        found = {b: F.when(~F.map_contains_key(base, b), F.coalesce(*v)) for b, v in takes.items()}
+        return F.map_concat(without(base, [k for k in old if k not in takes]), of(found))
+
+    return let(base, renamed)
 
 
 def first_of(*values: Column) -> Column:

@@ -136,19 +136,20 @@ def official_names(attributes: Column, more: tuple[tuple[str, str], ...] = ()) -
     into file and line, rpc.service goes in front of rpc.method, and
     winlog.computer_name is dropped.
     """
-    real, path, service = attributes["real_address"], attributes["code.filepath"], attributes["rpc.service"]
-    has_line = path.rlike(r"^.+:\d+$")
-    a = maps.fill(
-        maps.without(attributes, ["real_address", "code.filepath", "rpc.service", "winlog.computer_name"]),
-        {
+
+    def split(attributes: Column) -> Column:
+        real, path, service = attributes["real_address"], attributes["code.filepath"], attributes["rpc.service"]
+        has_line = path.rlike(r"^.+:\d+$")
+        found = {
             "client.address": network.host(real),
             "client.port": network.port(real).cast("string"),
             "code.file.path": F.when(has_line, F.regexp_extract(path, r"^(.+):\d+$", 1)).otherwise(path),
             "code.line.number": F.when(attributes["code.lineno"].isNull(), F.nullif(F.regexp_extract(path, r":(\d+)$", 1), F.lit(""))),
-        },
-    )
-    a = maps.overwrite(a, {"rpc.method": F.when(service != "", F.concat(service, F.lit("/"), attributes["rpc.method"]))})
-    return maps.rename(a, [*RENAMES, *more])
+        }
+        a = network.let(maps.without(attributes, ["real_address", "code.filepath", "rpc.service", "winlog.computer_name"]), lambda rest: maps.fill(rest, found))
+        return maps.overwrite(a, {"rpc.method": F.when(service != "", F.concat(service, F.lit("/"), attributes["rpc.method"]))})
+
+    return maps.rename(network.let(attributes, split), [*RENAMES, *more])
 
 
 # -- lookups
