@@ -12,15 +12,15 @@ from lumenloom.sources import storage
 def storage_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as hosts, orders as storages, lines as drives, a volume for each order; some are linked but not there, some absent, some held in the list."""
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("host"), F.col("o_orderkey").alias("k"), "o_orderstatus")
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(F.max("l_partkey").alias("part")).join(o, "k")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part")).repartition("k").groupBy("k", "n").agg(F.max("part").alias("part"))
     link = lambda path: f"concat('{{\"@odata.id\":\"', {path}, '\"}}')"
     roots = o.groupBy("host").agg(F.expr(f"array_join(collect_list({link('concat(\'/s/\', k)')}), ',')").alias("m")).selectExpr("host", "'/s' AS path", "concat('{\"Members\":[', m, ']}') AS value")
     held = "concat('{\"Id\":\"', n, '\",\"Status\":{\"Health\":\"OK\"},\"CapacityBytes\":', part, '}')"
-    drives = lines.groupBy("host", "k").agg(F.expr(f"array_join(collect_list(if(n = 2, {held}, {link('concat(\'/s/\', k, \'/Drives/\', n)')})), ',')").alias("d"))
+    drives = lines.groupBy("k").agg(F.expr(f"array_join(collect_list(if(n = 2, {held}, {link('concat(\'/s/\', k, \'/Drives/\', n)')})), ',')").alias("d"))
     body = f"concat('{{\"Id\":\"', k, '\",', if(o_orderstatus = 'P', '', '\"Status\":{{\"Health\":\"OK\"}},'), '\"Drives\":[', coalesce(d, ''), '],\"Volumes\":', {link('concat(\'/s/\', k, \'/V\')')}, '}}')"
-    storages = o.join(drives, ["host", "k"], "left").where("k % 7 <> 0").selectExpr("host", "concat('/s/', k) AS path", f"{body} AS value")
+    storages = o.join(drives, "k", "left").where("k % 7 <> 0").selectExpr("host", "concat('/s/', k) AS path", f"{body} AS value")
     drive = "concat('{\"Status\":{\"Health\":\"', CASE n WHEN 5 THEN 'Warning' WHEN 6 THEN 'Critical' ELSE 'OK' END, if(n = 4, '\",\"State\":\"Absent', ''), '\"},\"CapacityBytes\":', part, '}')"
-    own = lines.where("n NOT IN (2, 3)").selectExpr("host", "concat('/s/', k, '/Drives/', n) AS path", f"{drive} AS value")
+    own = lines.where("n NOT IN (2, 3)").join(o, "k").selectExpr("host", "concat('/s/', k, '/Drives/', n) AS path", f"{drive} AS value")
     volumes = o.selectExpr("host", "concat('/s/', k, '/V') AS path", f"concat('{{\"Members\":[', {link('concat(\'/s/\', k, \'/V/1?x=1\')')}, ']}}') AS value")
     volume = o.selectExpr("host", "concat('/s/', k, '/V/1') AS path", "'{\"Id\":\"1\",\"RAIDType\":\"RAID1\",\"Status\":{\"Health\":\"OK\"},\"CapacityBytes\":1000}' AS value")
     documents = roots.unionByName(storages).unionByName(own).unionByName(volumes).unionByName(volume)
